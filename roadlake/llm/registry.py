@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import hilbert_shards, packing, quality_rules, secrets, simhash, url_rules
+from . import decontaminate, hilbert_shards, packing, quality_rules, secrets, simhash, url_rules
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
     "op2_harmonic_packing": packing.op2_harmonic_packing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_cgk_decontamination": decontaminate.op6_cgk_decontamination,
     "op7_secret_battery": secrets.op7_secret_battery,
     "op8_simhash_pigeonring": simhash.op8_simhash_pigeonring,
     "op10_url_rules": url_rules.op10_url_rules,
