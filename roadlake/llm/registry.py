@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hilbert_shards, packing, quality_rules, secrets, simhash, url_rules
+from . import byte_cnn, decontaminate, hilbert_shards, language_fusion, packing, quality_rules, secrets, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
     "op2_harmonic_packing": packing.op2_harmonic_packing,
+    "op3_bigru_toxicity": toxicity.op3_bigru_toxicity,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_byte_cnn": byte_cnn.op5_byte_cnn,
     "op6_cgk_decontamination": decontaminate.op6_cgk_decontamination,
     "op7_secret_battery": secrets.op7_secret_battery,
     "op8_simhash_pigeonring": simhash.op8_simhash_pigeonring,
+    "op9_language_fusion": language_fusion.op9_language_fusion,
     "op10_url_rules": url_rules.op10_url_rules,
 }
 
