@@ -10,7 +10,7 @@ most about 10,000 in all, whatever the input) are packed first-fit decreasing.
 
 Defined results: a null or empty text is the closing id alone; repeated rows
 are packed each; an empty table gives no rows; other columns are ignored.
-Memory in a worker: one Arrow batch and a word table of CACHE entries.
+Memory in a worker: one Arrow batch and word tables of CACHE entries and what one text adds.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .ranks import ranked
 
 CAPACITY = 2048
 CLOSING_ID = 1
-CACHE = 600_000
+CACHE = 500_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -45,33 +45,48 @@ class WordTokenizer:
     """Ids of whole texts, by a table of the ids of words.
 
     The vocabulary's pattern drops white space and never spans it, so the ids of a text are those of its words in
-    turn; words new to the table are encoded together, parted by a control character of one id.
+    turn. It also parts letters from punctuation and ignores case: words that are letters and closing punctuation
+    share the ids of their lower-case letters, each a unit that the encoding numbers.
     """
 
-    MARK = "\x01"
+    CLOSING = ".,;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        assert len(self.mark) == 1
         self.table: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.closing: dict[str, bytes] = {"": b""}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _add(self, words: set[bytes]) -> None:
-        own = [w for w in words if b"\x01" not in w and b"<|" not in w]
-        for w in words.difference(own):
-            self.table[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        for k in range(0, len(own), 500):
-            some = own[k : k + 500]
-            text = f" {self.MARK} ".join(w.decode() for w in some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark[0])
-            data, begin = ids.tobytes(), 0
-            for w, end in zip(some, [*ends.tolist(), len(ids)]):
-                self.table[w] = data[4 * begin : 4 * end]
-                begin = end + 1
+        parted = []
+        for w in words:
+            text = w.decode()
+            core = text.rstrip(self.CLOSING)
+            low = core.lower()
+            if low.isalpha() and "\u03a3" not in core:
+                parted.append((w, low, text[len(core) :]))
+            else:
+                self.table[w] = self._ids(text)
+        new = list({low for _, low, _ in parted if low not in self.letters})
+        for k in range(0, len(new), 500):
+            found = self.tokenizer.encode(" ".join(new[k : k + 500]), add_special_tokens=False)
+            data, unit = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            ends = [*(np.flatnonzero(np.diff(unit)) + 1).tolist(), len(unit)]
+            assert len(ends) == len(new[k : k + 500])
+            begin = 0
+            for low, end in zip(new[k : k + 500], ends):
+                self.letters[low] = data[4 * begin : 4 * end]
+                begin = end
+        for w, low, tail in parted:
+            if tail not in self.closing:
+                self.closing[tail] = self._ids(tail)
+            self.table[w] = self.letters[low] + self.closing[tail]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -80,6 +95,10 @@ class WordTokenizer:
         if None in ids:
             if len(self.table) > CACHE:
                 self.table.clear()
+            if len(self.letters) > CACHE:
+                self.letters.clear()
+            if len(self.closing) > CACHE:
+                self.closing = {"": b""}
             self._add({w for w in words if w not in self.table})
             ids = map(self.table.__getitem__, words)
         return b"".join(ids)
