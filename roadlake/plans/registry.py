@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.roles import roles
+from ..sources.roles import role
 from .oracle import WAREHOUSE, sql
-from .warehouse import build
+from .warehouse import Warehouse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,7 +24,7 @@ def add(name: str, oracle: str | None, **more: str):
     """Registers a function of the warehouse tables; oracle: its SQL over them."""
 
     def put(f: Callable[[dict[str, DataFrame]], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: plain(f(build(roles(spark, sf_dir))))
+        QUERIES[name] = lambda spark, sf_dir: plain(f(Warehouse(lambda table: role(spark, sf_dir, table))))
         if oracle is not None:
             SQL[name] = sql(oracle, **more)
         return f

@@ -6,6 +6,8 @@ functions serve one day or any range of days.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,22 +196,34 @@ def ads_device_fault_top(health: DataFrame, device: DataFrame, road: DataFrame,
         rounded(percent(c("online_duration"), c("online_duration") + c("offline_count"))).alias("online_rate"), "avg_cpu_usage", "avg_memory_usage", "avg_temperature", "health_level", "dt")
 
 
-def build(roles: Tables) -> Tables:
-    """All tables from the landing tables and dimensions, in layer order."""
-    t = dict(roles)
-    t["dwd_vehicle_pass"] = dwd_vehicle_pass(t["vehicle_pass"])
-    t["dwd_traffic_status"] = dwd_traffic_status(t["traffic_status"])
-    t["dwd_device_status"] = dwd_device_status(t["device_status"])
-    t["dwd_alarm_log"] = dwd_alarm_log(t["alarm_log"])
-    t["dws_road_hour_flow"] = dws_road_hour_flow(t["dwd_vehicle_pass"])
-    t["dws_area_jam_hour"] = dws_area_jam_hour(t["dwd_traffic_status"], t["road"], t["area"])
-    t["dws_device_health_day"] = dws_device_health_day(t["dwd_device_status"])
-    t["dws_alarm_day"] = dws_alarm_day(t["dwd_alarm_log"])
-    t["dws_alarm_device_day"] = dws_alarm_day(t["dwd_alarm_log"], by_device=True)
-    t["ads_traffic_operation"] = ads_traffic_operation(t["dws_road_hour_flow"], t["dws_area_jam_hour"], t["road"], t["area"])
-    t["ads_top_jam_roads"] = ads_top_jam_roads(t["dws_area_jam_hour"], t["road"], t["area"])
-    t["ads_top_jam_roads_by_road"] = ads_top_jam_roads_by_road(t["dwd_traffic_status"], t["road"])
-    t["ads_device_health_score"] = ads_device_health_score(t["dws_device_health_day"], t["dws_alarm_device_day"], t["device"], t["road"])
-    t["ads_device_mtbf_mttr"] = ads_device_mtbf_mttr(t["dws_alarm_device_day"], t["device"], t["alarm_log"].select("dt").distinct())
-    t["ads_device_fault_top"] = ads_device_fault_top(t["dws_device_health_day"], t["device"], t["road"], t["area"])
-    return t
+#: Each table as a function of the tables before it.
+STEPS: dict[str, Callable[[Tables], DataFrame]] = {
+    "dwd_vehicle_pass": lambda t: dwd_vehicle_pass(t["vehicle_pass"]),
+    "dwd_traffic_status": lambda t: dwd_traffic_status(t["traffic_status"]),
+    "dwd_device_status": lambda t: dwd_device_status(t["device_status"]),
+    "dwd_alarm_log": lambda t: dwd_alarm_log(t["alarm_log"]),
+    "dws_road_hour_flow": lambda t: dws_road_hour_flow(t["dwd_vehicle_pass"]),
+    "dws_area_jam_hour": lambda t: dws_area_jam_hour(t["dwd_traffic_status"], t["road"], t["area"]),
+    "dws_device_health_day": lambda t: dws_device_health_day(t["dwd_device_status"]),
+    "dws_alarm_day": lambda t: dws_alarm_day(t["dwd_alarm_log"]),
+    "dws_alarm_device_day": lambda t: dws_alarm_day(t["dwd_alarm_log"], by_device=True),
+    "ads_traffic_operation": lambda t: ads_traffic_operation(t["dws_road_hour_flow"], t["dws_area_jam_hour"], t["road"], t["area"]),
+    "ads_top_jam_roads": lambda t: ads_top_jam_roads(t["dws_area_jam_hour"], t["road"], t["area"]),
+    "ads_top_jam_roads_by_road": lambda t: ads_top_jam_roads_by_road(t["dwd_traffic_status"], t["road"]),
+    "ads_device_health_score": lambda t: ads_device_health_score(t["dws_device_health_day"], t["dws_alarm_device_day"], t["device"], t["road"]),
+    "ads_device_mtbf_mttr": lambda t: ads_device_mtbf_mttr(t["dws_alarm_device_day"], t["device"], t["alarm_log"].select("dt").distinct()),
+    "ads_device_fault_top": lambda t: ads_device_fault_top(t["dws_device_health_day"], t["device"], t["road"], t["area"]),
+}
+LAYERS = ("dwd", "dws", "ads")
+
+
+class Warehouse(dict):
+    """Landing tables and dimensions, with every further table made when it is first asked for."""
+
+    def __init__(self, source: Callable[[str], DataFrame]):
+        super().__init__()
+        self.source = source
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = STEPS[name](self) if name in STEPS else self.source(name)
+        return self[name]

@@ -67,14 +67,11 @@ from (select * from events where event_type = 'error' union all
 TABLES = ("region", "nation", "customer", "supplier", "events")
 
 
-def roles(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """A DataFrame for each role view."""
-    base = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-
-    def bound(sql: str) -> DataFrame:
-        used = [t for t in TABLES if re.search(rf"\b(from|join) {t}\b", sql)]
-        for t in used:
-            sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)
-        return spark.sql(sql, **{t: base[t] for t in used})
-
-    return {name: bound(sql) for name, sql in SQL.items()}
+def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The role view, or else the table, of that name."""
+    if name not in SQL:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    sql, used = SQL[name], [t for t in TABLES if re.search(rf"\b(from|join) {t}\b", SQL[name])]
+    for t in used:
+        sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
