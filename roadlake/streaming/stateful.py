@@ -38,7 +38,7 @@ class _Ordered(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            for at, v in zip(pdf["_ts"], pdf["_v"]) if len(pdf) else ():
+            for at, v in zip(pdf["at"], pdf["v"]):
                 self.buffer.appendValue((_ms(at), v))
                 self.handle.registerTimer(_ms(at))
         return iter(())
@@ -90,7 +90,7 @@ class RuleProcessor(_Ordered):
 def sequence_stream(df: DataFrame, key: str, ts: str, rules: dict[str, tuple[object, int, int]], delay: str = "30 seconds") -> DataFrame:
     """rules: name -> (condition column, n, within seconds). Output key, rule, first_ts, last_ts."""
     bits = sum((F.coalesce(cond, F.lit(False)).cast("long") * (1 << i) for i, (cond, _, _) in enumerate(rules.values())), F.lit(0).cast("long"))
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("_ts"), bits.alias("_v")).filter("key is not null and _ts is not null").withWatermark("_ts", delay)
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("at"), bits.alias("v")).filter("key is not null and at is not null").withWatermark("at", delay)
     processor = RuleProcessor([(name, n, within) for name, (_, n, within) in rules.items()])
     return rows.groupBy("key").transformWithStateInPandas(processor, "key string, rule string, first_ts timestamp, last_ts timestamp", "append", "eventTime")
 
@@ -118,5 +118,5 @@ class SpikeProcessor(_Ordered):
 
 def flow_spike_stream(df: DataFrame, key: str, ts: str, flow: str, alpha: float = 0.2, factor: float = 2, warmup: int = 5, delay: str = "30 seconds", ttl_hours: float = 24) -> DataFrame:
     """The stream twin of series.flow_spike; a key's state counts for ttl_hours of event time after its last row."""
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("_ts"), F.col(flow).cast("double").alias("_v")).filter("key is not null and _ts is not null and _v is not null").withWatermark("_ts", delay)
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("at"), F.col(flow).cast("double").alias("v")).filter("key is not null and at is not null and v is not null").withWatermark("at", delay)
     return rows.groupBy("key").transformWithStateInPandas(SpikeProcessor(alpha, factor, warmup, int(ttl_hours * 3_600_000)), "key string, ts timestamp, flow double, history_avg double, ratio double", "append", "eventTime")
