@@ -9,7 +9,7 @@ that share a key with an item are verified by the exact edit distance. R
 follows from the recall asked for, given the agreement of places.
 
 An edit breaks two word pairs at most, so a window that holds fewer than
-n - 1 - 2e of an item's n - 1 word pairs is more than e edits away. Only the
+d - 2e of an item's d different word pairs is more than e edits away. Only the
 other windows are embedded; nothing is lost by that.
 
 The benchmark goes to the workers in blocks of at most BLOCK items (a proven
@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 import string
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,6 @@ class ItemIndex:
         self.ids = np.array([i for i, _ in split], np.int64)
         self.size = np.array([len(r) for r in rows], np.int64)
         self.edits = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
-        self.need = np.maximum(1, self.size - 1 - 2 * self.edits)
         self.longest = int(self.size.max()) if rows else 0
         self.base = len(self.vocabulary) + 1
         rng = np.random.default_rng(seed)
@@ -90,12 +90,15 @@ class ItemIndex:
         self.share = rng.random((self.walks, SAMPLED))
         if not rows:
             return
-        pairs = np.concatenate([np.unique(r[:-1] * self.base + r[1:]) for r in rows])
-        owner = np.concatenate([np.full(len(np.unique(r[:-1] * self.base + r[1:])), k) for k, r in enumerate(rows)])
+        each = [np.unique(r[:-1] * self.base + r[1:]) for r in rows]
+        pairs = np.concatenate(each)
+        owner = np.concatenate([np.full(len(e), k) for k, e in enumerate(each)])
+        self.need = np.maximum(1, np.array([len(e) for e in each]) - 2 * self.edits)
         order = np.argsort(pairs, kind="stable")
         self.pairs, first = np.unique(pairs[order], return_index=True)
         self.first = np.append(first, len(order))
         self.owner = owner[order]
+        self.slots = [np.searchsorted(self.pairs, e) for e in each]
         self.words = np.full((len(rows), self.longest + 1), -1, np.int64)
         for k, r in enumerate(rows):
             self.words[k, : len(r)] = r
@@ -125,7 +128,7 @@ class ItemIndex:
         return key
 
     def windows(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(item, start) of the windows that hold enough of the item's word pairs."""
+        """(item, start) of the windows that hold enough of the item's different word pairs."""
         both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
         if not len(both):
             return []
@@ -135,19 +138,24 @@ class ItemIndex:
         slot, both = slot[hit], both[hit]
         if len(both) < self.need.min():
             return []
-        times = self.first[slot + 1] - self.first[slot]
-        place = np.repeat(both, times)
-        begin = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
-        item = self.owner[begin + np.arange(len(place))]
-        counts = np.bincount(item, minlength=len(self.ids))
+        # Items that have enough different pairs somewhere in the text; most texts end here.
+        seen = np.unique(slot)
+        times = self.first[seen + 1] - self.first[seen]
+        begin = np.repeat(self.first[seen] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
+        counts = np.bincount(self.owner[begin + np.arange(times.sum())], minlength=len(self.ids))
         out = []
         for k in np.flatnonzero(counts >= self.need):
-            held = np.zeros(len(codes) + 1, np.int64)
-            held[place[item == k] + 1] = 1
-            held = np.cumsum(held)
-            starts = np.arange(len(codes))
-            inside = held[np.minimum(starts + self.size[k] - 1, len(codes))] - held[starts]
-            out += [(int(k), int(s)) for s in np.flatnonzero(inside >= self.need[k])]
+            own = np.isin(slot, self.slots[k])
+            place, pair = both[own], slot[own]
+            order = np.argsort(pair, kind="stable")
+            before = np.full(len(place), -1)  # where the same pair was last
+            again = pair[order][1:] == pair[order][:-1]
+            before[order[1:][again]] = place[order[:-1][again]]
+            # A pair at p is the first of its kind in the windows that start after `before` and hold p and p + 1.
+            change = np.zeros(len(codes) + 1, np.int64)
+            np.add.at(change, np.maximum(np.maximum(before + 1, place - self.size[k] + 2), 0), 1)
+            np.add.at(change, place + 1, -1)
+            out += [(int(k), int(s)) for s in np.flatnonzero(np.cumsum(change[:-1]) >= self.need[k])]
         return out
 
     def match(self, found: list[tuple[int, np.ndarray, int, int]]) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -204,7 +212,7 @@ def _finder(shared):
             if len(index.ids):
                 for d, text in enumerate(batch.column(1)):
                     words = words_in(text.as_py())
-                    codes = np.fromiter((code(w, 0) for w in words), np.int64, len(words))
+                    codes = np.fromiter(map(code, words, repeat(0)), np.int64, len(words))
                     found += [(d, codes, i, s) for i, s in index.windows(codes)] if len(words) > 1 else []
             best = sorted(index.match(found).items())
             yield pa.RecordBatch.from_arrays(
