@@ -45,3 +45,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, WHITE[1:], " " * 5), " "), "")
 
 
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front while df has it."""
+    while name.lower() in map(str.lower, df.columns):
+        name = "_" + name
+    return name

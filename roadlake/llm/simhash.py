@@ -111,10 +111,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     links = near_duplicates(docs.select("doc_id", "text"))
     first = links.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg((F.count("*") > 1).alias("_again"))
-    kept = docs.join(first, docs["doc_id"] == first["_keep"], "left").filter("_keep is not null or doc_id is null")
-    once = kept.filter("_again is null or not _again")
-    again = kept.filter("_again").dropDuplicates(["doc_id"])
-    return once.unionByName(again).drop("_keep", "_again")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # no clash of names below
+    kept = rows.join(first, F.col("row.doc_id") == F.col("_keep"), "left").filter("_keep is not null or row.doc_id is null")
+    once = kept.filter("_again is null or not _again").select("row.*")
+    return once.unionByName(kept.filter("_again").dropDuplicates(["_keep"]).select("row.*"))
 
 
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
