@@ -35,7 +35,7 @@ def flow_by_hour(t: Tables, dt: str | None = None, low: int = 0, high: int = 23)
 
 def jam_heat_map(t: Tables, dt: str | None = None) -> DataFrame:
     rows = on_day(t["dws_area_jam_hour"], dt).groupBy("dt", "area_id", "hour").agg(rounded(F.avg("avg_congestion_rate")).alias("congestion"), F.max("jam_level").alias("max_level"))
-    return rows.join(F.broadcast(t["area"].select("area_id", "area_name")), "area_id")
+    return rows.join(t["area"].select("area_id", "area_name"), "area_id")
 
 
 def top_jam(t: Tables, dt: str | None = None, n: int = 10) -> DataFrame:
@@ -104,7 +104,7 @@ def score_trend(t: Tables) -> DataFrame:
 def jam_ranking(t: Tables, n: int = 10, order: str = "desc") -> DataFrame:
     jam = t["dws_area_jam_hour"].groupBy("area_id").agg(
         rounded(F.avg("jam_level"), 4).alias("avg_jam_level"), rounded(F.avg(c("avg_congestion_rate").cast("decimal(10,2)")), 4).alias("avg_congestion_rate"), F.sum("total_traffic_flow").cast("long").alias("total_traffic_flow"))
-    rows = jam.join(t["road"].select("road_id", "road_name", "road_type", "area_id"), "area_id").join(F.broadcast(t["area"].select("area_id", "area_name")), "area_id")
+    rows = jam.join(t["road"].select("road_id", "road_name", "road_type", "area_id"), "area_id").join(t["area"].select("area_id", "area_name"), "area_id")
     return rows.orderBy(_order("avg_congestion_rate", order), "road_id").limit(n).select("road_id", "road_name", "road_type", "area_name", "avg_jam_level", "avg_congestion_rate", "total_traffic_flow")
 
 
@@ -124,7 +124,7 @@ def fault_statistics(t: Tables, n: int = 10) -> DataFrame:
 def area_congestion(t: Tables) -> DataFrame:
     rows = t["dws_area_jam_hour"].groupBy("area_id").agg(
         rounded(F.avg(c("avg_congestion_rate").cast("decimal(10,2)"))).alias("avg_congestion"), F.max("avg_congestion_rate").alias("max_congestion"), count_where(c("jam_level") >= 4).alias("severe_jam_count"), F.sum("total_traffic_flow").cast("long").alias("total_flow"))
-    return rows.join(F.broadcast(t["area"].select("area_id", "area_name", "city_name")), "area_id")
+    return rows.join(t["area"].select("area_id", "area_name", "city_name"), "area_id")
 
 
 def offline_devices(t: Tables, dt: str | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def peak_analysis(t: Tables, area: str | None = None) -> DataFrame:
     rows = t["dws_area_jam_hour"].filter(c("peak_period").isin("MORNING_PEAK", "EVENING_PEAK")).groupBy("area_id", "hour", "peak_period").agg(
         rounded(F.avg(c("avg_congestion_rate").cast("decimal(10,2)"))).alias("avg_congestion"), rounded(F.avg("jam_level")).alias("avg_jam_level"), F.sum("total_traffic_flow").cast("long").alias("total_flow"))
     names = t["area"].select("area_id", "area_name")
-    return rows.join(F.broadcast(names if area is None else names.filter(c("area_name") == area)), "area_id")
+    return rows.join(names if area is None else names.filter(c("area_name") == area), "area_id")
 
 
 def quality_of_table(df: DataFrame, required: list[str], keys: list[str]) -> DataFrame:
@@ -175,7 +175,7 @@ def road_detail(t: Tables) -> DataFrame:
 
 def passes_per_road(t: Tables, n: int = 10) -> DataFrame:
     flow = t["dwd_vehicle_pass"].groupBy("road_id").agg(F.count("*").alias("passes"), rounded(mean(c("speed"))).alias("avg_speed"))
-    rows = flow.join(t["road"].select("road_id", "road_name", "area_id"), "road_id").join(F.broadcast(t["area"].select("area_id", "area_name")), "area_id")
+    rows = flow.join(t["road"].select("road_id", "road_name", "area_id"), "road_id").join(t["area"].select("area_id", "area_name"), "area_id")
     return rows.orderBy(c("passes").desc(), "road_id").limit(n)
 
 

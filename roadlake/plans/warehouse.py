@@ -125,7 +125,7 @@ def ads_traffic_operation(flow: DataFrame, jam: DataFrame, road: DataFrame, area
         F.sum(F.when(c("jam_level") == 5, c("affected_road_count")).otherwise(0)).cast("long").alias("severe_jam_count"),
         rounded(F.avg("avg_congestion_rate")).alias("avg_congestion_rate"), F.max("avg_congestion_rate").alias("_most"))
     busy = jams.filter("_most > 50").groupBy("area_id", "dt").agg(F.countDistinct("hour").alias("peak_hour_duration"))
-    out = flows.join(jams, ["area_id", "hour", "dt"], "left").join(peak, ["area_id", "dt"]).join(busy, ["area_id", "dt"], "left").join(F.broadcast(area), "area_id")
+    out = flows.join(jams, ["area_id", "hour", "dt"], "left").join(peak, ["area_id", "dt"]).join(busy, ["area_id", "dt"], "left").join(area, "area_id")
     return out.select(
         "city_id", "city_name", "area_id", "area_name", "hour", period(c("hour")).alias("peak_period"), "total_vehicle_flow", "avg_speed_all", "peak_flow", "peak_hour",
         F.coalesce("jam_road_count", F.lit(0)).alias("jam_road_count"), rounded(percent(F.coalesce("jam_road_count", F.lit(0)), c("total_road_count"))).alias("jam_road_ratio"),
@@ -145,7 +145,7 @@ def ads_top_jam_roads(jam: DataFrame, road: DataFrame, area: DataFrame, n: int =
     per = jam.groupBy("area_id", "dt").agg(
         rounded(F.avg("jam_level")).alias("avg_jam_level"), F.max("jam_level").alias("max_jam_level"), rounded(F.avg("avg_congestion_rate")).alias("avg_congestion_rate"),
         F.sum("total_traffic_flow").cast("long").alias("total_traffic_flow"), best)
-    rows = per.join(F.broadcast(area), "area_id").join(road, "area_id")
+    rows = per.join(area, "area_id").join(road, "area_id")
     rows = top_rows(rows, n, [c("avg_jam_level").desc(), c("avg_congestion_rate").desc(), c("road_id")])
     return rows.select("rank_num", "road_id", "road_name", "road_type", "area_id", "area_name", c("top.p").alias("peak_period"), "avg_jam_level", "max_jam_level", "avg_congestion_rate", "total_traffic_flow", (-c("top.h")).alias("peak_time"), "dt")
 
@@ -189,7 +189,7 @@ def ads_device_fault_top(health: DataFrame, device: DataFrame, road: DataFrame,
     samples = c("abnormal_count") + c("warning_count") + c("normal_count")
     rate = percent(c("abnormal_count"), samples)
     rows = health.withColumn("fault_rate", rounded(rate)).withColumn("health_level", band(rate, FAULT_GRADES, "NORMAL"))
-    rows = rows.join(device, "device_id").join(road.select("road_id", "area_id"), "road_id").join(F.broadcast(area.select("area_id", "area_name")), "area_id")
+    rows = rows.join(device, "device_id").join(road.select("road_id", "area_id"), "road_id").join(area.select("area_id", "area_name"), "area_id")
     rows = top_rows(rows, n, [c("fault_rate").desc(), c("abnormal_count").desc(), c("device_id")])
     return rows.select(
         "rank_num", "device_id", "device_name", "device_type", "manufacturer", "road_id", "area_id", "area_name", "fault_rate", "abnormal_count", "warning_count", "offline_count",
