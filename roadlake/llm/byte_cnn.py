@@ -6,7 +6,7 @@ neighbouring places are joined to one per byte pair. Chunks of CHUNK bytes
 overlap by WIDTH - 1 bytes, so every place of the whole text is covered once;
 each filter is rectified and max-pooled within a chunk, and the mean and the
 maximum over chunks feed a hidden layer and one logit. Fitted by
-backpropagation on the driver on at most PER_CLASS labelled documents of each
+backpropagation in one task on at most PER_CLASS labelled documents of each
 class, of the training folds only.
 
 Defined results: a null or empty text is one chunk of zero bytes; repeated rows
@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
-from .labelled import Adam, bias_for, fold, sigmoid, training_sample
+from .labelled import Adam, bias_for, epochs_for, fitted, fold, sigmoid, training_sample
 
 WIDTH, FILTERS, HIDDEN = 6, 16, 12
 CHUNK = 256
 PER_CLASS = 800
 TRAIN_CHUNKS = 24
 EPOCHS, BATCH, RATE = 12, 32, 0.01
+LEAST_STEPS = 200
 THRESHOLD = 0.3
 FOLDS, HELD = 5, 0
 STEP = CHUNK * 256
@@ -75,10 +76,11 @@ def features(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.concatenate([np.add.reduceat(values, first) / counts, np.maximum.reduceat(values, first)], axis=1)
 
 
-def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 5) -> tuple[Network, float] | None:
+def fit(sample: list[tuple[str, int]], epochs: int | None = None, seed: int = 5) -> tuple[Network, float] | None:
     """Network and bias; None without both classes."""
     if len({y for _, y in sample}) < 2:
         return None
+    epochs = epochs or epochs_for(len(sample), EPOCHS, BATCH, LEAST_STEPS)
     rng, net = np.random.default_rng(seed), Network(seed)
     docs, y_all = [chunks_of(t) for t, _ in sample], np.array([y for _, y in sample])
     weight = np.where(y_all == 1, 0.5 / y_all.mean(), 0.5 / (1 - y_all.mean()))
@@ -175,12 +177,12 @@ class Scorer:
         return np.concatenate(out) + self.bias if out else np.zeros(0)
 
 
-def scored(docs: DataFrame, sample: list[tuple[str, int]], name: str = "score") -> DataFrame:
-    """docs with the column `name`, from a network fitted on the sample of (text, label)."""
-    fitted = fit(sample)
-    if fitted is None:
+def scored(docs: DataFrame, sample: DataFrame, name: str = "score") -> DataFrame:
+    """docs with the column `name`, from a network fitted on the sample (doc_id, text, y)."""
+    model = fitted(sample, fit)
+    if model is None:
         return docs.withColumn(name, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(*fitted))
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(*model))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -193,6 +195,6 @@ def scored(docs: DataFrame, sample: list[tuple[str, int]], name: str = "score")
 
 def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sample = training_sample(docs, table(spark, sf_dir, "labels"), "quality", FOLDS, HELD, True, PER_CLASS)
+    sample = training_sample(docs, table(spark, sf_dir, "labels"), "quality", FOLDS, HELD, PER_CLASS)
     out = scored(docs, sample)
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +18,32 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(folds)).cast("int")
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, train_on_others: bool, per_class: int) -> list[tuple[str, int]]:
-    """At most per_class texts of each label, the first by a hash of doc_id; never from the held-out fold."""
-    part = fold("doc_id", folds)
-    usable = labels.filter(part != held if train_on_others else part == held).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
+    """doc_id, text, y: at most per_class documents of each label, the first by a hash of doc_id, none of the held-out fold."""
+    usable = labels.filter((fold("doc_id", folds) != held) & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = usable.select("doc_id", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h")).distinct()
     picked = [chosen.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(picked[0].union(picked[1]).select("doc_id", "y"))  # at most 2 * per_class rows
-    rows = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").select("doc_id", "text", "y").collect()
-    rows = sorted({(r[0], r[1], r[2]) for r in rows})[: 4 * per_class]
-    return [(t, y) for _, t, y in rows]
+    return docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").distinct()
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) -> object:
+    """fit() of the sample's (text, label) pairs, run by one task; only the model reaches the driver.
+
+    The sample is bounded, so one task can hold it; a lost executor repeats the same fit.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [r for pdf in batches for r in zip(pdf["doc_id"], pdf["text"], pdf["y"])]
+        rows = sorted(rows)
+        yield pd.DataFrame({"model": [pickle.dumps(fit([(t, int(y)) for _, t, y in rows]))]})
+
+    return pickle.loads(sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y").repartition(1).mapInPandas(run, "model binary").first()[0])
+
+
+def epochs_for(rows: int, epochs: int, batch: int, least_steps: int) -> int:
+    """The usual epochs, or more where the sample is so small that they make under least_steps steps."""
+    return max(epochs, -(-least_steps // max(1, -(-rows // batch))))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -43,16 +43,17 @@ GRID, GRID_MOST = 20, 400
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of struct(start, stop, found): leftmost non-overlapping matches with their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,found:string>>").alias("out"))
-    merged = F.aggregate(
-        F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found")), state,
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["found"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["found"])).alias("stop"), x["found"].alias("found")))).alias("out")),
-        lambda a: a["out"])
-    return F.when(text.rlike(pattern), merged).otherwise(F.array().cast("array<struct<start:int,stop:int,found:string>>"))
+    none = F.array().cast("array<struct<start:int,stop:int,found:string>>")
+    # Gap before each match; the last gap has no match and adds nothing.
+    pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        stop = start + F.length(x["found"])
+        return F.when(x["found"].isNull(), a).otherwise(F.struct(stop.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["found"].alias("found")))).alias("out")))
+
+    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.when(text.rlike(pattern), F.aggregate(pairs, state, step, lambda a: a["out"])).otherwise(none)
 
 
 def normal_tail(z: Column) -> Column:
@@ -62,27 +63,16 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def battery(codes: Column, k: Column) -> Column:
-    """Joint p-value of the three tests for an array of symbols 0 to k - 1."""
-    n = F.size(codes).cast("double")
-    df = k.cast("double") - 1
-    counts = F.transform(F.sequence(F.lit(0), k - 1), lambda c: F.size(F.filter(codes, lambda x: x == c)).cast("double"))
-    chi = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x) * k / n - n
+def battery(x: Column) -> Column:
+    """Joint p-value of the three tests, from the sums that `assess` has gathered."""
+    n, k, df = x["n"], x["k"].cast("double"), x["k"].cast("double") - 1
+    chi = x["squares"] * k / n - n
     cube = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     p_chi = normal_tail(cube)
-
-    high = F.transform(codes, lambda x: (x * 2 >= k).cast("int"))
-    n1 = F.aggregate(high, F.lit(0), lambda a, x: a + x).cast("double")
-    n0 = n - n1
-    runs = F.size(F.filter(high, lambda x, i: (i == 0) | (F.get(high, i - 1) != x))).cast("double")
-    mean = 2 * n1 * n0 / n + 1
+    mean = 2 * x["high"] * (n - x["high"]) / n + 1
     var = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-    p_runs = F.when((n1 == 0) | (n0 == 0), F.lit(1e-20)).otherwise(2 * normal_tail(F.abs((runs - mean) / F.sqrt(var))))
-
-    mid = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    total = F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - mid) * (x - mid))
-    lagged = F.aggregate(F.transform(codes, lambda x, i: F.coalesce((x - mid) * (F.get(codes, i + 1) - mid), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    p_serial = F.when(total <= 0, F.lit(1e-20)).otherwise(2 * normal_tail(F.abs(lagged / total) * F.sqrt(n)))
+    p_runs = F.when((x["high"] == 0) | (x["high"] == n), F.lit(1e-20)).otherwise(2 * normal_tail(F.abs((x["runs"] - mean) / F.sqrt(var))))
+    p_serial = F.when(x["spread"] <= 0, F.lit(1e-20)).otherwise(2 * normal_tail(F.abs(x["lagged"] / x["spread"]) * F.sqrt(n)))
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
@@ -94,21 +84,49 @@ def encoding_of(body: Column) -> Column:
             .when(digit & body.rlike("[a-z]") & body.rlike("[A-Z]"), "base64"))
 
 
-def assess(span: Column) -> Column:
-    """The span with its class and grid step; null class where no encoding or too short for one."""
-    body = F.rtrim(span["found"], F.lit("="))
-    enc = encoding_of(body)
-    alphabet = F.coalesce(*[F.when(enc == e, F.lit(a)) for e, a in ALPHABETS.items()])
-    k = F.length(alphabet)
-    plain = F.when(enc == "hex", F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
-    codes = F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet) - 1)
-    codes = F.filter(codes, lambda x: x >= 0)
-    long_enough = F.length(body) * F.log2(k.cast("double")) >= LEAST_BITS
-    p = F.greatest(battery(codes, k), F.lit(10.0 ** (-GRID_MOST / GRID)))
-    return F.struct(
-        span["start"].alias("start"), span["stop"].alias("stop"),
-        F.when(long_enough, F.concat_ws(":", enc, F.floor(F.log2(F.length(body).cast("double"))).cast("string"))).alias("cls"),
-        F.when(long_enough, F.floor(-F.log10(p) * GRID).cast("int")).alias("step"))
+def assess(spans: Column) -> Column:
+    """Each span with its class and grid step; null class where there is no encoding or too short a run for one.
+
+    Four transforms in turn: a lambda's variable is written once however often it is read, so the expression stays small.
+    """
+    keep = lambda x, *more: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), *more)
+
+    def inferred(x: Column) -> Column:
+        body = F.rtrim(x["found"], F.lit("="))
+        return keep(x, body.alias("body"), encoding_of(body).alias("enc"))
+
+    def coded(x: Column) -> Column:
+        alphabet = F.coalesce(*[F.when(x["enc"] == e, F.lit(a)) for e, a in ALPHABETS.items()])
+        plain = F.when(x["enc"] == "hex", F.lower(x["body"])).otherwise(F.translate(x["body"], "-_", "+/"))
+        return keep(x, x["enc"].alias("enc"), F.length(x["body"]).alias("size"), F.length(alphabet).alias("k"), F.filter(F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet) - 1), lambda v: v >= 0).alias("codes"))
+
+    def centred(x: Column) -> Column:
+        n = F.size(x["codes"]).cast("double")
+        return keep(x, x["enc"].alias("enc"), x["size"].alias("size"), x["k"].alias("k"), x["codes"].alias("codes"), n.alias("n"), (F.aggregate(x["codes"], F.lit(0.0), lambda a, v: a + v) / n).alias("mid"))
+
+    def summed(x: Column) -> Column:
+        codes, mid, k = x["codes"], x["mid"], x["k"]
+        total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+        counts = F.transform(F.sequence(F.lit(0), k - 1), lambda c: F.size(F.filter(codes, lambda v: v == c)).cast("double"))
+        upper = lambda v: v * 2 >= k
+        return keep(
+            x, x["enc"].alias("enc"), x["size"].alias("size"), k.alias("k"), x["n"].alias("n"), total(F.transform(counts, lambda v: v * v)).alias("squares"),
+            F.size(F.filter(codes, upper)).cast("double").alias("high"),
+            F.size(F.filter(codes, lambda v, i: (i == 0) | (upper(F.get(codes, i - 1)) != upper(v)))).cast("double").alias("runs"),
+            total(F.transform(codes, lambda v: (v - mid) * (v - mid))).alias("spread"),
+            total(F.transform(codes, lambda v, i: F.coalesce((v - mid) * (F.get(codes, i + 1) - mid), F.lit(0.0)))).alias("lagged"))
+
+    def judged(x: Column) -> Column:
+        ok = x["size"] * F.log2(x["k"].cast("double")) >= LEAST_BITS
+        return keep(x, F.when(ok, F.concat_ws(":", x["enc"], F.floor(F.log2(x["size"].cast("double"))).cast("string"))).alias("cls"), F.when(ok, battery(x)).alias("p"))
+
+    def stepped(x: Column) -> Column:
+        return keep(x, x["cls"].alias("cls"), F.floor(-F.log10(F.greatest(x["p"], F.lit(10.0 ** (-GRID_MOST / GRID)))) * GRID).cast("int").alias("step"))
+
+    spans = F.filter(F.transform(spans, inferred), lambda x: x["enc"].isNotNull())
+    for part in (coded, centred, summed, judged):
+        spans = F.transform(spans, part)
+    return F.transform(F.filter(spans, lambda x: x["cls"].isNotNull()), stepped)
 
 
 def rejected_from(steps: DataFrame, share: float = FALSE_REJECTIONS) -> DataFrame:
@@ -137,7 +155,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sha
     own = own.select(*keep, _named("assign", assigns).alias("_a"), _named("access", matches(F.col("_t"), ACCESS)).alias("_k"), _named("hex", matches(F.col("_t"), HEX)).alias("_h"), matches(F.col("_t"), ENCODED).alias("_e"))
     own = own.select(*keep, F.sort_array(F.concat("_a", "_k", "_h")).alias("base"), "_e")
     apart = F.filter("_e", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    own = own.withColumn("_e", apart).withColumn("_e", F.filter(F.transform("_e", assess), lambda x: x["cls"].isNotNull()))
+    own = own.withColumn("_e", apart).withColumn("_e", assess(F.col("_e")))
     own = cut(own)
     limits = rejected_from(own.select(F.explode("_e").alias("e")).select("e.cls", "e.step"), share)
     own = own.crossJoin(F.broadcast(limits))  # one row

@@ -4,8 +4,7 @@ A word enters as the sum of a hashed word vector and the mean of its hashed
 character-gram vectors (with marks for its ends). Overlapping windows of WINDOW
 words, STRIDE apart, cover the whole text; each is read in both directions,
 attention pools the states to one logit, and the document's logit is the log of
-the mean of exp over its windows. Fitted by backpropagation on the driver on at
-most PER_CLASS labelled documents of each class, out of the training folds
+the mean of exp over its windows. Fitted by backpropagation in one task on at most PER_CLASS labelled documents of each class, out of the training folds
 only; labels, language, source and doc_id are not inputs.
 
 Defined results: a null or wordless text has one empty window, whose score is
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
-from .labelled import Adam, bias_for, fold, scatter_add, sigmoid, training_sample
+from .labelled import Adam, bias_for, epochs_for, fitted, fold, scatter_add, sigmoid, training_sample
 
 WINDOW, STRIDE = 64, 48
 DIM, HIDDEN = 16, 8
@@ -35,6 +34,7 @@ WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 13
 PER_CLASS = 1200
 TRAIN_WINDOWS = 5
 EPOCHS, BATCH, RATE = 6, 48, 0.01
+LEAST_STEPS = 200
 THRESHOLD = 0.7
 CACHE, ROWS = 150_000, 2048
 FOLDS, HELD = 3, 1
@@ -154,10 +154,11 @@ def _windows(words: list[bytes], limit: int | None, rng) -> list[list[bytes]]:
     return [words[s : s + WINDOW] for s in at]
 
 
-def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> tuple[Network, float] | None:
+def fit(sample: list[tuple[str, int]], epochs: int | None = None, seed: int = 7) -> tuple[Network, float] | None:
     """Network and bias, by Adam on the documents' logits; None without both classes."""
     if len({y for _, y in sample}) < 2:
         return None
+    epochs = epochs or epochs_for(len(sample), EPOCHS, BATCH, LEAST_STEPS)
     rng, net = np.random.default_rng(seed), Network(seed)
     docs = [(words_in(t), y) for t, y in sample]
     y_all = np.array([y for _, y in docs])
@@ -277,12 +278,12 @@ class Scorer:
         return np.log(total / counts) + self.bias
 
 
-def scored(docs: DataFrame, sample: list[tuple[str, int]], name: str = "score") -> DataFrame:
-    """docs with the column `name`, from a network fitted on the sample of (text, label)."""
-    fitted = fit(sample)
-    if fitted is None:
+def scored(docs: DataFrame, sample: DataFrame, name: str = "score") -> DataFrame:
+    """docs with the column `name`, from a network fitted on the sample (doc_id, text, y)."""
+    model = fitted(sample, fit)
+    if model is None:
         return docs.withColumn(name, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(Scorer(*fitted))
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(*model))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -294,8 +295,8 @@ def scored(docs: DataFrame, sample: list[tuple[str, int]], name: str = "score")
     return docs.withColumn(name, run(text_of()))
 
 
-def sample_of(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    return training_sample(docs, labels, "toxic", FOLDS, HELD, True, PER_CLASS)
+def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return training_sample(docs, labels, "toxic", FOLDS, HELD, PER_CLASS)
 
 
 def op3_bigru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_chunks_cover_every_place():
 @pytest.mark.parametrize("module", [toxicity, byte_cnn])
 def test_awkward_rows(spark, module):
     df = with_clashes(docs(spark))
-    sample = [("bad awful text " * 5, 1), ("nice good words " * 5, 0), ("", 0)]
+    sample = spark.createDataFrame([(1, "bad awful text " * 5, 1), (2, "nice good words " * 5, 0), (3, "", 0)], "doc_id long, text string, y int")
     rows = module.scored(df, sample, "p").collect()
     assert len(rows) == df.count() and all(0 <= r.p <= 1 for r in rows)
     by = {}
@@ -79,7 +79,7 @@ def test_awkward_rows(spark, module):
         by.setdefault(r.text, set()).add(r.p)
     assert all(len(v) == 1 for v in by.values()) and by[None] == by[""]
     assert module.scored(docs(spark, []), sample, "p").count() == 0
-    assert {r.p for r in module.scored(df, [("one class", 1)], "p").collect()} == {0.0}
+    assert {r.p for r in module.scored(df, sample.filter("y = 1"), "p").collect()} == {0.0}
 
 
 def test_language_of_known_texts(spark):
