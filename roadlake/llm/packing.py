@@ -10,14 +10,14 @@ most about 10,000 in all, whatever the input) are packed first-fit decreasing.
 
 Defined results: a null or empty text is the closing id alone; repeated rows
 are packed each; an empty table gives no rows; other columns are ignored.
-Memory in a worker: one Arrow batch and word tables of CACHE entries and what one text adds.
+Memory in a worker: one Arrow batch and word tables of CACHE and LETTERS entries and what one text adds.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,8 @@ from .ranks import ranked
 
 CAPACITY = 2048
 CLOSING_ID = 1
-CACHE = 500_000
+#: Words whose ids a worker keeps, and lower-case letter strings (some 200 bytes each).
+CACHE, LETTERS, GROUP = 400_000, 700_000, 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -49,7 +50,7 @@ class WordTokenizer:
     share the ids of their lower-case letters, each a unit that the encoding numbers.
     """
 
-    CLOSING = ".,;:!?"
+    CLOSING = ".,;:!?#$%&*()\"|-+=/_~^@[]{}"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -69,7 +70,7 @@ class WordTokenizer:
             text = w.decode()
             core = text.rstrip(self.CLOSING)
             low = core.lower()
-            if low.isalpha() and "\u03a3" not in core:
+            if low.isalpha() and "\u03a3" not in core and "<|" not in text:
                 parted.append((w, low, text[len(core) :]))
             else:
                 self.table[w] = self._ids(text)
@@ -90,18 +91,27 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.encode("utf-8", "replace").split()
-        ids = list(map(self.table.get, words))
-        if None in ids:
-            if len(self.table) > CACHE:
-                self.table.clear()
-            if len(self.letters) > CACHE:
-                self.letters.clear()
-            if len(self.closing) > CACHE:
-                self.closing = {"": b""}
-            self._add({w for w in words if w not in self.table})
-            ids = map(self.table.__getitem__, words)
-        return b"".join(ids)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; the new words of some GROUP characters of text are looked up together."""
+        group, held = [], 0
+        for text in texts:
+            group.append(text.encode("utf-8", "replace").split())
+            held += len(text)
+            if held >= GROUP:
+                yield from self._ids_of(group)
+                group, held = [], 0
+        yield from self._ids_of(group)
+
+    def _ids_of(self, group: list[list[bytes]]) -> Iterator[bytes]:
+        for table, most in ((self.table, CACHE), (self.letters, LETTERS), (self.closing, CACHE)):
+            if len(table) > most:
+                table.clear()
+        self.closing[""] = b""
+        self._add(set().union(*group).difference(self.table))
+        for words in group:
+            yield b"".join(map(self.table.__getitem__, words))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -127,11 +137,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _tokenizers:
             _tokenizers[path] = WordTokenizer(path)
-        encode = _tokenizers[path].encode
+        tokenizer = _tokenizers[path]
         for batch in batches:
             rows: list[list[int | None]] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + closing
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_all(t.as_py() for t in batch.column(1))):
+                ids += closing
                 n, at = len(ids) // 4, 0
                 for size in class_cuts(n, capacity):
                     for column, value in zip(rows, (doc, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), n)):
