@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_of
 from .components import components
+from .similar import similar_groups
 
 SEED = 42
 SHINGLE = 3
@@ -105,11 +106,11 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, shingle: int = SHING
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of each group that carries its least doc_id (any one of equal ids), with the columns of docs.
+    """The row of each group of similar texts (five-word shingles, see similar.py) that carries its least doc_id (any one of equal ids), with the columns of docs.
 
     Rows without a doc_id cannot be named and stay.
     """
-    links = near_duplicates(docs.select("doc_id", "text"))
+    links = similar_groups(docs.select("doc_id", "text"))
     first = links.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg((F.count("*") > 1).alias("_again"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # no clash of names below
     kept = rows.join(first, F.col("row.doc_id") == F.col("_keep"), "left").filter("_keep is not null or row.doc_id is null")
