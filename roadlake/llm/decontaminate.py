@@ -1,16 +1,12 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
+"""Benchmark decontamination by word pairs and exact edit distance.
 
 A document is contaminated by an item if some item-sized window of its words is
-within `1 - similarity` of the item in word edits. The CGK random walk reads a
-window of n words with 3n steps, each of which puts out the current word and
-moves on by a random bit of (step, word): windows a few edits apart then agree
-in most of the 3n places. Each of R walks samples K places to a key; windows
-that share a key with an item are verified by the exact edit distance. R
-follows from the recall asked for, given the agreement of places.
-
-An edit breaks two word pairs at most, so a window that holds fewer than
-d - 2e of an item's d different word pairs is more than e edits away. Only the
-other windows are embedded; nothing is lost by that.
+within `1 - similarity` of the item in word edits. An edit breaks two word pairs
+at most, so a window that holds fewer than d - 2e of an item's d different word
+pairs is more than e edits away. All other windows are verified by the exact
+edit distance, so none within the bound is missed, whatever its length. (The
+query's name stays from an earlier form, which put a CGK embedding with sampled
+places between the two; its recall fell with length and edits.)
 
 The benchmark goes to the workers in blocks of at most BLOCK items (a proven
 bound); each block is one pass over the documents. Every window of every whole
@@ -38,8 +34,6 @@ from pyspark.sql import functions as F
 from .common import table, text_of
 
 SIMILARITY = 0.8
-RECALL = 0.98
-AGREEMENT, SAMPLED = 0.7, 4
 BLOCK = 20_000
 LEAST_WORDS = 5
 CHUNK = 512
@@ -51,10 +45,6 @@ def words_in(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_CLEAN).split()
 
 
-def walks_for(recall: float, agreement: float = AGREEMENT, sampled: int = SAMPLED) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**sampled))
-
-
 def edit_distance(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
     """Row-wise edit distance of padded word arrays: a full row of the table at each step."""
     places = np.arange(b.shape[1] + 1)
@@ -72,9 +62,9 @@ def edit_distance(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray)
 
 
 class ItemIndex:
-    """Word pairs, walks and keys of a block of benchmark items."""
+    """Words and word pairs of a block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float, seed: int = 42):
+    def __init__(self, items: list[tuple[int, str]], similarity: float):
         split = [(i, words_in(t)) for i, t in items]
         split = [(i, w) for i, w in split if len(w) >= LEAST_WORDS]
         self.vocabulary: dict[bytes, int] = {}
@@ -84,10 +74,6 @@ class ItemIndex:
         self.edits = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
         self.longest = int(self.size.max()) if rows else 0
         self.base = len(self.vocabulary) + 1
-        rng = np.random.default_rng(seed)
-        self.walks = walks_for(recall)
-        self.salt = rng.integers(1, 1 << 62, (self.walks, 3 * max(1, self.longest), 1)).astype(np.uint64)
-        self.share = rng.random((self.walks, SAMPLED))
         if not rows:
             return
         each = [np.unique(r[:-1] * self.base + r[1:]) for r in rows]
@@ -99,33 +85,9 @@ class ItemIndex:
         self.first = np.append(first, len(order))
         self.owner = owner[order]
         self.slots = [np.searchsorted(self.pairs, e) for e in each]
-        self.words = np.full((len(rows), self.longest + 1), -1, np.int64)
+        self.words = np.full((len(rows), self.longest), -1, np.int64)
         for k, r in enumerate(rows):
             self.words[k, : len(r)] = r
-        keys = np.concatenate([self.keys(self.words[k : k + CHUNK], self.size[k : k + CHUNK]) for k in range(0, len(rows), CHUNK)], axis=1)
-        self.table = []
-        for r in range(self.walks):
-            order = np.argsort(keys[r], kind="stable")
-            self.table.append((keys[r][order], order))
-
-    def keys(self, windows: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Keys (walk, window) of padded windows embedded for items of `size` words."""
-        m, steps = len(windows), 3 * int(size.max())
-        at = np.zeros((self.walks, m), np.int64)
-        each, last = np.arange(m), windows.shape[1] - 1
-        out = np.empty((steps, self.walks, m), np.int64)
-        for j in range(steps):
-            symbol = windows[each, at]
-            out[j] = symbol
-            mixed = (symbol.astype(np.uint64) + np.uint64(1)) * self.salt[:, j]
-            at = np.minimum(at + ((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(17) & np.uint64(1)).astype(np.int64), last)
-        key = np.broadcast_to(size.astype(np.uint64), (self.walks, m)).copy()
-        for k in range(SAMPLED):
-            place = (self.share[:, k : k + 1] * (3 * size)).astype(np.int64)
-            symbol = np.take_along_axis(out, place[None], 0)[0].astype(np.uint64)
-            key = (key ^ (symbol + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-            key ^= key >> np.uint64(31)
-        return key
 
     def windows(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """(item, start) of the windows that hold enough of the item's different word pairs."""
@@ -161,33 +123,26 @@ class ItemIndex:
     def match(self, found: list[tuple[int, np.ndarray, int, int]]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """Best (edits, start, words) for (document, item) among windows (document, codes, item, start)."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        found.sort(key=lambda x: int(self.size[x[2]]))  # tables of like size go together
         for k in range(0, len(found), CHUNK):
             some = found[k : k + CHUNK]
-            size = self.size[[i for _, _, i, _ in some]]
-            windows = np.full((len(some), self.longest + 1), -1, np.int64)
+            item = np.array([i for _, _, i, _ in some])
+            longest = int(self.size[item].max())
+            windows = np.full((len(some), longest), -1, np.int64)
             length = np.zeros(len(some), np.int64)
             for row, (_, codes, i, s) in enumerate(some):
                 part = codes[s : s + self.size[i]]
                 windows[row, : len(part)] = part
                 length[row] = len(part)
-            keys = self.keys(windows, size)
-            pairs = set()
-            for r, (known, order) in enumerate(self.table):
-                low, high = np.searchsorted(known, keys[r], "left"), np.searchsorted(known, keys[r], "right")
-                for row in np.flatnonzero(high > low):
-                    pairs.update((int(row), int(i)) for i in order[low[row] : high[row]])
-            if not pairs:
-                continue
-            row, item = np.array(sorted(pairs)).T
-            edits = edit_distance(windows[row, :-1], length[row], self.words[item, :-1], self.size[item])
-            for a, i, e in zip(row[ok := edits <= self.edits[item]], item[ok], edits[ok]):
-                doc, _, _, start = some[a]
-                value = (int(e), start, int(length[a]))
-                best[doc, int(i)] = min(value, best.get((doc, int(i)), value))
+            edits = edit_distance(windows, length, self.words[item, :longest], self.size[item])
+            for row in np.flatnonzero(edits <= self.edits[item]):
+                doc, _, i, start = some[row]
+                value = (int(edits[row]), start, int(length[row]))
+                best[doc, i] = min(value, best.get((doc, i), value))
         return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, start and words of the nearest window (counted in words), edits."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -198,7 +153,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).limit(block + 1).collect()
         if len(some) > block:
             raise ValueError("a block of the benchmark is over its bound; give a larger block")
-        found = own.mapInArrow(_finder(spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in some], similarity, recall))), OUT)
+        found = own.mapInArrow(_finder(spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in some], similarity))), OUT)
         out = found if out is None else out.unionByName(found)
     return out
 
