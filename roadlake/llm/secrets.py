@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a battery of randomness tests under false-discovery control.
 
 Base kinds (assign, access, hex) are patterns. The method adds `random`: runs
-of encoded characters whose encoding is inferred (hex, base32, base64) and
+of encoded characters whose encoding is inferred (hex, base32, base36, base64;
+single-case keys also in dashed groups, UUID or equal, without their dashes) and
 whose symbols pass three tests of uniform randomness: chi-squared over the
 alphabet, runs about the middle symbol, serial correlation at lag one. The
 tests' joint p-value (three times the least) is held against a Benjamini and
@@ -31,10 +32,21 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 
-#: A run of encoded characters that holds a digit.
-ENCODED = r"(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: A run of encoded characters, from its first to its last.
+ENCODED = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"
 KINDS = ("assign", "access", "hex", "random")
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: letters: base64 in both cases without a digit; alpha: one case without a digit, for long runs only.
+ALPHABETS = {
+    "hex": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base36": _DIGITS + _LOWER,
+    "base64": _UPPER + _LOWER + _DIGITS + "+/", "letters": _UPPER + _LOWER + _DIGITS + "+/", "alpha": _LOWER,
+}
+#: Single-case keys in groups: the layout of a UUID, or equal groups of 4 to 8.
+DASHED = "^(?:" + "|".join(["X{8}-X{4}-X{4}-X{4}-X{12}", *[f"X{{{n}}}(?:-X{{{n}}}){{2,}}" for n in range(4, 9)]]).replace("X", "[C]") + ")$"
+DASHED_PARTS = tuple(DASHED.replace("C", c) for c in ("0-9a-z", "0-9A-Z"))
+#: From this length on runs without a digit are left to the tests whatever their cases. Shorter ones are held to have a
+#: quarter of each case at least (random ones of 16 letters have it in 98 per cent), or capitalised words would pass.
+LONG = 32
 LEAST_BITS = 72
 #: Share of truly random strings that the tests may take for text.
 FALSE_REJECTIONS = 0.01
@@ -76,29 +88,43 @@ def battery(x: Column) -> Column:
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
+def plain_of(body: Column) -> tuple[Column, Column]:
+    """Whether the body is a dashed key, and the body without the dashes if it is."""
+    dashed = body.rlike(DASHED_PARTS[0]) | body.rlike(DASHED_PARTS[1])
+    return dashed, F.when(dashed, F.translate(body, "-", "")).otherwise(body)
+
+
 def encoding_of(body: Column) -> Column:
-    """hex, base32 or base64, from the characters that occur; null for what is not encoded."""
-    digit = body.rlike("[0-9]")
+    """Name of an alphabet, from the characters that occur; null for what is not encoded."""
+    digit, lower, upper = body.rlike("[0-9]"), body.rlike("[a-z]"), body.rlike("[A-Z]")
+    count = lambda chars: F.length(F.regexp_replace(body, f"[^{chars}]", ""))
     return (F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & body.rlike("[A-Fa-f]"), "hex")
-            .when(body.rlike("^[A-Z2-7]+$") & digit & body.rlike("[A-Z]"), "base32")
-            .when(digit & body.rlike("[a-z]") & body.rlike("[A-Z]"), "base64"))
+            .when(body.rlike("^[A-Z2-7]+$") & digit & upper, "base32")
+            .when(digit & lower & upper, "base64")
+            .when(body.rlike("^([0-9a-z]+|[0-9A-Z]+)$") & digit & (lower | upper), "base36")
+            .when(lower & upper & ((F.length(body) >= LONG) | ((4 * count("A-Z") >= F.length(body)) & (4 * count("a-z") >= F.length(body)))), "letters")
+            .when(body.rlike("^([a-z]+|[A-Z]+)$") & (F.length(body) >= LONG), "alpha"))
 
 
 def assess(spans: Column) -> Column:
     """Each span with its class and grid step; null class where there is no encoding or too short a run for one.
 
-    Four transforms in turn: a lambda's variable is written once however often it is read, so the expression stays small.
+    Transforms in turn: a lambda's variable is written once however often it is read, so the expression stays small.
     """
     keep = lambda x, *more: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), *more)
 
     def inferred(x: Column) -> Column:
-        body = F.rtrim(x["found"], F.lit("="))
-        return keep(x, body.alias("body"), encoding_of(body).alias("enc"))
+        dashed, body = plain_of(F.rtrim(x["found"], F.lit("=")))
+        return keep(x, dashed.alias("dashed"), body.alias("body"))
+
+    def encoded(x: Column) -> Column:
+        return keep(x, x["dashed"].alias("dashed"), x["body"].alias("body"), encoding_of(x["body"]).alias("enc"))
 
     def coded(x: Column) -> Column:
         alphabet = F.coalesce(*[F.when(x["enc"] == e, F.lit(a)) for e, a in ALPHABETS.items()])
-        plain = F.when(x["enc"] == "hex", F.lower(x["body"])).otherwise(F.translate(x["body"], "-_", "+/"))
-        return keep(x, x["enc"].alias("enc"), F.length(x["body"]).alias("size"), F.length(alphabet).alias("k"), F.filter(F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet) - 1), lambda v: v >= 0).alias("codes"))
+        plain = F.when(x["enc"].isin("hex", "base36", "alpha"), F.lower(x["body"])).otherwise(F.translate(x["body"], "-_", "+/"))
+        # A dashed key is of a class of its own.
+        return keep(x, F.when(x["dashed"], F.concat(x["enc"], F.lit("-"))).otherwise(x["enc"]).alias("enc"), F.length(x["body"]).alias("size"), F.length(alphabet).alias("k"), F.filter(F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet) - 1), lambda v: v >= 0).alias("codes"))
 
     def centred(x: Column) -> Column:
         n = F.size(x["codes"]).cast("double")
@@ -123,7 +149,7 @@ def assess(spans: Column) -> Column:
     def stepped(x: Column) -> Column:
         return keep(x, x["cls"].alias("cls"), F.floor(-F.log10(F.greatest(x["p"], F.lit(10.0 ** (-GRID_MOST / GRID)))) * GRID).cast("int").alias("step"))
 
-    spans = F.filter(F.transform(spans, inferred), lambda x: x["enc"].isNotNull())
+    spans = F.filter(F.transform(F.transform(spans, inferred), encoded), lambda x: x["enc"].isNotNull())
     for part in (coded, centred, summed, judged):
         spans = F.transform(spans, part)
     return F.transform(F.filter(spans, lambda x: x["cls"].isNotNull()), stepped)
@@ -133,7 +159,7 @@ def rejected_from(steps: DataFrame, share: float = FALSE_REJECTIONS) -> DataFram
     """One row with a map from class to the least grid step that is rejected.
 
     Benjamini and Hochberg: the least step whose p times the class's count is within `share` of those at or beyond it.
-    steps has one row for each class and step: at most three encodings, some twenty lengths and GRID_MOST steps.
+    steps has one row for each class and step: at most twelve encodings, some twenty lengths and GRID_MOST steps.
     """
     own = W.partitionBy("cls")
     held = steps.groupBy("cls", "step").agg(F.count("*").alias("n"))
