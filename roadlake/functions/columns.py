@@ -17,10 +17,16 @@ FAULT_GRADES = [(50, "CRITICAL"), (20, "POOR"), (10, "WARNING")]
 RELIABILITY = [(720, "HIGH"), (144, "MEDIUM")]
 JAM_SPEEDS = [(60, 1), (40, 2), (25, 3), (15, 4)]
 #: Least speed and greatest congestion rate of jam levels 1 to 4.
-JAM_BANDS = [(1, 60, 20), (2, 40, 40), (3, 25, 60), (4, 15, 80)]
+JAM_BANDS = [(1, 40, 15), (2, 30, 30), (3, 20, 50), (4, 10, 75)]
 JAM_LABELS = {1: "FREE", 2: "FAIR", 3: "LIGHT", 4: "MEDIUM", 5: "SEVERE"}
 
 
+def to_time(col: Column) -> Column:
+    """A time, from a timestamp, its text, or epoch milliseconds of twelve digits or more; null where it is none of them."""
+    text = col.cast("string")
+    return F.coalesce(F.when(text.rlike(r"^\d{12,}$"), F.timestamp_millis(text.try_cast("long"))), text.try_cast("timestamp"))
+
+
 def normalize_enum(col: Column, domain: list[str], default: str) -> Column:
     return F.when(col.isin(domain), col).otherwise(F.lit(default))
 

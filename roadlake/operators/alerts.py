@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .series import blocks
+
 #: Severity, channels, minutes until an unrecovered alert escalates (null: never).
 POLICY = [("CRITICAL", ["chat", "sms", "phone"], 15), ("MAJOR", ["chat", "mail"], 60), ("MINOR", ["mail"], None), ("WARNING", ["mail"], None)]
 
@@ -17,40 +19,74 @@ def policy_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICY, "severity string, channels array<string>, escalate_minutes int")
 
 
-def suppress(df: DataFrame, key: str, ts: str, minutes: int = 30) -> DataFrame:
-    """Adds sent: false within `minutes` of the key's last sent alert (suppressed ones do not extend the silence).
+def alert_key(columns: list[str]) -> Column:
+    """MD5 of the alert's canonical JSON: its columns by name."""
+    return F.md5(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
+
 
-    An ordered fold over rows dealt by key and sorted; a task keeps one time at once.
+def sent_times(times: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
+    """The times of times(key, ts), distinct rows, at which a key's alert is sent.
+
+    A key without an alert for `minutes` starts anew, so its stretches between such pauses are folded apart. Pauses are
+    found within blocks of time and between a block and the next.
     """
-    rows = df.repartition(key).sortWithinPartitions(key, ts, F.xxhash64(*df.columns))
+    limit = minutes * 60
+    rows = times.withColumn("_block", blocks(ts, max(86400, limit)))
+    ends = rows.groupBy(key, "_block").agg(F.max(ts).alias("_end"))
+    ends = ends.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.lag("_end").over(W.partitionBy(key).orderBy("_block")).alias("_end"))
+    rows = rows.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
+    own = W.partitionBy(key, "_block").orderBy(ts)
+    before = F.coalesce(F.lag(ts).over(own), F.col("_end"))
+    pause = before.isNull() | (F.unix_micros(ts) - F.unix_micros(before) >= limit * 1_000_000)
+    rows = rows.select(key, ts, "_block", F.when(pause, F.col(ts)).alias("_from"))
+    # The stretch's first time: the last one in the block up to the row, else the last of the blocks before.
+    opened = rows.groupBy(key, "_block").agg(F.max("_from").alias("_last"))
+    upto = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    opened = opened.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.max("_last").over(upto).alias("_open"))
+    rows = rows.join(opened, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
+    rows = rows.select(key, ts, F.coalesce(F.max("_from").over(own.rowsBetween(W.unboundedPreceding, 0)), "_open").alias("_from"))
+    dealt = rows.repartition(key, "_from").sortWithinPartitions(key, "_from", ts)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, last = object(), None
-        limit = pd.Timedelta(minutes=minutes)
+        begun, last = object(), None
         for pdf in batches:
             out = []
-            for k, t in zip(pdf[key], pdf[ts]):
+            for k, start, t in zip(pdf[key], pdf["_from"], pdf[ts]):
                 k = None if pd.isna(k) else k
-                if k != last_key:
-                    last_key, last = k, None
-                sent = last is None or pd.isna(t) or t - last >= limit
-                if sent and not pd.isna(t):
+                if (k, start) != begun:
+                    begun, last = (k, start), None
+                if last is None or (t - last).total_seconds() >= limit:
                     last = t
-                out.append(sent)
-            yield pdf.assign(sent=pd.Series(out, index=pdf.index, dtype=bool))
+                    out.append((k, t))
+            yield pd.DataFrame(out, columns=[key, ts])
 
-    return rows.mapInPandas(fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", sent boolean")
+    kinds = dict(times.dtypes)
+    return dealt.mapInPandas(fold, f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}")
+
+
+def suppress(df: DataFrame, key: str, ts: str, minutes: int = 30) -> DataFrame:
+    """Adds sent: false within `minutes` of the key's last sent alert (suppressed ones do not extend the silence).
+
+    Of several alerts of a key at one time one is sent, the first by a hash of the row. Alerts without a time are sent.
+    Only distinct times are folded; a null key is a key.
+    """
+    sent = sent_times(df.filter(F.col(ts).isNotNull()).select(key, ts).distinct(), key, ts, minutes)
+    sent = sent.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"))
+    rows = df.withColumn("_tie", F.xxhash64(*df.columns))
+    rows = rows.join(sent, F.col(key).eqNullSafe(F.col("_key")) & (F.col(ts) == F.col("_ts")), "left")
+    first = F.row_number().over(W.partitionBy(key, ts).orderBy("_tie")) == 1
+    return rows.withColumn("sent", F.col(ts).isNull() | (F.col("_ts").isNotNull() & first)).select(*df.columns, "sent")
 
 
 def route(df: DataFrame, policy: DataFrame) -> DataFrame:
     """A row for each alert and channel."""
-    return df.join(F.broadcast(policy.select("severity", "channels")), "severity").withColumn("channel", F.explode("channels")).drop("channels")
+    return df.join(policy.select("severity", "channels"), "severity").withColumn("channel", F.explode("channels")).drop("channels")
 
 
 def escalate(df: DataFrame, policy: DataFrame, as_of: str) -> DataFrame:
     """Unrecovered alerts older than their policy's minutes, as CRITICAL."""
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("alarm_time")) / 60.0
-    late = df.filter("recover_status = 'UNRECOVERED'").join(F.broadcast(policy.select("severity", "escalate_minutes")), "severity").filter(age > F.col("escalate_minutes"))
+    late = df.filter("recover_status = 'UNRECOVERED'").join(policy.select("severity", "escalate_minutes"), "severity").filter(age > F.col("escalate_minutes"))
     return late.withColumn("was", F.col("severity")).withColumn("severity", F.lit("CRITICAL")).drop("escalate_minutes")
 
 
@@ -63,6 +99,12 @@ def daily_summary(routed: DataFrame) -> DataFrame:
     return routed.groupBy("dt", "severity", "channel").agg(F.count("*").alias("n"))
 
 
+def latest(df: DataFrame, ts: str, tie: str, n: int = 20, day: str = "dt") -> DataFrame:
+    """The newest n alerts of each day, numbered from the newest."""
+    own = W.partitionBy(day).orderBy(F.desc(ts), tie)
+    return df.withColumn("recency", F.row_number().over(own)).filter(F.col("recency") <= n)
+
+
 def digest(df: DataFrame, keys: list[str], ts: str, item: str, max_items: int = 10) -> DataFrame:
     """The newest max_items of each group as one list, and how many more there are."""
     own = W.partitionBy(*keys).orderBy(F.desc(ts), item)

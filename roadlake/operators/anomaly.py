@@ -8,9 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where
+from ..sources.shared import cut
 
 
 def average_depth(n: float) -> float:
@@ -51,32 +53,64 @@ def path_lengths(nodes: np.ndarray, rows: np.ndarray) -> np.ndarray:
         at = np.where(inner, np.where(low, nodes[at, 2], nodes[at, 3]).astype(np.int64), at)
 
 
+#: Scores are rounded to these decimals; scores that agree in them are equal.
+PLACES, DIGITS = 12, 4
+
+
+def score_at_rank(scored: DataFrame, k: int, score: str = "score") -> float | None:
+    """The k-th greatest score, exactly: DIGITS decimals a round, each from at most 10**DIGITS + 1 counts."""
+    rows = scored.filter(F.col(score).isNotNull()).select(F.round(F.col(score) * 10.0**PLACES).cast("long").alias("code"))
+    head = 0
+    for level in range(PLACES // DIGITS - 1, -1, -1):
+        step = 10 ** (DIGITS * level)
+        part = F.expr(f"code div {step}")
+        counts = rows.filter(F.expr(f"code div {step * 10**DIGITS}") == head).groupBy(part.alias("part")) if level < PLACES // DIGITS - 1 else rows.groupBy(part.alias("part"))
+        counts = counts.agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy(F.desc("part"))))
+        found = counts.filter(F.col("upto") >= k).orderBy(F.desc("part")).select("part", F.col("upto") - F.col("n")).first()
+        if found is None:
+            return None
+        head, k = found[0], k - found[1]
+    return head / 10.0**PLACES
+
+
 class IForest:
-    """n trees on samples of at most `sample` rows; the floor(n_rows * contamination) (one at least) highest scores mark anomalies.
+    """n trees on samples of at most `sample` rows; rows whose score is over the k-th greatest are anomalies.
 
-    Rows with a null feature are neither sampled nor scored (score null). With several rows at the limiting score,
-    only strictly higher ones are anomalies.
+    k = floor(n_rows * contamination), one at least. Rows with a null feature are neither sampled nor scored (score
+    null). Scores have PLACES decimals. A row's place in a sample is a hash of its columns `key` (default: the
+    features), so a retry or another layout of the input gives the same trees.
     """
 
     def __init__(self, n: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42):
         self.n, self.sample, self.contamination, self.seed = n, sample, contamination, seed
 
-    def fit(self, df: DataFrame, columns: list[str]) -> IForest:
-        """One pass: each row joins tree t's sample if its hash for t is small; a tree takes its `sample` least hashes."""
-        rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-        total = rows.count()
-        self.columns, self.size = columns, min(self.sample, total)
-        share = min(1.0, 4.0 * self.sample / max(1, total))
-        unit = lambda t: (F.pmod(F.xxhash64(F.lit(self.seed), t, F.xxhash64(*columns), F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30))
-        drawn = rows.select("*", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(self.n - 1)), lambda t: F.struct(t.alias("t"), unit(t).alias("u"))), lambda x: x["u"] < share)).alias("d"))
+    def fit(self, df: DataFrame, columns: list[str], key: list[str] | None = None) -> IForest:
+        """Large inputs: a row is drawn by one hash, and for one tree. Up to 4 * n * sample rows: each may be in any tree.
+
+        Equal rows are counted first; of m of them a share p of all gives m * p, rounded up or down by their hash.
+        """
+        id_ = F.xxhash64(F.lit(self.seed), *(key or columns))
+        rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns], id_.alias("_id")).dropna()
+        rows = rows.groupBy(*columns, "_id").agg(F.count("*").alias("_m"))
+        total = rows.agg(F.sum("_m")).first()[0] or 0
+        self.columns = columns
+        unit = lambda h: F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
+        copies = lambda m: F.explode(F.when(m > 0, F.sequence(F.lit(1).cast("long"), m))).alias("_i")
+        if total > 4 * self.n * self.sample:
+            drawn = rows.select(*columns, "_id", copies(F.floor(F.col("_m") * (4.0 * self.n * self.sample / total) + unit(F.col("_id")))))
+            drawn = drawn.select(*columns, F.pmod(F.xxhash64("_id", "_i"), F.lit(self.n)).cast("int").alias("t"), F.xxhash64("_i", "_id").alias("u"))
+        else:
+            every = rows.select(*columns, "_id", copies(F.col("_m"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))))
+            every = every.withColumn("u", F.xxhash64("_id", "_i", "t"))
+            drawn = every.filter(unit(F.col("u")) < 4.0 * self.sample / max(1, total)).select(*columns, "t", "u")
         size, seed = self.sample, self.seed
 
         def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             own = pdf.sort_values(["u", *columns]).head(size)[columns].to_numpy(float)
             return pd.DataFrame({"t": [key[0]], "nodes": [json.dumps(grow(own, seed * 1000003 + int(key[0])))], "rows": [len(own)]})
 
-        # A tree's group has about 4 * sample rows, whatever the input.
-        grown = drawn.select("*", "d.t", "d.u").drop("d").groupBy("t").applyInPandas(tree, "t int, nodes string, rows long").collect()
+        # A tree's group has about 4 * sample rows, whatever the input; so many trees of so many nodes reach the driver.
+        grown = drawn.groupBy("t").applyInPandas(tree, "t int, nodes string, rows long").collect()
         self.trees = [np.array(json.loads(g["nodes"])) for g in sorted(grown, key=lambda g: g["t"])]
         self.size = max([2, *(g["rows"] for g in grown)])
         return self
@@ -89,15 +123,13 @@ class IForest:
             for cols in batches:
                 rows = np.column_stack([c.to_numpy(float) for c in cols])
                 mean = sum(path_lengths(t, rows) for t in shared.value) / max(1, len(shared.value))
-                out = 2.0 ** (-mean / norm)
+                out = np.round(2.0 ** (-mean / norm), PLACES)
                 yield pd.Series(np.where(np.isnan(rows).any(axis=1), np.nan, out))
 
-        scored = df.withColumn("score", F.nanvl(run(*[F.col(c).cast("double") for c in self.columns]), F.lit(None).cast("double")))
-        # The limit by exact rank: counts of scores, largest first, until the share is reached.
+        scored = cut(df.withColumn("score", F.nanvl(run(*[F.col(c).cast("double") for c in self.columns]), F.lit(None).cast("double"))))
         total = scored.filter("score is not null").count()
-        k = max(1, int(total * self.contamination))
-        top = scored.filter("score is not null").select("score").orderBy(F.desc("score")).limit(k + 1).agg(F.min("score").alias("_limit"))
-        return scored.crossJoin(F.broadcast(top)).withColumn("is_anomaly", F.coalesce(F.col("score") > F.col("_limit"), F.lit(False))).drop("_limit")
+        limit = score_at_rank(scored, max(1, int(total * self.contamination)))
+        return scored.withColumn("is_anomaly", F.coalesce(F.col("score") > F.lit(limit), F.lit(False)))
 
 
 def flow_anomaly(df: DataFrame, trees: int = 100, contamination: float = 0.05, seed: int = 42) -> DataFrame:

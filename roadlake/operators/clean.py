@@ -33,3 +33,14 @@ def argmax(df: DataFrame, keys: list[str], value: str, by: str, tie: str) -> Dat
     """value at the greatest `by`; of equals the one of least `tie`."""
     best = F.max(F.struct(F.col(by).alias("_by"), (-F.col(tie)).alias("_tie"), F.col(value).alias("_v")))
     return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b._v").alias(value), F.col("_b._by").alias(by))
+
+
+def sampled(df: DataFrame, key: str, percent: int) -> DataFrame:
+    """About `percent` per cent of the keys with all their rows, chosen by a hash of the key: the same ones in every run."""
+    number = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 6), 16, 10).cast("long")
+    return df.filter(number % 100 < percent)
+
+
+def sets(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The different values of each group, in order, as text."""
+    return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(value)), ",").alias(f"{value}s"), F.countDistinct(value).alias("n"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import count_where, percent, rounded
 
 PASS_AT = {"completeness": 99.0, "uniqueness": 99.9, "validity": 99.0}
+#: A passing rate below this is a warning.
+WARN_BELOW = {"completeness": 99.5, "uniqueness": 99.99, "validity": 99.5}
 BACKLOG = (1000, 10000)
 #: Rule, check, threshold, severity, message.
 ALERT_RULES = [
@@ -25,6 +27,12 @@ def _result(df: DataFrame, check: str, table: str) -> DataFrame:
     return df.select(F.lit(check).alias("check_type"), F.lit(table).alias("table_name"), "dt", "metric", "value", rounded(F.col("rate")).alias("rate"), rounded(F.col("row_rate")).alias("row_rate"), status.alias("status"))
 
 
+def warned(results: DataFrame) -> DataFrame:
+    """Check results with WARN where a rate passes by less than its warning threshold."""
+    least = F.coalesce(*[F.when(F.col("check_type") == k, F.lit(v)) for k, v in WARN_BELOW.items()])
+    return results.withColumn("status", F.when((F.col("status") == "PASS") & (F.col("rate") < least), "WARN").otherwise(F.col("status")))
+
+
 def completeness(df: DataFrame, columns: list[str], table: str = "", dt: str = "dt") -> DataFrame:
     """rate counts a row once for each missing column, row_rate once."""
     gone = [F.col(c).isNull() for c in columns]
@@ -71,7 +79,7 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 def quality_alerts(results: DataFrame, rules: DataFrame) -> DataFrame:
     """Rates alert below their threshold, backlogs above it."""
-    rows = results.join(F.broadcast(rules), "check_type")
+    rows = results.join(rules, "check_type")
     actual = F.when(F.col("check_type") == "backlog", F.col("value").cast("double")).otherwise(F.col("rate"))
     hit = F.when(F.col("check_type") == "backlog", actual > F.col("threshold")).otherwise(actual < F.col("threshold"))
     return rows.filter(hit).select("rule_id", "severity", "table_name", "dt", "metric", F.expr("printf(template, table_name, case when check_type = 'backlog' then cast(value as double) else rate end, threshold)").alias("message"))

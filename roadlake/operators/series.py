@@ -17,10 +17,24 @@ def moving_avg(df: DataFrame, keys: list[str], ts: str, col: str, rows: int = 5,
     return df.withColumn(name, rounded(F.sum(col).over(own).cast("double") / F.count(col).over(own)))
 
 
+def blocks(ts: str, seconds: int = 86400) -> Column:
+    """Number of the time block of a row: long histories of one key are dealt by it."""
+    return F.floor(F.unix_timestamp(ts) / seconds).cast("long")
+
+
 def gaps(df: DataFrame, key: str, ts: str, max_minutes: float = 30) -> DataFrame:
-    """Pauses of over max_minutes between a key's neighbouring rows; HIGH over twice that."""
-    before = F.lag(ts).over(W.partitionBy(key).orderBy(ts))
-    rows = df.select(key, before.alias("gap_start"), F.col(ts).alias("gap_end")).filter("gap_start is not null")
+    """Pauses of over max_minutes between a key's neighbouring rows; HIGH over twice that.
+
+    Rows are dealt by key and day; the first of a day looks back to the last time of the key's day before.
+    """
+    rows = df.select(key, F.col(ts).alias("gap_end"), blocks(ts).alias("_block"))
+    ends = rows.groupBy(key, "_block").agg(F.max("gap_end").alias("_end"))
+    ends = ends.select(key, "_block", F.lag("_end").over(W.partitionBy(key).orderBy("_block")).alias("_end"))
+    # Null keys are a group of their own, so the join takes them as equal.
+    ends = ends.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), "_end")
+    rows = rows.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
+    before = F.lag("gap_end").over(W.partitionBy(key, "_block").orderBy("gap_end"))
+    rows = rows.select(key, F.coalesce(before, "_end").alias("gap_start"), "gap_end").filter("gap_start is not null")
     rows = rows.withColumn("gap_minutes", (F.unix_timestamp("gap_end") - F.unix_timestamp("gap_start")) / 60.0).filter(F.col("gap_minutes") > max_minutes)
     return rows.withColumn("severity", F.when(F.col("gap_minutes") > 2 * max_minutes, "HIGH").otherwise("MEDIUM"))
 
@@ -28,19 +42,33 @@ def gaps(df: DataFrame, key: str, ts: str, max_minutes: float = 30) -> DataFrame
 def sequence(df: DataFrame, key: str, ts: str, cond: Column, n: int, within: int, first_only: bool = False) -> DataFrame:
     """n rows in a row that meet `cond`, the last less than `within` seconds after the first.
 
-    Matches may overlap; first_only keeps a key's first. Rows of one time are ordered by all their columns.
+    Matches may overlap; first_only keeps a key's first. Rows of one time are ordered by all their columns; rows without
+    a time match nothing. Rows are dealt by key and block of time; those less than `within` seconds before the next
+    block go to it too, since a match that ends there may begin with them.
     """
-    own = W.partitionBy(key).orderBy(ts, F.xxhash64(*df.columns))
-    rows = df.withColumn("_ok", F.coalesce(cond, F.lit(False)).cast("int"))
-    rows = rows.select(key, F.col(ts).alias("last_ts"), F.lag(ts, n - 1).over(own).alias("first_ts"), F.sum("_ok").over(own.rowsBetween(1 - n, 0)).alias("_run"))
-    found = rows.filter((F.col("_run") == n) & (F.unix_timestamp("last_ts") - F.unix_timestamp("first_ts") < within)).select(key, "first_ts", "last_ts")
+    width = max(86400, within)
+    at = F.unix_timestamp(ts)
+    rows = df.filter(F.col(ts).isNotNull()).select(
+        key, F.col(ts).alias("last_ts"), F.xxhash64(*df.columns).alias("_tie"), F.coalesce(cond, F.lit(False)).cast("int").alias("_ok"),
+        blocks(ts, width).alias("_own"), F.floor((at + within) / width).cast("long").alias("_next"))
+    rows = rows.withColumn("_block", F.explode(F.array_distinct(F.array("_own", "_next"))))
+    own = W.partitionBy(key, "_block").orderBy("last_ts", "_tie")
+    rows = rows.select(
+        key, "last_ts", F.lag("last_ts", n - 1).over(own).alias("first_ts"), F.sum("_ok").over(own.rowsBetween(1 - n, 0)).alias("_run"), "_own", "_block")
+    found = rows.filter((F.col("_own") == F.col("_block")) & (F.col("_run") == n) & (F.unix_timestamp("last_ts") - F.unix_timestamp("first_ts") < within))
+    found = found.select(key, "first_ts", "last_ts")
     return found.groupBy(key).agg(F.min(F.struct("last_ts", "first_ts")).alias("m")).select(key, "m.first_ts", "m.last_ts") if first_only else found
 
 
-def burst(df: DataFrame, key: str, ts: str, window: str, more_than: int) -> DataFrame:
+def burst(df: DataFrame, key: str, ts: str, window: str, more_than: int, level: str = "CRITICAL") -> DataFrame:
     """Fixed windows with over more_than rows of a key."""
     rows = df.groupBy(key, F.window(ts, window).alias("w")).agg(F.count("*").alias("n")).filter(F.col("n") > more_than)
-    return rows.select(key, F.col("w.start").alias("window_start"), "n")
+    return rows.select(key, F.col("w.start").alias("window_start"), "n", F.lit(level).alias("level"))
+
+
+def frequent(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """Keys with over ten rows in five minutes (CRITICAL) and with five or more in a day (WARNING)."""
+    return burst(df, key, ts, "5 minutes", 10).unionByName(burst(df, key, ts, "1 day", 4, "WARNING"))
 
 
 def sustained(df: DataFrame, key: str, ts: str, cond: Column, minutes: tuple[float, float] = (30, 60)) -> DataFrame:
@@ -70,26 +98,60 @@ def spike_step(state: tuple[float, int] | None, flow: float, alpha: float, facto
     return (alpha * flow + (1 - alpha) * average, seen + 1), hit
 
 
-def flow_spike(df: DataFrame, key: str, order: str, flow: str, alpha: float = 0.2, factor: float = 2, warmup: int = 5) -> DataFrame:
+def flow_spike(df: DataFrame, key: str, order: str, flow: str, alpha: float = 0.2, factor: float = 2, warmup: int = 5, block: Column | None = None) -> DataFrame:
     """Rows over factor times the key's moving average of the rows before; the average then takes the row in.
 
-    An ordered fold: rows are dealt by key and sorted, and each task folds its keys one after another in Arrow
-    batches, so no key is held whole in memory.
+    A block (default: a day, where `order` is a time) is folded apart: what it does to the average is one linear step,
+    so the blocks of a key are chained by these steps, and each is then folded from the state that it starts with. No
+    task holds a key or works through its whole history; a task's memory is one Arrow batch and one state.
     """
-    rows = df.select(key, order, F.col(flow).cast("double").alias("flow")).filter(F.col(key).isNotNull() & F.col("flow").isNotNull())
-    rows = rows.repartition(key).sortWithinPartitions(key, order, "flow")
-    schema = f"{key} {dict(df.dtypes)[key]}, {order} {dict(df.dtypes)[order]}, flow double, history_avg double, ratio double"
+    times = dict(df.dtypes)[order].startswith(("timestamp", "date"))
+    block = block if block is not None else (blocks(order) if times else F.lit(0).cast("long"))
+    rows = df.select(key, order, F.col(flow).cast("double").alias("flow"), block.alias("_block")).filter(F.col(key).isNotNull() & F.col("flow").isNotNull())
+    kind, when = dict(df.dtypes)[key], dict(df.dtypes)[order]
+    dealt = rows.repartition(key, "_block").sortWithinPartitions(key, "_block", order, "flow")
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per block: rows, the factor on the average it starts with, what it adds, and the average from no start."""
+        last, held = None, (0, 1.0, 0.0, 0.0)
+        for pdf in batches:
+            out = []
+            for k, b, f in zip(pdf[key], pdf["_block"], pdf["flow"]):
+                if (k, b) != last:
+                    if last is not None:
+                        out.append((*last, *held))
+                    last, held = (k, b), (0, 1.0, 0.0, 0.0)
+                n, keep, add, own = held
+                held = n + 1, keep * (1 - alpha), add * (1 - alpha) + alpha * f, own * (1 - alpha) + alpha * f if n else f
+            yield pd.DataFrame(out, columns=[key, "_block", "n", "keep", "add", "own"])
+        if last is not None:
+            yield pd.DataFrame([(*last, *held)], columns=[key, "_block", "n", "keep", "add", "own"])
+
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The state that each block of a key starts with."""
+        mean, seen, out = 0.0, 0, []
+        for r in pdf.sort_values("_block").itertuples(index=False):
+            out.append((mean, seen))
+            mean = r.keep * mean + r.add if seen else r.own
+            seen += r.n
+        pdf = pdf.sort_values("_block")[[key, "_block"]]
+        return pdf.assign(mean=[m for m, _ in out], seen=[n for _, n in out])
+
+    summed = dealt.mapInPandas(steps, f"`{key}` {kind}, _block long, n long, keep double, add double, own double")
+    begun = summed.groupBy(key).applyInPandas(lambda pdf: chained(pdf), f"`{key}` {kind}, _block long, mean double, seen long")
+    rows = rows.join(begun, [key, "_block"]).select(key, order, "flow", "_block", "mean", "seen")
+    dealt = rows.repartition(key, "_block").sortWithinPartitions(key, "_block", order, "flow")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
         for pdf in batches:
             out = []
-            for k, o, f in zip(pdf[key], pdf[order], pdf["flow"]):
-                if k != last:
-                    last, state = k, None
+            for k, b, o, f, mean, seen in zip(pdf[key], pdf["_block"], pdf[order], pdf["flow"], pdf["mean"], pdf["seen"]):
+                if (k, b) != last:
+                    last, state = (k, b), (mean, seen) if seen else None
                 state, hit = spike_step(state, f, alpha, factor, warmup)
                 if hit is not None:
                     out.append((k, o, f, hit, f / hit if hit else None))
             yield pd.DataFrame(out, columns=[key, order, "flow", "history_avg", "ratio"])
 
-    return rows.mapInPandas(fold, schema)
+    return dealt.mapInPandas(fold, f"`{key}` {kind}, `{order}` {when}, flow double, history_avg double, ratio double")

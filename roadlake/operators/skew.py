@@ -54,8 +54,9 @@ def salted_agg(df: DataFrame, keys: list[str], sums: dict[str, Column], salts: i
     return first.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
 
 
-def reduction(df: DataFrame, keys: list[str], salts: int = 10) -> DataFrame:
-    """Rows before and after the first of the two stages, and the per cent saved."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).alias("_salt")
-    one = df.groupBy(salt, *keys).agg(F.count("*").alias("n")).agg(F.sum("n").cast("long").alias("rows_before"), F.count("*").alias("rows_after"))
+def reduction(df: DataFrame, keys: list[str], salts: int = 10, salt: Column | None = None) -> DataFrame:
+    """Rows before and after the first of the two stages, and the per cent saved; salt: by default a hash of the row."""
+    salt = (F.xxhash64(*df.columns) if salt is None else salt) % salts
+    one = df.groupBy(salt.alias("_salt"), *keys).agg(F.count("*").alias("n"))
+    one = one.agg(F.sum("n").cast("long").alias("rows_before"), F.count("*").alias("rows_after"))
     return one.withColumn("saved_pct", 100.0 - percent(F.col("rows_after"), F.col("rows_before")))

@@ -54,11 +54,11 @@ def _alarm_day(keys: str) -> str:
 
 
 WAREHOUSE: dict[str, str] = {
-    "dwd_vehicle_pass": f"""select vehicle_id, road_id, device_id, try_cast(pass_time as timestamp) as pass_time, try_cast(speed as int) as speed, coalesce(direction, 'UNKNOWN') as direction,
+    "dwd_vehicle_pass": f"""select vehicle_id, road_id, device_id, try_cast(pass_time as timestamp) as pass_time, speed, coalesce(direction, 'UNKNOWN') as direction,
   case when vehicle_type in ('SMALL', 'MEDIUM', 'LARGE') then vehicle_type else 'OTHER' end as vehicle_type, lane, cast(hour(try_cast(pass_time as timestamp)) as int) as hour,
-  {r("try_cast(speed as int) / 3600.0e0", 4)} as speed_km_per_s, dt
-  from (select *, {first("vehicle_id, pass_time", "road_id device_id speed direction vehicle_type lane dt")} as rn from vehicle_pass
-    where vehicle_id is not null and road_id is not null and try_cast(speed as int) between 0 and 200) where rn = 1""",
+  {r("speed / 3600.0e0", 4)} as speed_km_per_s, dt
+  from (select *, {first("vehicle_id, pass_time", "road_id device_id speed direction vehicle_type lane dt")} as rn from (select * replace (try_cast(speed as int) as speed) from vehicle_pass)
+    where vehicle_id is not null and road_id is not null and speed between 0 and 200) where rn = 1""",
     "dwd_traffic_status": f"""select road_id, avg_speed, traffic_flow, jam_level, congestion_rate, case when peak_flag in ('PEAK_HOUR', 'NORMAL', 'OFF_PEAK') then peak_flag else 'NORMAL' end as peak_flag, sample_time,
   case jam_level when 1 then 'FREE' when 2 then 'FAIR' when 3 then 'LIGHT' when 4 then 'MEDIUM' when 5 then 'SEVERE' else 'UNKNOWN' end as jam_desc, dt
   from (select *, {first("road_id, sample_time", "avg_speed traffic_flow jam_level congestion_rate peak_flag dt")} as rn from traffic_status
@@ -130,4 +130,6 @@ def sql(query: str, **more: str) -> str:
                 visit(known[name])
 
     visit(query)
+    if not need:
+        return query
     return "with recursive " + ",\n".join(f"{n} as ({known[n]})" for n in known if n in need) + "\n" + query

@@ -71,14 +71,17 @@ add("a11_duplicate_keys", "select vehicle_id, pass_time, count(*) as n from vehi
 add("t4_n10_concentration", f"select {pct('(select sum(n) from (select count(*) as n from vehicle_pass group by road_id order by n desc, road_id limit 5))', '(select count(*) from vehicle_pass)')} as share".replace("select count(*) as n from vehicle_pass", "select road_id, count(*) as n from vehicle_pass"))(lambda t: skew.concentration(t["vehicle_pass"], "road_id", 5))
 add("n9_gini", "select round((2.0e0 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0e0) / count(*)) * count(*) / (count(*) - 1), 9) as gini from (select n, row_number() over (order by n) as i from (select road_id, count(*) as n from vehicle_pass group by road_id))")(lambda t: skew.gini(t["vehicle_pass"], "road_id").select(F.round("gini", 9).alias("gini")))
 add("n11_hot_keys", "select road_id, n from (select road_id, count(*) as n from vehicle_pass group by road_id) where n > 2 * (select avg(n) from (select count(*) as n from vehicle_pass group by road_id))")(lambda t: skew.hot_keys(t["vehicle_pass"], "road_id"))
-add("n12_reduction", None)(lambda t: skew.reduction(t["vehicle_pass"], ["road_id"]))
+add("n12_reduction", f"""
+select {big("sum(n)")} as rows_before, count(*) as rows_after, 100.0e0 - {pct("count(*)", "sum(n)")} as saved_pct
+from (select road_id, cast(substr(device_id, 2) as int) % 10 as salt, count(*) as n from vehicle_pass group by 1, 2)
+""")(lambda t: skew.reduction(t["vehicle_pass"], ["road_id"], salt=F.substring("device_id", 2, 20).cast("int")))
 
 # Cleaning functions.
 add("f3_normalize_enum", f"select alarm_id, case when alarm_type in ({', '.join(repr(x) for x in ALARM_TYPES)}) then alarm_type else 'OTHER' end as alarm_type from alarm_log")(lambda t: t["alarm_log"].select("alarm_id", normalize_enum(c("alarm_type"), ALARM_TYPES, "OTHER").alias("alarm_type")))
 add("f11_band", "select device_id, heartbeat_time, case when cpu_usage >= 90 then 'HOT' when cpu_usage >= 70 then 'WARM' else 'COOL' end as cpu_band from device_status")(lambda t: t["device_status"].select("device_id", "heartbeat_time", band(c("cpu_usage"), [(90, "HOT"), (70, "WARM")], "COOL").alias("cpu_band")))
 add("f5_decode", "select road_id, sample_time, case jam_level when 1 then 'a' when 2 then 'b' else '?' end as label from traffic_status")(lambda t: t["traffic_status"].select("road_id", "sample_time", decode(c("jam_level"), {1: "a", 2: "b"}, "?").alias("label")))
 add("f12_jam_from_speed", "select road_id, sample_time, case when avg_speed > 60 then 1 when avg_speed > 40 then 2 when avg_speed > 25 then 3 when avg_speed > 15 then 4 else 5 end as level from traffic_status")(lambda t: t["traffic_status"].select("road_id", "sample_time", jam_from_speed(c("avg_speed")).alias("level")))
-add("f13_jam_from_bands", "select road_id, sample_time, case when avg_speed >= 60 and congestion_rate <= 20 then 1 when avg_speed >= 40 and congestion_rate <= 40 then 2 when avg_speed >= 25 and congestion_rate <= 60 then 3 when avg_speed >= 15 and congestion_rate <= 80 then 4 else 5 end as level from traffic_status")(
+add("f13_jam_from_bands", "select road_id, sample_time, case when avg_speed >= 40 and congestion_rate <= 15 then 1 when avg_speed >= 30 and congestion_rate <= 30 then 2 when avg_speed >= 20 and congestion_rate <= 50 then 3 when avg_speed >= 10 and congestion_rate <= 75 then 4 else 5 end as level from traffic_status")(
     lambda t: t["traffic_status"].select("road_id", "sample_time", jam_from_bands(c("avg_speed"), c("congestion_rate")).alias("level")))
 add("w1_dedup", "select * exclude rn from (select *, row_number() over (partition by device_id, alarm_time order by alarm_id nulls first, alarm_type nulls first, alarm_level nulls first, alarm_content nulls first, recover_time nulls first, recover_status nulls first, dt nulls first) as rn from alarm_log) where rn = 1")(lambda t: clean.dedup(t["alarm_log"], ["device_id", "alarm_time"]))
 
@@ -90,7 +93,7 @@ add("w5_n4_gaps", "select device_id, gap_start, gap_end, gap_minutes, case when
 _SEQ = "select device_id, first_ts, last_ts from (select device_id, heartbeat_time as last_ts, lag(heartbeat_time, {m}) over w as first_ts, sum(case when {cond} then 1 else 0 end) over (w rows between {m} preceding and current row) as run from dwd_device_status window w as (partition by device_id order by heartbeat_time)) where run = {n} and epoch(last_ts) - epoch(first_ts) < {within}"
 for _name, _cond, _n, _within in (("w6_r8_offline_runs", "online_flag = 'OFFLINE'", 3, 172800), ("r9_cpu_runs", "cpu_usage > 60", 3, 172800), ("r10_hot_runs", "temperature > 60", 2, 86400), ("r11_any_runs", "true", 10, 432000)):
     add(_name, _SEQ.format(m=_n - 1, cond=_cond, n=_n, within=_within))(lambda t, _cond=_cond, _n=_n, _within=_within: series.sequence(t["dwd_device_status"], "device_id", "heartbeat_time", F.expr(_cond), _n, _within))
-add("w7_r15_bursts", "select device_id, time_bucket(interval 1 day, alarm_time) as window_start, count(*) as n from alarm_log group by 1, 2 having count(*) > 2")(lambda t: series.burst(t["alarm_log"], "device_id", "alarm_time", "1 day", 2))
+add("w7_r15_bursts", "select device_id, time_bucket(interval 1 day, alarm_time) as window_start, count(*) as n, 'CRITICAL' as level from alarm_log group by 1, 2 having count(*) > 2")(lambda t: series.burst(t["alarm_log"], "device_id", "alarm_time", "1 day", 2))
 add("n6_vs_history", "select road_id, dt, hour, traffic_count, round(h + 1e-9, 4) as history_avg from (select *, cast(sum(traffic_count) over w as double) / count(traffic_count) over w as h from dws_road_hour_flow window w as (partition by road_id, hour order by cast(dt as date) range between interval 7 day preceding and interval 1 day preceding)) where traffic_count > 2 * h")(
     lambda t: series.vs_history(t["dws_road_hour_flow"].select("road_id", "dt", "hour", "traffic_count"), "road_id", "dt", "hour", "traffic_count"))
 add("n7_sustained", "select road_id, start_ts, end_ts, n, minutes, case when minutes > 60 then 'CRITICAL' else 'WARNING' end as level from (select road_id, min(sample_time) as start_ts, max(sample_time) as end_ts, count(*) as n, (epoch(max(sample_time)) - epoch(min(sample_time))) / 60.0e0 as minutes from (select *, sum(case when jam_level >= 4 then 0 else 1 end) over (partition by road_id order by sample_time) as part from dwd_traffic_status) where jam_level >= 4 group by road_id, part) where minutes > 30")(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (
     ALARM_LEVELS, ALARM_TYPES, DEVICE_TYPES, FAULT_GRADES, HEALTH_GRADES, JAM_LABELS, ONLINE_FLAGS, PEAK_FLAGS, RELIABILITY, VEHICLE_TYPES,
-    band, count_where, decode, health_flag, mean, normalize_enum, percent, period, rounded,
+    band, count_where, decode, health_flag, mean, normalize_enum, percent, period, rounded, to_time,
 )
 from ..operators.clean import aggregate, clean
 from ..operators.joins import with_current
@@ -23,23 +23,27 @@ Tables = dict[str, DataFrame]
 c = F.col
 
 
+def typed(ods: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Columns of landing text (or of typed sources) in the types of the table; what does not fit is null, not an error."""
+    return ods.withColumns({k: to_time(c(k)) if t == "timestamp" else c(k).try_cast(t) for k, t in types.items()})
+
+
 def dwd_vehicle_pass(ods: DataFrame) -> DataFrame:
-    speed = F.expr("try_cast(speed as int)")
-    at = F.expr("try_cast(pass_time as timestamp)")
     return clean(
-        ods, {
-            "vehicle_id": c("vehicle_id"), "road_id": c("road_id"), "device_id": c("device_id"), "pass_time": at, "speed": speed,
+        typed(ods, {"pass_time": "timestamp", "speed": "int", "lane": "int"}), {
+            **{k: c(k) for k in ("vehicle_id", "road_id", "device_id", "pass_time", "speed")},
             "direction": F.coalesce("direction", F.lit("UNKNOWN")), "vehicle_type": normalize_enum(c("vehicle_type"), VEHICLE_TYPES, "OTHER"),
-            "lane": c("lane"), "hour": F.hour(at), "speed_km_per_s": rounded(speed / 3600.0, 4).cast("decimal(10,4)"), "dt": c("dt"),
+            "lane": c("lane"), "hour": F.hour("pass_time"), "speed_km_per_s": rounded(c("speed") / 3600.0, 4).cast("decimal(10,4)"), "dt": c("dt"),
         },
-        c("vehicle_id").isNotNull() & c("road_id").isNotNull() & speed.between(0, 200), ["vehicle_id", "pass_time"],
-        ["road_id", "device_id", "speed", "direction", "vehicle_type", "lane", "dt"])
+        c("vehicle_id").isNotNull() & c("road_id").isNotNull() & c("speed").between(0, 200),
+        ["vehicle_id", "pass_time"], ["road_id", "device_id", "speed", "direction", "vehicle_type", "lane", "dt"])
 
 
 def dwd_traffic_status(ods: DataFrame) -> DataFrame:
+    types = {"avg_speed": "int", "traffic_flow": "int", "jam_level": "int", "congestion_rate": "decimal(5,2)", "sample_time": "timestamp"}
     return clean(
-        ods, {
-            "road_id": c("road_id"), "avg_speed": c("avg_speed"), "traffic_flow": c("traffic_flow"), "jam_level": c("jam_level"), "congestion_rate": c("congestion_rate"),
+        typed(ods, types), {
+            **{k: c(k) for k in ("road_id", "avg_speed", "traffic_flow", "jam_level", "congestion_rate")},
             "peak_flag": normalize_enum(c("peak_flag"), PEAK_FLAGS, "NORMAL"), "sample_time": c("sample_time"),
             "jam_desc": decode(c("jam_level"), JAM_LABELS, "UNKNOWN"), "dt": c("dt"),
         },
@@ -48,12 +52,13 @@ def dwd_traffic_status(ods: DataFrame) -> DataFrame:
 
 
 def dwd_device_status(ods: DataFrame) -> DataFrame:
-    online = normalize_enum(c("online_flag"), ONLINE_FLAGS, "UNKNOWN")
-    typed = normalize_enum(c("device_type"), DEVICE_TYPES, "SENSOR") if "device_type" in ods.columns else F.lit("SENSOR")
+    types = {"cpu_usage": "decimal(5,2)", "memory_usage": "decimal(5,2)", "temperature": "decimal(4,1)", "heartbeat_time": "timestamp", "signal_strength": "int"}
+    kind = normalize_enum(c("device_type"), DEVICE_TYPES, "SENSOR") if "device_type" in ods.columns else F.lit("SENSOR")
     return clean(
-        ods, {
-            **{k: c(k) for k in ("device_id", "cpu_usage", "memory_usage", "temperature")}, "online_flag": online, "heartbeat_time": c("heartbeat_time"),
-            "signal_strength": c("signal_strength"), "device_type": typed,
+        typed(ods, types), {
+            **{k: c(k) for k in ("device_id", "cpu_usage", "memory_usage", "temperature")},
+            "online_flag": normalize_enum(c("online_flag"), ONLINE_FLAGS, "UNKNOWN"), "heartbeat_time": c("heartbeat_time"),
+            "signal_strength": c("signal_strength"), "device_type": kind,
             "health_flag": health_flag(c("cpu_usage"), c("memory_usage"), c("temperature"), c("online_flag"), c("signal_strength")), "dt": c("dt"),
         },
         c("device_id").isNotNull() & c("cpu_usage").between(0, 100) & c("memory_usage").between(0, 100) & c("temperature").between(-40, 100),
@@ -62,14 +67,17 @@ def dwd_device_status(ods: DataFrame) -> DataFrame:
 
 def dwd_alarm_log(ods: DataFrame, seconds: int = 300) -> DataFrame:
     """Repeats of one device, type and bucket are one alarm; an unrecovered one wins within it."""
-    status = F.when(c("recover_status").isin("RECOVERED", "UNRECOVERED"), c("recover_status")).when(c("recover_time").isNotNull(), "RECOVERED").otherwise("UNRECOVERED")
+    known = c("recover_status").isin("RECOVERED", "UNRECOVERED")
+    status = F.when(known, c("recover_status")).when(c("recover_time").isNotNull(), "RECOVERED").otherwise("UNRECOVERED")
     bucket = F.floor(F.unix_timestamp("alarm_time") / seconds).cast("long").cast("string")
-    ods = ods.filter("alarm_id is not null and device_id is not null")
-    merged = ods.groupBy(
+    rows = typed(ods, {"alarm_time": "timestamp", "recover_time": "timestamp"}).filter("alarm_id is not null and device_id is not null")
+    merged = rows.groupBy(
         F.concat("device_id", F.lit("_"), "alarm_type", F.lit("_"), bucket).alias("alarm_id"), "device_id",
-        normalize_enum(c("alarm_type"), ALARM_TYPES, "OTHER").alias("alarm_type"), normalize_enum(c("alarm_level"), ALARM_LEVELS, "WARNING").alias("alarm_level"), "dt",
+        normalize_enum(c("alarm_type"), ALARM_TYPES, "OTHER").alias("alarm_type"),
+        normalize_enum(c("alarm_level"), ALARM_LEVELS, "WARNING").alias("alarm_level"), "dt",
     ).agg(
-        F.max(F.coalesce("alarm_content", F.lit(""))).alias("alarm_content"), F.min("alarm_time").alias("alarm_time"), F.max("recover_time").alias("recover_time"), F.max(status).alias("recover_status"))
+        F.max(F.coalesce("alarm_content", F.lit(""))).alias("alarm_content"), F.min("alarm_time").alias("alarm_time"),
+        F.max("recover_time").alias("recover_time"), F.max(status).alias("recover_status"))
     minutes = F.floor((F.unix_timestamp("recover_time") - F.unix_timestamp("alarm_time")) / 60).cast("long")
     return merged.select(
         "alarm_id", "device_id", "alarm_type", "alarm_level", "alarm_content", "alarm_time", "recover_time", "recover_status",
@@ -113,24 +121,31 @@ def dws_alarm_day(alarms: DataFrame, by_device: bool = False) -> DataFrame:
 
 
 def ads_traffic_operation(flow: DataFrame, jam: DataFrame, road: DataFrame, area: DataFrame) -> DataFrame:
-    """Per area and hour; the jam table is summed to that grain before the join, so flows do not fan out."""
-    flows = with_current(flow, road.select("road_id", "area_id"), "road_id")
-    flows = flows.groupBy("area_id", "hour", "dt").agg(
-        F.sum("traffic_count").cast("long").alias("total_vehicle_flow"), rounded(F.sum("total_speed").cast("double") / F.sum("traffic_count")).alias("avg_speed_all"),
+    """Per area and hour; the jam table is summed to that grain before the join, so flows do not fan out.
+
+    The area's peak hour (most flow, of equals the earliest) and busy hours are windows over its at most 24 rows of a day.
+    """
+    flows = with_current(flow, road.select("road_id", "area_id"), "road_id").groupBy("area_id", "hour", "dt").agg(
+        F.sum("traffic_count").cast("long").alias("total_vehicle_flow"),
+        rounded(F.sum("total_speed").cast("double") / F.sum("traffic_count")).alias("avg_speed_all"),
         F.max("traffic_count").alias("peak_flow"), F.countDistinct("road_id").alias("total_road_count"))
-    peak = flows.groupBy("area_id", "dt").agg(F.max(F.struct(c("total_vehicle_flow").alias("f"), (-c("hour")).alias("h"))).alias("top"))
-    peak = peak.select("area_id", "dt", (-c("top.h")).alias("peak_hour"))
+    affected = lambda cond: F.sum(F.when(cond, c("affected_road_count")).otherwise(0)).cast("long")
     jams = jam.groupBy("area_id", "hour", "dt").agg(
-        F.sum(F.when(c("jam_level") >= 3, c("affected_road_count")).otherwise(0)).cast("long").alias("jam_road_count"),
-        F.sum(F.when(c("jam_level") == 5, c("affected_road_count")).otherwise(0)).cast("long").alias("severe_jam_count"),
+        affected(c("jam_level") >= 3).alias("jam_road_count"), affected(c("jam_level") == 5).alias("severe_jam_count"),
         rounded(F.avg("avg_congestion_rate")).alias("avg_congestion_rate"), F.max("avg_congestion_rate").alias("_most"))
-    busy = jams.filter("_most > 50").groupBy("area_id", "dt").agg(F.countDistinct("hour").alias("peak_hour_duration"))
-    out = flows.join(jams, ["area_id", "hour", "dt"], "left").join(peak, ["area_id", "dt"]).join(busy, ["area_id", "dt"], "left").join(area, "area_id")
-    return out.select(
+    day = W.partitionBy("area_id", "dt")
+    jams = jams.withColumn("peak_hour_duration", F.sum(F.when(c("_most") > 50, 1).otherwise(0)).over(day).cast("long")).drop("_most")
+    busy = jams.select("area_id", "dt", "peak_hour_duration").distinct()
+    top = F.max(F.struct(c("total_vehicle_flow").alias("f"), (-c("hour")).alias("h"))).over(day)
+    flows = flows.withColumn("peak_hour", -top["h"])
+    rows = flows.join(jams.drop("peak_hour_duration"), ["area_id", "hour", "dt"], "left").join(busy, ["area_id", "dt"], "left").join(area, "area_id")
+    jammed = F.coalesce("jam_road_count", F.lit(0))
+    return rows.select(
         "city_id", "city_name", "area_id", "area_name", "hour", period(c("hour")).alias("peak_period"), "total_vehicle_flow", "avg_speed_all", "peak_flow", "peak_hour",
-        F.coalesce("jam_road_count", F.lit(0)).alias("jam_road_count"), rounded(percent(F.coalesce("jam_road_count", F.lit(0)), c("total_road_count"))).alias("jam_road_ratio"),
+        jammed.alias("jam_road_count"), rounded(percent(jammed, c("total_road_count"))).alias("jam_road_ratio"),
         F.coalesce("severe_jam_count", F.lit(0)).alias("severe_jam_count"), "avg_congestion_rate", "total_road_count",
-        F.coalesce("peak_hour_duration", F.lit(0)).alias("peak_hour_duration"), rounded(percent(c("total_vehicle_flow"), c("total_road_count") * 3000)).alias("area_saturation"), "dt")
+        F.coalesce("peak_hour_duration", F.lit(0)).alias("peak_hour_duration"),
+        rounded(percent(c("total_vehicle_flow"), c("total_road_count") * 3000)).alias("area_saturation"), "dt")
 
 
 def top_rows(df: DataFrame, n: int, order: list, within: str = "dt") -> DataFrame:
@@ -177,7 +192,7 @@ def ads_device_health_score(health: DataFrame, alarm_device: DataFrame, device:
 def ads_device_mtbf_mttr(alarm_device: DataFrame, device: DataFrame, days: DataFrame) -> DataFrame:
     """Every device on every day of `days`(dt)."""
     per = alarm_device.groupBy("device_id", "dt").agg(F.sum("total_alarm_count").cast("long").alias("n"), F.sum("recovered_count").cast("long").alias("back"), rounded(F.avg("avg_recover_minutes")).alias("mttr"))
-    rows = device.crossJoin(F.broadcast(days)).join(per, ["device_id", "dt"], "left")
+    rows = device.crossJoin(days).join(per, ["device_id", "dt"], "left")
     n = F.coalesce("n", F.lit(0))
     mtbf = F.when(n == 0, 1440.0).otherwise(1440.0 / n)
     return rows.select(

@@ -22,7 +22,7 @@ def read_feed(spark: SparkSession, feed: str, source: str = "kafka", options: di
 
 def decode_text(df: DataFrame, schema: str, sep: str = "\t") -> DataFrame:
     """Positional text to columns; a row that does not fit keeps its text in _corrupt."""
-    parsed = F.from_csv("value", f"{schema}, _corrupt string", {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "nullValue": ""})
+    parsed = F.from_csv("value", f"{schema}, _corrupt string", {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "nullValue": "", "quote": ""})
     return df.select("*", parsed.alias("_r")).select(*[c for c in df.columns if c != "value"], "_r.*")
 
 
@@ -38,14 +38,16 @@ def decode_cdc(df: DataFrame, table: str, columns: list[str], keep_deletes: bool
     return rows.select("type", "ts", "xoffset", *[F.try_element_at("data", F.lit(c)).alias(c) for c in columns])
 
 
-def parse_time(col: str):
-    """Text of a time, or of epoch milliseconds."""
-    return F.coalesce(F.when(F.col(col).rlike(r"^\d{12,}$"), F.timestamp_millis(F.expr(f"try_cast({col} as bigint)"))), F.expr(f"try_cast({col} as timestamp)"))
+def encode_cdc(changes: DataFrame, database: str, table: str) -> DataFrame:
+    """The change records of a table as JSON text `value`: type, ts, xid and xoffset as given, every other column as data."""
+    head = ["type", "ts", "xid", "xoffset"]
+    data = F.struct(*[c for c in changes.columns if c not in head])
+    return changes.select(F.to_json(F.struct(F.lit(database).alias("database"), F.lit(table).alias("table"), *head, data.alias("data"))).alias("value"))
 
 
 def read_landing(spark: SparkSession, path: str, schema: str, day: str | None = None) -> DataFrame:
-    """Tab-separated text under dt=... folders, the empty string as null."""
-    rows = spark.read.csv(path, schema=f"{schema}, dt string", sep="\t", nullValue="", emptyValue="", header=False)
+    """Tab-separated text under dt=... folders, the empty string as null; a line that does not fit keeps its text in _corrupt."""
+    rows = decode_text(spark.read.schema("value string, dt string").text(path), schema)
     return rows if day is None else rows.filter(F.col("dt") == day)
 
 
@@ -70,6 +72,11 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return spark.read.format("jdbc").options(url=url, dbtable=table, **more, **options).load()
 
 
+def full_extract(source: DataFrame, columns: list[str], path: str, day: str, format: str = "orc") -> None:
+    """The whole source as the partition dt = day of a table; other days stay."""
+    write_dt(extract(source, columns).withColumn("dt", F.lit(day)), path, format)
+
+
 class BadRecords(ValueError):
     pass
 
@@ -83,8 +90,13 @@ def within_budget(df: DataFrame, max_rows: int, max_share: float, corrupt: str =
 
 
 def write_dt(df: DataFrame, path: str, format: str = "orc", bloom: list[str] | None = None, by: str = "dt") -> None:
-    """Overwrites the partitions that occur in df and no others; rows of a partition are brought together first."""
-    writer = df.repartition(by).write.mode("overwrite").format(format).option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
+    """Overwrites the partitions that occur in df and no others.
+
+    Rows are brought together by partition, and a large partition is split into files of about
+    spark.sql.adaptive.advisoryPartitionSizeInBytes, so no day is one task's work.
+    """
+    writer = df.hint("rebalance", by).write.mode("overwrite").format(format)
+    writer = writer.option("partitionOverwriteMode", "dynamic").option("compression", "snappy")
     if bloom and format == "orc":
         writer = writer.option("orc.bloom.filter.columns", ",".join(bloom))
     writer.partitionBy(by).save(path)
@@ -102,12 +114,20 @@ def structure_logs(df: DataFrame) -> DataFrame:
     plain = r"^\[?(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d)[^\]]*\]?\s+\[?(\w+)\]?\s+([\w.-]+)\s*[:-]\s*(.*)$"
     pick = lambda field, group: F.coalesce(F.col(f"j.{field}"), F.nullif(F.regexp_extract("value", plain, group), F.lit("")))
     rows = rows.select(F.try_to_timestamp(F.replace(pick("timestamp", 1), F.lit("T"), F.lit(" "))).alias("at"), pick("job", 3).alias("job"), F.upper(pick("level", 2)).alias("level"), F.coalesce(pick("message", 4), "value").alias("message"))
-    component = F.when(F.lower("job").contains("flink") | F.lower("job").contains("stream"), "stream").when(F.lower("job").contains("etl"), "etl").otherwise("other")
+    job = F.lower("job")
+    kinds = [("stream", job.contains("flink") | job.contains("stream")), ("topic", job.contains("kafka")), ("warehouse", job.contains("hive")), ("etl", job.contains("etl"))]
+    component = F.coalesce(*[F.when(cond, name) for name, cond in kinds], F.lit("other"))
     hidden = F.regexp_replace("message", r"(?i)(password|secret|token)=\S+", "$1=***")
     return rows.select(F.to_date("at").cast("string").alias("day"), component.alias("component"), "job", "level", hidden.alias("message"), "at")
 
 
+def write_logs(logs: DataFrame, path: str) -> None:
+    """Structured logs as daily partitions; a day that occurs is written anew."""
+    write_dt(logs.withColumn("day", F.coalesce("day", F.lit("unknown"))), path, "json", by="day")
+
+
 def write_json(df: DataFrame, path: str) -> None:
+    """A report (quality checks, lineage) as JSON lines."""
     df.write.mode("overwrite").json(path)
 
 

@@ -42,13 +42,17 @@ def file_profile(spark: SparkSession, path: str, format: str = "parquet", by: st
 
 
 def _swap(spark: SparkSession, rows: DataFrame, path: str, format: str) -> None:
-    """Writes beside the folder, then puts the new one in its place."""
+    """Writes beside the folder, then puts the new one in its place; if that fails the old one comes back."""
     side = f"{path}.{uuid.uuid4().hex}"
     rows.write.format(format).save(side)
     fs, old = _fs(spark, path)
     new, trash = spark._jvm.org.apache.hadoop.fs.Path(side), spark._jvm.org.apache.hadoop.fs.Path(f"{side}.old")
-    if not fs.rename(old, trash) or not fs.rename(new, old):
+    if not fs.rename(old, trash):
+        fs.delete(new, True)
         raise OSError(f"could not replace {path}")
+    if not fs.rename(new, old):
+        fs.rename(trash, old)
+        raise OSError(f"could not replace {path}; its rows are where they were")
     fs.delete(trash, True)
 
 
@@ -61,11 +65,13 @@ def compact(spark: SparkSession, path: str, target_mb: float = 256, format: str
 
 
 def compact_by(spark: SparkSession, path: str, unit: str, ts: str, format: str = "parquet") -> None:
-    """One file for each three hours ("3h") or day ("day") of `ts`."""
+    """One file for each three hours ("3h") or day ("day") of `ts` from the first to the last; rows without a time go to the first."""
     rows = spark.read.format(format).load(path)
-    bucket = F.date_trunc("day", ts) if unit == "day" else F.window(ts, "3 hours")["start"]
-    n = rows.select(bucket.alias("b")).distinct().count()
-    _swap(spark, rows.repartitionByRange(max(1, n), bucket), path, format)
+    seconds = 86400 if unit == "day" else 3 * 3600
+    bucket = F.floor(F.unix_timestamp(ts) / seconds)
+    low, high = rows.agg(F.min(bucket), F.max(bucket)).first()
+    number = F.coalesce(bucket - F.lit(low), F.lit(0)).cast("int")
+    _swap(spark, rows.repartitionById((high or 0) - (low or 0) + 1, number), path, format)
 
 
 def compact_recent(spark: SparkSession, roots: list[str], days: int, target_mb: float = 256, format: str = "parquet", by: str = "dt") -> dict[str, int]:

@@ -62,16 +62,58 @@ select concat('L', event_id) as alarm_id, concat('D', user_id) as device_id,
   case when event_id % 3 <> 0 then 'RECOVERED' else 'UNRECOVERED' end as recover_status, cast(cast(ts as date) as string) as dt
 from (select * from events where event_type = 'error' union all
       select event_id + 7, ts + interval '40' second, user_id, event_type, value, props from events where event_type = 'error' and event_id % 2 = 0) e
+""",
+    # Dense views: an hour of heartbeats and alarms, so that rules of minutes have matches.
+    "device_pulse": """
+select concat('D', user_id) as device_id, cast((event_id * 37) % 10500 / 100.0 as decimal(5,2)) as cpu_usage,
+  cast((event_id * 53) % 10000 / 100.0 as decimal(5,2)) as memory_usage, cast((event_id * 29) % 1100 / 10.0 as decimal(4,1)) as temperature,
+  case event_type when 'error' then 'OFFLINE' when 'signup' then 'OFFLINE' else 'ONLINE' end as online_flag,
+  timestamp '2024-06-08 10:00:00' + interval '1' second * cast((event_id * 3671) % 4321 as int) as heartbeat_time,
+  cast(-30 - event_id % 70 as int) as signal_strength, '2024-06-08' as dt
+from events
+""",
+    "alarm_pulse": """
+select concat('L', event_id) as alarm_id, concat('D', user_id % 7) as device_id,
+  case event_id % 3 when 0 then 'OFFLINE' when 1 then 'CPU_HIGH' else 'TEMP_HIGH' end as alarm_type,
+  case event_id % 4 when 0 then 'CRITICAL' when 1 then 'MAJOR' when 2 then 'MINOR' else 'WARNING' end as alarm_level,
+  timestamp '2024-06-08 10:00:00' + interval '1' second * cast((event_id * 3671) % 7207 as int) as alarm_time, '2024-06-08' as dt
+from events where event_type = 'error'
+""",
+    # Feeds as the topics carry them: delimited text, JSON and change records.
+    "status_text": """
+select concat_ws('\t', road_id, cast(avg_speed as string), cast(traffic_flow as string), cast(jam_level as string), cast(congestion_rate as string), peak_flag, cast(sample_time as string)) as value, dt
+from traffic_status
+""",
+    "status_json": """
+select concat('{"road_id": "', road_id, '", "avg_speed": ', cast(avg_speed as string), ', "jam_level": ', cast(jam_level as string), '}') as value from traffic_status
+""",
+    "road_changes": """
+select concat('{"database": "traffic", "table": "', case when s_suppkey % 9 = 0 then 'other' else 'road' end, '", "type": "',
+  case s_suppkey % 5 when 0 then 'delete' when 1 then 'insert' else 'update' end, '", "ts": ', cast(1717804800 + s_suppkey as string), ', "xid": 1, "xoffset": ', cast(s_suppkey as string),
+  ', "data": {"road_id": "R', cast(s_suppkey as string), '", "speed_limit": "', cast(s_suppkey % 5 * 20 + 40 as string), '"}}') as value
+from supplier
+""",
+    "job_logs": """
+select case when event_id % 2 = 0
+  then concat('{"timestamp": "', cast(cast(ts as date) as string), 'T10:00:00", "job": "', case event_id % 3 when 0 then 'flink-count' when 1 then 'hive-load' else 'etl-day' end, '", "level": "info", "message": "row ', cast(event_id as string), ' token=abc"}')
+  else concat(cast(cast(ts as date) as string), ' 11:00:00 ERROR kafka-feed: it failed at ', cast(event_id as string)) end as value
+from events
 """,
 }
 TABLES = ("region", "nation", "customer", "supplier", "events")
+#: Views over another view.
+OVER = {"status_text": "traffic_status", "status_json": "traffic_status"}
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The role view, or else the table, of that name."""
     if name not in SQL:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql, used = SQL[name], [t for t in TABLES if re.search(rf"\b(from|join) {t}\b", SQL[name])]
+    sql, used = SQL[name].replace("{", "{{").replace("}", "}}"), [t for t in TABLES if re.search(rf"\b(from|join) {t}\b", SQL[name])]
     for t in used:
         sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used}
+    if name in OVER:
+        sql = re.sub(rf"\b(from|join) {OVER[name]}\b", rf"\1 {{{OVER[name]}}}", sql)
+        given[OVER[name]] = role(spark, sf_dir, OVER[name])
+    return spark.sql(sql, **given)

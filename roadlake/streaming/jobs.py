@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import mean, rounded
+from ..operators.clean import dedup
+from ..operators.dims import scd2_from_cdc
 from ..plans.warehouse import dws_road_hour_flow
+from ..sources.shared import delete
 
 
 def road_counts(df: DataFrame, minutes: int = 5, delay: str = "30 seconds", ts: str = "pass_time") -> DataFrame:
@@ -39,39 +43,35 @@ def split_late(batch: DataFrame, watermark, ts: str) -> tuple[DataFrame, DataFra
 
 
 def tee_late(path_on_time: str, path_late: str, ts: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the greatest time seen and writes late rows apart.
+    """A foreachBatch sink that writes rows older than the watermark apart.
 
-    Each batch writes to its own folder by overwrite, so a repeated batch does not double rows.
+    Each batch writes to its own folder by overwrite, so a repeated batch does not double rows. The greatest time seen up
+    to a batch lies beside the rows, so a restarted job goes on with the watermark that it had.
     """
-    seen: dict[int, object] = {}
+    marks = f"{path_on_time}_marks"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        import datetime as dt
-
-        before = [v for k, v in seen.items() if k < batch_id and v is not None]
-        mark = max(before) - dt.timedelta(seconds=delay_seconds) if before else None
-        good, late = split_late(batch, mark, ts) if mark is not None else (batch, batch.limit(0))
+        spark = batch.sparkSession
+        last = latest_version(spark, marks, batch_id)
+        seen = None if last is None else spark.read.parquet(f"{marks}/version={last}").first()[0]
+        if seen is None:
+            good, late = batch, batch.limit(0)
+        else:
+            good, late = split_late(batch, seen - dt.timedelta(seconds=delay_seconds), ts)
         good.write.mode("overwrite").parquet(f"{path_on_time}/batch={batch_id}")
         late.write.mode("overwrite").parquet(f"{path_late}/batch={batch_id}")
-        seen[batch_id] = batch.agg(F.max(ts)).first()[0]
+        newest = batch.agg(F.greatest(F.max(ts), F.lit(seen).cast("timestamp")).alias("seen"))
+        newest.write.mode("overwrite").parquet(f"{marks}/version={batch_id}")
+        drop_versions(spark, marks, batch_id)
 
     return sink
 
 
 def repair_hours(detail: DataFrame, late: DataFrame) -> DataFrame:
-    """The hour table of the days that late rows touch, from the detail rows with them."""
+    """The hour table of the days that late rows touch, from the detail rows with them; of rows of one pass the first counts."""
     days = late.select("dt").distinct()
-    rows = detail.join(F.broadcast(days), "dt").unionByName(late)
-    return dws_road_hour_flow(rows.dropDuplicates(["vehicle_id", "pass_time"]))
-
-
-def alert_rows(matches: DataFrame, level: str, kind: str, key: str = "device_id") -> DataFrame:
-    return matches.select(F.lit(level).alias("alert_level"), F.lit(kind).alias("alert_type"), key, "first_ts", "last_ts", F.format_string(f"%s: {kind} from %s to %s", F.col(key), F.col("first_ts").cast("string"), F.col("last_ts").cast("string")).alias("message"))
-
-
-def alert_text(alerts: DataFrame) -> DataFrame:
-    """The delimited text of the alert topic."""
-    return alerts.select(F.concat_ws("|", F.lit("ALERT"), "alert_level", "alert_type", "message").alias("value"))
+    rows = detail.join(days, "dt", "left_semi").unionByName(late)
+    return dws_road_hour_flow(dedup(rows, ["vehicle_id", "pass_time"]))
 
 
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
@@ -79,6 +79,12 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
 
 
+def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs what the source has now into Parquet files, from where the checkpoint stands; the file sink is exactly-once."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+
+
 def upsert_latest(path: str, key: str, ts: str) -> Callable[[DataFrame, int], None]:
     """A sink that keeps the newest row of each key in a table of snapshots, one for each batch."""
 
@@ -89,6 +95,37 @@ def upsert_latest(path: str, key: str, ts: str) -> Callable[[DataFrame, int], No
         if old is not None:
             rows = batch.unionByName(spark.read.parquet(f"{path}/version={old}"))
         newest(rows, key, ts).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        drop_versions(spark, path, batch_id)
+
+    return sink
+
+
+def drop_versions(spark: SparkSession, path: str, newest_id: int, keep: int = 2) -> None:
+    """Removes snapshots but the last `keep` up to newest_id: a reader of the one before may still be at work."""
+    done = sorted(v for v in _versions(spark, path) if v <= newest_id)
+    for v in done[:-keep]:
+        delete(spark, f"{path}/version={v}")
+
+
+def cdc_snapshots(path: str, key: str, tracked: list[str], columns: str) -> Callable[[DataFrame, int], None]:
+    """A sink for decoded change records that keeps a dimension's history, one snapshot for each batch.
+
+    columns: schema of the dimension's own columns. The day of a batch is that of its last change; a repeated batch
+    starts from the snapshot before it again.
+    """
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        day = batch.agg(F.to_date(F.timestamp_seconds(F.max("ts"))).cast("string")).first()[0]
+        if day is None:
+            return
+        old = latest_version(spark, path, batch_id)
+        if old is None:
+            prev = spark.createDataFrame([], f"{columns}, start_time string, end_time string, is_current string, dt string")
+        else:
+            prev = spark.read.parquet(f"{path}/version={old}")
+        scd2_from_cdc(prev, batch, key, tracked, day).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        drop_versions(spark, path, batch_id)
 
     return sink
 
@@ -97,15 +134,19 @@ def newest(rows: DataFrame, key: str, ts: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(ts), F.xxhash64(*rows.columns))).alias("r")).select("r.*")
 
 
-def latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """Greatest finished snapshot, before `below` if given; listed by the file system that holds the path."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished snapshots, listed by the file system that holds the path."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
-        return None
-    names = [s.getPath() for s in fs.listStatus(hadoop)]
-    done = [int(p.getName().split("=")[1]) for p in names if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max([v for v in done if below is None or v < below], default=None)
+        return []
+    found = [s.getPath() for s in fs.listStatus(hadoop)]
+    return [int(p.getName().split("=")[1]) for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
+def latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """Greatest finished snapshot, before `below` if given."""
+    return max([v for v in _versions(spark, path) if below is None or v < below], default=None)
 
 
 def read_latest(spark: SparkSession, path: str, ttl_s: int, as_of: str, ts: str = "update_time") -> DataFrame:
@@ -115,7 +156,8 @@ def read_latest(spark: SparkSession, path: str, ttl_s: int, as_of: str, ts: str
 
 
 def recent(df: DataFrame, n: int = 100, ts: str = "ts") -> DataFrame:
-    return df.orderBy(F.desc(ts)).limit(n)
+    """The newest n rows; of one time in the order of the other columns."""
+    return df.orderBy(F.desc(ts), *[c for c in df.columns if c != ts]).limit(n)
 
 
 def ranked(df: DataFrame, score: str, n: int) -> DataFrame:
@@ -133,6 +175,22 @@ def city_overview(roads: DataFrame, devices: DataFrame) -> DataFrame:
     return a.crossJoin(devices.agg(F.count("*").alias("devices"), F.sum(F.when(F.col("online_flag") == "ONLINE", 1).otherwise(0)).cast("long").alias("online")))
 
 
+def quality_status(results: DataFrame) -> DataFrame:
+    """One row: the mean rate of each kind of check, the backlog and the newest day of the check results."""
+    rate = lambda kind: rounded(F.avg(F.when(F.col("check_type") == kind, F.col("rate").cast("decimal(10,2)"))))
+    return results.agg(
+        *[rate(k).alias(f"{k}_rate") for k in ("completeness", "uniqueness", "validity")],
+        F.sum(F.when(F.col("check_type") == "backlog", F.col("value"))).cast("long").alias("backlog"), F.max("dt").alias("last_check"))
+
+
+def payload(overview: DataFrame, quality: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """One row with the JSON of a serving page: two one-row views, and lists (each cut to its length before) by name."""
+    out = overview.select(F.struct(*overview.columns).alias("city_overview")).crossJoin(quality.select(F.struct(*quality.columns).alias("quality")))
+    for name, rows in lists.items():
+        out = out.crossJoin(rows.agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias(name)))
+    return out.select(F.to_json(F.struct(*out.columns)).alias("payload"))
+
+
 def one(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.filter(F.col(key) == value)
 

@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from roadlake.operators import alerts, clean, dims, joins, lineage, quality, series, skew
-from roadlake.operators.anomaly import IForest, device_anomaly
+from roadlake.operators.anomaly import IForest, average_depth, device_anomaly, score_at_rank
 
 ROAD = "road_id string, speed_limit int, lanes int"
 
@@ -93,6 +94,16 @@ def test_lineage_survives_cycles(spark):
     assert {r.path for r in lineage.trace(edges, "b", "x").collect()} == {"b <- a <- z"}
 
 
+def test_lineage_of_layers_and_long_chains(spark):
+    layers = [(f"l{i}_{a}", f"l{i + 1}_{b}") for i in range(8) for a in range(6) for b in range(6)]
+    got = {r.table_name: r.depth for r in lineage.downstream(spark.createDataFrame(layers, "src string, dst string"), "l0_0").collect()}
+    assert got == {f"l{i}_{b}": i for i in range(1, 9) for b in range(6)}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(60)], "src string, dst string")
+    assert {r.table_name: r.depth for r in lineage.upstream(chain, "n60").collect()} == {f"n{i}": 60 - i for i in range(60)}
+    assert lineage.downstream(chain, "n0", max_depth=7).count() == 7
+    assert lineage.downstream(chain, "nowhere").count() == 0
+
+
 def test_quality_counts_once_and_per_column(spark):
     df = spark.createDataFrame([(None, None, "d"), ("a", "b", "d")], "x string, y string, dt string")
     r = quality.completeness(df, ["x", "y"], "t").first()
@@ -109,6 +120,72 @@ def test_forest_finds_the_outlier(spark):
     assert few.filter("is_anomaly").count() == 0
 
 
+def plain_length(node, nodes, x, depth=0):
+    column, cut, low, high = nodes[node]
+    return cut if column < 0 else plain_length(int(low) if x[int(column)] < cut else int(high), nodes, x, depth + 1)
+
+
+def test_forest_by_plain_walks(spark):
+    """Scores and the limit against a walk of every row through every tree, whatever the layout of the input."""
+    rng = np.random.default_rng(2)
+    rows = [(i, *map(float, rng.normal(0, 1, 2).round(1))) for i in range(400)] + [(900 + i, 0.0, 0.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    forest = IForest(n=20, sample=64, contamination=0.1, seed=5).fit(df, ["a", "b"])
+    again = IForest(n=20, sample=64, contamination=0.1, seed=5).fit(df.repartition(7), ["a", "b"])
+    assert all(np.array_equal(x, y) for x, y in zip(forest.trees, again.trees)) and forest.size == 64
+    got = {r.id: (r.score, r.is_anomaly) for r in forest.score(df).collect()}
+    want = {i: round(2 ** (-np.mean([plain_length(0, t, x) for t in forest.trees]) / average_depth(64)), 12) for i, *x in rows}
+    assert all(abs(got[i][0] - want[i]) < 1e-11 for i in want)
+    limit = sorted((s for s, _ in got.values()), reverse=True)[49]
+    assert all(bad == (s > limit) for s, bad in got.values()) and 0 < sum(bad for _, bad in got.values()) < 50
+
+
+def test_forest_on_few_values_and_many_rows(spark):
+    """Rows of one value that are most of the input do not fill a tree's group beyond its share."""
+    df = spark.range(30000).select(F.when(F.col("id") < 29000, 0.0).otherwise(F.col("id") % 50 + 1.0).alias("a"))
+    forest = IForest(n=5, sample=32, seed=1).fit(df, ["a"])
+    assert len(forest.trees) == 5 and forest.size == 32
+
+
+def test_score_at_rank(spark):
+    v = [0.5, 0.5, 1.0, 0.123456789012, 0.123456789011, 0.0]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "score double")
+    assert [score_at_rank(df, k) for k in (1, 2, 3, 4, 5, 6)] == sorted(v, reverse=True) and score_at_rank(df, 7) is None
+
+
+def test_long_histories_are_cut_without_loss(spark):
+    """Matches, gaps, spikes and silences across the ends of the blocks of time that a key is dealt by."""
+    rng = np.random.default_rng(4)
+    base = dt.datetime(2026, 6, 7, 23)
+    at = sorted({int(x) for x in rng.integers(0, 90000, 700)})
+    rows = [("d", base + dt.timedelta(seconds=s), "OFFLINE" if rng.random() < 0.8 else "ONLINE", float(rng.integers(1, 9))) for s in at]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, v string, f double")
+    times, states = [r[1] for r in rows], [r[2] for r in rows]
+    want = {(times[i - 2], times[i]) for i in range(2, len(rows)) if states[i - 2 : i + 1] == ["OFFLINE"] * 3 and (times[i] - times[i - 2]).total_seconds() < 400}
+    assert {(r.first_ts, r.last_ts) for r in series.sequence(df, "k", "ts", F.col("v") == "OFFLINE", 3, 400).collect()} == want
+    pauses = {(a, b) for a, b in zip(times, times[1:]) if (b - a).total_seconds() > 240}
+    assert {(r.gap_start, r.gap_end) for r in series.gaps(df, "k", "ts", 4).collect()} == pauses
+    state, spikes = None, []
+    for _, t, _, f in rows:
+        state, hit = series.spike_step(state, f, 0.2, 1.5, 5)
+        spikes += [(t, round(hit, 9))] if hit is not None else []
+    by_hour = series.flow_spike(df, "k", "ts", "f", factor=1.5, block=series.blocks("ts", 3600))
+    assert sorted((r.ts, round(r.history_avg, 9)) for r in by_hour.collect()) == spikes and spikes
+    last, sent = None, set()
+    for t in times:
+        if last is None or (t - last).total_seconds() >= 600:
+            last = t
+            sent.add(t)
+    assert {r.ts for r in alerts.suppress(df, "k", "ts", 10).filter("sent").collect()} == sent
+
+
+def test_suppression_of_ties_and_nulls(spark):
+    t = dt.datetime(2026, 6, 8, 10)
+    df = spark.createDataFrame([("a", t, 1), ("a", t, 2), (None, t, 3), ("a", None, 4), (None, None, 5)], "k string, ts timestamp, v int")
+    got = alerts.suppress(df, "k", "ts").collect()
+    assert len(got) == 5 and sum(r.sent for r in got if r.k == "a" and r.ts) == 1 and all(r.sent for r in got if r.v >= 3)
+
+
 def test_escalation_and_routing(spark):
     df = spark.createDataFrame([("1", "MAJOR", dt.datetime(2026, 6, 8, 2, 30), "UNRECOVERED", "2026-06-08"), ("2", "CRITICAL", dt.datetime(2026, 6, 8, 2, 30), "RECOVERED", "2026-06-08")], "alarm_id string, severity string, alarm_time timestamp, recover_status string, dt string")
     policy = alerts.policy_table(spark)

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from roadlake.plans.run import run_day
+from roadlake.functions.columns import to_time
+from roadlake.plans.run import replay, run_day
 from roadlake.sources import io, maintain, schemas
 from roadlake.sources.roles import role
 
@@ -24,7 +25,7 @@ def test_cdc_and_times(spark):
     df = spark.createDataFrame([(line,)], "value string")
     assert io.decode_cdc(df, "road", ["road_id"]).first().road_id == "R1"
     assert io.decode_cdc(df, "road", ["road_id"], keep_deletes=False).count() == 0
-    t = spark.createDataFrame([("1780000000000",), ("2026-06-08 10:00:00",), ("x",)], "t string").select(io.parse_time("t").alias("t")).collect()
+    t = spark.createDataFrame([("1780000000000",), ("2026-06-08 10:00:00",), ("x",)], "t string").select(to_time(F.col("t")).alias("t")).collect()
     assert t[1].t == dt.datetime(2026, 6, 8, 10) and t[0].t is not None and t[2].t is None
 
 
@@ -80,6 +81,99 @@ def test_backfill_limits():
         io.backfill(lambda a, b: None, "2026-01-01", "2026-06-03", "2026-06-08")
 
 
+GOOD = {
+    "traffic_vehicle": ["V1\tR1\tD1\t2026-06-08 07:10:00\t50\tN\tP1\tSMALL\t1", "V2\tR1\tD1\t2026-06-08 07:20:00\t70\t\tP2\tLARGE\t2"],
+    "traffic_status": ["R1\t40\t100\t3\t45.5\tNORMAL\t2026-06-08 07:00:00", "R1\t10\t100\t5\t80\tPEAK_HOUR\t2026-06-08 08:00:00"],
+    "device_status": ["D1\t50.5\t60\t30.5\tONLINE\t2026-06-08 07:00:00\t-50\tCAMERA", "D1\t95\t60\t30.5\tOFFLINE\t1780904000000\t-50\tRADAR"],
+    "device_alarm": ["L1\tD1\tOFFLINE\tMAJOR\tx\t2026-06-08 07:00:00\t2026-06-08 07:30:00\tRECOVERED"],
+}
+BAD = {
+    "traffic_vehicle": ["V3\tR1\tD1\tsoon\tfast\tN\tP1\tSMALL\tx"], "traffic_status": ["R1\tx\ty\tz\tmuch\tNORMAL\tnever"],
+    "device_status": ["D1\tn/a\t60\t30\tONLINE\t?\t-50\tCAMERA"], "device_alarm": ["\tD1\tOFFLINE\tMAJOR\tx\tnever\t\tRECOVERED"],
+}
+LANDING = {"traffic_vehicle": "vehicle_pass", "traffic_status": "traffic_status", "device_status": "device_status", "device_alarm": "alarm_log"}
+
+
+def landed(spark, base, lines):
+    out = {}
+    for feed, table in LANDING.items():
+        day = base / table / "dt=2026-06-08"
+        day.mkdir(parents=True)
+        (day / "a.txt").write_text("\n".join(lines[feed]) + "\n")
+        out[table] = io.within_budget(io.read_landing(spark, str(base / table), schemas.FEEDS[feed], "2026-06-08"), 0, 50.0)
+    out["road"] = spark.createDataFrame([("R1", "Main", "BRANCH", 4, 60, "A1")], "road_id string, road_name string, road_type string, lane_count int, speed_limit int, area_id string")
+    out["area"] = spark.createDataFrame([("A1", "North", "C1", "City")], "area_id string, area_name string, city_id string, city_name string")
+    out["device"] = spark.createDataFrame([("D1", "Cam", "CAMERA", "M", "R1")], "device_id string, device_name string, device_type string, manufacturer string, road_id string")
+    return out
+
+
+def test_landing_text_to_tables(spark, tmp_path):
+    """Good text of all four feeds reaches the last layer; bad fields drop their row and raise nothing."""
+    for name, lines in (("good", GOOD), ("both", {k: v + BAD[k] for k, v in GOOD.items()})):
+        root = str(tmp_path / name / "tables")
+        report = replay(spark, landed(spark, tmp_path / name / "ods", lines), root, "2026-06-08", "2026-06-08", "2026-06-10")
+        assert report.count() == 1
+        rows = {t: spark.read.parquet(f"{root}/{t}").count() for t in ("dwd_vehicle_pass", "dwd_traffic_status", "dwd_device_status", "dwd_alarm_log", "ads_device_health_score", "ads_traffic_operation")}
+        assert rows == {"dwd_vehicle_pass": 2, "dwd_traffic_status": 2, "dwd_device_status": 2, "dwd_alarm_log": 1, "ads_device_health_score": 1, "ads_traffic_operation": 1}
+        status = spark.read.parquet(f"{root}/dwd_device_status")
+        assert dict(status.dtypes)["cpu_usage"] == "decimal(5,2)" and status.filter("health_flag = 'ABNORMAL'").count() == 1
+        assert status.filter("heartbeat_time is null").count() == 0
+    with pytest.raises(ValueError):
+        replay(spark, {}, "", "2026-01-01", "2026-01-02", "2026-06-08")
+
+
+def test_lines_that_do_not_fit_count_against_the_budget(spark, tmp_path):
+    with pytest.raises(io.BadRecords):
+        landed(spark, tmp_path, {**GOOD, "traffic_status": ["R1\t40"] * 3})
+
+
+def test_a_large_day_is_several_files(spark, tmp_path):
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        rows = spark.range(0, 200_000, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("v"), F.when(F.col("id") < 1000, "a").otherwise("b").alias("dt"))
+        io.write_dt(rows, str(tmp_path / "t"), "parquet")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    n = {r.dt: r.file_count for r in maintain.file_profile(spark, str(tmp_path / "t")).collect()}
+    assert n["a"] == 1 and n["b"] > 3 and spark.read.parquet(str(tmp_path / "t")).count() == 200_000
+
+
+def test_file_tail_and_catalog(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(GOOD["traffic_status"]))
+    stream = io.read_feed(spark, "traffic_status", "text", {"path": str(tmp_path / "in")})
+    decoded = io.decode_text(stream, schemas.TRAFFIC_STATUS)
+    q = decoded.writeStream.format("memory").queryName("tail").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {r.road_id for r in spark.table("tail").collect()} == {"R1"} and "collect_time" in spark.table("tail").columns
+    io.full_extract(spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string"), ["id"], str(tmp_path / "dim"), "2026-06-08", "parquet")
+    spark.sql("drop table if exists dim_copy")
+    io.register(spark, "dim_copy", str(tmp_path / "dim"), "parquet")
+    assert spark.table("dim_copy").count() == 2
+    spark.sql("drop table dim_copy")
+    io.write_json(spark.table("tail").limit(1), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 1
+
+
+def test_relational_source(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).selectExpr("cast(id as int) as ID", "cast(id % 7 as int) as V").write.jdbc(url, "t", properties={"driver": driver})
+    whole = io.read_jdbc(spark, url, "t", "ID", 0, 100, 4, driver=driver)
+    assert whole.rdd.getNumPartitions() == 4 and whole.count() == 100
+    plan = io.extract(whole, ["ID"], 10, 20, at="ID")
+    assert plan.count() == 10 and "*GreaterThanOrEqual(ID,10), *LessThan(ID,20)]" in plan._jdf.queryExecution().toString()
+
+
+def test_one_file_a_bucket(spark, tmp_path):
+    rows = spark.range(480).select("id", F.timestamp_seconds(F.col("id") * 360 + 1717200000).alias("ts"))
+    rows.repartition(6).write.parquet(str(tmp_path / "t"))
+    maintain.compact_by(spark, str(tmp_path / "t"), "3h", "ts")
+    per = spark.read.parquet(str(tmp_path / "t")).groupBy(F.input_file_name().alias("f")).agg(F.countDistinct(F.floor(F.unix_timestamp("ts") / 10800)).alias("n"))
+    assert {r.n for r in per.collect()} == {1} and per.count() == 16
+
+
 def test_run_day_equals_whole_build(spark, sf_dir, tmp_path):
     from roadlake.plans.warehouse import Warehouse
 

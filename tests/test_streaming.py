@@ -1,12 +1,14 @@
 """Each stream job against its batch twin over a file stream."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from roadlake.operators import series
-from roadlake.streaming import jobs, stateful
+from roadlake.operators import alerts, series
+from roadlake.sources import io
+from roadlake.streaming import jobs, rules, stateful
 
 BASE = dt.datetime(2026, 6, 8, 10)
 FAR = dt.datetime(2026, 6, 9, 10)
@@ -81,12 +83,96 @@ def test_latest_view_and_late_rows(spark, tmp_path):
     assert [r.n for r in spark.read.parquet(str(tmp_path / "late")).collect()] == [2]
 
 
+def test_late_mark_outlives_a_restart(spark, tmp_path):
+    schema = "road_id string, n int, update_time timestamp"
+    make = lambda: jobs.tee_late(str(tmp_path / "ok"), str(tmp_path / "late"), "update_time", 30)
+    make()(spark.createDataFrame([("R1", 1, BASE + dt.timedelta(minutes=5))], schema), 0)
+    make()(spark.createDataFrame([("R1", 2, BASE)], schema), 1)
+    make()(spark.createDataFrame([("R1", 3, BASE), ("R1", 4, BASE + dt.timedelta(minutes=5))], schema), 2)
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "late")).collect()) == [2, 3]
+
+
 def test_alert_text_and_counters(spark):
-    m = spark.createDataFrame([("D1", BASE, BASE)], "device_id string, first_ts timestamp, last_ts timestamp")
-    assert jobs.alert_text(jobs.alert_rows(m, "MAJOR", "OFFLINE")).first().value.startswith("ALERT|MAJOR|OFFLINE|D1")
+    m = spark.createDataFrame([("D1", "OFFLINE", BASE, BASE)], "device_id string, rule string, first_ts timestamp, last_ts timestamp")
+    assert rules.alert_text(rules.alert_rows(m)).first().value == "ALERT|CRITICAL|OFFLINE|Device D1 continuous offline detected at 1780912800000"
     assert jobs.counters(m, "first_ts").first().n == 1
 
 
+def heartbeats(seconds, device="D1", flag="OFFLINE"):
+    return [(device, BASE + dt.timedelta(seconds=s), flag, 10.0, 20.0) for s in seconds]
+
+
+def test_rules_to_alerts_to_sink_over_a_restart(spark, tmp_path):
+    """Heartbeats to suppressed alert text in one job, stopped after the first part; equal to the batch twin."""
+    schema = "device_id string, heartbeat_time timestamp, online_flag string, cpu_usage double, temperature double"
+    parts = [heartbeats(range(0, 400, 50)), heartbeats(range(400, 3000, 80)), [("Z", FAR, "ONLINE", 1.0, 1.0)], [("Z", FAR + dt.timedelta(days=1), "ONLINE", 1.0, 1.0)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        jobs.start(rules.alerts_of(stream), rules.text_sink(str(tmp_path / "out")), str(tmp_path / "ck"), {"availableNow": True}).awaitTermination(120)
+    got = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
+    batch = rules.alert_rows(rules.matches(spark.createDataFrame(parts[0] + parts[1], schema))).withColumn("kind", F.concat("device_id", "alert_type"))
+    want = sorted(r.value for r in rules.alert_text(alerts.suppress(batch, "kind", "last_ts", 30).filter("sent")).collect())
+    assert got == want and len(want) >= 2
+
+
+def test_suppression_stream_equals_batch(spark, tmp_path):
+    schema = "k string, ts timestamp, v string"
+    rows = [("a", BASE + dt.timedelta(minutes=m), str(m)) for m in (20, 0, 40, 60, 71, 300)]
+    s = stream_of(spark, tmp_path / "in", [rows, [("z", FAR, "x")], [("z", FAR + dt.timedelta(hours=1), "x")]], schema)
+    got = collected(spark, stateful.suppress_stream(s, ["k"], "ts", 30), "quiet", tmp_path)
+    want = alerts.suppress(spark.createDataFrame(rows, schema), "k", "ts", 30).filter("sent")
+    assert sorted(r.v for r in got.filter("k = 'a'").collect()) == sorted(r.v for r in want.collect()) and want.count() == 4
+
+
+def test_idle_state_is_removed(spark, tmp_path):
+    """The state rows of a run fall back once keys have been idle for as long as their rules reach."""
+    schema = "k string, ts timestamp, v string"
+    many = [(f"k{i}", BASE, "OFFLINE") for i in range(50)]
+    s = stream_of(spark, tmp_path / "in", [many, [("z", FAR, "x")], [("z", FAR + dt.timedelta(hours=1), "x")], [("z", FAR + dt.timedelta(hours=2), "x")]], schema)
+    out = stateful.sequence_stream(s, "k", "ts", {"off3": (F.col("v") == "OFFLINE", 3, 180)})
+    q = out.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    counts = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(counts) >= 100 and counts[-1] <= 8
+
+
+def test_running_counter(spark, tmp_path):
+    schema = "k string, ts timestamp"
+    s = stream_of(spark, tmp_path / "in", [[("a", BASE), ("b", BASE)], [("a", BASE), ("c", FAR)]], schema)
+    got = collected(spark, jobs.counters(s, "ts"), "running", tmp_path, "complete")
+    assert {(r.day, r.n) for r in got.collect()} == {("2026-06-08", 3), ("2026-06-09", 1)}
+
+
+def test_change_records_as_a_stream(spark, tmp_path):
+    """Each batch of change records makes the next snapshot; a repeated batch makes the same one."""
+    schema = "type string, ts long, xoffset long, road_id string, speed_limit int"
+    day = 1780876800
+    sink = jobs.cdc_snapshots(str(tmp_path / "dim"), "road_id", ["speed_limit"], "road_id string, speed_limit int")
+    sink(spark.createDataFrame([("insert", day, 1, "A", 50), ("insert", day, 2, "B", 60)], schema), 0)
+    for _ in range(2):
+        sink(spark.createDataFrame([("update", day + 86400, 3, "A", 70), ("delete", day + 86400, 4, "B", 60)], schema), 1)
+    newest = spark.read.parquet(f"{tmp_path}/dim/version={jobs.latest_version(spark, str(tmp_path / 'dim'))}")
+    assert sorted((r.road_id, r.is_current, r.speed_limit) for r in newest.collect()) == [("A", "N", 50), ("A", "Y", 70), ("B", "N", 60)]
+    text = io.encode_cdc(spark.createDataFrame([("insert", 1, 1, 2, "A", "50")], "type string, ts long, xid long, xoffset long, road_id string, speed_limit string"), "d", "road")
+    assert [tuple(r) for r in io.decode_cdc(text, "road", ["road_id", "speed_limit"]).collect()] == [("insert", 1, 2, "A", "50")]
+
+
+def test_snapshots_do_not_pile_up(spark, tmp_path):
+    sink = jobs.upsert_latest(str(tmp_path / "view"), "road_id", "update_time")
+    for i in range(4):
+        sink(spark.createDataFrame([("R1", i, BASE + dt.timedelta(minutes=i))], "road_id string, n int, update_time timestamp"), i)
+    assert sorted(p.name for p in (tmp_path / "view").iterdir()) == ["version=2", "version=3"]
+
+
+def test_payload(spark):
+    one = spark.createDataFrame([(3, 1.5)], "roads int, avg_speed double")
+    status = spark.createDataFrame([(99.0,)], "completeness_rate double")
+    top = spark.createDataFrame([(2, "R2"), (1, "R1")], "rank int, road_id string")
+    got = json.loads(jobs.payload(one, status, {"top_jam_roads": top}).first().payload)
+    assert got["city_overview"]["roads"] == 3 and [r["road_id"] for r in got["top_jam_roads"]] == ["R1", "R2"] and got["quality"]["completeness_rate"] == 99.0
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_serving_reads(spark, n):
     df = spark.createDataFrame([(f"R{i}", i, BASE + dt.timedelta(minutes=i), 10.0) for i in range(5)], "road_id string, n int, ts timestamp, avg_speed double")
