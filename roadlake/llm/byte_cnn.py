@@ -7,7 +7,9 @@ overlap by WIDTH - 1 bytes, so every place of the whole text is covered once;
 each filter is rectified and max-pooled within a chunk, and the mean and the
 maximum over chunks feed a hidden layer and one logit. Fitted by
 backpropagation in one task on at most PER_CLASS labelled documents of each
-class, of the training folds only.
+class, of the training folds only; each pass reads at most TRAIN_CHUNKS chunks
+of a training text, drawn anew. Scoring reads all chunks, and a text's score
+does not depend on its neighbours: every sum runs along one text only.
 
 Defined results: a null or empty text is one chunk of zero bytes; repeated rows
 get equal scores; without usable labels of both classes the score is 0; an
@@ -66,8 +68,9 @@ class Network:
         return np.take_along_axis(held, at[:, None], 1)[:, 0] + self.w["bias"], at
 
     def head(self, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hidden = np.tanh(feats @ self.w["in"] + self.w["bin"])
-        return hidden, hidden @ self.w["out"] + self.w["b"]
+        # Sums by axis, not matrix products, whose last bits can vary with the number of rows.
+        hidden = np.tanh((feats[:, :, None] * self.w["in"]).sum(axis=1) + self.w["bin"])
+        return hidden, (hidden * self.w["out"]).sum(axis=1) + self.w["b"]
 
 
 def features(values: np.ndarray, first: np.ndarray) -> np.ndarray:

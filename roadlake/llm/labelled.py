@@ -19,12 +19,15 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
-    """doc_id, text, y: at most per_class documents of each label, the first by a hash of doc_id, none of the held-out fold."""
+    """doc_id, text, y: at most per_class documents of each label, the first by a hash of doc_id, none of the held-out fold.
+
+    Of several texts of one doc_id the least counts, so the bound is one of rows.
+    """
     usable = labels.filter((fold("doc_id", folds) != held) & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = usable.select("doc_id", F.col(label).cast("int").alias("y"), F.xxhash64("doc_id").alias("h")).distinct()
     picked = [chosen.filter(F.col("y") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(picked[0].union(picked[1]).select("doc_id", "y"))  # at most 2 * per_class rows
-    return docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").distinct()
+    return docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) -> object:

@@ -4,8 +4,14 @@ A word enters as the sum of a hashed word vector and the mean of its hashed
 character-gram vectors (with marks for its ends). Overlapping windows of WINDOW
 words, STRIDE apart, cover the whole text; each is read in both directions,
 attention pools the states to one logit, and the document's logit is the log of
-the mean of exp over its windows. Fitted by backpropagation in one task on at most PER_CLASS labelled documents of each class, out of the training folds
-only; labels, language, source and doc_id are not inputs.
+the mean of exp over its windows. Fitted by backpropagation in one task on at
+most PER_CLASS labelled documents of each class, out of the training folds only;
+each pass reads at most TRAIN_WINDOWS windows of a training text, drawn anew.
+Scoring reads all windows. Labels, language, source and doc_id are not inputs.
+
+A text's score does not depend on its neighbours: matrix products have one fixed
+shape (blocks of BLOCK words and of ROWS windows, filled up), and other sums run
+along one text only.
 
 Defined results: a null or wordless text has one empty window, whose score is
 that of no evidence; repeated rows get equal scores; without usable labels of
@@ -36,7 +42,7 @@ TRAIN_WINDOWS = 5
 EPOCHS, BATCH, RATE = 6, 48, 0.01
 LEAST_STEPS = 200
 THRESHOLD = 0.7
-CACHE, ROWS = 150_000, 2048
+CACHE, ROWS, BLOCK = 150_000, 1024, 512
 FOLDS, HELD = 3, 1
 _CLEAN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -116,11 +122,11 @@ class Network:
                     keep.append((side, k, h, z.copy(), r.copy(), n, hu[:, 2 * h2 :].copy()))
                 h = new
                 states[k, :, side * h2 : (side + 1) * h2] = h
-        a = states @ self.w["att"]
+        a = (states * self.w["att"]).sum(axis=2)
         a = np.exp(np.clip(a, -30, 30)) * mask
         a /= a.sum(axis=0) + 1e-9
-        pooled = np.einsum("tm,tmh->mh", a, states)
-        return states, a, pooled, pooled @ self.w["out"] + self.w["b"]
+        pooled = (a[:, :, None] * states).sum(axis=0)
+        return states, a, pooled, (pooled * self.w["out"]).sum(axis=1) + self.w["b"]
 
     def backward(self, x: np.ndarray, mask: np.ndarray, keep: list, states, a, pooled, dlogit: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         h2 = HIDDEN
@@ -239,7 +245,10 @@ class Scorer:
             return
         while len(self.proj) < at + len(new):
             self.proj = np.concatenate([self.proj, np.zeros_like(self.proj)])
-        self.proj[at : at + len(new)] = self.net.vectors(new) @ self.net.w["x"] + self.net.w["bx"]
+        vectors = np.zeros((-(-len(new) // BLOCK) * BLOCK, DIM), np.float32)
+        vectors[: len(new)] = self.net.vectors(new)
+        parts = [vectors[k : k + BLOCK] @ self.net.w["x"] for k in range(0, len(vectors), BLOCK)]
+        self.proj[at : at + len(new)] = np.concatenate(parts)[: len(new)] + self.net.w["bx"]
         self.rows.update(zip(new, range(at, at + len(new))))
 
     def logits(self, texts: list[str]) -> np.ndarray:
@@ -249,12 +258,12 @@ class Scorer:
         def flush() -> None:
             size = np.array([len(c) for _, c in parts])
             t = max(1, int(size.max()))
-            idx = np.zeros((len(parts), t), np.int64)
+            idx = np.zeros((ROWS, t), np.int64)
             for j, (_, c) in enumerate(parts):
                 idx[j, : len(c)] = c
             idx = np.ascontiguousarray(idx.T)
-            mask = (np.arange(t)[:, None] < size).astype(np.float32)
-            logit = self.net.read(self.proj[idx], mask)[3]
+            mask = (np.arange(t)[:, None] < np.append(size, np.zeros(ROWS - len(parts), np.int64))).astype(np.float32)
+            logit = self.net.read(self.proj[idx], mask)[3][: len(parts)]
             owner = np.array([d for d, _ in parts])
             np.add.at(total, owner, np.exp(np.clip(logit, -30, 30)))
             np.add.at(counts, owner, 1)

@@ -68,6 +68,56 @@ def test_chunks_cover_every_place():
     assert np.allclose(scorer.logits(texts), want, atol=1e-4)
 
 
+def plain_toxicity(net, bias, text):
+    """The network of one text in double precision, word by word and window by window."""
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    words, h2 = toxicity.words_in(text), toxicity.HIDDEN
+    total = []
+    for s in toxicity.starts(len(words)):
+        part = words[s : s + toxicity.WINDOW]
+        x = []
+        for word in part:
+            rows, _ = toxicity.grams([word])
+            x.append((w["word"][zlib.crc32(word) % toxicity.WORD_ROWS] + w["char"][rows].mean(axis=0)) @ w["x"] + w["bx"])
+        states = np.zeros((len(part), 2 * h2))
+        for side, u in ((0, w["uf"]), (1, w["ub"])):
+            h = np.zeros(h2)
+            for k in range(len(part)) if side == 0 else range(len(part) - 1, -1, -1):
+                xi, hu = x[k][side * 3 * h2 : (side + 1) * 3 * h2], h @ u
+                z, r = toxicity.sigmoid(xi[:h2] + hu[:h2]), toxicity.sigmoid(xi[h2 : 2 * h2] + hu[h2 : 2 * h2])
+                n = np.tanh(xi[2 * h2 :] + r * hu[2 * h2 :])
+                h = n + z * (h - n)
+                states[k, side * h2 : (side + 1) * h2] = h
+        a = np.exp(states @ w["att"])
+        total.append(np.exp((a / a.sum()) @ states @ w["out"] + w["b"][0]) if part else np.exp(w["b"][0]))
+    return np.log(np.mean(total)) + bias
+
+
+def test_scorer_equals_a_plain_pass():
+    rng = np.random.default_rng(6)
+    net = toxicity.Network(3)
+    net.w = {k: (v * 3).astype(np.float32) for k, v in net.w.items()}
+    texts = ["", "one", "Two words!", *[" ".join(f"w{v}" for v in rng.integers(0, 300, n)) for n in (63, 64, 65, 112, 113, 700)]]
+    got = toxicity.Scorer(net, 0.5).logits(texts)
+    assert np.allclose(got, [plain_toxicity(net, 0.5, t) for t in texts], atol=2e-4)
+
+
+@pytest.mark.parametrize("module", [toxicity, byte_cnn])
+def test_a_score_does_not_depend_on_neighbours(module):
+    """Bit for bit, in any batch and at any place, twenty times."""
+    rng = np.random.default_rng(8)
+    net = module.Network(3)
+    text = lambda n: " ".join(f"w{v}" for v in rng.integers(0, 5000, n))
+    texts = [text(int(n)) for n in rng.integers(0, 400, 30)] + [""]
+    alone = [module.Scorer(net, 0.1).logits([t])[0] for t in texts]
+    for _ in range(20):
+        scorer = module.Scorer(net, 0.1)
+        order = rng.permutation(len(texts) * 2) % len(texts)
+        mixed = [x for i in order for x in (text(int(rng.integers(0, 60))), texts[i])]
+        got = scorer.logits(mixed)[1::2]
+        assert all(g == alone[i] for g, i in zip(got, order))
+
+
 @pytest.mark.parametrize("module", [toxicity, byte_cnn])
 def test_awkward_rows(spark, module):
     df = with_clashes(docs(spark))
