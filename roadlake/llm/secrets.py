@@ -3,23 +3,32 @@
 Base kinds (assign, access, hex) are patterns. The method adds `random`: runs
 of encoded characters whose encoding is inferred (hex, base32, base36, base64;
 single-case keys also in dashed groups, UUID or equal, without their dashes) and
-whose symbols pass three tests of uniform randomness: chi-squared over the
-alphabet, runs about the middle symbol, serial correlation at lag one. The
-tests' joint p-value (three times the least) is held against a Benjamini and
-Hochberg threshold of its own class of encoding and length, so short and long
-strings are judged at their own power: what the procedure rejects is ordinary
-text, the rest is secret. The threshold is exact on a grid of p-values, whose
-counts are the only thing that all rows share. Native: only DataFrame functions.
+
+* whose symbols pass three tests of uniform randomness at FALSE_REJECTIONS
+  jointly: chi-squared over the alphabet, runs about the middle symbol, serial
+  correlation at lag one; and
+* whose letters are unlike those of words. The p-value of a run as text is that
+  of its letters' mean log-likelihood ratio (letters of prose against uniform
+  ones), whose spread shrinks with the run's length; for hex it is that of
+  prose with so many letters having none but a to f. Within each class of
+  encoding and length, the runs that are claimed are those that Benjamini and
+  Hochberg's procedure rejects as text at FALSE_CLAIMS: of what is reported, that
+  share at most is expected to be words, whether the class is short or long.
+
+The procedure is exact on a grid of p-values (rounded up), whose counts are the
+only thing that all rows share. Native: only DataFrame functions.
 
 Places count code points, ends are exclusive. Defined results: a null or empty
 text has no span; repeated rows are scanned each; an empty table gives no rows;
 other columns are kept by `scan` and `redact`, which fail on a clash with their
-own output names only. A text's matches of one kind are placed by a running
-sum over these matches.
+own output names only. A text's matches are placed, merged and cut by running
+sums and maxima in blocks, so the work grows little faster than their number.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,24 +57,57 @@ DASHED_PARTS = tuple(DASHED.replace("C", c) for c in ("0-9a-z", "0-9A-Z"))
 #: quarter of each case at least (random ones of 16 letters have it in 98 per cent), or capitalised words would pass.
 LONG = 32
 LEAST_BITS = 72
-#: Share of truly random strings that the tests may take for text.
-FALSE_REJECTIONS = 0.01
+#: Share of truly random runs that the battery may reject, and share of the claimed ones that may be words.
+FALSE_REJECTIONS, FALSE_CLAIMS = 0.001, 0.05
 GRID, GRID_MOST = 20, 400
+#: Per mille of the letters a to z in prose.
+LETTERS = dict(zip(_LOWER, (
+    82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)))
+PART = 64
+
+
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def before(values: Column, merge, zero: Column, levels: int = 2) -> Column:
+    """For each place the values before it, merged: in parts of PART values, then over the parts likewise."""
+    fold = lambda x: F.aggregate(x, zero, merge)
+    short = lambda x: F.transform(x, lambda _, i: fold(F.slice(x, F.lit(1), i)))
+    if not levels:
+        return short(values)
+
+    def parted(parts: Column) -> Column:
+        heads = before(F.transform(parts, fold), merge, zero, levels - 1)
+        return F.flatten(F.zip_with(parts, heads, lambda part, head: F.transform(short(part), lambda v: merge(head, v))))
+
+    def split(x: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda k: F.slice(x, k * PART + 1, F.lit(PART))), parted)
+
+    return let(values, lambda x: F.when(F.size(x) > 0, split(x)).otherwise(x))
+
+
+def sums_before(values: Column) -> Column:
+    return before(values, lambda a, b: a + b, F.lit(0))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Array of struct(start, stop, found): leftmost non-overlapping matches with their places."""
     none = F.array().cast("array<struct<start:int,stop:int,found:string>>")
-    # Gap before each match; the last gap has no match and adds nothing.
-    pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))  # one before each match and one after the last
+
+    def placed(x: Column) -> Column:
+        start = x["at"] + x["gap"]
+        return F.struct(start.alias("start"), (start + F.length(x["found"])).alias("stop"), x["found"].alias("found"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        stop = start + F.length(x["found"])
-        return F.when(x["found"].isNull(), a).otherwise(F.struct(stop.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["found"].alias("found")))).alias("out")))
+    def joined(x: Column) -> Column:
+        ats = sums_before(F.transform(x, lambda v: v["gap"] + F.length(v["found"])))
+        return F.transform(F.arrays_zip(ats.alias("at"), F.transform(x, lambda v: v["gap"]).alias("gap"), F.transform(x, lambda v: v["found"]).alias("found")), placed)
 
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, state, step, lambda a: a["out"])).otherwise(none)
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found")), lambda v: v["found"].isNotNull())
+    return F.when(text.rlike(pattern), let(pairs, joined)).otherwise(none)
 
 
 def normal_tail(z: Column) -> Column:
@@ -88,6 +130,18 @@ def battery(x: Column) -> Column:
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
+#: Log-likelihood ratio of each letter, prose against uniform, and its mean and deviation in prose.
+_SHARE = [n / sum(LETTERS.values()) for n in LETTERS.values()]
+RATIOS = [math.log(26 * p) for p in _SHARE]
+_MEAN = sum(p * r for p, r in zip(_SHARE, RATIOS))
+_SPREAD = math.sqrt(sum(p * (r - _MEAN) ** 2 for p, r in zip(_SHARE, RATIOS)))
+
+
+def text_p(ratios: Column, n: Column) -> Column:
+    """P-value of n letters with this sum of ratios as prose; 1 without letters."""
+    return F.when(n > 0, normal_tail((n * _MEAN - ratios) / (_SPREAD * F.sqrt(n.cast("double"))))).otherwise(F.lit(1.0))
+
+
 def plain_of(body: Column) -> tuple[Column, Column]:
     """Whether the body is a dashed key, and the body without the dashes if it is."""
     dashed = body.rlike(DASHED_PARTS[0]) | body.rlike(DASHED_PARTS[1])
@@ -123,12 +177,25 @@ def assess(spans: Column) -> Column:
     def coded(x: Column) -> Column:
         alphabet = F.coalesce(*[F.when(x["enc"] == e, F.lit(a)) for e, a in ALPHABETS.items()])
         plain = F.when(x["enc"].isin("hex", "base36", "alpha"), F.lower(x["body"])).otherwise(F.translate(x["body"], "-_", "+/"))
+        codes = F.filter(F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet) - 1), lambda v: v >= 0)
+        low = F.lower(F.regexp_replace(x["body"], "[^A-Za-z]", ""))
+        place = F.transform(F.split(low, ""), lambda c: F.position(c, F.lit(_LOWER)))
         # A dashed key is of a class of its own.
-        return keep(x, F.when(x["dashed"], F.concat(x["enc"], F.lit("-"))).otherwise(x["enc"]).alias("enc"), F.length(x["body"]).alias("size"), F.length(alphabet).alias("k"), F.filter(F.transform(F.split(plain, ""), lambda c: F.position(c, alphabet) - 1), lambda v: v >= 0).alias("codes"))
+        return keep(
+            x, F.when(x["dashed"], F.concat(x["enc"], F.lit("-"))).otherwise(x["enc"]).alias("enc"), (x["enc"] == "hex").alias("few"),
+            F.length(x["body"]).alias("size"), F.length(alphabet).alias("k"), codes.alias("codes"), F.filter(place, lambda v: v > 0).alias("place"))
+
+    def as_text(x: Column) -> Column:
+        table = F.array(*map(F.lit, RATIOS))
+        n = F.size(x["place"])
+        words = text_p(F.aggregate(x["place"], F.lit(0.0), lambda a, v: a + F.element_at(table, v)), n)
+        # That so many letters of prose all lie in a to f.
+        p = F.when(x["few"], F.pow(F.lit(sum(LETTERS[c] for c in "abcdef") / sum(LETTERS.values())), n)).otherwise(words)
+        return keep(x, x["enc"].alias("enc"), x["size"].alias("size"), x["k"].alias("k"), x["codes"].alias("codes"), p.alias("p_text"))
 
     def centred(x: Column) -> Column:
         n = F.size(x["codes"]).cast("double")
-        return keep(x, x["enc"].alias("enc"), x["size"].alias("size"), x["k"].alias("k"), x["codes"].alias("codes"), n.alias("n"), (F.aggregate(x["codes"], F.lit(0.0), lambda a, v: a + v) / n).alias("mid"))
+        return keep(x, x["enc"].alias("enc"), x["size"].alias("size"), x["k"].alias("k"), x["p_text"].alias("p_text"), x["codes"].alias("codes"), n.alias("n"), (F.aggregate(x["codes"], F.lit(0.0), lambda a, v: a + v) / n).alias("mid"))
 
     def summed(x: Column) -> Column:
         codes, mid, k = x["codes"], x["mid"], x["k"]
@@ -136,7 +203,7 @@ def assess(spans: Column) -> Column:
         counts = F.transform(F.sequence(F.lit(0), k - 1), lambda c: F.size(F.filter(codes, lambda v: v == c)).cast("double"))
         upper = lambda v: v * 2 >= k
         return keep(
-            x, x["enc"].alias("enc"), x["size"].alias("size"), k.alias("k"), x["n"].alias("n"), total(F.transform(counts, lambda v: v * v)).alias("squares"),
+            x, x["enc"].alias("enc"), x["size"].alias("size"), k.alias("k"), x["p_text"].alias("p_text"), x["n"].alias("n"), total(F.transform(counts, lambda v: v * v)).alias("squares"),
             F.size(F.filter(codes, upper)).cast("double").alias("high"),
             F.size(F.filter(codes, lambda v, i: (i == 0) | (upper(F.get(codes, i - 1)) != upper(v)))).cast("double").alias("runs"),
             total(F.transform(codes, lambda v: (v - mid) * (v - mid))).alias("spread"),
@@ -144,48 +211,65 @@ def assess(spans: Column) -> Column:
 
     def judged(x: Column) -> Column:
         ok = x["size"] * F.log2(x["k"].cast("double")) >= LEAST_BITS
-        return keep(x, F.when(ok, F.concat_ws(":", x["enc"], F.floor(F.log2(x["size"].cast("double"))).cast("string"))).alias("cls"), F.when(ok, battery(x)).alias("p"))
+        return keep(x, F.when(ok, F.concat_ws(":", x["enc"], F.floor(F.log2(x["size"].cast("double"))).cast("string"))).alias("cls"), F.when(ok, battery(x)).alias("p"), x["p_text"].alias("p_text"))
 
     def stepped(x: Column) -> Column:
-        return keep(x, x["cls"].alias("cls"), F.floor(-F.log10(F.greatest(x["p"], F.lit(10.0 ** (-GRID_MOST / GRID)))) * GRID).cast("int").alias("step"))
+        """The step of the p-value as text; -1 where the battery rejects randomness."""
+        step = F.floor(-F.log10(F.greatest(x["p_text"], F.lit(10.0 ** (-GRID_MOST / GRID)))) * GRID).cast("int")
+        return keep(x, x["cls"].alias("cls"), F.when(x["p"] >= FALSE_REJECTIONS, step).otherwise(F.lit(-1)).alias("step"))
 
     spans = F.filter(F.transform(F.transform(spans, inferred), encoded), lambda x: x["enc"].isNotNull())
-    for part in (coded, centred, summed, judged):
+    for part in (coded, as_text, centred, summed, judged):
         spans = F.transform(spans, part)
     return F.transform(F.filter(spans, lambda x: x["cls"].isNotNull()), stepped)
 
 
-def rejected_from(steps: DataFrame, share: float = FALSE_REJECTIONS) -> DataFrame:
-    """One row with a map from class to the least grid step that is rejected.
+def claimed_from(steps: DataFrame, share: float = FALSE_CLAIMS) -> DataFrame:
+    """One row with a map from class to the least grid step that is claimed.
 
     Benjamini and Hochberg: the least step whose p times the class's count is within `share` of those at or beyond it.
-    steps has one row for each class and step: at most twelve encodings, some twenty lengths and GRID_MOST steps.
+    Runs that the battery rejects count in their class and are never claimed. steps has one row for each class and
+    step: at most twelve encodings, some twenty lengths and GRID_MOST + 2 steps.
     """
     own = W.partitionBy("cls")
     held = steps.groupBy("cls", "step").agg(F.count("*").alias("n"))
     held = held.withColumn("m", F.sum("n").over(own)).withColumn("beyond", F.sum("n").over(own.orderBy(F.desc("step"))))
     p = F.pow(F.lit(10.0), -F.col("step") / F.lit(float(GRID)))
-    least = held.filter(p * F.col("m") <= F.lit(share) * F.col("beyond")).groupBy("cls").agg(F.min("step").alias("step"))
+    least = held.filter((F.col("step") >= 0) & (p * F.col("m") <= F.lit(share) * F.col("beyond"))).groupBy("cls").agg(F.min("step").alias("step"))
     return least.agg(F.map_from_entries(F.collect_list(F.struct("cls", "step"))).alias("_from"))
 
 
+def apart(runs: Column, base: Column) -> Column:
+    """The runs that overlap no base span, by one pass over both in order."""
+    most = F.lit(2**31 - 1)
+    bare = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.lit("").alias("found")))
+    more = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["stop"].alias("stop"), x["found"].alias("found")))
+
+    def free(x: Column) -> Column:
+        reach = before(F.transform(x, lambda v: F.when(v["kind"] < len(KINDS), v["stop"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b), F.lit(0))
+        ahead = F.reverse(before(F.reverse(F.transform(x, lambda v: F.when(v["kind"] < len(KINDS), v["start"]).otherwise(most))), lambda a, b: F.least(a, b), most))
+        held = F.filter(F.arrays_zip(x.alias("v"), reach.alias("reach"), ahead.alias("ahead")), lambda w: (w["v"]["kind"] == len(KINDS)) & (w["reach"] <= w["v"]["start"]) & (w["ahead"] >= w["v"]["stop"]))
+        return F.transform(held, lambda w: F.struct(w["v"]["start"].alias("start"), w["v"]["stop"].alias("stop"), w["v"]["found"].alias("found")))
+
+    return F.when((F.size(runs) > 0) & (F.size(base) > 0), let(F.sort_array(F.concat(bare, more)), free)).otherwise(runs)
+
+
 def _named(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["stop"].alias("stop")))
 
 
-def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, share: float = FALSE_REJECTIONS) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, share: float = FALSE_CLAIMS) -> DataFrame:
     """`keep` (default doc_id) with base and spans: arrays of struct(start, kind, stop) in order."""
     keep = keep or ["doc_id"]
     own = docs.select(*keep, text_of(text).alias("_t"))
     assigns = F.filter(matches(F.col("_t"), ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
     own = own.select(*keep, _named("assign", assigns).alias("_a"), _named("access", matches(F.col("_t"), ACCESS)).alias("_k"), _named("hex", matches(F.col("_t"), HEX)).alias("_h"), matches(F.col("_t"), ENCODED).alias("_e"))
     own = own.select(*keep, F.sort_array(F.concat("_a", "_k", "_h")).alias("base"), "_e")
-    apart = F.filter("_e", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    own = own.withColumn("_e", apart).withColumn("_e", assess(F.col("_e")))
+    own = own.withColumn("_e", apart(F.col("_e"), F.col("base"))).withColumn("_e", assess(F.col("_e")))
     own = cut(own)
-    limits = rejected_from(own.select(F.explode("_e").alias("e")).select("e.cls", "e.step"), share)
+    limits = claimed_from(own.select(F.explode("_e").alias("e")).select("e.cls", "e.step"), share)
     own = own.crossJoin(F.broadcast(limits))  # one row
-    held = F.filter("_e", lambda x: F.coalesce(x["step"] < F.element_at("_from", x["cls"]), F.lit(True)))
+    held = F.filter("_e", lambda x: F.coalesce(x["step"] >= F.try_element_at("_from", x["cls"]), F.lit(False)))
     return own.select(*keep, "base", F.sort_array(F.concat("base", _named("random", held))).alias("spans"))
 
 
@@ -198,15 +282,14 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     """The documents with each span, or union of overlapping ones, replaced by `mark`; a null text stays null."""
     columns = docs.columns
     spans = scan(docs.select(F.struct(*columns).alias("_row"), text), text, keep=["_row"])
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     whole = F.col(f"_row.{text}")
-    rest = F.aggregate(
-        "spans", state,
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["stop"]).alias("at"),
-            F.concat(a["out"], F.when(x["start"] >= a["at"], F.concat(whole.substr(a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise("")).alias("out")),
-        lambda a: F.concat(a["out"], whole.substr(a["at"] + 1, F.length(whole))))
-    out = spans.select("_row", F.when(whole.isNotNull() & (F.size("spans") > 0), rest).otherwise(whole).alias("_new"))
+
+    def rewritten(x: Column) -> Column:
+        reach = before(F.transform(x, lambda v: v["stop"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        pieces = F.zip_with(x, reach, lambda v, at: F.when(v["start"] >= at, F.concat(whole.substr(at + 1, v["start"] - at), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), whole.substr(F.array_max(F.transform(x, lambda v: v["stop"])) + 1, F.length(whole)))
+
+    out = spans.select("_row", F.when(whole.isNotNull() & (F.size("spans") > 0), rewritten(F.col("spans"))).otherwise(whole).alias("_new"))
     return out.select(*[F.col("_new").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 

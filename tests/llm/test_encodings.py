@@ -1,5 +1,6 @@
 """Random keys of every alphabet are found; ordinary names, slugs and paths are not."""
 
+import math
 import random
 import string
 
@@ -38,3 +39,99 @@ def test_keys_of_every_alphabet(spark):
     assert all(n >= 19 for n in seen.values()), seen
     wrong = [text[d] for d in found if d >= 1000 and found[d]]
     assert not wrong, wrong
+
+
+def statistics(codes, k):
+    """The battery's joint p-value in plain steps, with the normal tail from the error function."""
+    n, tail = len(codes), lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    counts = [codes.count(c) for c in range(k)]
+    chi = sum((c - n / k) ** 2 / (n / k) for c in counts)
+    df = k - 1
+    p_chi = tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    up = [2 * c >= k for c in codes]
+    high = sum(up)
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:]))
+    mean = 2 * high * (n - high) / n + 1
+    p_runs = 1e-20 if high in (0, n) else 2 * tail(abs(runs - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1)))
+    mid = sum(codes) / n
+    spread = sum((c - mid) ** 2 for c in codes)
+    lagged = sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:]))
+    p_serial = 1e-20 if spread == 0 else 2 * tail(abs(lagged / spread) * math.sqrt(n))
+    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+
+
+def as_text(body, encoding):
+    letters = [c for c in body.lower() if c in secrets.LETTERS]
+    if encoding == "hex":
+        return (sum(secrets.LETTERS[c] for c in "abcdef") / sum(secrets.LETTERS.values())) ** len(letters)
+    total = sum(secrets.LETTERS.values())
+    ratio = {c: math.log(26 * n / total) for c, n in secrets.LETTERS.items()}
+    mean = sum(n / total * ratio[c] for c, n in secrets.LETTERS.items())
+    spread = math.sqrt(sum(n / total * (ratio[c] - mean) ** 2 for c, n in secrets.LETTERS.items()))
+    z = (len(letters) * mean - sum(ratio[c] for c in letters)) / (spread * math.sqrt(len(letters)))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def test_statistics_and_claims_by_brute_force(spark):
+    """Each run's class, verdict of the battery and p-value as text, and the claims, against plain Python."""
+    rnd = random.Random(9)
+    draw = lambda chars, n: "".join(rnd.choice(chars) for _ in range(n))
+    alphabets = {"base64": string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/", "base36": string.digits + string.ascii_lowercase, "base32": string.ascii_uppercase + "234567", "hex": string.digits + "ABCDEF"}
+    words = "of the report station traffic account winter letter morning service update garden".split()
+    runs = []
+    for name, chars in alphabets.items():
+        for n in (20, 24, 40, 70, 130):
+            for _ in range(6):
+                body = draw(chars, n)
+                runs.append((name, body[:-3] + {"base64": "aZ9", "base36": "z9q", "base32": "Q7Z", "hex": "A9F"}[name]))
+    runs += [("base36", ("".join(rnd.choices(words, k=4)) + "2024" + rnd.choice(words))[:40]) for _ in range(40)] + [("base36", "abcdefgh01" * 4)]
+    rows = [(i, f"see {body} now", "en", "s", 1) for i, (_, body) in enumerate(runs)]
+    found = {r.doc_id: r for r in secrets.scan(docs(spark, rows)).collect()}
+    classes = {}
+    for i, (name, body) in enumerate(runs):
+        plain = body.lower() if name in ("hex", "base36") else body
+        alphabet = alphabets[name].lower() if name == "hex" else alphabets[name]
+        assert len(body) * math.log2(len(alphabet)) >= secrets.LEAST_BITS
+        random_p, text_p = statistics([alphabet.index(c) for c in plain], len(alphabet)), as_text(body, name)
+        classes.setdefault((name, int(math.log2(len(body)))), []).append((i, random_p, text_p))
+    claimed, unsure = set(), set()
+    for group in classes.values():
+        ok = sorted((t, i) for i, p, t in group if p >= secrets.FALSE_REJECTIONS)
+        last = max((k for k, (t, _) in enumerate(ok, 1) if t * len(group) <= secrets.FALSE_CLAIMS * k), default=0)
+        claimed |= {i for _, i in ok[:last]}
+        # The normal tail is rounded by 2 per cent and the grid by 12: runs that near a limit may fall on either side.
+        unsure |= {i for i, p, t in group if 0.8 < p / secrets.FALSE_REJECTIONS < 1.25 or (last and 0.7 < t / max(ok[last - 1][0], 1e-30) < 1.45) or 0.5 < t * len(group) / secrets.FALSE_CLAIMS / max(last, 1) < 2}
+    got = {i for i, r in found.items() if any(s.kind == 3 for s in r.spans)}
+    assert got ^ claimed <= unsure and len(unsure) < 40 and len(claimed) > 100
+    wordy = {i for i, (_, body) in enumerate(runs) if "2024" in body}
+    assert len(got & wordy) <= max(1, 0.05 * len(got))
+
+
+def test_many_matches_in_one_text(spark):
+    """16,000 hex runs and as many keys of another kind in one text: places and redaction in time that grows with them."""
+    import time
+
+    text = " ".join(f"{i:016x}" for i in range(16000))
+    began = time.time()
+    row = secrets.scan(docs(spark, [(1, text, "en", "s", 1)])).collect()[0]
+    assert len(row.base) == 16000 and [(s.start, s.stop) for s in row.base[-2:]] == [(15998 * 17, 15998 * 17 + 16), (15999 * 17, 15999 * 17 + 16)]
+    out = secrets.redact(docs(spark, [(1, text, "en", "s", 1)])).collect()[0].text
+    assert out == " ".join(["[SECRET]"] * 16000)
+    assert time.time() - began < 60
+
+
+def test_overlaps_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(2)
+    kind = "array<struct<start:int,kind:int,stop:int>>"
+    for n in (0, 1, 5, 70, 200):
+        base = sorted((s, rnd.randrange(3), s + rnd.randrange(1, 30)) for s in rnd.sample(range(3000), n))
+        ends, runs = 0, []
+        while ends < 3000:
+            start = ends + rnd.randrange(1, 20)
+            ends = start + rnd.randrange(16, 40)
+            runs.append((start, ends, "x"))
+        df = spark.createDataFrame([(runs, base)], f"r array<struct<start:int,stop:int,found:string>>, b {kind}")
+        got = [(x.start, x.stop) for x in df.select(secrets.apart(F.col("r"), F.col("b")).alias("o")).first().o]
+        assert got == [(a, b) for a, b, _ in runs if not any(s < b and a < e for s, _, e in base)]
