@@ -1,21 +1,24 @@
 """Sharding: Hilbert-curve order over quantised metadata, cut into runs.
 
-Three metadata columns (language, source, text size) are quantised to
-2**BITS steps each. The cells of that grid are ordered along a Hilbert curve,
-so rows that lie near each other in any of the three lie in few shards and the
-minima and maxima of a shard's files prune reads along all of them. The run is
-cut by rank, so shards differ by one row at most (law `rows`), however large a
-cell is. Native: only DataFrame functions.
+Three metadata columns (language, source, text size) are quantised to steps of
+about equal numbers of rows, in the order of their values: the cuts are
+quantiles, from a sketch of fixed size, of the size and of the first bytes in
+which a column's texts differ. The cells of that grid are ordered along a
+Hilbert curve, so rows that lie near each other in any of the three lie in few
+shards and the minima and maxima of a shard (`zones`) prune reads along all of
+them. The run is cut by rank, so shards differ by one row at most (law `rows`),
+however large a cell is. Native: only DataFrame functions.
 
 No task gathers a cell: a cell's rows are dealt by a hash of doc_id into as
 many buckets as its share of all rows asks for, buckets are counted, and the
 running sum goes over the bucket table only, whose size depends on the grid and
-the parallelism, not on the data.
+the parallelism, not on the data. The cuts are read once, so a lost task finds
+the same cells again.
 
 Defined results: a null text counts 8 bytes and the crc of the empty text; null
-language, source or doc_id are values of their own; repeated rows each get a
-place (ties are interchangeable); an empty table gives no rows; other columns
-are ignored.
+language, source or doc_id are values of their own, below all others; repeated
+rows each get a place (ties are interchangeable); an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -65,24 +68,45 @@ def hilbert_index(point: Column, dims: int, bits: int) -> Column:
     return F.get(held, F.lit(0))
 
 
-def code(column: str, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("\x00"))), F.lit(1 << bits)).cast("int")
+def leading(column: Column, skip: int) -> Column:
+    """Number of the seven bytes after the first `skip`: ordered as the texts are."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), skip + 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def common_bytes(low: str | None, high: str | None) -> int:
+    """Bytes that all texts from low to high begin with."""
+    a, b = (low or "").encode(), (high or "").encode()
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def steps_of(df: DataFrame, columns: list[str], bits: int) -> list[Column]:
+    """For each whole-number column the step 0 (null) or 1 to 2**bits - 1, by quantiles of its values."""
+    n = (1 << bits) - 1
+    cuts = df.agg(*[F.percentile_approx(c, [k / n for k in range(1, n)], 100 * n).alias(c) for c in columns]).first()
+    out = []
+    for c in columns:
+        held = F.array(*[F.lit(v).cast("long") for v in cuts[c] or ()]).cast("array<long>")
+        out.append(F.when(F.col(c).isNull(), 0).otherwise(F.size(F.filter(held, lambda v: v < F.col(c))) + 1).cast("int"))
+    return out
 
 
 def assign(docs: DataFrame, shards: int = 24, bits: int = BITS, buckets: int | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, hilbert, shard, slot of every row; buckets: about how many are ranked apart."""
+    """doc_id, size, text_crc32, hilbert, shard, slot, lang, source of every row; buckets: about how many are ranked apart."""
     spark = docs.sparkSession
     buckets = buckets or 16 * width(spark)
     size = F.octet_length(text_of()).cast("long") + 8
+    ends = docs.agg(*[f(F.col(c).cast("string")).alias(f"{f.__name__}_{c}") for c in ("lang", "source") for f in (F.min, F.max)]).first()
+    skip = {c: common_bytes(ends[f"min_{c}"], ends[f"max_{c}"]) for c in ("lang", "source")}
     slim = cut(docs.select(
-        "doc_id", size.alias("size"), F.crc32(text_of()).alias("text_crc32"), code("lang", bits).alias("_lang"), code("source", bits).alias("_source"),
-        F.least(F.floor(F.log2(size.cast("double")) * (1 << bits) / 24), F.lit((1 << bits) - 1)).cast("int").alias("_size"),
-    ))
+        "doc_id", size.alias("size"), F.crc32(text_of()).alias("text_crc32"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+        *[leading(F.col(c).cast("string"), skip[c]).alias(f"_{c}") for c in ("lang", "source")], size.alias("_size")))
     dims = ["_lang", "_source", "_size"]
+    slim = slim.withColumns(dict(zip(dims, steps_of(slim, dims, bits))))
     cells = slim.groupBy(*dims).agg(F.count("*").alias("_n")).withColumn("hilbert", hilbert_index(F.array(*dims), DIMS, bits))
     total = cells.agg(F.sum("_n").alias("_total"))
     # At most 2**(3 * bits) cells and as many rows here.
-    cells = F.broadcast(cells.crossJoin(F.broadcast(total)).withColumn("_parts", F.ceil(F.col("_n") * F.lit(buckets) / F.col("_total")).cast("int")).drop("_n"))
+    parts = F.ceil(F.col("_n") * F.lit(buckets) / F.col("_total")).cast("int")
+    cells = F.broadcast(cells.crossJoin(F.broadcast(total)).withColumn("_parts", parts).drop("_n"))
     rows = slim.join(cells, dims).withColumn("_part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("_parts")).cast("int"))
     starts = rows.groupBy("hilbert", "_part").agg(F.count("*").alias("_n"))
     starts = starts.withColumn("_start", F.sum("_n").over(W.orderBy("hilbert", "_part").rowsBetween(W.unboundedPreceding, -1)))
@@ -90,9 +114,16 @@ def assign(docs: DataFrame, shards: int = 24, bits: int = BITS, buckets: int | N
     own = W.partitionBy("hilbert", "_part").orderBy("doc_id", "text_crc32", "size")
     rows = rows.join(starts, ["hilbert", "_part"]).withColumn("_rank", F.col("_start") + F.row_number().over(own) - 1)
     rows = rows.withColumn("shard", F.expr(f"cast((_rank * {shards}) div _total as int)"))
-    return rows.select("doc_id", "size", "text_crc32", "hilbert", "shard", F.expr(f"_rank - (shard * _total + {shards - 1}) div {shards}").alias("slot"))
+    slot = F.expr(f"_rank - (shard * _total + {shards - 1}) div {shards}")
+    return rows.select("doc_id", "size", "text_crc32", "hilbert", "shard", slot.alias("slot"), "lang", "source")
+
+
+def zones(assigned: DataFrame, columns: tuple[str, ...] = ("lang", "source", "size")) -> DataFrame:
+    """Minimum and maximum of each column in each shard: a reader skips the shards whose range lacks its value."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]
+    return assigned.groupBy("shard").agg(*ends)
 
 
 def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert", "lang", "source")

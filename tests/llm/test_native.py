@@ -45,6 +45,22 @@ def test_shards(spark, sf_dir, tmp_path):
     assert hilbert_shards.assign(docs(spark, [])).count() == 0
 
 
+def test_shards_prune(spark):
+    """Of 24 shards the zones leave few for one language, one source or one range of sizes; hash shards leave all."""
+    from pyspark.sql import functions as F
+
+    df = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = hilbert_shards.assign(df)
+    zones = hilbert_shards.zones(rows).collect()
+    left = lambda c, a, b: sum(z[f"min_{c}"] <= b and z[f"max_{c}"] >= a for z in zones)
+    assert len(zones) == 24
+    assert all(left("lang", v, v) <= 16 for v in ("de", "es")) and left("lang", "fr", "fr") <= 16
+    assert sum(left("source", f"src{k}", f"src{k}") for k in range(20)) / 20 <= 14
+    assert left("size", 9000, 10**9) <= 12 and left("size", 0, 600) <= 12
+    hashed = hilbert_shards.zones(rows.withColumn("shard", F.pmod(F.hash("doc_id"), F.lit(24)))).collect()
+    assert sum(z.min_lang <= "de" <= z.max_lang for z in hashed) == 24
+
+
 def repeats(words):
     seen = {}
     for i in range(len(words) - 7):
