@@ -2,11 +2,14 @@
 
 A piece of class k is at most capacity / k long and a bin of class k takes
 exactly k pieces, so a bin's number and a piece's place in it follow from the
-piece's rank within its class: no task needs to see what others packed. Cutting
-a document at the class lengths floor(capacity / k), largest first, makes the
-pieces of a class equally long, which leaves less than k ids of padding in a
-bin. Pieces that do not fill a bin of their class (fewer than k a class, at
-most about 10,000 in all, whatever the input) are packed first-fit decreasing.
+piece's rank among those of its length: no task needs to see what others packed.
+A document that exceeds a bin is cut. So is a rest whose length is not within
+one SLACK-th of the greatest of its class, floor(capacity / k): a piece of a
+class's greatest length goes first, and what stays has LEAST ids or more. Only
+a whole document can be a shorter piece, so no piece is the closing id alone
+unless its text is empty. Pieces that do not fill a bin of their length (fewer
+than k, at most about 16,000 in all, whatever the input) are packed first-fit
+decreasing.
 
 Defined results: a null or empty text is the closing id alone; repeated rows
 are packed each; an empty table gives no rows; other columns are ignored.
@@ -31,6 +34,8 @@ from .ranks import ranked
 
 CAPACITY = 2048
 CLOSING_ID = 1
+#: Least length of a piece of a cut document; a piece may fall short of its class by a SLACK-th.
+LEAST, SLACK = 32, 128
 #: Words whose ids a worker keeps, and lower-case letter strings (some 200 bytes each).
 CACHE, LETTERS, GROUP = 400_000, 700_000, 1 << 20
 VOCABULARY = "word_bpe_49k.json"
@@ -118,15 +123,21 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def class_cuts(length: int, capacity: int = CAPACITY) -> list[int]:
-    """Piece lengths of a document: whole bins, then the largest class length that fits, and so on."""
-    out = [capacity] * (length // capacity)
-    rest = length % capacity
+    """Piece lengths of a document: whole bins, then pieces of classes' greatest lengths, then one that may fall short a little."""
+    whole, rest = divmod(length, capacity)
+    if whole and 0 < rest < LEAST:
+        whole, rest = whole - 1, rest + capacity
+    out = [capacity] * whole
     while rest:
-        k = capacity // rest
-        if capacity // k != rest:
-            k += 1
-        out.append(capacity // k)
-        rest -= capacity // k
+        if rest <= capacity:
+            short = capacity // (capacity // rest) - rest
+            if short * SLACK <= rest or rest < 2 * LEAST:
+                out.append(rest)
+                break
+        most = min(rest - LEAST, capacity - 1)
+        k = capacity // most
+        out.append(capacity // k if capacity // k <= most else capacity // (k + 1))
+        rest -= out[-1]
     return out
 
 
@@ -169,7 +180,7 @@ def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
 
 
 def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces whose lengths are class lengths."""
+    """Adds sequence_id and offset to pieces; those of one length share bins."""
     cuts = cut(cuts)
     each = F.expr(f"{capacity} div length")
     own = cut(ranked(cuts, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"]).withColumn("_bins", F.col("_size") - F.col("_size") % each))

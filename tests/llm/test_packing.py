@@ -13,8 +13,17 @@ from .helpers import docs, saved, with_clashes
 
 @given(st.integers(0, 9000))
 def test_cuts_add_up(n):
+    """All ids, no short pieces but whole documents, and little room left in the bins of a piece's length."""
     cuts = packing.class_cuts(n)
-    assert sum(cuts) == n and all(2048 // (2048 // c) == c for c in cuts)
+    assert sum(cuts) == n and all(0 < c <= 2048 for c in cuts)
+    assert len(cuts) <= 1 or min(cuts) >= packing.LEAST
+    assert sum((2048 // (2048 // c) - c) for c in cuts) <= max(2, n / packing.SLACK)
+
+
+def test_pieces_are_few_and_not_short():
+    cuts = [packing.class_cuts(n) for n in range(1, 4097)]
+    assert sum(map(len, cuts)) / 4096 < 3.5
+    assert all(min(c) >= 32 for c, n in zip(cuts, range(1, 4097)) if n >= 32)
 
 
 @settings(max_examples=40, deadline=None)
