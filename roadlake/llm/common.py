@@ -1,12 +1,12 @@
-"""Shared helpers of the corpus operators: tables, checkpoints, row keys, words."""
+"""Shared helpers of the corpus operators: tables, words, rows dropped by key."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir  # noqa: F401
+
 #: The white space that separates words; code points 0x20 and 0x09 to 0x0D.
 WHITE = " \t\n\x0b\f\r"
 
@@ -15,23 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where the session names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="roadlake-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,10 +28,38 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, WHITE[1:], " " * 5), " "), "")
 
 
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores in front while df has it."""
     while name.lower() in map(str.lower, df.columns):
         name = "_" + name
     return name
+
+
+#: Bits of the map of keys by `without` (8 MB, whatever the input), in maps of PAGE bits.
+MAP_BITS, PAGE = 1 << 26, 1 << 15
+
+
+def may_hold(docs: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """docs with a boolean `flag`: false for rows whose key is surely not among keys(key), and for null keys. No row is shuffled."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    at = slot(F.col(key)) + 1
+    pages = keys.filter(F.col(key).isNotNull()).select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page"))
+    pages = pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    page, bits, place = (free_name(docs, n) for n in ("_page", "_bits", "_place"))
+    rows = docs.withColumn(place, slot(F.col(key)))
+    rows = rows.join(F.broadcast(pages.select(F.col("page").alias(page), F.col("bits").alias(bits))), F.expr(f"`{place}` div {PAGE} + 1") == F.col(page), "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.expr(f"cast(`{place}` % {PAGE} div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    held = F.shiftright(byte, 0).bitwiseAND(F.expr(f"shiftleft(1, cast(`{place}` % 8 as int))")) != 0
+    return rows.withColumn(flag, F.coalesce(held & F.col(key).isNotNull(), F.lit(False))).drop(page, bits, place)
+
+
+def without(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not among keys(key); rows without a key stay.
+
+    Only rows that a map of the keys does not clear are joined with them, so whole texts are shuffled for the rows that
+    go and a few by chance, not for those that stay. keys should be cheap to read twice, such as a checkpoint.
+    """
+    flag, gone = free_name(docs, "_flag"), free_name(docs, "_gone")
+    rows = may_hold(docs, keys, key, flag)
+    doubtful = rows.filter(F.col(flag)).join(keys.select(F.col(key).alias(gone)).distinct(), F.col(key) == F.col(gone), "left_anti")
+    return rows.filter(~F.col(flag)).unionByName(doubtful).drop(flag)

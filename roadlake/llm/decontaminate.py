@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import cut, table, text_of, without
 
 SIMILARITY = 0.8
 RECALL = 0.999
@@ -303,7 +303,7 @@ def _finder(shared):
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with their columns; rows without a doc_id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, cut(leaks(docs, benchmark).select("doc_id").distinct()))
 
 
 def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,9 +27,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, free_name, may_hold, table, text_of, without
 from .components import components
-from .similar import similar_groups
+from .similar import similar_groups, with_node
 
 SEED = 42
 SHINGLE = 3
@@ -105,17 +105,40 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, shingle: int = SHING
     return hashed.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
+def print_links(hashed: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Links (a, b) of nodes whose fingerprints differ in at most `most` bits; hashed(node, fp)."""
+    first = cut(hashed.groupBy("fp").agg(F.min("node").alias("first")))
+    same = hashed.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = candidate_links(first, most)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("_a")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("_b")), "b")
+    return same.distinct().unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of each group of similar texts (five-word shingles, see similar.py) that carries its least doc_id (any one of equal ids), with the columns of docs.
+    """One row of each group of similar texts, with the columns of docs.
+
+    Texts are similar if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are texts
+    whose SimHash fingerprints over these shingles the pigeonring search links, and, since most pairs at that
+    similarity differ in more bits than it can search, those that share a MinHash band; each is decided exactly
+    (see similar.py).
 
-    Rows without a doc_id cannot be named and stay.
+    The row that stays is the one of the group's least doc_id; where several texts or rows carry that doc_id, one of them. Rows without
+    a doc_id cannot be named and stay. Ids alone decide where each doc_id has one row; rows of repeated ids are decided
+    by id and text.
     """
-    links = similar_groups(docs.select("doc_id", "text"))
-    first = links.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_keep")).agg((F.count("*") > 1).alias("_again"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # no clash of names below
-    kept = rows.join(first, F.col("row.doc_id") == F.col("_keep"), "left").filter("_keep is not null or row.doc_id is null")
-    once = kept.filter("_again is null or not _again").select("row.*")
-    return once.unionByName(kept.filter("_again").dropDuplicates(["_keep"]).select("row.*"))
+    links = cut(similar_groups(docs.select("doc_id", "text"), more=print_links).filter("doc_id is not null"))
+    ids = cut(links.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")).filter("n > 1 or doc_id <> least"))
+    once = without(docs, ids)
+    repeated = ids.filter("n > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return once
+    first = links.filter("doc_id = component_id").groupBy("label", F.col("doc_id").alias("_keep")).agg(F.min("node").alias("_node")).drop("label")
+    flag = free_name(docs, "_flag")
+    rows = may_hold(docs, repeated, "doc_id", flag).filter(F.col(flag)).drop(flag)
+    rows = with_node(rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("row")), "row.text", "_own")
+    rows = rows.join(repeated, F.col("row.doc_id") == F.col("doc_id"), "left_semi")
+    rows = rows.join(first, (F.col("row.doc_id") == F.col("_keep")) & (F.col("_own") == F.col("_node")))
+    return once.unionByName(rows.groupBy("_keep", "_node").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,41 @@ def test_bands_miss_few_pairs_at_the_bound():
         a, b = own[rng.permutation(len(own))[:324]], own[rng.permutation(len(own))[:324]]
         missed += not (similar.bands_of(np.sort(a)) == similar.bands_of(np.sort(b))).any()
     assert missed <= 3
+
+
+def test_large_families_are_split_without_loss(spark, monkeypatch):
+    """Blocks of a few sets: hubs, strays and blocks give the groups of all pairs."""
+    rows = edited()
+    rng = np.random.default_rng(13)
+    base = [f"b{i}" for i in range(120)]
+    for _ in range(80):  # a large group of copies of one text, some of them near others only
+        copy = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 4))):
+            copy[at] = f"n{rng.integers(0, 99)}"
+        rows.append((len(rows), " ".join(copy), "en", "s", 1))
+    want = brute(rows)
+    monkeypatch.setattr(similar, "BLOCK_BYTES", 9000)
+    monkeypatch.setattr(similar, "HUBS", 3)
+    assert {r.doc_id: r.component_id for r in similar.similar_groups(docs(spark, rows)).collect()} == want
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rows = [(1, text(1)), (1, text(2)), (2, text(1)), (3, text(2)), (3, text(3)), (4, text(4)), (4, text(4)), (None, text(4)), (5, text(5)), (5, text(5) + " more"), (6, text(6))]
+    df = docs(spark, [(d, t, "en", "s", 1) for d, t in rows])
+    from roadlake.llm import simhash
+
+    got = sorted((str(r.doc_id), r.text.split("w")[0]) for r in simhash.one_of_each(df).collect())
+    assert got == sorted([("1", "t1"), ("1", "t2"), ("3", "t3"), ("4", "t4"), ("5", "t5"), ("6", "t6"), ("None", "t4")])
+
+
+def test_rows_without_keys(spark):
+    from pyspark.sql import functions as F
+
+    from roadlake.llm.common import without
+
+    df = spark.range(5000).select(F.when(F.col("id") % 100 == 0, None).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("_flag"), F.lit("y").alias("_page"))
+    gone = spark.range(0, 5000, 7).select(F.col("id").alias("doc_id"))
+    out = without(df, gone)
+    assert out.columns == df.columns and sorted(r.doc_id or -1 for r in out.collect()) == sorted(r.doc_id or -1 for r in df.collect() if r.doc_id is None or r.doc_id % 7)
+    assert without(df, gone.limit(0)).count() == 5000 and without(df.limit(0), gone).count() == 0
