@@ -140,4 +140,8 @@ def test_url_rules(spark):
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == got[11] == ("a.example.com", "/en/71", "example.com/en/7", "allow")
     assert got[4][2:] == ("com/en/", "block") and got[5][2:] == ("com/en/", "block") and got[6][2:] == ("example.net/de/8", "block") and got[7][2:] == ("com/en/", "block") and got[9][2:] == (None, "allow")
+    long = "/" + "a" * 3000
+    rules = url_rules.rule_table(spark, [("h", long, "block"), ("h", long[:2900], "allow"), ("h", "/a", "allow")])
+    far = spark.createDataFrame([(1, f"x://h{long}b"), (2, f"x://h{long[:-1]}"), (3, f"x://h{long[:2500]}"), (4, f"x://h/b{long}")], "page_id long, url string")
+    assert {r.page_id: (len(r.rule or ""), r.verdict) for r in url_rules.judge(far, rules).collect()} == {1: (3002, "block"), 2: (2901, "allow"), 3: (3, "allow"), 4: (0, "allow")}
     assert url_rules.judge(pages, url_rules.rule_table(spark).limit(0)).filter("verdict = 'block'").count() == 0
