@@ -6,14 +6,17 @@
 * Declaration: P(declared markup language | language), from the pages.
 * Address: the prior of a host, smoothed to that of its registered domain, that
   to the address suffix's, and that to the corpus's.
-Declaration and address tables are sums of the text posteriors over all pages.
+Declaration and address tables are sums of the text posteriors over all pages;
+a page's own posterior is taken out of each before they speak about it, so its
+text counts once, and a host of one page says what its domain says.
 
 Defined results: a null or empty page gives no text evidence, a null url or one
 without `://` the empty host; unseen values fall back to the next level; of
 equal posteriors the first language in order wins; rows with a null language
 train nothing; repeated rows count and are answered each; without documents the
-language is null; extra columns are ignored. The word table has a fixed size,
-and there may be at most MOST languages.
+language is null; extra columns are ignored; a declaration is a language code of
+two or three letters, anything else is none. The word table has a fixed size of
+BUCKETS a language, and more than MOST languages raise an error.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of, words_of
+from .common import cut, let, table, text_of, words_of
 
 BUCKETS = 1 << 15
-MOST = 64
+MOST = 512
 WORDS = 40.0
 PULL = 5.0
+#: Labels under a country's suffix that are not yet a registered domain.
+SECOND = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 MARKUP = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]{1,8};"
 
 
@@ -50,7 +55,7 @@ def word_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     for lang, c in zip(rows["lang"], rows["c"]):
         for r in c:
             model[r["bucket"], langs.index(lang)] += r["n"]
-    return langs, np.log(model / model.sum(axis=0))
+    return langs, np.log(model / model.sum(axis=0)).astype(np.float32)
 
 
 def text_evidence(buckets: Column, model: np.ndarray, spark: SparkSession) -> Column:
@@ -62,7 +67,7 @@ def text_evidence(buckets: Column, model: np.ndarray, spark: SparkSession) -> Co
         for rows in batches:
             out = []
             for b in rows:
-                ll = shared.value[b].sum(axis=0) * min(1.0, WORDS / len(b)) if b is not None and len(b) else np.zeros(shared.value.shape[1])
+                ll = shared.value[b].sum(axis=0, dtype=np.float64) * min(1.0, WORDS / len(b)) if b is not None and len(b) else np.zeros(shared.value.shape[1])
                 out.append((ll - ll.max()).tolist())
             yield pd.Series(out, dtype=object)
 
@@ -85,36 +90,42 @@ def posterior(pages: DataFrame, docs: DataFrame) -> DataFrame:
     url, html = F.coalesce(F.col("url").cast("string"), F.lit("")), text_of("html")
     host = F.lower(F.regexp_extract(url, r"^(?s:.*?)://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     own = pages.select(
-        "page_id", host.alias("host"), F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""", 1)).alias("declared"),
+        "page_id", host.alias("host"), F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})(?![a-z])""", 1)).alias("declared"),
         text_evidence(buckets_of(F.regexp_replace(html, MARKUP, " ")), model, spark).alias("ll"))
-    own = own.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("g", normalised(F.col("ll")))
-    own = cut(own)
+    labels = F.split("host", r"\.")
+    second = (F.size(labels) > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, F.size(labels) - 2).isin(*SECOND)
+    suffix = F.when(second, F.substring_index("host", ".", -2)).otherwise(F.substring_index("host", ".", -1))
+    domain = F.when(second, F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2))
+    own = cut(own.withColumn("domain", domain).withColumn("suffix", suffix).withColumn("g", normalised(F.col("ll"))))
     sums = [F.sum(F.get("g", F.lit(i))).alias(f"s{i}") for i in range(k)]
-
-    def counted(*keys: str) -> DataFrame:
-        return own.groupBy(*keys).agg(*sums)
-
     total = F.array(*[F.col(f"s{i}") for i in range(k)])
-    share = lambda a: F.transform(a, lambda x: x / F.aggregate(a, F.lit(0.0), lambda p, q: p + q))
-
-    def level(table: DataFrame, upper: Column) -> Column:
-        """Counts pulled to the level above with the weight of PULL pages."""
-        added = F.transform(total, lambda x, i: x + PULL * F.get(upper, i))
-        return share(added)
-
-    root = F.broadcast(own.agg(*sums).select(share(F.transform(total, lambda x: x + 1.0)).alias("p0"), total.alias("t0")))  # one row
-    by_suffix = counted("suffix").crossJoin(root)
-    by_suffix = cut(by_suffix.select("suffix", level(by_suffix, F.col("p0")).alias("p1")))
-    by_domain = cut(counted("suffix", "domain")).join(by_suffix, "suffix")
-    by_domain = cut(by_domain.select("domain", level(by_domain, F.col("p1")).alias("p2")))
-    by_host = cut(counted("domain", "host")).join(by_domain, "domain")
-    by_host = cut(by_host.select("host", level(by_host, F.col("p2")).alias("prior")))
-    told = counted("declared").crossJoin(root)
-    size = F.aggregate("t0", F.lit(0.0), lambda a, b: a + b)
-    seen = F.aggregate(total, F.lit(0.0), lambda a, b: a + b)
-    told = cut(told.select("declared", F.transform(total, lambda x, i: (x + PULL * seen / size) / (F.get("t0", i) + PULL)).alias("says")))
-    out = own.join(by_host, "host").join(told, "declared")
-    log = F.transform("ll", lambda x, i: x + F.log(F.get("prior", i)) + F.when(F.col("declared") == "", 0.0).otherwise(F.log(F.get("says", i))))
+
+    def counted(name: str, *keys: str) -> DataFrame:
+        """The sum of the posteriors for each key, as array `name`."""
+        return own.groupBy(*keys).agg(*sums).select(*keys, total.alias(name))
+
+    root = F.broadcast(counted("all"))  # one row
+    hosts = cut(counted("of_host", "suffix", "domain", "host"))
+    up = lambda name: F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(k)])
+    domains = cut(hosts.groupBy("suffix", "domain").agg(up("of_host").alias("of_domain")))
+    suffixes = domains.groupBy("suffix").agg(up("of_domain").alias("of_suffix"))
+    hosts = cut(hosts.join(domains.join(suffixes, "suffix").drop("suffix"), "domain").select("host", "of_host", "of_domain", "of_suffix"))
+    # At most all codes of two or three letters.
+    told = F.broadcast(cut(counted("of_told", "declared").filter("declared <> ''")))
+    out = own.join(hosts, "host").join(told, "declared", "left").crossJoin(root)
+    rest = lambda a: F.zip_with(a, "g", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    share = lambda a: let(a, lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda p, q: p + q)))
+
+    def pulled(name: str, upper: str) -> Column:
+        """The shares without the page, pulled to those of the level above with the weight of PULL pages."""
+        return share(F.zip_with(rest(F.col(name)), upper, lambda x, y: x + PULL * y))
+
+    out = out.withColumn("others", rest(F.col("all"))).withColumn("p0", share(F.transform("others", lambda x: x + 1.0)))
+    out = out.withColumn("p1", pulled("of_suffix", "p0")).withColumn("p2", pulled("of_domain", "p1")).withColumn("prior", pulled("of_host", "p2"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda p, q: p + q)
+    out = out.withColumn("seen", rest(F.col("of_told"))).withColumn("rate", PULL * add(F.col("seen")) / F.greatest(add(F.col("others")), F.lit(1e-9)))
+    says = F.zip_with("seen", "others", lambda x, y: F.log((x + F.col("rate") + 1e-9) / (y + PULL)))
+    log = F.zip_with(F.zip_with("ll", "prior", lambda x, y: x + F.log(y)), F.coalesce(says, F.array_repeat(F.lit(0.0), k)), lambda x, y: x + y)
     out = out.select("page_id", "host", "declared", "g", normalised(log).alias("p"))
     top = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     return out.select("page_id", top(F.col("p")).alias("lang"), F.array_max("p").alias("probability"), top(F.col("g")).alias("text_lang"), "declared", "host")

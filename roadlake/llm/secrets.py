@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, let, table, text_of
 
 #: The base patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -66,11 +66,6 @@ LETTERS = dict(zip(_LOWER, (
 PART = 64
 
 
-def let(x: Column, f) -> Column:
-    """f(x) with x computed once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
 def before(values: Column, merge, zero: Column, levels: int = 2) -> Column:
     """For each place the values before it, merged: in parts of PART values, then over the parts likewise."""
     fold = lambda x: F.aggregate(x, zero, merge)

@@ -145,6 +145,59 @@ def test_language_of_known_texts(spark):
     assert len(got) == len(want) and sum(got[k] == v for k, v in want.items()) > 0.97 * len(want)
 
 
+def test_language_of_real_pages(spark):
+    """The generated pages name their language in the path, which the operator does not read; with and without the declaration."""
+    import re
+
+    d = "/root/testdata/sf0.01"
+    pages, train = table(spark, d, "pages"), table(spark, d, "documents")
+    want = {r.page_id: re.search("://[^/]*/([a-z]+)/", r.url)[1] for r in pages.collect()}
+    for html in ("html", "regexp_replace(html, 'lang=\\"[a-z]+\\"', '')"):
+        rows = language_fusion.posterior(pages.selectExpr("page_id", "url", f"{html} as html"), train).collect()
+        assert len(rows) == len(want) and sum(r.lang == want[r.page_id] for r in rows) >= 0.97 * len(want)
+
+
+def test_fusion_by_plain_sums(spark):
+    """Posteriors against the same rule in numpy, with each page taken out of the tables that speak about it."""
+    rng = np.random.default_rng(12)
+    vocabulary = {"de": "der die das und ist nicht ein auch".split(), "fr": "le la les des et pas une sur".split()}
+    train = spark.createDataFrame([(i, " ".join(rng.choice(vocabulary[lang], 12)), lang) for i, lang in enumerate(["de", "fr"] * 10)], "doc_id long, text string, lang string")
+    hosts = ["a.co.uk", "b.co.uk", "x.a.de", "y.a.de", "b.fr", "b.fr", "lone.org", ""]
+    rows = []
+    for i in range(40):
+        lang = ("de", "fr")[int(rng.integers(0, 2))]
+        host, declared = hosts[int(rng.integers(0, len(hosts)))], ("", "de", "fr", "english")[int(rng.integers(0, 4))]
+        words = " ".join(rng.choice(vocabulary[lang] + ["neutral"] * 8, int(rng.integers(0, 6))))
+        rows.append((i, f"http://{host}/p" if host else None, f"<html lang={declared or '?'}>{words}</html>"))
+    got = {r.page_id: (r.lang, r.probability) for r in language_fusion.posterior(spark.createDataFrame(rows, "page_id long, url string, html string"), train).collect()}
+    langs, model = language_fusion.word_model(train)
+    frame = spark.createDataFrame([(i, h.split(">", 1)[1].split("<")[0]) for i, _, h in rows], "i long, t string")
+    buckets = {r.i: r.b for r in frame.select("i", language_fusion.buckets_of(frame["t"]).alias("b")).collect()}
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    ll, g, key = {}, {}, {}
+    for i, url, html in rows:
+        b = buckets[i]
+        v = model[b].astype(float).sum(axis=0) * min(1.0, 40.0 / len(b)) if b else np.zeros(2)
+        ll[i] = v - v.max()
+        g[i] = soft(ll[i])
+        host = url.split("/")[2] if url else ""
+        parts = host.split(".")
+        tail = 2 if len(parts) > 2 and parts[-2] == "co" else 1
+        declared = html.split("=")[1].split(">")[0]
+        key[i] = ("", ".".join(parts[-tail:]), ".".join(parts[-tail - 1 :]), host, declared if declared in ("de", "fr") else "")
+    others = lambda i, level: sum((g[j] for j in g if j != i and key[j][level] == key[i][level]), np.zeros(2))
+    for i, *_ in rows:
+        prior = (others(i, 0) + 1) / (others(i, 0) + 1).sum()
+        for level in (1, 2, 3):
+            prior = (others(i, level) + 5 * prior) / (others(i, level) + 5 * prior).sum()
+        log = ll[i] + np.log(prior)
+        if key[i][4]:
+            seen, all_ = others(i, 4), others(i, 0)
+            log = log + np.log((seen + 5 * seen.sum() / all_.sum() + 1e-9) / (all_ + 5))
+        p = soft(log)
+        assert abs(got[i][1] - p.max()) < 1e-5 and (abs(p[0] - p[1]) < 1e-5 or got[i][0] == langs[int(p.argmax())])
+
+
 def test_fusion_on_awkward_pages(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "x", ""), (3, "http://a.b.fr/x", "<html lang='FR-fr'>"), (3, "http://a.b.fr/x", "<html lang='FR-fr'>"), (None, "http://c.de", "<p>der die das und ist nicht")], "page_id long, url string, html string")
     train = spark.createDataFrame([(1, "der die das und ist nicht ein", "de"), (2, "le la les des et pas une", "fr"), (3, None, None)], "doc_id long, text string, lang string")
