@@ -152,7 +152,7 @@ def test_language_of_real_pages(spark):
     d = "/root/testdata/sf0.01"
     pages, train = table(spark, d, "pages"), table(spark, d, "documents")
     want = {r.page_id: re.search("://[^/]*/([a-z]+)/", r.url)[1] for r in pages.collect()}
-    for html in ("html", "regexp_replace(html, 'lang=\\"[a-z]+\\"', '')"):
+    for html in ("html", """regexp_replace(html, 'lang="[a-z]+"', '')"""):
         rows = language_fusion.posterior(pages.selectExpr("page_id", "url", f"{html} as html"), train).collect()
         assert len(rows) == len(want) and sum(r.lang == want[r.page_id] for r in rows) >= 0.97 * len(want)
 
