@@ -86,7 +86,8 @@ def route(df: DataFrame, policy: DataFrame) -> DataFrame:
 def escalate(df: DataFrame, policy: DataFrame, as_of: str) -> DataFrame:
     """Unrecovered alerts older than their policy's minutes, as CRITICAL."""
     age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("alarm_time")) / 60.0
-    late = df.filter("recover_status = 'UNRECOVERED'").join(policy.select("severity", "escalate_minutes"), "severity").filter(age > F.col("escalate_minutes"))
+    late = df.filter("recover_status = 'UNRECOVERED'").join(policy.select("severity", "escalate_minutes"),
+        "severity").filter(age > F.col("escalate_minutes"))
     return late.withColumn("was", F.col("severity")).withColumn("severity", F.lit("CRITICAL")).drop("escalate_minutes")
 
 
@@ -109,6 +110,7 @@ def digest(df: DataFrame, keys: list[str], ts: str, item: str, max_items: int =
     """The newest max_items of each group as one list, and how many more there are."""
     own = W.partitionBy(*keys).orderBy(F.desc(ts), item)
     few = df.withColumn("_k", F.row_number().over(own)).filter(F.col("_k") <= max_items)
-    lists = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_k", item))).alias("_l")).select(*keys, F.array_join(F.transform("_l", lambda x: x[item]), ",").alias("items"))
+    lists = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_k", item))).alias("_l")).select(*keys,
+        F.array_join(F.transform("_l", lambda x: x[item]), ",").alias("items"))
     total = df.groupBy(*keys).agg(F.greatest(F.count("*") - max_items, F.lit(0)).alias("more"))
     return lists.join(total, keys)

@@ -26,10 +26,12 @@ def scd2_merge(prev: DataFrame, src: DataFrame, key: str, tracked: list[str], dt
     columns = [c for c in src.columns]
     yesterday = F.date_sub(F.lit(dt).cast("date"), 1).cast("string")
     gone = (deletes if deletes is not None else src.limit(0)).select(F.col(key).alias("_gone")).distinct()
-    now = prev.filter("is_current = 'Y'").alias("p").join(src.alias("s"), F.col(f"p.{key}") == F.col(f"s.{key}"), "full").join(gone, F.col(f"p.{key}") == F.col("_gone"), "left")
+    now = prev.filter("is_current = 'Y'").alias("p").join(src.alias("s"), F.col(f"p.{key}") == F.col(f"s.{key}"), "full").join(gone,
+        F.col(f"p.{key}") == F.col("_gone"), "left")
 
     def version(side: str, start, end, current: str):
-        return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in columns], start.alias("start_time"), end.alias("end_time"), F.lit(current).alias("is_current"))
+        return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in columns], start.alias("start_time"), end.alias("end_time"),
+            F.lit(current).alias("is_current"))
 
     old = version("p", F.col("p.start_time"), F.col("p.end_time"), "Y")
     closed = version("p", F.col("p.start_time"), yesterday, "N")
@@ -73,8 +75,10 @@ def date_hours(spark: SparkSession, start: str, end: str) -> DataFrame:
     days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("d"))
     rows = days.crossJoin(spark.range(24).select(F.col("id").cast("int").alias("hour")))
     return rows.select(
-        F.col("d").cast("string").alias("date_key"), F.year("d").alias("year"), F.quarter("d").alias("quarter"), F.month("d").alias("month"), F.dayofmonth("d").alias("day"),
-        F.weekofyear("d").alias("week"), (F.weekday("d") + 1).alias("weekday"), F.date_format("d", "EEEE").alias("weekday_name"), F.when(F.weekday("d") >= 5, 1).otherwise(0).alias("is_weekend"), "hour", period(F.col("hour")).alias("peak_period"))
+        F.col("d").cast("string").alias("date_key"), F.year("d").alias("year"), F.quarter("d").alias("quarter"), F.month("d").alias("month"),
+            F.dayofmonth("d").alias("day"),
+        F.weekofyear("d").alias("week"), (F.weekday("d") + 1).alias("weekday"), F.date_format("d", "EEEE").alias("weekday_name"),
+            F.when(F.weekday("d") >= 5, 1).otherwise(0).alias("is_weekend"), "hour", period(F.col("hour")).alias("peak_period"))
 
 
 def load_dimension(src: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ ALERT_RULES = [
 
 def _result(df: DataFrame, check: str, table: str) -> DataFrame:
     status = F.when(F.col("rate").isNull(), "ERROR").when(F.col("rate") >= PASS_AT[check], "PASS").otherwise("FAIL")
-    return df.select(F.lit(check).alias("check_type"), F.lit(table).alias("table_name"), "dt", "metric", "value", rounded(F.col("rate")).alias("rate"), rounded(F.col("row_rate")).alias("row_rate"), status.alias("status"))
+    return df.select(F.lit(check).alias("check_type"), F.lit(table).alias("table_name"), "dt", "metric", "value",
+        rounded(F.col("rate")).alias("rate"), rounded(F.col("row_rate")).alias("row_rate"), status.alias("status"))
 
 
 def warned(results: DataFrame) -> DataFrame:
@@ -37,7 +38,8 @@ def completeness(df: DataFrame, columns: list[str], table: str = "", dt: str = "
     """rate counts a row once for each missing column, row_rate once."""
     gone = [F.col(c).isNull() for c in columns]
     missing = reduce(lambda a, b: a + b, [count_where(g) for g in gone])
-    rows = df.groupBy(F.col(dt).alias("dt")).agg(missing.alias("value"), (100.0 - percent(missing, F.count("*"))).alias("rate"), (100.0 - percent(count_where(reduce(lambda a, b: a | b, gone)), F.count("*"))).alias("row_rate"))
+    rows = df.groupBy(F.col(dt).alias("dt")).agg(missing.alias("value"), (100.0 - percent(missing, F.count("*"))).alias("rate"),
+        (100.0 - percent(count_where(reduce(lambda a, b: a | b, gone)), F.count("*"))).alias("row_rate"))
     return _result(rows.withColumn("metric", F.lit("nulls")), "completeness", table)
 
 
@@ -45,7 +47,8 @@ def uniqueness(df: DataFrame, keys: list[str], table: str = "", dt: str = "dt")
     """rate counts keys that repeat, row_rate surplus rows."""
     groups = df.groupBy(F.col(dt).alias("dt"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n"))
     twice = count_where(F.col("n") > 1)
-    rows = groups.groupBy("dt").agg(twice.alias("value"), (100.0 - percent(twice, F.sum("n"))).alias("rate"), percent(F.count("*"), F.sum("n")).alias("row_rate"))
+    rows = groups.groupBy("dt").agg(twice.alias("value"), (100.0 - percent(twice, F.sum("n"))).alias("rate"),
+        percent(F.count("*"), F.sum("n")).alias("row_rate"))
     return _result(rows.withColumn("metric", F.lit("duplicate_keys")), "uniqueness", table)
 
 
@@ -53,9 +56,11 @@ def validity(df: DataFrame, rules: dict[str, Column], table: str = "", dt: str =
     """One row for each rule; a null counts as a breach."""
     bad = {n: ~F.coalesce(p, F.lit(False)) for n, p in rules.items()}
     any_bad = reduce(lambda a, b: a | b, bad.values())
-    wide = df.groupBy(F.col(dt).alias("dt")).agg(F.count("*").alias("_all"), count_where(any_bad).alias("_any"), *[count_where(b).alias(n) for n, b in bad.items()])
+    wide = df.groupBy(F.col(dt).alias("dt")).agg(F.count("*").alias("_all"), count_where(any_bad).alias("_any"),
+        *[count_where(b).alias(n) for n, b in bad.items()])
     rows = wide.unpivot(["dt", "_all", "_any"], list(rules), "metric", "value")
-    return _result(rows.withColumn("rate", 100.0 - percent(F.col("value"), F.col("_all"))).withColumn("row_rate", 100.0 - percent(F.col("_any"), F.col("_all"))), "validity", table)
+    return _result(rows.withColumn("rate", 100.0 - percent(F.col("value"), F.col("_all"))).withColumn("row_rate",
+        100.0 - percent(F.col("_any"), F.col("_all"))), "validity", table)
 
 
 def backlog(offsets: DataFrame, table: str = "") -> DataFrame:
@@ -63,13 +68,16 @@ def backlog(offsets: DataFrame, table: str = "") -> DataFrame:
     lag = F.greatest(F.col("end_offset") - F.col("committed"), F.lit(0))
     rows = offsets.groupBy("dt").agg(F.sum(lag).cast("long").alias("value"), rounded(F.avg(lag)).alias("rate"))
     status = F.when(F.col("value") < BACKLOG[0], "PASS").when(F.col("value") < BACKLOG[1], "WARN").otherwise("FAIL")
-    return rows.select(F.lit("backlog").alias("check_type"), F.lit(table).alias("table_name"), "dt", F.lit("lag").alias("metric"), "value", "rate", F.lit(None).cast("double").alias("row_rate"), status.alias("status"))
+    return rows.select(F.lit("backlog").alias("check_type"), F.lit(table).alias("table_name"), "dt", F.lit("lag").alias("metric"), "value", "rate",
+        F.lit(None).cast("double").alias("row_rate"), status.alias("status"))
 
 
 def report(results: DataFrame, alert_below: float = 95.0) -> DataFrame:
     """One row a day: how many checks ended how, the share that passed, whether to alert, the mean of the rates."""
     rates = F.when(F.col("check_type") != "backlog", F.col("rate").cast("decimal(10,2)"))
-    rows = results.groupBy("dt").agg(*[count_where(F.col("status") == s.upper()).alias(s) for s in ("pass", "fail", "warn", "error")], rounded(percent(count_where(F.col("status") == "PASS"), F.count("*"))).alias("score"), rounded(F.sum(rates).cast("double") / F.count(rates)).alias("mean_rate"))
+    rows = results.groupBy("dt").agg(*[count_where(F.col("status") == s.upper()).alias(s) for s in ("pass", "fail", "warn", "error")],
+        rounded(percent(count_where(F.col("status") == "PASS"), F.count("*"))).alias("score"),
+            rounded(F.sum(rates).cast("double") / F.count(rates)).alias("mean_rate"))
     return rows.withColumn("alert", F.col("score") < alert_below)
 
 
@@ -82,4 +90,5 @@ def quality_alerts(results: DataFrame, rules: DataFrame) -> DataFrame:
     rows = results.join(rules, "check_type")
     actual = F.when(F.col("check_type") == "backlog", F.col("value").cast("double")).otherwise(F.col("rate"))
     hit = F.when(F.col("check_type") == "backlog", actual > F.col("threshold")).otherwise(actual < F.col("threshold"))
-    return rows.filter(hit).select("rule_id", "severity", "table_name", "dt", "metric", F.expr("printf(template, table_name, case when check_type = 'backlog' then cast(value as double) else rate end, threshold)").alias("message"))
+    return rows.filter(hit).select("rule_id", "severity", "table_name", "dt", "metric",
+        F.expr("printf(template, table_name, case when check_type = 'backlog' then cast(value as double) else rate end, threshold)").alias("message"))

@@ -54,7 +54,8 @@ def sequence(df: DataFrame, key: str, ts: str, cond: Column, n: int, within: int
     rows = rows.withColumn("_block", F.explode(F.array_distinct(F.array("_own", "_next"))))
     own = W.partitionBy(key, "_block").orderBy("last_ts", "_tie")
     rows = rows.select(
-        key, "last_ts", F.lag("last_ts", n - 1).over(own).alias("first_ts"), F.sum("_ok").over(own.rowsBetween(1 - n, 0)).alias("_run"), "_own", "_block")
+        key, "last_ts", F.lag("last_ts", n - 1).over(own).alias("first_ts"), F.sum("_ok").over(own.rowsBetween(1 - n, 0)).alias("_run"), "_own",
+            "_block")
     found = rows.filter((F.col("_own") == F.col("_block")) & (F.col("_run") == n) & (F.unix_timestamp("last_ts") - F.unix_timestamp("first_ts") < within))
     found = found.select(key, "first_ts", "last_ts")
     return found.groupBy(key).agg(F.min(F.struct("last_ts", "first_ts")).alias("m")).select(key, "m.first_ts", "m.last_ts") if first_only else found
@@ -98,7 +99,8 @@ def spike_step(state: tuple[float, int] | None, flow: float, alpha: float, facto
     return (alpha * flow + (1 - alpha) * average, seen + 1), hit
 
 
-def flow_spike(df: DataFrame, key: str, order: str, flow: str, alpha: float = 0.2, factor: float = 2, warmup: int = 5, block: Column | None = None) -> DataFrame:
+def flow_spike(df: DataFrame, key: str, order: str, flow: str, alpha: float = 0.2, factor: float = 2, warmup: int = 5,
+    block: Column | None = None) -> DataFrame:
     """Rows over factor times the key's moving average of the rows before; the average then takes the row in.
 
     A block (default: a day, where `order` is a time) is folded apart: what it does to the average is one linear step,
@@ -107,7 +109,8 @@ def flow_spike(df: DataFrame, key: str, order: str, flow: str, alpha: float = 0.
     """
     times = dict(df.dtypes)[order].startswith(("timestamp", "date"))
     block = block if block is not None else (blocks(order) if times else F.lit(0).cast("long"))
-    rows = df.select(key, order, F.col(flow).cast("double").alias("flow"), block.alias("_block")).filter(F.col(key).isNotNull() & F.col("flow").isNotNull())
+    rows = df.select(key, order, F.col(flow).cast("double").alias("flow"),
+        block.alias("_block")).filter(F.col(key).isNotNull() & F.col("flow").isNotNull())
     kind, when = dict(df.dtypes)[key], dict(df.dtypes)[order]
     dealt = rows.repartition(key, "_block").sortWithinPartitions(key, "_block", order, "flow")
 

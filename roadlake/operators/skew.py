@@ -15,7 +15,8 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
 
 def key_stats(df: DataFrame, key: str) -> DataFrame:
     """One row: keys, total, max, min, avg, stdev, cv and skew_ratio (max over mean) of the rows per key."""
-    one = key_counts(df, key).agg(F.count("*").alias("keys"), F.sum("n").cast("long").alias("total"), F.max("n").alias("max"), F.min("n").alias("min"), F.avg("n").alias("avg"), F.stddev_samp("n").alias("stdev"))
+    one = key_counts(df, key).agg(F.count("*").alias("keys"), F.sum("n").cast("long").alias("total"), F.max("n").alias("max"),
+        F.min("n").alias("min"), F.avg("n").alias("avg"), F.stddev_samp("n").alias("stdev"))
     return one.withColumn("cv", F.col("stdev") / F.col("avg")).withColumn("skew_ratio", F.col("max") / F.col("avg"))
 
 
@@ -29,7 +30,8 @@ def gini(df: DataFrame, key: str) -> DataFrame:
     before = W.orderBy("n").rowsBetween(W.unboundedPreceding, -1)
     ranked = held.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0)))
     # The ranks before + 1 to before + k have the same n; their sum is k * before + k * (k + 1) / 2.
-    parts = ranked.agg(F.sum(F.col("n") * (F.col("k") * F.col("before") * 2 + F.col("k") * (F.col("k") + 1))).cast("double").alias("twice"), F.sum(F.col("n") * F.col("k")).cast("double").alias("total"), F.sum("k").cast("double").alias("keys"))
+    parts = ranked.agg(F.sum(F.col("n") * (F.col("k") * F.col("before") * 2 + F.col("k") * (F.col("k") + 1))).cast("double").alias("twice"),
+        F.sum(F.col("n") * F.col("k")).cast("double").alias("total"), F.sum("k").cast("double").alias("keys"))
     raw = F.col("twice") / (F.col("keys") * F.col("total")) - (F.col("keys") + 1) / F.col("keys")
     return parts.select(F.when(F.col("keys") > 1, raw * F.col("keys") / (F.col("keys") - 1)).otherwise(F.lit(0.0)).alias("gini"))
 

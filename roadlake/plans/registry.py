@@ -34,7 +34,8 @@ def add(name: str, oracle: str | None, **more: str):
 
 for _id, _table in {
     "p_dwd1": "dwd_vehicle_pass", "p_dwd2": "dwd_traffic_status", "p_dwd3": "dwd_device_status", "p_dwd4": "dwd_alarm_log",
-    "p_dws1": "dws_road_hour_flow", "p_dws2": "dws_area_jam_hour", "p_dws3": "dws_device_health_day", "p_dws4": "dws_alarm_day", "p_dws4d": "dws_alarm_device_day",
+    "p_dws1": "dws_road_hour_flow", "p_dws2": "dws_area_jam_hour", "p_dws3": "dws_device_health_day", "p_dws4": "dws_alarm_day",
+        "p_dws4d": "dws_alarm_device_day",
     "p_ads1": "ads_traffic_operation", "p_ads2": "ads_top_jam_roads", "p_ads2r": "ads_top_jam_roads_by_road", "p_ads3": "ads_device_health_score",
     "p_ads4": "ads_device_mtbf_mttr", "p_ads5": "ads_device_fault_top",
 }.items():

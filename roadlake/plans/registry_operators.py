@@ -29,7 +29,9 @@ _MERGED = f"""with a as (select * from road), b as ({_TODAY}), x as (select a.ro
 def _today(t):
     n = F.substring("road_id", 2, 20).cast("int")
     road = t["road"].select(*_ROAD_COLS.split(", "))
-    edited = road.filter(n % 13 != 0).withColumn("lane_count", F.when(n % 7 == 0, c("lane_count") + 2).otherwise(c("lane_count"))).withColumn("speed_limit", F.when(n % 11 == 0, None).otherwise(c("speed_limit")))
+    edited = road.filter(n % 13 != 0).withColumn("lane_count",
+        F.when(n % 7 == 0, c("lane_count") + 2).otherwise(c("lane_count"))).withColumn("speed_limit",
+            F.when(n % 11 == 0, None).otherwise(c("speed_limit")))
     return edited.unionByName(road.filter(n % 10 == 0).withColumn("road_id", F.concat(F.lit("N"), "road_id")))
 
 
@@ -37,76 +39,332 @@ def _merged(t):
     return dims.scd2_merge(dims.scd2_init(t["road"], "2024-06-07"), _today(t), "road_id", _TRACKED, _DAY)
 
 
-add("d1_scd2_init", "select *, '1970-01-01' as start_time, '9999-12-31' as end_time, 'Y' as is_current, '2024-06-07' as dt from road")(lambda t: dims.scd2_init(t["road"], "2024-06-07"))
+@add("d1_scd2_init", """
+select *, '1970-01-01' as start_time, '9999-12-31' as end_time, 'Y' as is_current, '2024-06-07' as dt
+from road
+""")
+def _(t):
+    return dims.scd2_init(t["road"], "2024-06-07")
+
+
 add("d2_scd2_merge", f"select * from merged", merged=_MERGED)(_merged)
-add("d4_scd2_check", """select 'closed_with_open_end' as rule, count(*) as violations from merged where is_current = 'N' and end_time = '9999-12-31' union all select 'open_with_end', count(*) from merged where is_current = 'Y' and end_time <> '9999-12-31'
- union all select 'two_current', count(*) from (select road_id from merged where is_current = 'Y' group by road_id having count(*) > 1)""", merged=_MERGED)(lambda t: dims.scd2_check(_merged(t), "road_id"))
-add("d5_current_view", "select road_id, lane_count, start_time from merged where is_current = 'Y'", merged=_MERGED)(lambda t: dims.current(_merged(t)).select("road_id", "lane_count", "start_time"))
-add("d8_load_dimension", "select distinct device_id, online_flag from device_status where dt = (select max(dt) from device_status)")(lambda t: dims.load_dimension(t["device_status"].select("device_id", "online_flag", "dt")))
-add("j8_changed", f"select b.* from ({_TODAY}) b left join road a using (road_id) where a.road_id is null or (a.road_name, a.road_type, a.lane_count, a.speed_limit, a.area_id) is distinct from (b.road_name, b.road_type, b.lane_count, b.speed_limit, b.area_id)")(lambda t: joins.changed(t["road"], _today(t), "road_id", _TRACKED))
+
+
+@add("d4_scd2_check", """
+select 'closed_with_open_end' as rule, count(*) as violations
+from merged where is_current = 'N' and end_time = '9999-12-31'
+union all select 'open_with_end', count(*)
+from merged where is_current = 'Y' and end_time <> '9999-12-31'
+ union all select 'two_current', count(*)
+from (select road_id from merged
+  where is_current = 'Y' group by road_id
+  having count(*) > 1)
+""", merged=_MERGED)
+def _(t):
+    return dims.scd2_check(_merged(t), "road_id")
+
+
+@add("d5_current_view", "select road_id, lane_count, start_time from merged where is_current = 'Y'", merged=_MERGED)
+def _(t):
+    return dims.current(_merged(t)).select("road_id", "lane_count", "start_time")
+
+
+@add("d8_load_dimension", "select distinct device_id, online_flag from device_status where dt = (select max(dt) from device_status)")
+def _(t):
+    return dims.load_dimension(t["device_status"].select("device_id", "online_flag", "dt"))
+
+
+@add("j8_changed", f"""
+select b.* from ({_TODAY}) b left join road a using (road_id)
+where a.road_id is null or (a.road_name, a.road_type, a.lane_count, a.speed_limit, a.area_id) is distinct
+from (b.road_name, b.road_type, b.lane_count, b.speed_limit, b.area_id)
+""")
+def _(t):
+    return joins.changed(t["road"], _today(t), "road_id", _TRACKED)
+
+
 add("j9_unseen", f"select * from ({_TODAY}) where road_id not in (select road_id from road)")(lambda t: joins.unseen(_today(t), t["road"], "road_id"))
-add("d6_date_hours", f"""select cast(d as date)::varchar as date_key, cast(year(d) as int) as year, cast(quarter(d) as int) as quarter, cast(month(d) as int) as month, cast(day(d) as int) as day, cast(week(d) as int) as week, cast(isodow(d) as int) as weekday, dayname(d) as weekday_name,
- case when isodow(d) >= 6 then 1 else 0 end as is_weekend, cast(h as int) as hour, {period('h')} as peak_period from (select unnest(generate_series((select cast(min(sample_time) as date)::timestamp from traffic_status), (select cast(max(sample_time) as date)::timestamp from traffic_status), interval 1 day)) as d) cross join range(24) x(h)""")(
-    lambda t: dims.date_hours(t["traffic_status"].sparkSession, *t["traffic_status"].agg(F.min(F.to_date("sample_time")).cast("string"), F.max(F.to_date("sample_time")).cast("string")).first()))
+
+
+@add("d6_date_hours", f"""
+select cast(d as date)::varchar as date_key, cast(year(d) as int) as year, cast(quarter(d) as int) as quarter, cast(month(d) as int) as month,
+  cast(day(d) as int) as day, cast(week(d) as int) as week, cast(isodow(d) as int) as weekday, dayname(d) as weekday_name,
+ case when isodow(d) >= 6 then 1 else 0 end as is_weekend, cast(h as int) as hour, {period('h')} as peak_period
+from (select unnest(generate_series((select cast(min(sample_time) as date)::timestamp from traffic_status),
+  (select cast(max(sample_time) as date)::timestamp from traffic_status), interval 1 day)) as d)
+cross join range(24) x(h)
+""")
+def _(t):
+    return dims.date_hours(t["traffic_status"].sparkSession,
+        *t["traffic_status"].agg(F.min(F.to_date("sample_time")).cast("string"), F.max(F.to_date("sample_time")).cast("string")).first())
+
 
 # Joins and aggregates.
-add("j10_salted_join", "select vehicle_id, road_id, pass_time, road_type from vehicle_pass join road using (road_id)")(
-    lambda t: joins.salted_join(t["vehicle_pass"], t["road"].select("road_id", "road_type"), "road_id", ["R1", "R2", "R3"]).select("vehicle_id", "road_id", "pass_time", "road_type"))
-add("j13_default_lookup", "select vehicle_id, pass_time, coalesce(road_type, 'unknown') as road_type from vehicle_pass left join (select * from road where lane_count > 3) using (road_id)")(
-    lambda t: joins.with_current(t["vehicle_pass"], t["road"].filter("lane_count > 3").select("road_id", "road_type"), "road_id", default={"road_type": "unknown"}).select("vehicle_id", "pass_time", "road_type"))
-add("j2_star_join", f"select area_name, city_name, device_type, count(*) as samples, {r(smean('cpu_usage'))} as cpu from dwd_device_status s join (select device_id, device_type as kind, road_id from device) d using (device_id) join (select road_id, area_id from road) using (road_id) join area using (area_id) group by area_name, city_name, device_type".replace("device_type, count", "kind as device_type, count").replace("city_name, device_type", "city_name, kind"))(
-    lambda t: joins.with_current(joins.with_current(joins.with_current(t["dwd_device_status"].drop("device_type"), t["device"].select("device_id", "device_type", "road_id"), "device_id"), t["road"].select("road_id", "area_id"), "road_id"), t["area"], "area_id")
-    .groupBy("area_name", "city_name", "device_type").agg(F.count("*").alias("samples"), rounded(mean(c("cpu_usage"))).alias("cpu")))
-add("a7_salted_agg", f"select road_id, hour, {big('count(*)')} as n, {big('sum(speed)')} as total_speed from dwd_vehicle_pass group by road_id, hour")(lambda t: skew.salted_agg(t["dwd_vehicle_pass"], ["road_id", "hour"], {"n": F.lit(1), "total_speed": c("speed")}))
-add("a8_argmax", "select road_id, hour, traffic_count from (select *, row_number() over (partition by road_id order by traffic_count desc, hour) as k from (select road_id, hour, count(*) as traffic_count from dwd_vehicle_pass group by road_id, hour)) where k = 1")(
-    lambda t: clean.argmax(t["dwd_vehicle_pass"].groupBy("road_id", "hour").agg(F.count("*").alias("traffic_count")), ["road_id"], "hour", "traffic_count", "hour"))
-add("a10_merge_repeats", "select device_id, alarm_type, cast(floor(epoch(alarm_time) / 300) as bigint) as bucket, min(alarm_time) as first_time, max(alarm_time) as last_time, count(*) as n from alarm_log group by 1, 2, 3")(
-    lambda t: clean.merge_repeats(t["alarm_log"], ["device_id", "alarm_type"], "alarm_time", 300, {"first_time": F.min("alarm_time"), "last_time": F.max("alarm_time"), "n": F.count("*")}))
-add("a13_jam_distribution", "select road_id, jam_level, coalesce(n, 0) as n from (select distinct road_id from dwd_traffic_status) cross join (values (1), (2), (3), (4), (5)) v(jam_level) left join (select road_id, jam_level, count(*) as n from dwd_traffic_status group by all) using (road_id, jam_level)")(
-    lambda t: analytics.distribution(t["dwd_traffic_status"], "jam_level", [1, 2, 3, 4, 5], ["road_id"]))
-add("a19_key_stats", "select keys, total, max, min, round(avg, 6) as avg, round(stdev, 6) as stdev, round(stdev / avg, 6) as cv, round(max / avg, 6) as skew_ratio from (select count(*) as keys, cast(sum(n) as bigint) as total, max(n) as max, min(n) as min, avg(n) as avg, stddev_samp(n) as stdev from (select road_id, count(*) as n from vehicle_pass group by road_id))")(
-    lambda t: skew.key_stats(t["vehicle_pass"], "road_id").withColumns({k: F.round(k, 6) for k in ("avg", "stdev", "cv", "skew_ratio")}))
-add("a4_tuple_distinct", "select road_id, count(distinct case when vehicle_id is not null then (vehicle_id, lane) end) as pairs from dwd_vehicle_pass group by road_id")(lambda t: t["dwd_vehicle_pass"].groupBy("road_id").agg(F.countDistinct("vehicle_id", "lane").alias("pairs")))
-add("a11_duplicate_keys", "select vehicle_id, pass_time, count(*) as n from vehicle_pass group by vehicle_id, pass_time having count(*) > 1")(lambda t: t["vehicle_pass"].groupBy("vehicle_id", "pass_time").agg(F.count("*").alias("n")).filter("n > 1"))
-add("t4_n10_concentration", f"select {pct('(select sum(n) from (select count(*) as n from vehicle_pass group by road_id order by n desc, road_id limit 5))', '(select count(*) from vehicle_pass)')} as share".replace("select count(*) as n from vehicle_pass", "select road_id, count(*) as n from vehicle_pass"))(lambda t: skew.concentration(t["vehicle_pass"], "road_id", 5))
-add("n9_gini", "select round((2.0e0 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0e0) / count(*)) * count(*) / (count(*) - 1), 9) as gini from (select n, row_number() over (order by n) as i from (select road_id, count(*) as n from vehicle_pass group by road_id))")(lambda t: skew.gini(t["vehicle_pass"], "road_id").select(F.round("gini", 9).alias("gini")))
-add("n11_hot_keys", "select road_id, n from (select road_id, count(*) as n from vehicle_pass group by road_id) where n > 2 * (select avg(n) from (select count(*) as n from vehicle_pass group by road_id))")(lambda t: skew.hot_keys(t["vehicle_pass"], "road_id"))
+
+@add("j10_salted_join", "select vehicle_id, road_id, pass_time, road_type from vehicle_pass join road using (road_id)")
+def _(t):
+    return (
+        joins.salted_join(t["vehicle_pass"], t["road"].select("road_id", "road_type"), "road_id", ["R1", "R2", "R3"])
+        .select("vehicle_id", "road_id", "pass_time", "road_type")
+    )
+
+
+@add("j13_default_lookup", """
+select vehicle_id, pass_time, coalesce(road_type, 'unknown') as road_type
+from vehicle_pass left join (select *
+  from road where lane_count > 3) using (road_id)
+""")
+def _(t):
+    return (
+        joins.with_current(t["vehicle_pass"], t["road"].filter("lane_count > 3").select("road_id", "road_type"), "road_id",
+            default={"road_type": "unknown"})
+        .select("vehicle_id", "pass_time", "road_type")
+    )
+
+
+@add("j2_star_join", f"select area_name, city_name, device_type, count(*) as samples, {r(smean('cpu_usage'))} as cpu from dwd_device_status s join (select device_id, device_type as kind, road_id from device) d using (device_id) join (select road_id, area_id from road) using (road_id) join area using (area_id) group by area_name, city_name, device_type".replace("device_type, count", "kind as device_type, count").replace("city_name, device_type", "city_name, kind"))
+def _(t):
+    return (
+        joins.with_current(joins.with_current(joins.with_current(t["dwd_device_status"].drop("device_type"),
+            t["device"].select("device_id", "device_type", "road_id"), "device_id"), t["road"].select("road_id", "area_id"), "road_id"), t["area"],
+                "area_id")
+        .groupBy("area_name", "city_name", "device_type")
+        .agg(F.count("*").alias("samples"), rounded(mean(c("cpu_usage"))).alias("cpu"))
+    )
+
+
+@add("a7_salted_agg", f"""
+select road_id, hour, {big('count(*)')} as n, {big('sum(speed)')} as total_speed
+from dwd_vehicle_pass group by road_id, hour
+""")
+def _(t):
+    return skew.salted_agg(t["dwd_vehicle_pass"], ["road_id", "hour"], {"n": F.lit(1), "total_speed": c("speed")})
+
+
+@add("a8_argmax", """
+select road_id, hour, traffic_count
+from (select *, row_number() over (partition by road_id order by traffic_count desc, hour) as k
+  from (select road_id, hour, count(*) as traffic_count
+    from dwd_vehicle_pass group by road_id, hour))
+where k = 1
+""")
+def _(t):
+    return clean.argmax(t["dwd_vehicle_pass"].groupBy("road_id", "hour").agg(F.count("*").alias("traffic_count")), ["road_id"], "hour",
+        "traffic_count", "hour")
+
+
+@add("a10_merge_repeats", """
+select device_id, alarm_type, cast(floor(epoch(alarm_time) / 300) as bigint) as bucket, min(alarm_time) as first_time, max(alarm_time) as last_time,
+  count(*) as n
+from alarm_log group by 1, 2, 3
+""")
+def _(t):
+    return clean.merge_repeats(t["alarm_log"], ["device_id", "alarm_type"], "alarm_time", 300,
+        {"first_time": F.min("alarm_time"), "last_time": F.max("alarm_time"), "n": F.count("*")})
+
+
+@add("a13_jam_distribution", """
+select road_id, jam_level, coalesce(n, 0) as n
+from (select distinct road_id from dwd_traffic_status)
+cross join (values (1), (2), (3), (4), (5)) v(jam_level)
+left join (select road_id, jam_level, count(*) as n
+  from dwd_traffic_status group by all) using (road_id, jam_level)
+""")
+def _(t):
+    return analytics.distribution(t["dwd_traffic_status"], "jam_level", [1, 2, 3, 4, 5], ["road_id"])
+
+
+@add("a19_key_stats", """
+select keys, total, max, min, round(avg, 6) as avg, round(stdev, 6) as stdev, round(stdev / avg, 6) as cv, round(max / avg, 6) as skew_ratio
+from (select count(*) as keys, cast(sum(n) as bigint) as total, max(n) as max, min(n) as min, avg(n) as avg, stddev_samp(n) as stdev
+  from (select road_id, count(*) as n
+    from vehicle_pass group by road_id))
+""")
+def _(t):
+    return skew.key_stats(t["vehicle_pass"], "road_id").withColumns({k: F.round(k, 6) for k in ("avg", "stdev", "cv", "skew_ratio")})
+
+
+@add("a4_tuple_distinct", """
+select road_id, count(distinct case when vehicle_id is not null then (vehicle_id, lane) end) as pairs
+from dwd_vehicle_pass group by road_id
+""")
+def _(t):
+    return t["dwd_vehicle_pass"].groupBy("road_id").agg(F.countDistinct("vehicle_id", "lane").alias("pairs"))
+
+
+@add("a11_duplicate_keys", """
+select vehicle_id, pass_time, count(*) as n
+from vehicle_pass group by vehicle_id, pass_time
+having count(*) > 1
+""")
+def _(t):
+    return t["vehicle_pass"].groupBy("vehicle_id", "pass_time").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@add("t4_n10_concentration", f"select {pct('(select sum(n) from (select count(*) as n from vehicle_pass group by road_id order by n desc, road_id limit 5))', '(select count(*) from vehicle_pass)')} as share".replace("select count(*) as n from vehicle_pass", "select road_id, count(*) as n from vehicle_pass"))
+def _(t):
+    return skew.concentration(t["vehicle_pass"], "road_id", 5)
+
+
+@add("n9_gini", """
+select round((2.0e0 * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0e0) / count(*)) * count(*) / (count(*) - 1), 9) as gini
+from (select n, row_number() over (order by n) as i
+  from (select road_id, count(*) as n
+    from vehicle_pass group by road_id))
+""")
+def _(t):
+    return skew.gini(t["vehicle_pass"], "road_id").select(F.round("gini", 9).alias("gini"))
+
+
+@add("n11_hot_keys", """
+select road_id, n from (select road_id, count(*) as n
+  from vehicle_pass group by road_id)
+where n > 2 * (select avg(n) from (select count(*) as n
+    from vehicle_pass group by road_id))
+""")
+def _(t):
+    return skew.hot_keys(t["vehicle_pass"], "road_id")
+
+
 add("n12_reduction", f"""
 select {big("sum(n)")} as rows_before, count(*) as rows_after, 100.0e0 - {pct("count(*)", "sum(n)")} as saved_pct
 from (select road_id, cast(substr(device_id, 2) as int) % 10 as salt, count(*) as n from vehicle_pass group by 1, 2)
 """)(lambda t: skew.reduction(t["vehicle_pass"], ["road_id"], salt=F.substring("device_id", 2, 20).cast("int")))
 
 # Cleaning functions.
-add("f3_normalize_enum", f"select alarm_id, case when alarm_type in ({', '.join(repr(x) for x in ALARM_TYPES)}) then alarm_type else 'OTHER' end as alarm_type from alarm_log")(lambda t: t["alarm_log"].select("alarm_id", normalize_enum(c("alarm_type"), ALARM_TYPES, "OTHER").alias("alarm_type")))
-add("f11_band", "select device_id, heartbeat_time, case when cpu_usage >= 90 then 'HOT' when cpu_usage >= 70 then 'WARM' else 'COOL' end as cpu_band from device_status")(lambda t: t["device_status"].select("device_id", "heartbeat_time", band(c("cpu_usage"), [(90, "HOT"), (70, "WARM")], "COOL").alias("cpu_band")))
-add("f5_decode", "select road_id, sample_time, case jam_level when 1 then 'a' when 2 then 'b' else '?' end as label from traffic_status")(lambda t: t["traffic_status"].select("road_id", "sample_time", decode(c("jam_level"), {1: "a", 2: "b"}, "?").alias("label")))
-add("f12_jam_from_speed", "select road_id, sample_time, case when avg_speed > 60 then 1 when avg_speed > 40 then 2 when avg_speed > 25 then 3 when avg_speed > 15 then 4 else 5 end as level from traffic_status")(lambda t: t["traffic_status"].select("road_id", "sample_time", jam_from_speed(c("avg_speed")).alias("level")))
-add("f13_jam_from_bands", "select road_id, sample_time, case when avg_speed >= 40 and congestion_rate <= 15 then 1 when avg_speed >= 30 and congestion_rate <= 30 then 2 when avg_speed >= 20 and congestion_rate <= 50 then 3 when avg_speed >= 10 and congestion_rate <= 75 then 4 else 5 end as level from traffic_status")(
-    lambda t: t["traffic_status"].select("road_id", "sample_time", jam_from_bands(c("avg_speed"), c("congestion_rate")).alias("level")))
-add("w1_dedup", "select * exclude rn from (select *, row_number() over (partition by device_id, alarm_time order by alarm_id nulls first, alarm_type nulls first, alarm_level nulls first, alarm_content nulls first, recover_time nulls first, recover_status nulls first, dt nulls first) as rn from alarm_log) where rn = 1")(lambda t: clean.dedup(t["alarm_log"], ["device_id", "alarm_time"]))
+
+@add("f3_normalize_enum", f"""
+select alarm_id, case when alarm_type in ({', '.join(repr(x) for x in ALARM_TYPES)}) then alarm_type else 'OTHER' end as alarm_type
+from alarm_log
+""")
+def _(t):
+    return t["alarm_log"].select("alarm_id", normalize_enum(c("alarm_type"), ALARM_TYPES, "OTHER").alias("alarm_type"))
+
+
+@add("f11_band", """
+select device_id, heartbeat_time, case when cpu_usage >= 90 then 'HOT' when cpu_usage >= 70 then 'WARM' else 'COOL' end as cpu_band
+from device_status
+""")
+def _(t):
+    return t["device_status"].select("device_id", "heartbeat_time", band(c("cpu_usage"), [(90, "HOT"), (70, "WARM")], "COOL").alias("cpu_band"))
+
+
+@add("f5_decode", """
+select road_id, sample_time, case jam_level when 1 then 'a' when 2 then 'b' else '?' end as label
+from traffic_status
+""")
+def _(t):
+    return t["traffic_status"].select("road_id", "sample_time", decode(c("jam_level"), {1: "a", 2: "b"}, "?").alias("label"))
+
+
+@add("f12_jam_from_speed", """
+select road_id, sample_time, case when avg_speed > 60 then 1 when avg_speed > 40 then 2 when avg_speed > 25 then 3 when avg_speed > 15 then 4
+  else 5 end as level
+from traffic_status
+""")
+def _(t):
+    return t["traffic_status"].select("road_id", "sample_time", jam_from_speed(c("avg_speed")).alias("level"))
+
+
+@add("f13_jam_from_bands", """
+select road_id, sample_time, case when avg_speed >= 40 and congestion_rate <= 15 then 1 when avg_speed >= 30 and congestion_rate <= 30 then 2
+  when avg_speed >= 20 and congestion_rate <= 50 then 3 when avg_speed >= 10 and congestion_rate <= 75 then 4 else 5 end as level
+from traffic_status
+""")
+def _(t):
+    return t["traffic_status"].select("road_id", "sample_time", jam_from_bands(c("avg_speed"), c("congestion_rate")).alias("level"))
+
+
+@add("w1_dedup", """
+select * exclude rn from (select *, row_number() over (partition by device_id, alarm_time order by alarm_id nulls first, alarm_type nulls first,
+  alarm_level nulls first, alarm_content nulls first, recover_time nulls first, recover_status nulls first, dt nulls first) as rn
+  from alarm_log) where rn = 1
+""")
+def _(t):
+    return clean.dedup(t["alarm_log"], ["device_id", "alarm_time"])
+
 
 # Ordered rows.
-add("w4_moving_avg", f"select road_id, dt, hour, traffic_count, {r('cast(sum(traffic_count) over w as double) / count(traffic_count) over w')} as moving_avg from dws_road_hour_flow window w as (partition by road_id, dt order by hour rows between 4 preceding and current row)")(
-    lambda t: series.moving_avg(t["dws_road_hour_flow"].select("road_id", "dt", "hour", "traffic_count"), ["road_id", "dt"], "hour", "traffic_count"))
-add("w5_n4_gaps", "select device_id, gap_start, gap_end, gap_minutes, case when gap_minutes > 60 then 'HIGH' else 'MEDIUM' end as severity from (select device_id, lag(heartbeat_time) over (partition by device_id order by heartbeat_time) as gap_start, heartbeat_time as gap_end, (epoch(heartbeat_time) - epoch(lag(heartbeat_time) over (partition by device_id order by heartbeat_time))) / 60.0e0 as gap_minutes from device_status) where gap_minutes > 30")(
-    lambda t: series.gaps(t["device_status"], "device_id", "heartbeat_time"))
+
+@add("w4_moving_avg", f"""
+select road_id, dt, hour, traffic_count, {r('cast(sum(traffic_count) over w as double) / count(traffic_count) over w')} as moving_avg
+from dws_road_hour_flow window w as (partition by road_id, dt order by hour rows between 4 preceding and current row)
+""")
+def _(t):
+    return series.moving_avg(t["dws_road_hour_flow"].select("road_id", "dt", "hour", "traffic_count"), ["road_id", "dt"], "hour", "traffic_count")
+
+
+@add("w5_n4_gaps", """
+select device_id, gap_start, gap_end, gap_minutes, case when gap_minutes > 60 then 'HIGH' else 'MEDIUM' end as severity
+from (select device_id, lag(heartbeat_time) over (partition by device_id order by heartbeat_time) as gap_start, heartbeat_time as gap_end,
+  (epoch(heartbeat_time) - epoch(lag(heartbeat_time) over (partition by device_id order by heartbeat_time))) / 60.0e0 as gap_minutes
+  from device_status) where gap_minutes > 30
+""")
+def _(t):
+    return series.gaps(t["device_status"], "device_id", "heartbeat_time")
+
+
 _SEQ = "select device_id, first_ts, last_ts from (select device_id, heartbeat_time as last_ts, lag(heartbeat_time, {m}) over w as first_ts, sum(case when {cond} then 1 else 0 end) over (w rows between {m} preceding and current row) as run from dwd_device_status window w as (partition by device_id order by heartbeat_time)) where run = {n} and epoch(last_ts) - epoch(first_ts) < {within}"
-for _name, _cond, _n, _within in (("w6_r8_offline_runs", "online_flag = 'OFFLINE'", 3, 172800), ("r9_cpu_runs", "cpu_usage > 60", 3, 172800), ("r10_hot_runs", "temperature > 60", 2, 86400), ("r11_any_runs", "true", 10, 432000)):
-    add(_name, _SEQ.format(m=_n - 1, cond=_cond, n=_n, within=_within))(lambda t, _cond=_cond, _n=_n, _within=_within: series.sequence(t["dwd_device_status"], "device_id", "heartbeat_time", F.expr(_cond), _n, _within))
-add("w7_r15_bursts", "select device_id, time_bucket(interval 1 day, alarm_time) as window_start, count(*) as n, 'CRITICAL' as level from alarm_log group by 1, 2 having count(*) > 2")(lambda t: series.burst(t["alarm_log"], "device_id", "alarm_time", "1 day", 2))
-add("n6_vs_history", "select road_id, dt, hour, traffic_count, round(h + 1e-9, 4) as history_avg from (select *, cast(sum(traffic_count) over w as double) / count(traffic_count) over w as h from dws_road_hour_flow window w as (partition by road_id, hour order by cast(dt as date) range between interval 7 day preceding and interval 1 day preceding)) where traffic_count > 2 * h")(
-    lambda t: series.vs_history(t["dws_road_hour_flow"].select("road_id", "dt", "hour", "traffic_count"), "road_id", "dt", "hour", "traffic_count"))
-add("n7_sustained", "select road_id, start_ts, end_ts, n, minutes, case when minutes > 60 then 'CRITICAL' else 'WARNING' end as level from (select road_id, min(sample_time) as start_ts, max(sample_time) as end_ts, count(*) as n, (epoch(max(sample_time)) - epoch(min(sample_time))) / 60.0e0 as minutes from (select *, sum(case when jam_level >= 4 then 0 else 1 end) over (partition by road_id order by sample_time) as part from dwd_traffic_status) where jam_level >= 4 group by road_id, part) where minutes > 30")(
-    lambda t: series.sustained(t["dwd_traffic_status"], "road_id", "sample_time", c("jam_level") >= 4))
-add("r6_flow_spike", """select road_id, sample_time, flow, round(m, 6) as history_avg, round(flow / m, 6) as ratio from walk where i > 5 and flow > 2 * m""",
-    ordered="select road_id, sample_time, cast(traffic_flow as double) as flow, row_number() over (partition by road_id order by sample_time, traffic_flow) as i from dwd_traffic_status",
-    walk="select road_id, sample_time, flow, i, cast(null as double) as m, flow as nxt from ordered where i = 1 union all select d.road_id, d.sample_time, d.flow, d.i, w.nxt, 0.2e0 * d.flow + 0.8e0 * w.nxt from walk w join ordered d on d.road_id = w.road_id and d.i = w.i + 1")(
-    lambda t: series.flow_spike(t["dwd_traffic_status"], "road_id", "sample_time", "traffic_flow").withColumns({"history_avg": F.round("history_avg", 6), "ratio": F.round("ratio", 6)}))
+for _name, _cond, _n, _within in (("w6_r8_offline_runs", "online_flag = 'OFFLINE'", 3, 172800), ("r9_cpu_runs", "cpu_usage > 60", 3, 172800),
+    ("r10_hot_runs", "temperature > 60", 2, 86400), ("r11_any_runs", "true", 10, 432000)):
+    add(_name, _SEQ.format(m=_n - 1, cond=_cond, n=_n, within=_within))(lambda t, _cond=_cond, _n=_n,
+        _within=_within: series.sequence(t["dwd_device_status"], "device_id", "heartbeat_time", F.expr(_cond), _n, _within))
+
+
+@add("w7_r15_bursts", """
+select device_id, time_bucket(interval 1 day, alarm_time) as window_start, count(*) as n, 'CRITICAL' as level
+from alarm_log group by 1, 2 having count(*) > 2
+""")
+def _(t):
+    return series.burst(t["alarm_log"], "device_id", "alarm_time", "1 day", 2)
+
+
+@add("n6_vs_history", """
+select road_id, dt, hour, traffic_count, round(h + 1e-9, 4) as history_avg
+from (select *, cast(sum(traffic_count) over w as double) / count(traffic_count) over w as h
+  from dws_road_hour_flow window w as (partition by road_id, hour order by cast(dt as date) range between interval 7 day preceding
+    and interval 1 day preceding))
+where traffic_count > 2 * h
+""")
+def _(t):
+    return series.vs_history(t["dws_road_hour_flow"].select("road_id", "dt", "hour", "traffic_count"), "road_id", "dt", "hour", "traffic_count")
+
+
+@add("n7_sustained", """
+select road_id, start_ts, end_ts, n, minutes, case when minutes > 60 then 'CRITICAL' else 'WARNING' end as level
+from (select road_id, min(sample_time) as start_ts, max(sample_time) as end_ts, count(*) as n,
+  (epoch(max(sample_time)) - epoch(min(sample_time))) / 60.0e0 as minutes
+  from (select *, sum(case when jam_level >= 4 then 0 else 1 end) over (partition by road_id order by sample_time) as part
+    from dwd_traffic_status) where jam_level >= 4
+  group by road_id, part) where minutes > 30
+""")
+def _(t):
+    return series.sustained(t["dwd_traffic_status"], "road_id", "sample_time", c("jam_level") >= 4)
+
+
+@add("r6_flow_spike", """
+select road_id, sample_time, flow, round(m, 6) as history_avg, round(flow / m, 6) as ratio
+from walk where i > 5 and flow > 2 * m
+""", ordered="""
+select road_id, sample_time, cast(traffic_flow as double) as flow, row_number() over (partition by road_id order by sample_time, traffic_flow) as i
+from dwd_traffic_status
+""", walk="""
+select road_id, sample_time, flow, i, cast(null as double) as m, flow as nxt
+from ordered where i = 1 union all select d.road_id, d.sample_time, d.flow, d.i, w.nxt, 0.2e0 * d.flow + 0.8e0 * w.nxt
+from walk w join ordered d on d.road_id = w.road_id and d.i = w.i + 1
+""")
+def _(t):
+    return (
+        series.flow_spike(t["dwd_traffic_status"], "road_id", "sample_time", "traffic_flow")
+        .withColumns({"history_avg": F.round("history_avg", 6), "ratio": F.round("ratio", 6)})
+    )
+
 
 # Quality.
 _COMPLETE = "select 'completeness' as check_type, 'vehicle_pass' as table_name, dt, 'nulls' as metric, {v} as value, {rate} as rate, {row} as row_rate, case when {raw} >= 99 then 'PASS' else 'FAIL' end as status from vehicle_pass group by dt"
 _v = cnt("vehicle_id is null") + " + " + cnt("direction is null")
-_K1 = _COMPLETE.format(v=_v, rate=r("100.0e0 - " + pct("(" + _v + ")", "count(*)")), raw="100.0e0 - " + pct("(" + _v + ")", "count(*)"), row=r("100.0e0 - " + pct(cnt("vehicle_id is null or direction is null"), "count(*)")))
+_K1 = _COMPLETE.format(v=_v, rate=r("100.0e0 - " + pct("(" + _v + ")", "count(*)")), raw="100.0e0 - " + pct("(" + _v + ")", "count(*)"),
+    row=r("100.0e0 - " + pct(cnt("vehicle_id is null or direction is null"), "count(*)")))
 _K2 = f"select 'uniqueness' as check_type, 'vehicle_pass' as table_name, dt, 'duplicate_keys' as metric, {cnt('n > 1')} as value, {r('100.0e0 - ' + pct(cnt('n > 1'), 'sum(n)'))} as rate, {r(pct('count(*)', 'sum(n)'))} as row_rate, case when 100.0e0 - {pct(cnt('n > 1'), 'sum(n)')} >= 99.9 then 'PASS' else 'FAIL' end as status from (select dt, vehicle_id, pass_time, count(*) as n from vehicle_pass group by all) group by dt"
 _RULES = {"speed": "try_cast(speed as int) between 0 and 200", "direction": "direction in ('N', 'S', 'E', 'W')"}
 _any = " or ".join(f"not coalesce({p}, false)" for p in _RULES.values())
@@ -128,7 +386,8 @@ def _k3(t):
 
 
 def _k4(t):
-    return quality.backlog(t["alarm_log"].groupBy("dt", c("alarm_type").alias("part")).agg((F.count("*") * 100).alias("end_offset"), (F.count_if(c("recover_status") == "RECOVERED") * 100).alias("committed")), "alarm_log")
+    return quality.backlog(t["alarm_log"].groupBy("dt", c("alarm_type").alias("part")).agg((F.count("*") * 100).alias("end_offset"),
+        (F.count_if(c("recover_status") == "RECOVERED") * 100).alias("committed")), "alarm_log")
 
 
 def _checks(t):
@@ -140,11 +399,30 @@ add("k1_completeness", _K1)(_k1)
 add("k2_uniqueness", _K2)(_k2)
 add("k3_validity", _K3)(_k3)
 add("k4_backlog", _K4)(_k4)
-add("k5_k6_q14_report", f"""select dt, {", ".join(f"{cnt(f'''status = '{s.upper()}' ''')} as {s}" for s in ("pass", "fail", "warn", "error"))}, {r(pct(cnt("status = 'PASS'"), "count(*)"))} as score,
- {r("cast(sum(case when check_type <> 'backlog' then cast(rate as decimal(10, 2)) end) as double) / count(case when check_type <> 'backlog' then rate end)")} as mean_rate, {r(pct(cnt("status = 'PASS'"), "count(*)"))} < 95 as alert from checks group by dt""", checks=_ALL)(lambda t: quality.report(_checks(t)))
-add("k7_quality_alerts", """select rule_id, severity, table_name, dt, metric, printf(template, table_name, case when check_type = 'backlog' then cast(value as double) else rate end, threshold) as message from checks
- join (values ('DQ001', 'completeness', 99.0e0, 'CRITICAL', 'completeness of %s is %.2f, below %.2f'), ('DQ002', 'uniqueness', 99.9e0, 'MAJOR', 'uniqueness of %s is %.2f, below %.2f'), ('DQ003', 'validity', 99.0e0, 'MAJOR', 'validity of %s is %.2f, below %.2f'), ('DQ004', 'backlog', 10000.0e0, 'CRITICAL', 'backlog of %s is %.2f, above %.2f')) u(rule_id, check_type, threshold, severity, template) using (check_type)
- where case when check_type = 'backlog' then value > threshold else rate < threshold end""", checks=_ALL)(lambda t: quality.quality_alerts(_checks(t), quality.rule_table(t["vehicle_pass"].sparkSession)))
+
+
+@add("k5_k6_q14_report", f"""
+select dt, {", ".join(f"{cnt(f'''status = '{s.upper()}' ''')} as {s}" for s in ("pass", "fail", "warn", "error"))},
+  {r(pct(cnt("status = 'PASS'"), "count(*)"))} as score,
+ {r("cast(sum(case when check_type <> 'backlog' then cast(rate as decimal(10, 2)) end) as double) / count(case when check_type <> 'backlog' then rate end)")} as mean_rate, {r(pct(cnt("status = 'PASS'"), "count(*)"))} < 95 as alert
+from checks group by dt
+""", checks=_ALL)
+def _(t):
+    return quality.report(_checks(t))
+
+
+@add("k7_quality_alerts", """
+select rule_id, severity, table_name, dt, metric, printf(template, table_name, case when check_type = 'backlog' then cast(value as double)
+  else rate end, threshold) as message
+from checks
+ join (values ('DQ001', 'completeness', 99.0e0, 'CRITICAL', 'completeness of %s is %.2f, below %.2f'), ('DQ002', 'uniqueness', 99.9e0, 'MAJOR',
+   'uniqueness of %s is %.2f, below %.2f'), ('DQ003', 'validity', 99.0e0, 'MAJOR', 'validity of %s is %.2f, below %.2f'), ('DQ004', 'backlog',
+     10000.0e0, 'CRITICAL', 'backlog of %s is %.2f, above %.2f')) u(rule_id, check_type, threshold, severity, template) using (check_type)
+ where case when check_type = 'backlog' then value > threshold else rate < threshold end
+""", checks=_ALL)
+def _(t):
+    return quality.quality_alerts(_checks(t), quality.rule_table(t["vehicle_pass"].sparkSession))
+
 
 # Alerts.
 _NAMED = "select *, alarm_level as severity from dwd_alarm_log"
@@ -155,16 +433,67 @@ def _named(t):
 
 
 _POLICY = "(values ('CRITICAL', ['chat', 'sms', 'phone'], 15), ('MAJOR', ['chat', 'mail'], 60), ('MINOR', ['mail'], null), ('WARNING', ['mail'], null)) p(severity, channels, escalate_minutes)"
-add("l1_suppress", "select alarm_id, device_id, alarm_time, alarm_level, alarm_time = sent_at as sent from silent",
-    numbered="select alarm_id, alarm_level, device_id, alarm_time, row_number() over (partition by device_id order by alarm_time, alarm_id, alarm_level) as i from dwd_alarm_log",
-    silent="select *, alarm_time as sent_at from numbered where i = 1 union all select n.*, case when epoch(n.alarm_time) - epoch(s.sent_at) >= 864000 then n.alarm_time else s.sent_at end from silent s join numbered n on n.device_id = s.device_id and n.i = s.i + 1")(
-    lambda t: alerts.suppress(t["dwd_alarm_log"].select("alarm_id", "device_id", "alarm_time", "alarm_level"), "device_id", "alarm_time", minutes=14400))
-add("l2_route", f"select alarm_id, alarm_time, severity, unnest(channels) as channel from ({_NAMED}) join {_POLICY} using (severity)")(lambda t: alerts.route(_named(t), alerts.policy_table(t["alarm_log"].sparkSession)).select("alarm_id", "alarm_time", "severity", "channel"))
-add("l3_escalate", f"select alarm_id, alarm_time, 'CRITICAL' as severity, severity as was from ({_NAMED}) join {_POLICY} using (severity) where recover_status = 'UNRECOVERED' and (epoch(timestamp '2024-01-20 00:00:00') - epoch(alarm_time)) / 60 > escalate_minutes")(
-    lambda t: alerts.escalate(_named(t), alerts.policy_table(t["alarm_log"].sparkSession), "2024-01-20 00:00:00").select("alarm_id", "alarm_time", "severity", "was"))
-add("l4_maintenance", f"select alarm_id, alarm_time, severity from ({_NAMED}) where not (hour(alarm_time) >= 2 and hour(alarm_time) < 3) or severity = 'CRITICAL'")(lambda t: alerts.in_window(_named(t)).select("alarm_id", "alarm_time", "severity"))
-add("l5_daily_summary", f"select dt, severity, channel, count(*) as n from (select dt, severity, unnest(channels) as channel from ({_NAMED}) join {_POLICY} using (severity)) group by all")(lambda t: alerts.daily_summary(alerts.route(_named(t), alerts.policy_table(t["alarm_log"].sparkSession))))
-add("l6_digest", f"select dt, severity, string_agg(alarm_id, ',' order by k) as items, greatest(max(total) - 10, 0) as more from (select *, row_number() over (partition by dt, severity order by alarm_time desc, alarm_id) as k, count(*) over (partition by dt, severity) as total from ({_NAMED})) where k <= 10 group by dt, severity")(lambda t: alerts.digest(_named(t), ["dt", "severity"], "alarm_time", "alarm_id"))
+
+
+@add("l1_suppress", "select alarm_id, device_id, alarm_time, alarm_level, alarm_time = sent_at as sent from silent", numbered="""
+select alarm_id, alarm_level, device_id, alarm_time, row_number() over (partition by device_id order by alarm_time, alarm_id, alarm_level) as i
+from dwd_alarm_log
+""", silent="""
+select *, alarm_time as sent_at
+from numbered where i = 1 union all select n.*, case when epoch(n.alarm_time) - epoch(s.sent_at) >= 864000 then n.alarm_time else s.sent_at end
+from silent s join numbered n on n.device_id = s.device_id and n.i = s.i + 1
+""")
+def _(t):
+    return alerts.suppress(t["dwd_alarm_log"].select("alarm_id", "device_id", "alarm_time", "alarm_level"), "device_id", "alarm_time", minutes=14400)
+
+
+@add("l2_route", f"""
+select alarm_id, alarm_time, severity, unnest(channels) as channel
+from ({_NAMED}) join {_POLICY} using (severity)
+""")
+def _(t):
+    return alerts.route(_named(t), alerts.policy_table(t["alarm_log"].sparkSession)).select("alarm_id", "alarm_time", "severity", "channel")
+
+
+@add("l3_escalate", f"""
+select alarm_id, alarm_time, 'CRITICAL' as severity, severity as was
+from ({_NAMED}) join {_POLICY} using (severity)
+where recover_status = 'UNRECOVERED' and (epoch(timestamp '2024-01-20 00:00:00') - epoch(alarm_time)) / 60 > escalate_minutes
+""")
+def _(t):
+    return (
+        alerts.escalate(_named(t), alerts.policy_table(t["alarm_log"].sparkSession), "2024-01-20 00:00:00")
+        .select("alarm_id", "alarm_time", "severity", "was")
+    )
+
+
+@add("l4_maintenance", f"""
+select alarm_id, alarm_time, severity
+from ({_NAMED}) where not (hour(alarm_time) >= 2 and hour(alarm_time) < 3) or severity = 'CRITICAL'
+""")
+def _(t):
+    return alerts.in_window(_named(t)).select("alarm_id", "alarm_time", "severity")
+
+
+@add("l5_daily_summary", f"""
+select dt, severity, channel, count(*) as n
+from (select dt, severity, unnest(channels) as channel
+  from ({_NAMED}) join {_POLICY} using (severity))
+group by all
+""")
+def _(t):
+    return alerts.daily_summary(alerts.route(_named(t), alerts.policy_table(t["alarm_log"].sparkSession)))
+
+
+@add("l6_digest", f"""
+select dt, severity, string_agg(alarm_id, ',' order by k) as items, greatest(max(total) - 10, 0) as more
+from (select *, row_number() over (partition by dt, severity order by alarm_time desc, alarm_id) as k, count(*) over (partition by dt,
+  severity) as total
+  from ({_NAMED})) where k <= 10 group by dt, severity
+""")
+def _(t):
+    return alerts.digest(_named(t), ["dt", "severity"], "alarm_time", "alarm_id")
+
 
 # Lineage over edges derived from the data: orders' customers and nations.
 _EDGES = "select distinct concat('ods_c', cast(o_custkey % 40 as varchar)) as src, concat('dwd_n', cast(c_nationkey as varchar)) as dst from orders join customer on o_custkey = c_custkey union select distinct concat('dwd_n', cast(n_nationkey as varchar)), concat('dws_r', cast(n_regionkey as varchar)) from nation union select distinct concat('dws_r', cast(r_regionkey as varchar)), 'ads_all' from region"
@@ -172,22 +501,83 @@ _EDGES = "select distinct concat('ods_c', cast(o_custkey % 40 as varchar)) as sr
 
 def _edges(t):
     k = lambda p, e: F.concat(F.lit(p), F.expr(e).cast("string"))
-    one = t["orders"].join(t["customer"], c("o_custkey") == c("c_custkey")).select(k("ods_c", "o_custkey % 40").alias("src"), k("dwd_n", "c_nationkey").alias("dst"))
+    one = t["orders"].join(t["customer"], c("o_custkey") == c("c_custkey")).select(k("ods_c", "o_custkey % 40").alias("src"),
+        k("dwd_n", "c_nationkey").alias("dst"))
     two = t["nation"].select(k("dwd_n", "n_nationkey").alias("src"), k("dws_r", "n_regionkey").alias("dst"))
     three = t["region"].select(k("dws_r", "r_regionkey").alias("src"), F.lit("ads_all").alias("dst"))
     return one.union(two).union(three).distinct()
 
 
 _WALK = "select {to} as table_name, 1 as depth from edges where {at} = '{start}' union select e.{to}, w.depth + 1 from walk w join edges e on e.{at} = w.table_name where w.depth < 10"
-add("g1_upstream", "select table_name, min(depth) as depth from walk group by table_name", edges=_EDGES, walk=_WALK.format(at="dst", to="src", start="dws_r1"))(lambda t: lineage.upstream(_edges(t), "dws_r1"))
-add("g2_downstream", "select table_name, min(depth) as depth from walk group by table_name", edges=_EDGES, walk=_WALK.format(at="src", to="dst", start="ods_c3"))(lambda t: lineage.downstream(_edges(t), "ods_c3"))
-add("g3_impact", "select table_name, min(depth) as depth, case when min(depth) = 1 then 'DIRECT' else 'INDIRECT' end as type from walk group by table_name", edges=_EDGES, walk=_WALK.format(at="src", to="dst", start="dwd_n3"))(lambda t: lineage.impact(_edges(t), "dwd_n3"))
-add("g4_trace", "select node as root, array_to_string(path, ' <- ') as path, 'amount' as column from paths where node not in (select dst from edges)", edges=_EDGES,
-    paths="select 'dws_r2' as node, ['dws_r2'] as path union all select e.src, list_append(p.path, e.src) from paths p join edges e on e.dst = p.node where not list_contains(p.path, e.src)")(lambda t: lineage.trace(_edges(t), "dws_r2", "amount"))
-add("g5_layer_stats", "select layer, tables, coalesce(incoming, 0) as incoming from (select split_part(t, '_', 1) as layer, count(*) as tables from (select src as t from edges union select dst from edges) group by 1) left join (select split_part(dst, '_', 1) as layer, count(*) as incoming from edges group by 1) using (layer)", edges=_EDGES)(lambda t: lineage.layer_stats(_edges(t)))
+
+
+@add("g1_upstream", "select table_name, min(depth) as depth from walk group by table_name", edges=_EDGES,
+    walk=_WALK.format(at="dst", to="src", start="dws_r1"))
+def _(t):
+    return lineage.upstream(_edges(t), "dws_r1")
+
+
+@add("g2_downstream", "select table_name, min(depth) as depth from walk group by table_name", edges=_EDGES,
+    walk=_WALK.format(at="src", to="dst", start="ods_c3"))
+def _(t):
+    return lineage.downstream(_edges(t), "ods_c3")
+
+
+@add("g3_impact", """
+select table_name, min(depth) as depth, case when min(depth) = 1 then 'DIRECT' else 'INDIRECT' end as type
+from walk group by table_name
+""", edges=_EDGES, walk=_WALK.format(at="src", to="dst", start="dwd_n3"))
+def _(t):
+    return lineage.impact(_edges(t), "dwd_n3")
+
+
+@add("g4_trace", """
+select node as root, array_to_string(path, ' <- ') as path, 'amount' as column
+from paths where node not in (select dst
+  from edges)
+""", edges=_EDGES, paths="""
+select 'dws_r2' as node, ['dws_r2'] as path
+union all select e.src, list_append(p.path, e.src)
+from paths p join edges e on e.dst = p.node
+where not list_contains(p.path, e.src)
+""")
+def _(t):
+    return lineage.trace(_edges(t), "dws_r2", "amount")
+
+
+@add("g5_layer_stats", """
+select layer, tables, coalesce(incoming, 0) as incoming
+from (select split_part(t, '_', 1) as layer, count(*) as tables
+  from (select src as t from edges union select dst
+    from edges) group by 1) left join (select split_part(dst, '_', 1) as layer, count(*) as incoming
+  from edges group by 1) using (layer)
+""", edges=_EDGES)
+def _(t):
+    return lineage.layer_stats(_edges(t))
+
 
 # Isolation forest: random trees, so no SQL; tests hold it against its invariants.
-add("n1_iforest", None)(lambda t: IForest(n=50, seed=7).fit(t["dwd_device_status"], ["cpu_usage", "memory_usage", "temperature"]).score(t["dwd_device_status"].select("device_id", "heartbeat_time", "cpu_usage", "memory_usage", "temperature")))
-add("n2_flow_anomaly", None)(lambda t: flow_anomaly(t["dws_road_hour_flow"].select("road_id", "dt", "hour", c("traffic_count").alias("flow")), trees=50))
-add("n3_device_anomaly", None)(lambda t: device_anomaly(t["dwd_device_status"].select("device_id", "heartbeat_time", c("cpu_usage").alias("cpu"), c("memory_usage").alias("mem"), c("temperature").alias("temp")), trees=50))
-add("n5_summary", None)(lambda t: summary(device_anomaly(t["dwd_device_status"].select("device_id", c("cpu_usage").alias("cpu"), c("memory_usage").alias("mem"), c("temperature").alias("temp")), trees=20)))
+
+@add("n1_iforest", None)
+def _(t):
+    return (
+        IForest(n=50, seed=7).fit(t["dwd_device_status"], ["cpu_usage", "memory_usage", "temperature"])
+        .score(t["dwd_device_status"].select("device_id", "heartbeat_time", "cpu_usage", "memory_usage", "temperature"))
+    )
+
+
+add("n2_flow_anomaly", None)(lambda t: flow_anomaly(t["dws_road_hour_flow"].select("road_id", "dt", "hour", c("traffic_count").alias("flow")),
+    trees=50))
+
+
+@add("n3_device_anomaly", None)
+def _(t):
+    return device_anomaly(t["dwd_device_status"].select("device_id", "heartbeat_time", c("cpu_usage").alias("cpu"), c("memory_usage").alias("mem"),
+        c("temperature").alias("temp")), trees=50)
+
+
+@add("n5_summary", None)
+def _(t):
+    return summary(device_anomaly(t["dwd_device_status"].select("device_id", c("cpu_usage").alias("cpu"), c("memory_usage").alias("mem"),
+        c("temperature").alias("temp")), trees=20))
+

@@ -200,7 +200,8 @@ def _(t):
     return clean.sampled(t["device_status"], "device_id", 10).select("device_id", "heartbeat_time")
 
 
-@add("f4_typed_status", WAREHOUSE["dwd_traffic_status"].replace("congestion_rate, case", "cast(congestion_rate as double) as congestion_rate, case", 1))
+@add("f4_typed_status", WAREHOUSE["dwd_traffic_status"].replace("congestion_rate, case", "cast(congestion_rate as double) as congestion_rate, case",
+    1))
 def _(t):
     """The detail table from text columns only."""
     rows = t["traffic_status"]

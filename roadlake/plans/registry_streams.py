@@ -9,29 +9,115 @@ from ..streaming import jobs
 from .oracle import big, cnt, mean, r
 from .registry import add
 
-add("r3_road_counts", f"select time_bucket(interval 5 minute, pass_time) as window_start, road_id, count(*) as n, {big('sum(speed)')} as total_speed, {r(mean('speed'))} as avg_speed from dwd_vehicle_pass group by 1, 2")(lambda t: jobs.road_counts(t["dwd_vehicle_pass"]))
-add("r4_road_congestion", f"select time_bucket(interval 5 minute, sample_time) as window_start, road_id, min(avg_speed) as min_speed, {big('sum(traffic_flow)')} as flow, cast(max(congestion_rate) as double) as max_rate, min(sample_time) as first_time from dwd_traffic_status group by 1, 2")(lambda t: jobs.road_congestion(t["dwd_traffic_status"]))
-add("r17_dedup_minute", "select distinct device_id, road_id, vehicle_type, date_trunc('minute', cast(pass_time as timestamp)) as minute from vehicle_pass")(
-    lambda t: jobs.dedup_minute(t["vehicle_pass"].withColumns({"pass_time": F.col("pass_time").cast("timestamp"), "speed": F.expr("try_cast(speed as int)")})).select("device_id", "road_id", "vehicle_type", "minute"))
-add("r16_repair_hours", f"select road_id, hour, dt, count(*) as traffic_count, {big('sum(speed)')} as total_speed, {r(mean('speed'))} as avg_speed, {', '.join(f'{cnt(f"vehicle_type = {k!r}")} as {k.lower()}_car_cnt' for k in ('SMALL', 'MEDIUM', 'LARGE', 'OTHER'))} from dwd_vehicle_pass where dt in (select dt from dwd_vehicle_pass where hour = 23) group by road_id, hour, dt")(
-    lambda t: jobs.repair_hours(t["dwd_vehicle_pass"].filter("hour < 23"), t["dwd_vehicle_pass"].filter("hour = 23")))
-add("s12_latest_device", "select * exclude (k, cpu_usage, memory_usage, temperature), cast(cpu_usage as double) as cpu_usage from (select *, row_number() over (partition by device_id order by heartbeat_time desc) as k from dwd_device_status) where k = 1")(
-    lambda t: jobs.newest(t["dwd_device_status"], "device_id", "heartbeat_time").drop("memory_usage", "temperature"))
-add("s13_recent_alarms", "select alarm_id, alarm_level, alarm_time from dwd_alarm_log order by alarm_time desc, alarm_id desc, alarm_level desc limit 100")(lambda t: t["dwd_alarm_log"].orderBy(F.desc("alarm_time"), F.desc("alarm_id"), F.desc("alarm_level")).limit(100).select("alarm_id", "alarm_level", "alarm_time"))
-add("s14_busiest_roads", "select road_id, count(*) as n from dwd_vehicle_pass group by road_id order by n desc, road_id limit 10")(lambda t: jobs.ranked(t["dwd_vehicle_pass"].groupBy("road_id").agg(F.count("*").alias("n")), "n", 10))
-add("s15_counters", "select cast(cast(alarm_time as date) as varchar) as day, count(*) as n from dwd_alarm_log group by 1")(lambda t: jobs.counters(t["dwd_alarm_log"], "alarm_time"))
-add("s16_city_overview", f"select * from (select count(*) as roads, {big('sum(n)')} as vehicles, {r('avg(avg_speed)')} as avg_speed from (select road_id, count(*) as n, {r(mean('speed'))} as avg_speed from dwd_vehicle_pass group by road_id)) cross join (select count(*) as devices, {cnt('''online_flag = 'ONLINE' ''')} as online from (select *, row_number() over (partition by device_id order by heartbeat_time desc) as k from dwd_device_status) where k = 1)")(
-    lambda t: jobs.city_overview(t["dwd_vehicle_pass"].groupBy("road_id").agg(F.count("*").alias("n"), F.round(F.sum("speed").cast("double") / F.count("speed") + F.lit(1e-9), 2).alias("avg_speed")), jobs.newest(t["dwd_device_status"], "device_id", "heartbeat_time")))
+
+@add("r3_road_counts", f"""
+select time_bucket(interval 5 minute, pass_time) as window_start, road_id, count(*) as n, {big('sum(speed)')} as total_speed,
+  {r(mean('speed'))} as avg_speed
+from dwd_vehicle_pass group by 1, 2
+""")
+def _(t):
+    return jobs.road_counts(t["dwd_vehicle_pass"])
+
+
+@add("r4_road_congestion", f"""
+select time_bucket(interval 5 minute, sample_time) as window_start, road_id, min(avg_speed) as min_speed, {big('sum(traffic_flow)')} as flow,
+  cast(max(congestion_rate) as double) as max_rate, min(sample_time) as first_time
+from dwd_traffic_status group by 1, 2
+""")
+def _(t):
+    return jobs.road_congestion(t["dwd_traffic_status"])
+
+
+@add("r17_dedup_minute", """
+select distinct device_id, road_id, vehicle_type, date_trunc('minute', cast(pass_time as timestamp)) as minute
+from vehicle_pass
+""")
+def _(t):
+    return (
+        jobs.dedup_minute(t["vehicle_pass"].withColumns({"pass_time": F.col("pass_time").cast("timestamp"),
+            "speed": F.expr("try_cast(speed as int)")}))
+        .select("device_id", "road_id", "vehicle_type", "minute")
+    )
+
+
+@add("r16_repair_hours", f"""
+select road_id, hour, dt, count(*) as traffic_count, {big('sum(speed)')} as total_speed, {r(mean('speed'))} as avg_speed,
+  {', '.join(f'{cnt(f"vehicle_type = {k!r}")} as {k.lower()}_car_cnt' for k in ('SMALL', 'MEDIUM', 'LARGE', 'OTHER'))}
+from dwd_vehicle_pass where dt in (select dt
+  from dwd_vehicle_pass where hour = 23)
+group by road_id, hour, dt
+""")
+def _(t):
+    return jobs.repair_hours(t["dwd_vehicle_pass"].filter("hour < 23"), t["dwd_vehicle_pass"].filter("hour = 23"))
+
+
+@add("s12_latest_device", """
+select * exclude (k, cpu_usage, memory_usage, temperature), cast(cpu_usage as double) as cpu_usage
+from (select *, row_number() over (partition by device_id order by heartbeat_time desc) as k
+  from dwd_device_status) where k = 1
+""")
+def _(t):
+    return jobs.newest(t["dwd_device_status"], "device_id", "heartbeat_time").drop("memory_usage", "temperature")
+
+
+@add("s13_recent_alarms", """
+select alarm_id, alarm_level, alarm_time
+from dwd_alarm_log order by alarm_time desc, alarm_id desc, alarm_level desc limit 100
+""")
+def _(t):
+    return (
+        t["dwd_alarm_log"]
+        .orderBy(F.desc("alarm_time"), F.desc("alarm_id"), F.desc("alarm_level")).limit(100)
+        .select("alarm_id", "alarm_level", "alarm_time")
+    )
+
+
+@add("s14_busiest_roads", "select road_id, count(*) as n from dwd_vehicle_pass group by road_id order by n desc, road_id limit 10")
+def _(t):
+    return jobs.ranked(t["dwd_vehicle_pass"].groupBy("road_id").agg(F.count("*").alias("n")), "n", 10)
+
+
+@add("s15_counters", "select cast(cast(alarm_time as date) as varchar) as day, count(*) as n from dwd_alarm_log group by 1")
+def _(t):
+    return jobs.counters(t["dwd_alarm_log"], "alarm_time")
+
+
+@add("s16_city_overview", f"""
+select * from (select count(*) as roads, {big('sum(n)')} as vehicles, {r('avg(avg_speed)')} as avg_speed
+  from (select road_id, count(*) as n, {r(mean('speed'))} as avg_speed
+    from dwd_vehicle_pass group by road_id))
+cross join (select count(*) as devices, {cnt('''online_flag = 'ONLINE' ''')} as online
+  from (select *, row_number() over (partition by device_id order by heartbeat_time desc) as k
+    from dwd_device_status) where k = 1)
+""")
+def _(t):
+    return jobs.city_overview(t["dwd_vehicle_pass"].groupBy("road_id").agg(F.count("*").alias("n"),
+        F.round(F.sum("speed").cast("double") / F.count("speed") + F.lit(1e-9), 2).alias("avg_speed")),
+            jobs.newest(t["dwd_device_status"], "device_id", "heartbeat_time"))
+
+
 _CHANGES = "select 'R' || cast(s_suppkey as varchar) as road_id, case s_suppkey % 3 when 0 then 'insert' when 1 then 'update' else 'delete' end as type from supplier where s_suppkey % 2 = 0"
-add("d3_scd2_from_cdc", """select road_id, coalesce(case when type <> 'delete' and v = 2 then speed_limit + 5 end, speed_limit) as speed_limit, case when v = 1 then '1970-01-01' else '2024-06-08' end as start_time,
- case when v = 1 and type is not null then '2024-06-07' else '9999-12-31' end as end_time, case when v = 1 and type is not null then 'N' else 'Y' end as is_current from (select road_id, speed_limit, type from road left join changes using (road_id)) cross join (values (1), (2)) x(v) where v = 1 or type in ('insert', 'update')""", changes=_CHANGES)(
-    lambda t: _from_cdc(t))
+
+
+@add("d3_scd2_from_cdc", """
+select road_id, coalesce(case when type <> 'delete' and v = 2 then speed_limit + 5 end, speed_limit) as speed_limit, case when v = 1
+  then '1970-01-01' else '2024-06-08' end as start_time,
+ case when v = 1 and type is not null then '2024-06-07' else '9999-12-31' end as end_time, case when v = 1 and type is not null then 'N'
+   else 'Y' end as is_current
+from (select road_id, speed_limit, type
+  from road left join changes using (road_id))
+cross join (values (1), (2)) x(v)
+where v = 1 or type in ('insert', 'update')
+""", changes=_CHANGES)
+def _(t):
+    return _from_cdc(t)
 
 
 def _from_cdc(t):
     road = t["road"].select("road_id", "speed_limit")
     n = F.substring("road_id", 2, 20).cast("int")
     kind = F.when(n % 3 == 0, "insert").when(n % 3 == 1, "update").otherwise("delete")
-    last = road.filter(n % 2 == 0).select("road_id", (F.col("speed_limit") + 5).alias("speed_limit"), kind.alias("type"), F.lit(2).cast("long").alias("ts"), F.lit(1).cast("long").alias("xoffset"))
+    last = road.filter(n % 2 == 0).select("road_id", (F.col("speed_limit") + 5).alias("speed_limit"), kind.alias("type"),
+        F.lit(2).cast("long").alias("ts"), F.lit(1).cast("long").alias("xoffset"))
     stale = last.withColumns({"ts": F.lit(1).cast("long"), "type": F.lit("delete"), "speed_limit": F.lit(-1)})
     return dims.scd2_from_cdc(dims.scd2_init(road, "2024-06-07"), last.unionByName(stale), "road_id", ["speed_limit"], "2024-06-08").drop("dt")

@@ -25,9 +25,11 @@ KEYS = {
 #: Landing table: rules that each row should keep, over text or typed columns.
 VALID = {
     "vehicle_pass": {"speed": "try_cast(speed as int) between 0 and 200"},
-    "traffic_status": {"jam_level": "try_cast(jam_level as int) between 1 and 5", "congestion_rate": "try_cast(congestion_rate as decimal(5,2)) between 0 and 100"},
+    "traffic_status": {"jam_level": "try_cast(jam_level as int) between 1 and 5",
+        "congestion_rate": "try_cast(congestion_rate as decimal(5,2)) between 0 and 100"},
     "device_status": {
-        "cpu_usage": "try_cast(cpu_usage as decimal(5,2)) between 0 and 100", "memory_usage": "try_cast(memory_usage as decimal(5,2)) between 0 and 100",
+        "cpu_usage": "try_cast(cpu_usage as decimal(5,2)) between 0 and 100",
+            "memory_usage": "try_cast(memory_usage as decimal(5,2)) between 0 and 100",
         "online_flag": "online_flag in ('ONLINE', 'OFFLINE', 'UNKNOWN')",
     },
     "alarm_log": {"alarm_level": "alarm_level in ('CRITICAL', 'MAJOR', 'MINOR', 'WARNING')"},
@@ -44,7 +46,8 @@ def checks(tables: dict[str, DataFrame], offsets: DataFrame | None = None) -> Da
     return reduce(DataFrame.unionByName, found)
 
 
-def run_range(spark: SparkSession, landing: dict[str, DataFrame], root: str, start: str, end: str, format: str = "parquet", offsets: DataFrame | None = None) -> DataFrame:
+def run_range(spark: SparkSession, landing: dict[str, DataFrame], root: str, start: str, end: str, format: str = "parquet",
+    offsets: DataFrame | None = None) -> DataFrame:
     """Builds the days start to end of all tables under root by dynamic overwrite; returns the quality report, a row a day."""
     source = lambda name: landing[name] if name in DIMS else landing[name].filter(F.col("dt").between(start, end))
     written = lambda name: _read(spark, root, name, start, end, format)

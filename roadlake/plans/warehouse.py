@@ -52,7 +52,8 @@ def dwd_traffic_status(ods: DataFrame) -> DataFrame:
 
 
 def dwd_device_status(ods: DataFrame) -> DataFrame:
-    types = {"cpu_usage": "decimal(5,2)", "memory_usage": "decimal(5,2)", "temperature": "decimal(4,1)", "heartbeat_time": "timestamp", "signal_strength": "int"}
+    types = {"cpu_usage": "decimal(5,2)", "memory_usage": "decimal(5,2)", "temperature": "decimal(4,1)", "heartbeat_time": "timestamp",
+        "signal_strength": "int"}
     kind = normalize_enum(c("device_type"), DEVICE_TYPES, "SENSOR") if "device_type" in ods.columns else F.lit("SENSOR")
     return clean(
         typed(ods, types), {
@@ -106,7 +107,8 @@ def dws_device_health_day(status: DataFrame) -> DataFrame:
         "avg_memory_usage": rounded(mean(c("memory_usage"))), "max_memory_usage": F.max("memory_usage").cast("double"),
         "avg_temperature": rounded(mean(c("temperature")), 1), "max_temperature": F.max("temperature").cast("double"),
         **{f"{f.lower()}_count": count_where(c("health_flag") == f) for f in ("ABNORMAL", "WARNING", "NORMAL")},
-        "last_heartbeat": F.max(F.date_format("heartbeat_time", "yyyy-MM-dd HH:mm:ss")), "min_signal": F.min("signal_strength"), "avg_signal": rounded(mean(c("signal_strength")))})
+        "last_heartbeat": F.max(F.date_format("heartbeat_time", "yyyy-MM-dd HH:mm:ss")), "min_signal": F.min("signal_strength"),
+            "avg_signal": rounded(mean(c("signal_strength")))})
 
 
 def dws_alarm_day(alarms: DataFrame, by_device: bool = False) -> DataFrame:
@@ -141,7 +143,8 @@ def ads_traffic_operation(flow: DataFrame, jam: DataFrame, road: DataFrame, area
     rows = flows.join(jams.drop("peak_hour_duration"), ["area_id", "hour", "dt"], "left").join(busy, ["area_id", "dt"], "left").join(area, "area_id")
     jammed = F.coalesce("jam_road_count", F.lit(0))
     return rows.select(
-        "city_id", "city_name", "area_id", "area_name", "hour", period(c("hour")).alias("peak_period"), "total_vehicle_flow", "avg_speed_all", "peak_flow", "peak_hour",
+        "city_id", "city_name", "area_id", "area_name", "hour", period(c("hour")).alias("peak_period"), "total_vehicle_flow", "avg_speed_all",
+            "peak_flow", "peak_hour",
         jammed.alias("jam_road_count"), rounded(percent(jammed, c("total_road_count"))).alias("jam_road_ratio"),
         F.coalesce("severe_jam_count", F.lit(0)).alias("severe_jam_count"), "avg_congestion_rate", "total_road_count",
         F.coalesce("peak_hour_duration", F.lit(0)).alias("peak_hour_duration"),
@@ -158,24 +161,29 @@ def ads_top_jam_roads(jam: DataFrame, road: DataFrame, area: DataFrame, n: int =
     """Roads by the jam of their area: roads of one area tie, so the road id decides."""
     best = F.max(F.struct(c("avg_congestion_rate").alias("r"), (-c("hour")).alias("h"), c("peak_period").alias("p"))).alias("top")
     per = jam.groupBy("area_id", "dt").agg(
-        rounded(F.avg("jam_level")).alias("avg_jam_level"), F.max("jam_level").alias("max_jam_level"), rounded(F.avg("avg_congestion_rate")).alias("avg_congestion_rate"),
+        rounded(F.avg("jam_level")).alias("avg_jam_level"), F.max("jam_level").alias("max_jam_level"),
+            rounded(F.avg("avg_congestion_rate")).alias("avg_congestion_rate"),
         F.sum("total_traffic_flow").cast("long").alias("total_traffic_flow"), best)
     rows = per.join(area, "area_id").join(road, "area_id")
     rows = top_rows(rows, n, [c("avg_jam_level").desc(), c("avg_congestion_rate").desc(), c("road_id")])
-    return rows.select("rank_num", "road_id", "road_name", "road_type", "area_id", "area_name", c("top.p").alias("peak_period"), "avg_jam_level", "max_jam_level", "avg_congestion_rate", "total_traffic_flow", (-c("top.h")).alias("peak_time"), "dt")
+    return rows.select("rank_num", "road_id", "road_name", "road_type", "area_id", "area_name", c("top.p").alias("peak_period"), "avg_jam_level",
+        "max_jam_level", "avg_congestion_rate", "total_traffic_flow", (-c("top.h")).alias("peak_time"), "dt")
 
 
 def ads_top_jam_roads_by_road(status: DataFrame, road: DataFrame, n: int = 20) -> DataFrame:
     """Roads by their own samples."""
     per = status.groupBy("road_id", "dt").agg(
-        rounded(mean(c("jam_level"))).alias("avg_jam_level"), F.max("jam_level").alias("max_jam_level"), rounded(mean(c("congestion_rate"))).alias("avg_congestion_rate"), F.sum("traffic_flow").cast("long").alias("total_traffic_flow"))
+        rounded(mean(c("jam_level"))).alias("avg_jam_level"), F.max("jam_level").alias("max_jam_level"),
+            rounded(mean(c("congestion_rate"))).alias("avg_congestion_rate"), F.sum("traffic_flow").cast("long").alias("total_traffic_flow"))
     per = top_rows(per, n, [c("avg_jam_level").desc(), c("avg_congestion_rate").desc(), c("road_id")])
     return with_current(per, road.select("road_id", "road_name", "area_id"), "road_id")
 
 
 def ads_device_health_score(health: DataFrame, alarm_device: DataFrame, device: DataFrame, road: DataFrame) -> DataFrame:
-    alarms = alarm_device.filter(c("alarm_type").isin(ALARM_TYPES)).groupBy("device_id", "dt").agg(F.sum("total_alarm_count").cast("long").alias("total_alarm_count"), rounded(F.avg("recovery_rate")).alias("recovery_rate"))
-    rows = health.join(device.select("device_id", "device_name", "device_type", "road_id"), "device_id").join(road.select("road_id", "area_id"), "road_id").join(alarms, ["device_id", "dt"], "left")
+    alarms = alarm_device.filter(c("alarm_type").isin(ALARM_TYPES)).groupBy("device_id",
+        "dt").agg(F.sum("total_alarm_count").cast("long").alias("total_alarm_count"), rounded(F.avg("recovery_rate")).alias("recovery_rate"))
+    rows = health.join(device.select("device_id", "device_name", "device_type", "road_id"), "device_id").join(road.select("road_id", "area_id"),
+        "road_id").join(alarms, ["device_id", "dt"], "left")
     samples = c("abnormal_count") + c("warning_count") + c("normal_count")
     online = percent(c("online_duration"), c("online_duration") + c("offline_count"))
     part_online = online / 100.0 * 40.0
@@ -183,21 +191,27 @@ def ads_device_health_score(health: DataFrame, alarm_device: DataFrame, device:
     part_fault = F.greatest(F.lit(0.0), 1.0 - c("abnormal_count").cast("double") / F.nullif(samples.cast("double"), F.lit(0.0))) * 30.0
     score = rounded(part_online + part_load + part_fault)
     return rows.select(
-        "device_id", "device_name", "device_type", "road_id", "area_id", rounded(online).alias("online_rate"), "avg_cpu_usage", "avg_memory_usage", "avg_temperature",
-        rounded(percent(c("abnormal_count"), samples)).alias("abnormal_rate"), F.coalesce("total_alarm_count", F.lit(0)).alias("total_alarm_count"), F.coalesce("recovery_rate", F.lit(100.0)).alias("recovery_rate"),
-        rounded(part_online).alias("online_score"), rounded(part_load).alias("resource_score"), rounded(part_fault).alias("fault_score"), score.alias("health_score"),
+        "device_id", "device_name", "device_type", "road_id", "area_id", rounded(online).alias("online_rate"), "avg_cpu_usage", "avg_memory_usage",
+            "avg_temperature",
+        rounded(percent(c("abnormal_count"), samples)).alias("abnormal_rate"), F.coalesce("total_alarm_count", F.lit(0)).alias("total_alarm_count"),
+            F.coalesce("recovery_rate", F.lit(100.0)).alias("recovery_rate"),
+        rounded(part_online).alias("online_score"), rounded(part_load).alias("resource_score"), rounded(part_fault).alias("fault_score"),
+            score.alias("health_score"),
         band(score, HEALTH_GRADES, "CRITICAL").alias("health_level"), "dt")
 
 
 def ads_device_mtbf_mttr(alarm_device: DataFrame, device: DataFrame, days: DataFrame) -> DataFrame:
     """Every device on every day of `days`(dt)."""
-    per = alarm_device.groupBy("device_id", "dt").agg(F.sum("total_alarm_count").cast("long").alias("n"), F.sum("recovered_count").cast("long").alias("back"), rounded(F.avg("avg_recover_minutes")).alias("mttr"))
+    per = alarm_device.groupBy("device_id", "dt").agg(F.sum("total_alarm_count").cast("long").alias("n"),
+        F.sum("recovered_count").cast("long").alias("back"), rounded(F.avg("avg_recover_minutes")).alias("mttr"))
     rows = device.crossJoin(days).join(per, ["device_id", "dt"], "left")
     n = F.coalesce("n", F.lit(0))
     mtbf = F.when(n == 0, 1440.0).otherwise(1440.0 / n)
     return rows.select(
-        "device_id", "device_name", "device_type", "manufacturer", "road_id", n.alias("total_alarm_count"), F.coalesce("back", F.lit(0)).alias("recovered_count"), F.lit(1440).alias("total_runtime_minutes"),
-        rounded(mtbf).alias("mtbf_minutes"), F.coalesce("mttr", F.lit(0.0)).alias("mttr_minutes"), rounded(mtbf / 60.0).alias("mtbf_hours"), band(mtbf, RELIABILITY, "LOW").alias("reliability_rank"), "dt")
+        "device_id", "device_name", "device_type", "manufacturer", "road_id", n.alias("total_alarm_count"),
+            F.coalesce("back", F.lit(0)).alias("recovered_count"), F.lit(1440).alias("total_runtime_minutes"),
+        rounded(mtbf).alias("mtbf_minutes"), F.coalesce("mttr", F.lit(0.0)).alias("mttr_minutes"), rounded(mtbf / 60.0).alias("mtbf_hours"),
+            band(mtbf, RELIABILITY, "LOW").alias("reliability_rank"), "dt")
 
 
 def ads_device_fault_top(health: DataFrame, device: DataFrame, road: DataFrame, area: DataFrame, n: int = 20) -> DataFrame:
@@ -207,8 +221,10 @@ def ads_device_fault_top(health: DataFrame, device: DataFrame, road: DataFrame,
     rows = rows.join(device, "device_id").join(road.select("road_id", "area_id"), "road_id").join(area.select("area_id", "area_name"), "area_id")
     rows = top_rows(rows, n, [c("fault_rate").desc(), c("abnormal_count").desc(), c("device_id")])
     return rows.select(
-        "rank_num", "device_id", "device_name", "device_type", "manufacturer", "road_id", "area_id", "area_name", "fault_rate", "abnormal_count", "warning_count", "offline_count",
-        rounded(percent(c("online_duration"), c("online_duration") + c("offline_count"))).alias("online_rate"), "avg_cpu_usage", "avg_memory_usage", "avg_temperature", "health_level", "dt")
+        "rank_num", "device_id", "device_name", "device_type", "manufacturer", "road_id", "area_id", "area_name", "fault_rate", "abnormal_count",
+            "warning_count", "offline_count",
+        rounded(percent(c("online_duration"), c("online_duration") + c("offline_count"))).alias("online_rate"), "avg_cpu_usage", "avg_memory_usage",
+            "avg_temperature", "health_level", "dt")
 
 
 #: Each table as a function of the tables before it.

@@ -22,7 +22,8 @@ def read_feed(spark: SparkSession, feed: str, source: str = "kafka", options: di
 
 def decode_text(df: DataFrame, schema: str, sep: str = "\t") -> DataFrame:
     """Positional text to columns; a row that does not fit keeps its text in _corrupt."""
-    parsed = F.from_csv("value", f"{schema}, _corrupt string", {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "nullValue": "", "quote": ""})
+    parsed = F.from_csv("value", f"{schema}, _corrupt string",
+        {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "nullValue": "", "quote": ""})
     return df.select("*", parsed.alias("_r")).select(*[c for c in df.columns if c != "value"], "_r.*")
 
 
@@ -42,7 +43,8 @@ def encode_cdc(changes: DataFrame, database: str, table: str) -> DataFrame:
     """The change records of a table as JSON text `value`: type, ts, xid and xoffset as given, every other column as data."""
     head = ["type", "ts", "xid", "xoffset"]
     data = F.struct(*[c for c in changes.columns if c not in head])
-    return changes.select(F.to_json(F.struct(F.lit(database).alias("database"), F.lit(table).alias("table"), *head, data.alias("data"))).alias("value"))
+    return changes.select(F.to_json(F.struct(F.lit(database).alias("database"), F.lit(table).alias("table"), *head,
+        data.alias("data"))).alias("value"))
 
 
 def read_landing(spark: SparkSession, path: str, schema: str, day: str | None = None) -> DataFrame:
@@ -66,7 +68,8 @@ def extract(source: DataFrame, columns: list[str], low: str | None = None, high:
     return rows.select(*columns)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, low: int = 0, high: int = 0, parts: int = 8,
+    **options: str) -> DataFrame:
     """A relational table; with `column`, read in `parts` ranges of it."""
     more = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)} if column else {}
     return spark.read.format("jdbc").options(url=url, dbtable=table, **more, **options).load()
@@ -113,9 +116,11 @@ def structure_logs(df: DataFrame) -> DataFrame:
     rows = df.select("value", F.from_json("value", LOG).alias("j"))
     plain = r"^\[?(\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d)[^\]]*\]?\s+\[?(\w+)\]?\s+([\w.-]+)\s*[:-]\s*(.*)$"
     pick = lambda field, group: F.coalesce(F.col(f"j.{field}"), F.nullif(F.regexp_extract("value", plain, group), F.lit("")))
-    rows = rows.select(F.try_to_timestamp(F.replace(pick("timestamp", 1), F.lit("T"), F.lit(" "))).alias("at"), pick("job", 3).alias("job"), F.upper(pick("level", 2)).alias("level"), F.coalesce(pick("message", 4), "value").alias("message"))
+    rows = rows.select(F.try_to_timestamp(F.replace(pick("timestamp", 1), F.lit("T"), F.lit(" "))).alias("at"), pick("job", 3).alias("job"),
+        F.upper(pick("level", 2)).alias("level"), F.coalesce(pick("message", 4), "value").alias("message"))
     job = F.lower("job")
-    kinds = [("stream", job.contains("flink") | job.contains("stream")), ("topic", job.contains("kafka")), ("warehouse", job.contains("hive")), ("etl", job.contains("etl"))]
+    kinds = [("stream", job.contains("flink") | job.contains("stream")), ("topic", job.contains("kafka")), ("warehouse", job.contains("hive")),
+        ("etl", job.contains("etl"))]
     component = F.coalesce(*[F.when(cond, name) for name, cond in kinds], F.lit("other"))
     hidden = F.regexp_replace("message", r"(?i)(password|secret|token)=\S+", "$1=***")
     return rows.select(F.to_date("at").cast("string").alias("day"), component.alias("component"), "job", "level", hidden.alias("message"), "at")

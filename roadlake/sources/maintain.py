@@ -33,12 +33,14 @@ def drop_expired(spark: SparkSession, path: str, date: str, days: int = 90, by:
 
 def files(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """path and size of each data file, from Spark's file metadata."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{format}").load(path).select("path", F.col("length").alias("size"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{format}").load(path).select("path",
+        F.col("length").alias("size"))
 
 
 def file_profile(spark: SparkSession, path: str, format: str = "parquet", by: str = "dt") -> DataFrame:
     rows = files(spark, path, format).withColumn(by, F.regexp_extract("path", rf"{by}=([^/]+)", 1))
-    return rows.groupBy(by).agg(F.count("*").alias("file_count"), F.round(F.sum("size") / 1048576.0, 6).alias("total_mb"), F.round(F.avg("size") / 1024.0, 6).alias("avg_kb"))
+    return rows.groupBy(by).agg(F.count("*").alias("file_count"), F.round(F.sum("size") / 1048576.0, 6).alias("total_mb"),
+        F.round(F.avg("size") / 1024.0, 6).alias("avg_kb"))
 
 
 def _swap(spark: SparkSession, rows: DataFrame, path: str, format: str) -> None:
@@ -74,6 +76,7 @@ def compact_by(spark: SparkSession, path: str, unit: str, ts: str, format: str =
     _swap(spark, rows.repartitionById((high or 0) - (low or 0) + 1, number), path, format)
 
 
-def compact_recent(spark: SparkSession, roots: list[str], days: int, target_mb: float = 256, format: str = "parquet", by: str = "dt") -> dict[str, int]:
+def compact_recent(spark: SparkSession, roots: list[str], days: int, target_mb: float = 256, format: str = "parquet", by: str = "dt") -> dict[str,
+    int]:
     """compact() over the newest partitions of several tables."""
     return {f"{r}/{by}={v}": compact(spark, f"{r}/{by}={v}", target_mb, format) for r in roots for v in partitions(spark, r, by)[-days:]}

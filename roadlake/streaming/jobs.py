@@ -19,19 +19,22 @@ from ..sources.shared import delete
 def road_counts(df: DataFrame, minutes: int = 5, delay: str = "30 seconds", ts: str = "pass_time") -> DataFrame:
     """Passes per road and tumbling window; idle partitions of a source do not hold the watermark back."""
     rows = df.withWatermark(ts, delay) if df.isStreaming else df
-    out = rows.groupBy(F.window(ts, f"{minutes} minutes").alias("w"), "road_id").agg(F.count("*").alias("n"), F.sum("speed").cast("long").alias("total_speed"), rounded(mean(F.col("speed"))).alias("avg_speed"))
+    out = rows.groupBy(F.window(ts, f"{minutes} minutes").alias("w"), "road_id").agg(F.count("*").alias("n"),
+        F.sum("speed").cast("long").alias("total_speed"), rounded(mean(F.col("speed"))).alias("avg_speed"))
     return out.select(F.col("w.start").alias("window_start"), "road_id", "n", "total_speed", "avg_speed")
 
 
 def road_congestion(df: DataFrame, minutes: int = 5, delay: str = "30 seconds", ts: str = "sample_time") -> DataFrame:
     rows = df.withWatermark(ts, delay) if df.isStreaming else df
-    out = rows.groupBy(F.window(ts, f"{minutes} minutes").alias("w"), "road_id").agg(F.min("avg_speed").alias("min_speed"), F.sum("traffic_flow").cast("long").alias("flow"), F.max("congestion_rate").alias("max_rate"), F.min(ts).alias("first_time"))
+    out = rows.groupBy(F.window(ts, f"{minutes} minutes").alias("w"), "road_id").agg(F.min("avg_speed").alias("min_speed"),
+        F.sum("traffic_flow").cast("long").alias("flow"), F.max("congestion_rate").alias("max_rate"), F.min(ts).alias("first_time"))
     return out.select(F.col("w.start").alias("window_start"), "road_id", "min_speed", "flow", "max_rate", "first_time")
 
 
 def dedup_minute(df: DataFrame, ts: str = "pass_time", delay: str = "30 seconds") -> DataFrame:
     """One row for each device, road, type and minute, with a validity flag."""
-    rows = df.withColumn("minute", F.date_trunc("minute", ts)).withColumn("is_valid", F.coalesce(F.col("speed").between(0, 200) & F.col("road_id").isNotNull(), F.lit(False)))
+    rows = df.withColumn("minute", F.date_trunc("minute", ts)).withColumn("is_valid",
+        F.coalesce(F.col("speed").between(0, 200) & F.col("road_id").isNotNull(), F.lit(False)))
     keys = ["device_id", "road_id", "vehicle_type", "minute"]
     return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else rows.dropDuplicates(keys)
 
@@ -76,7 +79,8 @@ def repair_hours(detail: DataFrame, late: DataFrame) -> DataFrame:
 
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
     """Runs a foreachBatch sink with a checkpoint; exactly-once for sinks that are idempotent by batch id."""
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
+    return stream.writeStream.foreachBatch(sink).option("checkpointLocation",
+        checkpoint).trigger(**(trigger or {"processingTime": "5 minutes"})).start()
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -172,7 +176,8 @@ def counters(df: DataFrame, ts: str) -> DataFrame:
 def city_overview(roads: DataFrame, devices: DataFrame) -> DataFrame:
     """One row for the serving page from the two latest-value views."""
     a = roads.agg(F.count("*").alias("roads"), F.sum("n").cast("long").alias("vehicles"), rounded(F.avg("avg_speed")).alias("avg_speed"))
-    return a.crossJoin(devices.agg(F.count("*").alias("devices"), F.sum(F.when(F.col("online_flag") == "ONLINE", 1).otherwise(0)).cast("long").alias("online")))
+    return a.crossJoin(devices.agg(F.count("*").alias("devices"),
+        F.sum(F.when(F.col("online_flag") == "ONLINE", 1).otherwise(0)).cast("long").alias("online")))
 
 
 def quality_status(results: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def _of_rule(rules: Rules, place: int) -> Column:
 def alert_rows(found: DataFrame, key: str = "device_id", rules: Rules = RULES) -> DataFrame:
     """alert_level, alert_type, the key, first_ts, last_ts and the message of each match."""
     message = F.format_string("Device %s %s detected at %d", F.col(key), _of_rule(rules, 5), F.unix_millis("last_ts"))
-    return found.select(_of_rule(rules, 1).alias("alert_level"), F.col("rule").alias("alert_type"), key, "first_ts", "last_ts", message.alias("message"))
+    return found.select(_of_rule(rules, 1).alias("alert_level"), F.col("rule").alias("alert_type"), key, "first_ts", "last_ts",
+        message.alias("message"))
 
 
 def alert_text(alerts: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def alert_text(alerts: DataFrame) -> DataFrame:
     return alerts.select(F.concat_ws("|", F.lit("ALERT"), "alert_level", "alert_type", "message").alias("value"))
 
 
-def alerts_of(heartbeats: DataFrame, key: str = "device_id", ts: str = "heartbeat_time", rules: Rules = RULES, minutes: int = 30, delay: str = "30 seconds") -> DataFrame:
+def alerts_of(heartbeats: DataFrame, key: str = "device_id", ts: str = "heartbeat_time", rules: Rules = RULES, minutes: int = 30,
+    delay: str = "30 seconds") -> DataFrame:
     """A stream of heartbeats to the alerts to be sent: rules, alert rows, and one of a device and kind in `minutes`."""
     found = alert_rows(matches(heartbeats, key, ts, rules, delay), key, rules)
     return stateful.suppress_stream(found, [key, "alert_type"], "last_ts", minutes, delay=None)

@@ -154,12 +154,14 @@ class SpikeProcessor(_Ordered):
         return pd.DataFrame(out, columns=["key", "ts", "flow", "history_avg", "ratio"])
 
 
-def flow_spike_stream(df: DataFrame, key: str, ts: str, flow: str, alpha: float = 0.2, factor: float = 2, warmup: int = 5, delay: str = "30 seconds", ttl_hours: float = 24) -> DataFrame:
+def flow_spike_stream(df: DataFrame, key: str, ts: str, flow: str, alpha: float = 0.2, factor: float = 2, warmup: int = 5,
+    delay: str = "30 seconds", ttl_hours: float = 24) -> DataFrame:
     """The stream twin of series.flow_spike; a key's state counts for ttl_hours of event time after its last row and then goes."""
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("at"), F.col(flow).cast("double").alias("v"))
     rows = rows.filter("key is not null and at is not null and v is not null").withWatermark("at", delay)
     return rows.groupBy("key").transformWithStateInPandas(
-        SpikeProcessor(alpha, factor, warmup, int(ttl_hours * 3_600_000)), "key string, ts timestamp, flow double, history_avg double, ratio double", "append", "eventTime")
+        SpikeProcessor(alpha, factor, warmup, int(ttl_hours * 3_600_000)),
+            "key string, ts timestamp, flow double, history_avg double, ratio double", "append", "eventTime")
 
 
 class SilenceProcessor(_Ordered):
@@ -194,5 +196,6 @@ def suppress_stream(df: DataFrame, keys: list[str], ts: str, minutes: int = 30,
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
     rows = df.select(key.alias("key"), F.col(ts).alias("at"), F.to_json(F.struct(*df.columns)).alias("v")).filter("at is not null")
     rows = rows if delay is None else rows.withWatermark("at", delay)
-    out = rows.groupBy("key").transformWithStateInPandas(SilenceProcessor(minutes * 60_000), "key string, at timestamp, row string", "append", "eventTime")
+    out = rows.groupBy("key").transformWithStateInPandas(SilenceProcessor(minutes * 60_000), "key string, at timestamp, row string", "append",
+        "eventTime")
     return out.select(F.from_json("row", df.schema).alias("r")).select("r.*")
