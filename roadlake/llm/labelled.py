@@ -33,7 +33,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) -> object:
     """fit() of the sample's (text, label) pairs, run by one task; only the model reaches the driver.
 
-    The sample is bounded, so one task can hold it; a lost executor repeats the same fit.
+    The sample is bounded, so one task can hold it; a lost executor repeats the same fit. None for an empty sample.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,7 +41,9 @@ def fitted(sample: DataFrame, fit: Callable[[list[tuple[str, int]]], object]) ->
         rows = sorted(rows)
         yield pd.DataFrame({"model": [pickle.dumps(fit([(t, int(y)) for _, t, y in rows]))]})
 
-    return pickle.loads(sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y").repartition(1).mapInPandas(run, "model binary").first()[0])
+    rows = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y").repartition(1)
+    model = rows.mapInPandas(run, "model binary").first()
+    return None if model is None else pickle.loads(model[0])
 
 
 def epochs_for(rows: int, epochs: int, batch: int, least_steps: int) -> int:

@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from roadlake.llm import byte_cnn, language_fusion, toxicity
 from roadlake.llm.common import table
@@ -219,10 +221,9 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
         if name == "secrets":
             assert after == before
         if name == "near_duplicates":
-            from roadlake.llm import simhash
+            from roadlake.llm import similar
 
-            links = simhash.near_duplicates(df).collect()
-            assert after == {r.component_id for r in links}
+            assert after == {r.component_id for r in similar.similar_groups(df).collect()}
         if name == "decontamination":
             from roadlake.llm import decontaminate
 
@@ -233,10 +234,33 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in df.collect()}
 
 
-def test_pipeline_on_awkward_rows(spark, tmp_path):
-    base = docs(spark)
+def run_over(spark, path, rows):
     labels = spark.createDataFrame([(1, 1, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "some other passage that occurs in no document at all today")], "item_id long, text string")
-    for name, df in (("documents", base), ("labels", labels), ("benchmark", bench)):
-        df.write.parquet(f"{tmp_path}/{name}.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    for name, df in (("documents", rows), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{path}/{name}.parquet")
+    return corpus_pipeline.run(spark, str(path))
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeats and clashing columns: every kept document is packed whole; an empty table gives none."""
+    rows = with_clashes(docs(spark)).filter("doc_id is null or doc_id <> 8")
+    out = run_over(spark, tmp_path / "some", rows).collect()
+    # 1 and 2 are copies, 3, 4 and 7 have no words and the two rows of 5 are one text; null ids stay.
+    kept = {r.doc_id for r in out}
+    assert kept <= {1, 3, 5, 9, None} and {3, None} <= kept
+    for d in kept - {None}:
+        mine = sorted((r.start, r.length, r.doc_tokens) for r in out if r.doc_id == d)
+        assert [a for a, _, _ in mine] == [sum(n for _, n, _ in mine[:k]) for k in range(len(mine))] and sum(n for _, n, _ in mine) == mine[0][2]
+    assert run_over(spark, tmp_path / "none", rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, name, stage):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (8, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "the cat and the dog sat on the mat in the house")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    df = with_clashes(docs(spark)).withColumns({c: F.lit("x") for c in ("_flag", "_gone", "_page", "_bits", "_place", "row", "node", "label", "h")})
+    out = stage(spark, df, d)
+    assert out.columns == df.columns and 0 < out.count() <= df.count()
+    assert stage(spark, df.limit(0), d).count() == 0
