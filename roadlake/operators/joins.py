@@ -38,7 +38,12 @@ def unseen(src: DataFrame, prev: DataFrame, key: str) -> DataFrame:
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot_keys: list, salts: int = 16, how: str = "inner") -> DataFrame:
-    """Join with the rows of named hot keys spread over salts; only the right rows of these keys are repeated."""
+    """Join with the rows of named hot keys spread over salts; only the right rows of these keys are repeated.
+
+    how: inner, left, left_semi or left_anti; a join that keeps unmatched right rows would repeat them.
+    """
+    if how not in ("inner", "left", "left_outer", "leftouter", "left_semi", "leftsemi", "semi", "left_anti", "leftanti", "anti"):
+        raise ValueError(f"a salted join cannot be {how}")
     spread = F.when(F.col(key).isin(hot_keys), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     copies = F.when(F.col(key).isin(hot_keys), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     out = left.withColumn("_salt", spread).join(right.withColumn("_salt", F.explode(copies)), [key, "_salt"], how)

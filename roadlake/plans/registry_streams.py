@@ -62,14 +62,10 @@ def _(t):
 
 @add("s13_recent_alarms", """
 select alarm_id, alarm_level, alarm_time
-from dwd_alarm_log order by alarm_time desc, alarm_id desc, alarm_level desc limit 100
+from dwd_alarm_log order by alarm_time desc, alarm_id, alarm_level limit 100
 """)
 def _(t):
-    return (
-        t["dwd_alarm_log"]
-        .orderBy(F.desc("alarm_time"), F.desc("alarm_id"), F.desc("alarm_level")).limit(100)
-        .select("alarm_id", "alarm_level", "alarm_time")
-    )
+    return jobs.recent(t["dwd_alarm_log"].select("alarm_id", "alarm_level", "alarm_time"), 100, "alarm_time")
 
 
 @add("s14_busiest_roads", "select road_id, count(*) as n from dwd_vehicle_pass group by road_id order by n desc, road_id limit 10")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadlake.operators import alerts, clean, dims, joins, lineage, quality, series, skew
-from roadlake.operators.anomaly import IForest, average_depth, device_anomaly, score_at_rank
+from roadlake.operators.anomaly import IForest, average_depth, device_anomaly, flow_anomaly, score_at_rank
 
 ROAD = "road_id string, speed_limit int, lanes int"
 
@@ -81,6 +81,16 @@ def test_salted_forms_equal_plain_ones(spark):
     assert joins.salted_join(df, dim, "k", [0, 1]).count() == 2000
 
 
+def test_salted_join_refuses_what_it_would_repeat(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    two = one.withColumnRenamed("v", "w")
+    for how, n in (("inner", 2), ("left", 2), ("left_semi", 2), ("left_anti", 0)):
+        assert joins.salted_join(one, two, "k", [1], how=how).count() == n
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            joins.salted_join(one, two, "k", [1], how=how)
+
+
 def test_gini_bounds(spark):
     even = spark.range(100).select((F.col("id") % 10).alias("k"))
     assert abs(skew.gini(even, "k").first()[0]) < 1e-9
@@ -140,6 +150,21 @@ def test_forest_by_plain_walks(spark):
     assert all(bad == (s > limit) for s, bad in got.values()) and 0 < sum(bad for _, bad in got.values()) < 50
 
 
+def test_flow_and_device_anomalies(spark):
+    """Too few rows have no anomaly; the odd hour and the hot device are found, with the cause in its fixed order."""
+    flows = [(h % 24, 100 + h % 5) for h in range(200)] + [(3, 5000)]
+    df = spark.createDataFrame(flows, "hour int, flow int")
+    assert flow_anomaly(df.limit(23)).filter("is_anomaly or score is not null").count() == 0
+    out = flow_anomaly(df, trees=30, contamination=0.02)
+    assert out.filter("flow = 5000").first().is_anomaly and out.filter("is_anomaly").count() <= 3
+    rows = [(40.0 + i % 9, 50.0 + i % 7, 30.0 + i % 5) for i in range(150)]
+    odd = [(99.0, 99.0, 99.0), (99.0, 99.0, 20.0), (10.0, 99.0, 20.0), (0.0, 0.0, 0.0)]
+    got = device_anomaly(spark.createDataFrame(rows + odd, "cpu double, mem double, temp double"), trees=60, contamination=0.05).collect()
+    causes = {(r.cpu, r.mem, r.temp): r.cause for r in got if r.is_anomaly}
+    assert [causes.get(x) for x in odd] == ["TEMP_HIGH", "CPU_HIGH", "MEMORY_HIGH", "COMBINED"]
+    assert all(r.cause is None for r in got if not r.is_anomaly)
+
+
 def test_forest_on_few_values_and_many_rows(spark):
     """Rows of one value that are most of the input do not fill a tree's group beyond its share."""
     df = spark.range(30000).select(F.when(F.col("id") < 29000, 0.0).otherwise(F.col("id") % 50 + 1.0).alias("a"))
