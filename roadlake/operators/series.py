@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import band, rounded
+from ..functions.columns import band, count_where, rounded
 
 
 def moving_avg(df: DataFrame, keys: list[str], ts: str, col: str, rows: int = 5, name: str = "moving_avg") -> DataFrame:
@@ -73,13 +73,32 @@ def frequent(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def sustained(df: DataFrame, key: str, ts: str, cond: Column, minutes: tuple[float, float] = (30, 60)) -> DataFrame:
-    """Unbroken stretches of rows that meet `cond` for over minutes[0]; CRITICAL over minutes[1]."""
-    own = W.partitionBy(key).orderBy(ts)
-    ok = F.coalesce(cond, F.lit(False))
-    rows = df.withColumn("_ok", ok).withColumn("_part", F.sum(F.when(~F.col("_ok"), 1).otherwise(0)).over(own.rowsBetween(W.unboundedPreceding, 0)))
-    runs = rows.filter("_ok").groupBy(key, "_part").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count("*").alias("n"))
+    """Unbroken stretches of rows that meet `cond` for over minutes[0]; CRITICAL over minutes[1].
+
+    Rows are dealt by key and day. Stretches within a day are final; those that touch an end of a day, two a day at
+    most, are joined to those of the key's next day with rows.
+    """
+    day = W.partitionBy(key, "_block")
+    rows = df.filter(F.col(ts).isNotNull()).select(key, F.col(ts).alias("_ts"), F.coalesce(cond, F.lit(False)).alias("_ok"), blocks(ts).alias("_block"))
+    breaks = F.sum(F.when(F.col("_ok"), 0).otherwise(1))
+    rows = rows.withColumn("_part", breaks.over(day.orderBy("_ts").rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", breaks.over(day))
+    runs = rows.groupBy(key, "_block", "_part", "_all").agg(
+        F.min(F.when(F.col("_ok"), F.col("_ts"))).alias("start_ts"), F.max(F.when(F.col("_ok"), F.col("_ts"))).alias("end_ts"), count_where(F.col("_ok")).alias("n"))
+    # A part without rows that meet the condition only says that the day was broken there.
+    inner = runs.filter((F.col("_part") > 0) & (F.col("_part") < F.col("_all")) & (F.col("n") > 0))
+    ends = runs.filter((F.col("_part") == 0) | (F.col("_part") == F.col("_all")))
+    # Both ends of each day, the first one empty where the day begins with a break.
+    held = ends.groupBy(key, "_block", "_all").agg(*[
+        F.max(F.when(F.col("_part") == p, F.struct("start_ts", "end_ts", "n"))).alias(name) for name, p in (("first", F.lit(0)), ("last", F.col("_all")))])
+    both = F.when(F.col("_all") == 0, F.array(F.struct(F.col("first").alias("run"), F.lit(False).alias("broken")))).otherwise(
+        F.array(F.struct(F.col("first").alias("run"), F.lit(False).alias("broken")), F.struct(F.col("last").alias("run"), F.lit(True).alias("broken"))))
+    ends = held.select(key, "_block", F.posexplode(both).alias("_side", "e"))
+    chain = F.sum(F.when(F.col("e.broken"), 1).otherwise(0)).over(W.partitionBy(key).orderBy("_block", "_side").rowsBetween(W.unboundedPreceding, 0))
+    joined = ends.withColumn("_chain", chain).filter("e.run.n > 0").groupBy(key, "_chain").agg(
+        F.min("e.run.start_ts").alias("start_ts"), F.max("e.run.end_ts").alias("end_ts"), F.sum("e.run.n").cast("long").alias("n"))
+    runs = inner.select(key, "start_ts", "end_ts", "n").unionByName(joined.select(key, "start_ts", "end_ts", "n"))
     runs = runs.withColumn("minutes", (F.unix_timestamp("end_ts") - F.unix_timestamp("start_ts")) / 60.0).filter(F.col("minutes") > minutes[0])
-    return runs.withColumn("level", band(F.col("minutes"), [(minutes[1] + 1e-9, "CRITICAL")], "WARNING")).drop("_part")
+    return runs.withColumn("level", band(F.col("minutes"), [(minutes[1] + 1e-9, "CRITICAL")], "WARNING"))
 
 
 def vs_history(df: DataFrame, key: str, day: str, hour: str, flow: str, days: int = 7, factor: float = 2) -> DataFrame:

@@ -196,6 +196,15 @@ def test_long_histories_are_cut_without_loss(spark):
         spikes += [(t, round(hit, 9))] if hit is not None else []
     by_hour = series.flow_spike(df, "k", "ts", "f", factor=1.5, block=series.blocks("ts", 3600))
     assert sorted((r.ts, round(r.history_avg, 9)) for r in by_hour.collect()) == spikes and spikes
+    stretches, begun = set(), None
+    for i, (t, v) in enumerate(zip(times, states)):
+        begun = (begun if begun is not None else i) if v == "OFFLINE" else None
+        if begun is not None and (i + 1 == len(times) or states[i + 1] != "OFFLINE") and (t - times[begun]).total_seconds() > 600:
+            stretches.add((times[begun], t, i - begun + 1))
+    assert {(r.start_ts, r.end_ts, r.n) for r in series.sustained(df, "k", "ts", F.col("v") == "OFFLINE", (10, 60)).collect()} == stretches and stretches
+    always = series.sustained(df, "k", "ts", F.lit(True)).collect()
+    assert [(r.start_ts, r.end_ts, r.n, r.level) for r in always] == [(times[0], times[-1], len(times), "CRITICAL")]
+    assert series.sustained(df, "k", "ts", F.lit(False)).count() == 0
     last, sent = None, set()
     for t in times:
         if last is None or (t - last).total_seconds() >= 600:
