@@ -69,10 +69,8 @@ def segment(value: Column, i: int) -> Column:
     return F.shiftrightunsigned(value, SEGMENT_BITS * (i % SEGMENTS)).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1).cast("long"))
 
 
-def candidate_links(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints `fp` that differ in at most `most` (3 or fewer) bits."""
-    assert most * 2 // SEGMENTS <= 1
-    own = prints.select("fp")
+def ring_keys() -> tuple[Column, Column]:
+    """Keys of `fp` for each segment and the next: as they are, and with one zero bit of the next set."""
     key = lambda i, follow: F.shiftleft(F.lit(i).cast("long") * (1 << SEGMENT_BITS) + segment(F.col("fp"), i), SEGMENT_BITS).bitwiseOR(follow)
     flips = [F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)]
     exact = F.array(*[key(i, segment(F.col("fp"), i + 1)) for i in range(SEGMENTS)])
@@ -81,7 +79,13 @@ def candidate_links(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
         follow = segment(F.col("fp"), i + 1)
         return F.transform(F.filter(F.array(*flips), lambda b: follow.bitwiseAND(b) == 0), lambda b: key(i, follow.bitwiseOR(b)))
 
-    near = F.flatten(F.array(*map(one_more, range(SEGMENTS))))
+    return exact, F.flatten(F.array(*map(one_more, range(SEGMENTS))))
+
+
+def candidate_links(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints `fp` that differ in at most `most` (3 or fewer) bits."""
+    assert most * 2 // SEGMENTS <= 1
+    own, (exact, near) = prints.select("fp"), ring_keys()
     index = own.select(F.explode(exact).alias("key"), F.col("fp").alias("a"))
     probe = own.select(F.explode(F.concat(exact, near)).alias("key"), F.col("fp").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
@@ -106,19 +110,26 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, shingle: int = SHING
 
 
 def print_links(hashed: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Links (a, b) of nodes whose fingerprints differ in at most `most` bits; hashed(node, fp)."""
+    """Links (a, b) of nodes, two a node at most, by fingerprints within `most` bits; hashed(node, fp).
+
+    A node links to the least one of its fingerprint, and a fingerprint to the least one that heads a list of its keys
+    and is near: for candidates that are decided afterwards, a dense ball of fingerprints needs no link for each pair.
+    """
+    exact, near = ring_keys()
     first = cut(hashed.groupBy("fp").agg(F.min("node").alias("first")))
     same = hashed.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    near = candidate_links(first, most)
-    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("_a")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("_b")), "b")
-    return same.distinct().unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    heads = first.select(F.explode(exact).alias("key"), "fp", "first").groupBy("key").agg(F.min(F.struct("fp", "first")).alias("h"))
+    probe = first.select(F.explode(F.concat(exact, near)).alias("key"), "fp", "first")
+    found = probe.join(heads, "key").filter((F.col("h.fp") < F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= most))
+    found = found.groupBy("fp").agg(F.min(F.struct("h.fp", "h.first", F.col("first").alias("own"))).alias("m"))
+    return same.distinct().unionByName(found.select(F.col("m.first").alias("a"), F.col("m.own").alias("b")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each group of similar texts, with the columns of docs.
 
     Texts are similar if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates are texts
-    whose SimHash fingerprints over these shingles the pigeonring search links, and, since most pairs at that
+    whose SimHash fingerprints over these shingles share a pigeonring key and are near, and, since most pairs at that
     similarity differ in more bits than it can search, those that share a MinHash band; each is decided exactly
     (see similar.py).
 

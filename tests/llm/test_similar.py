@@ -113,3 +113,22 @@ def test_rows_without_keys(spark):
     out = without(df, gone)
     assert out.columns == df.columns and sorted(r.doc_id or -1 for r in out.collect()) == sorted(r.doc_id or -1 for r in df.collect() if r.doc_id is None or r.doc_id % 7)
     assert without(df, gone.limit(0)).count() == 5000 and without(df.limit(0), gone).count() == 0
+
+
+def test_print_links_are_few_and_near(spark):
+    """A dense ball of fingerprints gives two links a node at most, of fingerprints within three bits, and most of it hangs together."""
+    from roadlake.llm import simhash
+
+    rng = np.random.default_rng(21)
+    centre = int(rng.integers(0, 1 << 62))
+    prints = {centre ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 3)), replace=False)) for _ in range(300)}
+    rows = [(i, p) for i, p in enumerate(sorted(prints))] + [(1000 + i, centre) for i in range(50)] + [(5000, centre ^ ((1 << 40) - 1))]
+    links = [tuple(r) for r in simhash.print_links(spark.createDataFrame(rows, "node long, fp long")).collect()]
+    of = dict(rows)
+    assert len(links) <= 2 * len(rows) and all(bin(of[a] ^ of[b]).count("1") <= 3 for a, b in links)
+    label = {n: n for n, _ in rows}
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = {n: x if v == y else v for n, v in label.items()}
+    sizes = sorted(list(label.values()).count(v) for v in set(label.values()))
+    assert sizes[-1] >= 0.75 * len(rows) and label[5000] == 5000
