@@ -9,9 +9,11 @@ most PER_CLASS labelled documents of each class, out of the training folds only;
 each pass reads at most TRAIN_WINDOWS windows of a training text, drawn anew.
 Scoring reads all windows. Labels, language, source and doc_id are not inputs.
 
-A text's score does not depend on its neighbours: matrix products have one fixed
-shape (blocks of BLOCK words and of ROWS windows, filled up), and other sums run
-along one text only.
+A text's score does not depend on its neighbours. A row of a BLAS product does
+depend on its place in the block, even at one shape, so scoring uses none: the
+products with the small weights are sums of elementwise ones, term by term, over
+feature-major arrays (`product`), and all other sums run along one text.
+Training, which fixes the order of its rows, keeps the matrix products.
 
 Defined results: a null or wordless text has one empty window, whose score is
 that of no evidence; repeated rows get equal scores; without usable labels of
@@ -42,7 +44,7 @@ TRAIN_WINDOWS = 5
 EPOCHS, BATCH, RATE = 6, 48, 0.01
 LEAST_STEPS = 200
 THRESHOLD = 0.7
-CACHE, ROWS, BLOCK = 150_000, 1024, 512
+CACHE, ROWS = 150_000, 1024
 FOLDS, HELD = 3, 1
 _CLEAN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -84,6 +86,15 @@ def starts(n: int) -> list[int]:
     return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
 
 
+def product(u: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """u.T @ h for a small u (k, n) and h (k, m): summed in the order of k for each column of h, wherever it stands."""
+    out = u[0][:, None] * h[0]
+    term = np.empty_like(out)
+    for weights, row in zip(u[1:], h[1:]):
+        out += np.multiply(weights[:, None], row, out=term)
+    return out
+
+
 class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -101,7 +112,7 @@ class Network:
         return self.w["word"][[zlib.crc32(w) % WORD_ROWS for w in words]] + mean_rows(self.w["char"][rows], sizes)
 
     def read(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """States (T, m, 2H), attention (T, m), pooled (m, 2H) and logits of projected inputs x (T, m, 6H)."""
+        """States (T, m, 2H), attention (T, m), pooled (m, 2H) and logits of projected inputs x (T, m, 6H), for training."""
         t, m, _ = x.shape
         h2 = HIDDEN
         states = np.empty((t, m, 2 * h2), np.float32)
@@ -128,6 +139,32 @@ class Network:
         pooled = (a[:, :, None] * states).sum(axis=0)
         return states, a, pooled, (pooled * self.w["out"]).sum(axis=1) + self.w["b"]
 
+    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The logits that `read` gives, each free of its place among the others: x is (T, 6H, m)."""
+        t, _, m = x.shape
+        h2 = HIDDEN
+        states = np.empty((t, 2 * h2, m), np.float32)
+        for side, name in ((0, "uf"), (1, "ub")):
+            h = np.zeros((h2, m), np.float32)
+            for k in range(t) if side == 0 else range(t - 1, -1, -1):
+                xi = x[k, side * 3 * h2 : (side + 1) * 3 * h2]
+                hu = product(self.w[name], h)
+                zr = xi[: 2 * h2] + hu[: 2 * h2]
+                np.negative(zr, out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                n = np.tanh(xi[2 * h2 :] + zr[h2:] * hu[2 * h2 :])
+                h = (n + zr[:h2] * (h - n)) * mask[k]
+                states[k, side * h2 : (side + 1) * h2] = h
+        a = np.stack([product(self.w["att"][:, None], s)[0] for s in states])
+        a = np.exp(np.clip(a, -30, 30)) * mask
+        total, pooled = np.zeros(m, np.float32), np.zeros((2 * h2, m), np.float32)
+        for weight, state in zip(a, states):
+            total += weight
+            pooled += weight * state
+        return product(self.w["out"][:, None], pooled)[0] / (total + np.float32(1e-9)) + self.w["b"]
+
     def backward(self, x: np.ndarray, mask: np.ndarray, keep: list, states, a, pooled, dlogit: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         h2 = HIDDEN
         g = {"out": pooled.T @ dlogit, "b": np.array([dlogit.sum()], np.float32)}
@@ -245,10 +282,8 @@ class Scorer:
             return
         while len(self.proj) < at + len(new):
             self.proj = np.concatenate([self.proj, np.zeros_like(self.proj)])
-        vectors = np.zeros((-(-len(new) // BLOCK) * BLOCK, DIM), np.float32)
-        vectors[: len(new)] = self.net.vectors(new)
-        parts = [vectors[k : k + BLOCK] @ self.net.w["x"] for k in range(0, len(vectors), BLOCK)]
-        self.proj[at : at + len(new)] = np.concatenate(parts)[: len(new)] + self.net.w["bx"]
+        vectors = np.ascontiguousarray(self.net.vectors(new).T)
+        self.proj[at : at + len(new)] = product(self.net.w["x"], vectors).T + self.net.w["bx"]
         self.rows.update(zip(new, range(at, at + len(new))))
 
     def logits(self, texts: list[str]) -> np.ndarray:
@@ -258,12 +293,12 @@ class Scorer:
         def flush() -> None:
             size = np.array([len(c) for _, c in parts])
             t = max(1, int(size.max()))
-            idx = np.zeros((ROWS, t), np.int64)
+            idx = np.zeros((len(parts), t), np.int64)
             for j, (_, c) in enumerate(parts):
                 idx[j, : len(c)] = c
-            idx = np.ascontiguousarray(idx.T)
-            mask = (np.arange(t)[:, None] < np.append(size, np.zeros(ROWS - len(parts), np.int64))).astype(np.float32)
-            logit = self.net.read(self.proj[idx], mask)[3][: len(parts)]
+            mask = (np.arange(t)[:, None] < size).astype(np.float32)
+            x = np.stack([np.ascontiguousarray(self.proj[column].T) for column in idx.T])
+            logit = self.net.scores(x, mask)
             owner = np.array([d for d, _ in parts])
             np.add.at(total, owner, np.exp(np.clip(logit, -30, 30)))
             np.add.at(counts, owner, 1)
