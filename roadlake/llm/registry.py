@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, decontaminate, hilbert_shards, language_fusion, metric_join, packing, quality_rules, secrets, simhash, toxicity, url_rules
+from . import byte_cnn, collocations, decontaminate, hilbert_shards, language_fusion, metric_join, packing, quality_rules, secrets, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_language_fusion": language_fusion.op9_language_fusion,
     "op10_url_rules": url_rules.op10_url_rules,
     "op11_metric_join": metric_join.op11_metric_join,
+    "op12_tiled_collocations": collocations.op12_tiled_collocations,
 }
 
 SQL = {
     "op4_quality_rules": quality_rules.SQL,
     "op10_url_rules": url_rules.SQL,
     "op11_metric_join": metric_join.SQL,
+    "op12_tiled_collocations": collocations.SQL,
 }
