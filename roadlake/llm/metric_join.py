@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .batches import grouped
 from .common import cut, table
 from .components import components
 
@@ -57,25 +58,6 @@ def units(vectors: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """The rows of each key in turn, from batches sorted by their first `keys` columns."""
-    last, held = None, []
-    for batch in batches:
-        rows = list(zip(*(batch.column(i).to_pylist() for i in range(keys))))
-        start = 0
-        for at in range(len(rows) + 1):
-            if at == len(rows) or rows[at] != rows[start]:
-                if at > start:
-                    if rows[start] != last and held:
-                        yield last, pa.Table.from_batches(held)
-                        held = []
-                    last = rows[start]
-                    held.append(batch.slice(start, at - start))
-                start = at
-    if held:
-        yield last, pa.Table.from_batches(held)
-
-
 def measured(rows: DataFrame, pivots: DataFrame) -> DataFrame:
     """rows(cell, n, node, home, copies, vector) with `far`, the distances to the pivots(cell, n, vector) of their cell.
 

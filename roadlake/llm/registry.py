@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, collocations, decontaminate, hilbert_shards, language_fusion, metric_join, packing, quality_rules, secrets, simhash, toxicity, url_rules
+from . import byte_cnn, collocations, decontaminate, divergence, hilbert_shards, language_fusion, metric_join, packing, quality_rules, secrets, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.op1_hilbert_shards,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_rules": url_rules.op10_url_rules,
     "op11_metric_join": metric_join.op11_metric_join,
     "op12_tiled_collocations": collocations.op12_tiled_collocations,
+    "op13_quadtree_divergence": divergence.op13_quadtree_divergence,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op10_url_rules": url_rules.SQL,
     "op11_metric_join": metric_join.SQL,
     "op12_tiled_collocations": collocations.SQL,
+    "op13_quadtree_divergence": divergence.SQL,
 }
