@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -24,3 +25,11 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
                 start = at
     if held:
         yield last, pa.Table.from_batches(held)
+
+
+def unite(label: np.ndarray, at: np.ndarray) -> None:
+    """Gives the groups of the places `at` one label, the least of theirs."""
+    met = label[at]
+    if (met != met[0]).any():
+        met = np.unique(met)
+        label[np.isin(label, met)] = met[0]

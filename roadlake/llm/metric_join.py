@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .batches import grouped
+from .batches import grouped, unite
 from .common import cut, table
 from .components import components
 
@@ -177,11 +177,7 @@ def matches(left: np.ndarray, right: np.ndarray, weights: np.ndarray, own: np.nd
         for i in range(len(near)):
             at = np.flatnonzero(near[i])
             total[k + i] = weights[at].sum()
-            met = label[at]
-            mine = label[place[k + i]]
-            if (met != mine).any():
-                met = np.unique(np.append(met, mine))
-                label[np.isin(label, met)] = met[0]
+            unite(label, np.append(at, place[k + i]))
     return total, label
 
 

@@ -8,7 +8,12 @@ made into an equi-join: one side holds the value of each segment and the next,
 the other also each value with one zero bit of the next segment set (of two
 values that differ in one bit, one has a zero there). Candidates then pass the
 third budget and the full distance. Only distinct fingerprints take part, so a
-group of equal copies is one row; the keys have 34 bits, so lists stay short.
+group of equal copies is one row. Components need no link for each pair: a list
+of one key is read as a whole, and each fingerprint in it gets at most one link,
+to its group within the list (`sparse_links`); a list of over LIST rows is dealt
+in blocks, each pair of which is one task's, so a dense ball of fingerprints is
+neither one task's work nor written out by pairs. Every near pair shares a key,
+so the components are those of all pairs.
 
 Defined results: a null or wordless text has fingerprint zero and links like
 any other; fewer words than a shingle: the whole sequence is the one shingle;
@@ -20,13 +25,15 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import unite
 from .common import cut, free_name, may_hold, table, text_of, without
 from .components import components
 from .similar import similar_groups, with_node
@@ -37,6 +44,8 @@ MOST_BITS = 3
 SEGMENTS, SEGMENT_BITS = 4, 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _CHUNK = 1 << 16
+#: Rows of a key's list that one task takes.
+LIST = 1 << 15
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -96,12 +105,72 @@ def candidate_links(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def sparse_links(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Links (a, b) of distinct fingerprints `fp` whose components are those of all pairs within `most` (3 or fewer) bits."""
+    assert most * 2 // SEGMENTS <= 1
+    budgets = [k * most // SEGMENTS for k in range(1, SEGMENTS + 1)]
+
+    def near(a: np.ndarray, b: np.ndarray, start: int) -> np.ndarray:
+        """Which of a (rows) and b (columns) pass the chain from segment `start`, then the full distance."""
+        differ = (a[:, None] ^ b[None, :]).view(np.uint64)
+        bits, ok = np.zeros(differ.shape, np.uint8), np.ones(differ.shape, bool)
+        for k, budget in enumerate(budgets):
+            bits += np.bitwise_count((differ >> np.uint64(SEGMENT_BITS * ((start + k) % SEGMENTS))).astype(np.uint16))
+            ok &= bits <= budget
+        return ok
+
+    def linked(key: int, fp: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        value, code = np.unique(fp, return_inverse=True)
+        label, own, other = np.arange(len(value)), np.flatnonzero(index), np.flatnonzero(~index)
+        step = max(1, (1 << 22) // max(1, len(other)))
+        for k in range(0, len(own), step):
+            met = near(fp[own[k : k + step]], fp[other], key >> (2 * SEGMENT_BITS))
+            for i in np.flatnonzero(met.any(axis=1)).tolist():
+                unite(label, np.append(code[other[met[i]]], code[own[k + i]]))
+        moved = np.flatnonzero(label != np.arange(len(value)))
+        return value[label[moved]], value[moved]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+                rest = rows if rest is None else [np.concatenate(x) for x in zip(rest, rows)]
+            if rest is None or not len(rest[0]):
+                continue
+            key, i, j, index, fp = rest
+            new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            begin = np.concatenate([[0], new])
+            end = np.append(new, len(key))
+            if batch is not None:  # the last list may go on
+                begin, end = begin[:-1], end[:-1]
+            # Lists with an index row and a probe row of another fingerprint.
+            total = np.concatenate([[0], np.cumsum(index)])
+            held = total[end] - total[begin]
+            some = np.flatnonzero((held > 0) & (end - begin > held) & (end - begin > 2) | (end - begin == 2) & (held == 1) & (fp[begin] != fp[np.maximum(end - 1, 0)]))
+            found = [linked(int(key[begin[k]]), fp[begin[k] : end[k]], index[begin[k] : end[k]]) for k in some.tolist()]
+            a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            last = end[-1] if len(end) else 0
+            rest = [x[last:] for x in rest]
+
+    exact, close = ring_keys()
+    rows = prints.select(F.explode(exact).alias("key"), F.lit(True).alias("index"), "fp").unionByName(
+        prints.select(F.explode(F.concat(exact, close)).alias("key"), F.lit(False).alias("index"), "fp"))
+    long = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST))
+    parts = F.coalesce(F.ceil(F.col("n") / F.lit(LIST)).cast("int"), F.lit(1))
+    own, every = F.pmod(F.xxhash64("fp"), parts).cast("int"), F.sequence(F.lit(0), parts - 1)
+    meet = F.transform(every, lambda x: F.when(F.col("index"), F.struct(own.alias("i"), x.alias("j"))).otherwise(F.struct(x.alias("i"), own.alias("j"))))
+    dealt = rows.join(long, "key", "left").withColumn("_m", F.explode(meet)).select("key", "_m.i", "_m.j", "index", "fp")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
     """`keep` (default doc_id), fp, component_id of every row."""
     keep = keep or ["doc_id"]
     hashed = cut(with_fingerprint(docs, shingle=shingle).select(*keep, "fp"))
     prints = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("_first")))
-    labels = cut(components(candidate_links(prints, most)))
+    labels = cut(components(sparse_links(prints, most)))
     mine = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     mine = cut(mine)
     least = cut(mine.groupBy("label").agg(F.min("_first").alias("component_id")))
@@ -110,19 +179,15 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, shingle: int = SHING
 
 
 def print_links(hashed: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Links (a, b) of nodes, two a node at most, by fingerprints within `most` bits; hashed(node, fp).
+    """Links (a, b) of nodes whose components are those of all pairs of fingerprints within `most` bits; hashed(node, fp).
 
-    A node links to the least one of its fingerprint, and a fingerprint to the least one that heads a list of its keys
-    and is near: for candidates that are decided afterwards, a dense ball of fingerprints needs no link for each pair.
+    A node links to the least one of its fingerprint, which stands for it.
     """
-    exact, near = ring_keys()
     first = cut(hashed.groupBy("fp").agg(F.min("node").alias("first")))
     same = hashed.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    heads = first.select(F.explode(exact).alias("key"), "fp", "first").groupBy("key").agg(F.min(F.struct("fp", "first")).alias("h"))
-    probe = first.select(F.explode(F.concat(exact, near)).alias("key"), "fp", "first")
-    found = probe.join(heads, "key").filter((F.col("h.fp") < F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("h.fp"))) <= most))
-    found = found.groupBy("fp").agg(F.min(F.struct("h.fp", "h.first", F.col("first").alias("own"))).alias("m"))
-    return same.distinct().unionByName(found.select(F.col("m.first").alias("a"), F.col("m.own").alias("b")))
+    name = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}"))
+    near = cut(sparse_links(first.select("fp"), most)).join(name("a"), "a").join(name("b"), "b")
+    return same.distinct().unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

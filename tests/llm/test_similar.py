@@ -1,6 +1,7 @@
 """Near copies of the pipeline's stage against brute-force Jaccard."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from roadlake.llm import similar
@@ -115,20 +116,34 @@ def test_rows_without_keys(spark):
     assert without(df, gone.limit(0)).count() == 5000 and without(df.limit(0), gone).count() == 0
 
 
-def test_print_links_are_few_and_near(spark):
-    """A dense ball of fingerprints gives two links a node at most, of fingerprints within three bits, and most of it hangs together."""
+def groups(nodes, links):
+    """The groups of nodes that hang together by links, as sets."""
+    label = {n: n for n in nodes}
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = {n: x if v == y else v for n, v in label.items()} if x != y else label
+    return {frozenset(n for n in nodes if label[n] == v) for v in set(label.values())}
+
+
+@pytest.mark.parametrize("rows_a_list", [1 << 15, 40])
+def test_print_links_have_the_components_of_all_pairs(spark, monkeypatch, rows_a_list):
+    """Dense balls, chains of three bits a step, copies and strays, in lists read whole and in blocks; links are few."""
     from roadlake.llm import simhash
 
+    monkeypatch.setattr(simhash, "LIST", rows_a_list)
     rng = np.random.default_rng(21)
-    centre = int(rng.integers(0, 1 << 62))
-    prints = {centre ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 3)), replace=False)) for _ in range(300)}
-    rows = [(i, p) for i, p in enumerate(sorted(prints))] + [(1000 + i, centre) for i in range(50)] + [(5000, centre ^ ((1 << 40) - 1))]
-    links = [tuple(r) for r in simhash.print_links(spark.createDataFrame(rows, "node long, fp long")).collect()]
+    flips = lambda k: sum(1 << int(b) for b in rng.choice(63, k, replace=False))
+    prints = {0, -1, -2, -(1 << 63)}
+    for _ in range(3):
+        centre = int(rng.integers(0, 1 << 62))
+        prints |= {centre ^ flips(int(rng.integers(0, 4))) for _ in range(120)} | {centre ^ flips(5) for _ in range(60)}
+        step = centre
+        for _ in range(20):
+            step ^= flips(3)
+            prints.add(step)
+    rows = [(i, p) for i, p in enumerate(sorted(prints))] + [(1000 + i, 0) for i in range(50)]
     of = dict(rows)
-    assert len(links) <= 2 * len(rows) and all(bin(of[a] ^ of[b]).count("1") <= 3 for a, b in links)
-    label = {n: n for n, _ in rows}
-    for a, b in links:
-        x, y = label[a], label[b]
-        label = {n: x if v == y else v for n, v in label.items()}
-    sizes = sorted(list(label.values()).count(v) for v in set(label.values()))
-    assert sizes[-1] >= 0.75 * len(rows) and label[5000] == 5000
+    links = [tuple(r) for r in simhash.print_links(spark.createDataFrame(rows, "node long, fp long")).collect()]
+    want = [(a, b) for a in of for b in of if a < b and bin((of[a] ^ of[b]) & ((1 << 64) - 1)).count("1") <= 3]
+    assert groups(of, links) == groups(of, want) and len(groups(of, want)) > 100
+    assert len(links) < 36 * len(rows) and len(want) > 5 * len(rows)
