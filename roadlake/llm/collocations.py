@@ -9,7 +9,7 @@ both frequent is not counted, as it cannot be frequent itself.
 
 Addresses are for the HEAD_WORDS words and HEAD_PAIRS pairs of greatest count, so what tasks are sent does not grow with
 the corpus. Phrases with a frequent word or pair beyond those are counted by their text; a map of hashes, 16 bits for each
-of these words, keeps infrequent ones out (it lets some through, whose counts are then too low to stay). Counts are
+of these (128 MB at most), keeps infrequent ones out (it lets some through, whose counts are then too low to stay). Counts are
 of whole texts and exact at every size.
 
 Defined results: a null text is empty, a null language is `und`; other languages are taken as they stand; repeated rows
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import PAGE, bits_for, cut, table, text_of
 
 LEAST, SHARE, TOP = 10, 50, 2000
 HEAD_WORDS, HEAD_PAIRS = 1 << 18, 1 << 20
@@ -115,12 +115,12 @@ def map_of(phrases: DataFrame) -> np.ndarray | None:
     n = phrases.count()
     if not n:
         return None
-    bits = 1 << max(15, (16 * n - 1).bit_length())
+    bits = bits_for(n)
     at = F.pmod(F.xxhash64("phrase"), F.lit(bits)) + 1
     pages = phrases.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for r in pages.toLocalIterator():
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+        out[(r["k"] - 1) * (PAGE // 8) : r["k"] * (PAGE // 8)] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 

@@ -40,13 +40,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Bits of the map of keys by `without` (8 MB, whatever the input), in maps of PAGE bits.
-MAP_BITS, PAGE = 1 << 26, 1 << 15
+#: Bits of a map of keys: 16 a key, within these bounds (128 MB at most: beyond some hundred million keys the map lets
+#: more rows through, which are then joined). Maps are made in pages of PAGE bits.
+LEAST_BITS, MOST_BITS, PAGE = 1 << 15, 1 << 30, 1 << 15
+
+
+def bits_for(keys: int) -> int:
+    """A power of two of bits for a map of so many keys."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys - 1).bit_length())) if keys else LEAST_BITS
 
 
 def may_hold(docs: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
     """docs with a boolean `flag`: false for rows whose key is surely not among keys(key), and for null keys. No row is shuffled."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    bits_all = bits_for(keys.count())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits_all))
     at = slot(F.col(key)) + 1
     pages = keys.filter(F.col(key).isNotNull()).select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("page"))
     pages = pages.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))

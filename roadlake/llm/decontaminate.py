@@ -22,8 +22,9 @@ and BLOCK_CHARS / 2 characters; each block is one pass over the documents. Every
 window of every whole text is considered.
 
 Words: lower-cased, ASCII punctuation parts them. Defined results: null or empty texts
-have no words and are clean; items of fewer than LEAST_WORDS words (or null)
-match nothing; items of one text are looked up once and reported each; repeated
+have no words and are clean, and match nothing as items; an item so short that no
+edit is permitted is looked up as it is; the filter leaves out items of fewer
+than LEAST_WORDS words, which are no evidence; items of one text are looked up once and reported each; repeated
 rows are reported each; of equally near windows the first counts; an empty table
 on either side gives no rows; other columns are ignored. Memory in a worker: the
 block, one Arrow batch, and some CELLS numbers at a time (more for one item of
@@ -42,17 +43,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of, without
+from .common import cut, free_name, table, text_of, without
 
 SIMILARITY = 0.8
 RECALL = 0.999
 SAMPLED = 3
 BLOCK, BLOCK_CHARS = 20_000, 50_000_000
+#: What the filtering stage takes for contamination: a shared phrase of fewer words is none.
 LEAST_WORDS = 5
 CELLS = 1 << 20
 #: Pairs of each kind and walks by which agreement is measured.
 PAIRS, TRIALS = 32, 32
-OUT = "doc_id long, rep long, start long, words long, edits long"
+OUT = "rep long, start long, words long, edits long"
 _CLEAN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -135,14 +137,14 @@ class ItemIndex:
     """Words, word pairs and keys of a block of different benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float = RECALL):
-        split = [(i, words_in(t)) for i, t in items]
-        split = [(i, w) for i, w in split if len(w) >= LEAST_WORDS]
+        split = [(i, w) for i, t in items if (w := words_in(t))]
         self.vocabulary: dict[bytes, int] = {}
         self.rows = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for _, ws in split]
         self.ids = np.array([i for i, _ in split], np.int64)
         self.size = np.array([len(r) for r in self.rows], np.int64)
         self.edits = np.floor((1 - similarity) * self.size + 1e-9).astype(np.int64)
         self.base = len(self.vocabulary) + 1
+        self.single = {int(r[0]): k for k, r in enumerate(self.rows) if len(r) == 1}
         if not self.rows:
             return
         each = [np.unique(r[:-1] * self.base + r[1:]) for r in self.rows]
@@ -194,7 +196,16 @@ class ItemIndex:
         return item, key
 
     def windows(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, start, least edits) of the windows that hold enough of the item's different word pairs."""
+        """(item, start, least edits) of the windows that hold enough of the item's different word pairs, or are an item of one word."""
+        return self.words_alone(codes) + self.with_pairs(codes)
+
+    def words_alone(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+        if not self.single:
+            return []
+        code, first = np.unique(codes, return_index=True)
+        return [(self.single[c], int(f), 0) for c, f in zip(code.tolist(), first) if c in self.single]
+
+    def with_pairs(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         both = np.flatnonzero((codes[:-1] > 0) & (codes[1:] > 0))
         if not len(both):
             return []
@@ -265,10 +276,14 @@ class ItemIndex:
         return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, start and words of the nearest window (counted in words), edits."""
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, key: str = "doc_id") -> DataFrame:
+    """`key`, item_id, start and words of the nearest window (counted in words), edits.
+
+    One block at a time is made, sent out and, once its rows are written, freed.
+    """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    own = docs.select(F.col(key).alias("_key"), text_of().alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).withColumn("rep", F.xxhash64("text"))
     texts = items.select("rep", "text").distinct()
     n, chars = texts.agg(F.count("*"), F.sum(F.length("text"))).first()
@@ -276,9 +291,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     out = None
     for b in range(blocks):
         some = texts.filter(F.pmod("rep", F.lit(blocks)) == b).collect()  # about half of the bounds
-        found = own.mapInArrow(_finder(spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in some], similarity, recall))), OUT)
+        shared = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in some], similarity, recall))
+        found = cut(own.mapInArrow(_finder(shared), f"_key {kind}, {OUT}"))
+        shared.unpersist()
         out = found if out is None else out.unionByName(found)
-    return out.join(items.select("rep", "item_id"), "rep").select("doc_id", "item_id", "start", "words", "edits")
+    return out.join(items.select("rep", "item_id"), "rep").select(F.col("_key").alias(key), "item_id", "start", "words", "edits")
 
 
 def _finder(shared):
@@ -286,24 +303,31 @@ def _finder(shared):
         index = shared.value
         code = index.vocabulary.get
         for batch in batches:
-            doc_ids, found = batch.column(0), []
+            own, found = batch.column(0), []
             if len(index.ids):
                 for d, text in enumerate(batch.column(1)):
                     words = words_in(text.as_py())
                     codes = np.fromiter(map(code, words, repeat(0)), np.int64, len(words))
-                    found += [(d, codes, i, s, e) for i, s, e in index.windows(codes)] if len(words) > 1 else []
+                    found += [(d, codes, i, s, e) for i, s, e in index.windows(codes)]
             best = sorted(index.match(found).items())
             yield pa.RecordBatch.from_arrays(
-                [doc_ids.take(pa.array([d for (d, _), _ in best], pa.int64())), *(pa.array(c, pa.int64()) for c in (
+                [own.take(pa.array([d for (d, _), _ in best], pa.int64())), *(pa.array(c, pa.int64()) for c in (
                     [int(index.ids[i]) for (_, i), _ in best], [v[1] for _, v in best], [v[2] for _, v in best], [v[0] for _, v in best]))],
-                names=["doc_id", "rep", "start", "words", "edits"])
+                names=["_key", "rep", "start", "words", "edits"])
 
     return run
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item contaminates, with their columns; rows without a doc_id stay."""
-    return without(docs, cut(leaks(docs, benchmark).select("doc_id").distinct()))
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents that no item of `least_words` words or more contaminates, with their columns.
+
+    Rows are decided by a digest of doc_id and text, so of several texts of one doc_id, or without one, only those go
+    that hold an item.
+    """
+    mark = free_name(docs, "_mark")
+    marked = docs.withColumn(mark, F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), text_of())))
+    gone = leaks(marked, benchmark, key=mark).filter(F.col("words") >= least_words)
+    return without(marked, cut(gone.select(mark).distinct()), mark).drop(mark)
 
 
 def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import PAGE, bits_for, cut, text_of
 from .components import components
 
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, ROWS = 40, 7
 SEED = 42
-#: Bits of the map that lets a text's shingles through only if its node is in a family (2 MB, whatever the input).
-MAP_BITS, BUCKET_BITS = 1 << 24, 1 << 15
 #: Bytes of the sets that a task takes at once, and how many sets of a larger family all its sets are held against.
 BLOCK_BYTES, HUBS = 32 << 20, 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -115,18 +113,20 @@ def groups_of(sets: list[np.ndarray], similarity: float = SIMILARITY, label: np.
 def families(hashed: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """node, label of the nodes that share a band with another or one of `links`(a, b), directly or through others."""
     rows = hashed.dropDuplicates(["node"]).select(F.explode("bands").alias("key"), "node")
-    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub < _last").drop("_last")
+    # Written out, so that the join has an exchange of its own and adaptive execution can split a band of many nodes.
+    hubs = cut(rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub < _last").drop("_last"))
     banded = rows.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     return components((banded if links is None else banded.unionByName(links)).distinct())
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """node and its shingles, once for each of `nodes` (and by chance for some others)."""
-    at = F.pmod("node", F.lit(MAP_BITS)) + 1
-    found = nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    held = np.zeros(MAP_BITS // 8, np.uint8)
-    for r in found:
-        held[(r["k"] - 1) * (BUCKET_BITS // 8) : r["k"] * (BUCKET_BITS // 8)] = np.frombuffer(r["bits"], np.uint8)
+    bits = bits_for(nodes.count())
+    at = F.pmod("node", F.lit(bits)) + 1
+    found = nodes.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    held = np.zeros(bits // 8, np.uint8)
+    for r in found.toLocalIterator():
+        held[(r["k"] - 1) * (PAGE // 8) : r["k"] * (PAGE // 8)] = np.frombuffer(r["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             for text in batch.column(0):
                 own = shingles(text.as_py(), shingle)
                 node = node_of(own)
-                bit = node % MAP_BITS
+                bit = node % bits
                 if known[bit >> 3] >> (bit & 7) & 1:
                     out[node] = own.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "own"])

@@ -130,3 +130,22 @@ def test_leaks_on_awkward_rows(spark):
     kept = decontaminate.without_leaks(with_clashes(docs(spark)), bench)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "5", "7", "8", "9", "None"]
     assert decontaminate.leaks(docs(spark, []), bench).count() == 0 and decontaminate.leaks(docs(spark), bench.limit(0)).count() == 0
+
+
+def test_short_items_are_looked_up(spark):
+    """Items of one to four words match as they stand; the filter leaves them out unless told not to."""
+    rows = [(1, "alpha beta, gamma delta and more alpha", "en", "s", 1), (2, "beta alpha", "en", "s", 1), (3, "nothing", "en", "s", 1), (4, "delta", "en", "s", 1)]
+    bench = spark.createDataFrame([(1, "Alpha"), (2, "beta gamma"), (3, "alpha beta gamma delta"), (4, "beta gamma alpha"), (5, "..."), (6, "")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.words, r.edits) for r in decontaminate.leaks(docs(spark, rows), bench).collect())
+    assert got == [(1, 1, 0, 1, 0), (1, 2, 1, 2, 0), (1, 3, 0, 4, 0), (2, 1, 1, 1, 0)]
+    assert decontaminate.without_leaks(docs(spark, rows), bench).count() == 4
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs(spark, rows), bench, 1).collect()) == [3, 4]
+
+
+def test_leaks_by_row_not_by_id(spark):
+    """Of several texts of one id, or of none, only contaminated ones go; copies of a row go together."""
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(1, f"before {item} after"), (1, "a clean text of the same id"), (None, f"{item} without an id"), (None, "clean without an id"), (2, item), (2, item), (3, "clean"), (3, "clean")]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = decontaminate.without_leaks(with_clashes(docs(spark, [(d, t, "en", "s", 1) for d, t in rows])), bench)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", rows[1][1]), ("None", rows[3][1]), ("3", "clean"), ("3", "clean")])
