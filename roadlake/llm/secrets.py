@@ -234,16 +234,17 @@ def claimed_from(steps: DataFrame, share: float = FALSE_CLAIMS) -> DataFrame:
     return least.agg(F.map_from_entries(F.collect_list(F.struct("cls", "step"))).alias("_from"))
 
 
-def apart(runs: Column, base: Column) -> Column:
-    """The runs that overlap no base span, by one pass over both in order."""
-    most = F.lit(2**31 - 1)
+def uncovered(runs: Column, base: Column) -> Column:
+    """The runs that no base span holds whole, by one pass over both in order.
+
+    A run that holds or overlaps a base span stays: it is the longer key of which the pattern sees a part, if the tests say so.
+    """
     bare = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.lit("").alias("found")))
     more = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["stop"].alias("stop"), x["found"].alias("found")))
 
     def free(x: Column) -> Column:
         reach = before(F.transform(x, lambda v: F.when(v["kind"] < len(KINDS), v["stop"]).otherwise(F.lit(0))), lambda a, b: F.greatest(a, b), F.lit(0))
-        ahead = F.reverse(before(F.reverse(F.transform(x, lambda v: F.when(v["kind"] < len(KINDS), v["start"]).otherwise(most))), lambda a, b: F.least(a, b), most))
-        held = F.filter(F.arrays_zip(x.alias("v"), reach.alias("reach"), ahead.alias("ahead")), lambda w: (w["v"]["kind"] == len(KINDS)) & (w["reach"] <= w["v"]["start"]) & (w["ahead"] >= w["v"]["stop"]))
+        held = F.filter(F.arrays_zip(x.alias("v"), reach.alias("reach")), lambda w: (w["v"]["kind"] == len(KINDS)) & (w["reach"] < w["v"]["stop"]))
         return F.transform(held, lambda w: F.struct(w["v"]["start"].alias("start"), w["v"]["stop"].alias("stop"), w["v"]["found"].alias("found")))
 
     return F.when((F.size(runs) > 0) & (F.size(base) > 0), let(F.sort_array(F.concat(bare, more)), free)).otherwise(runs)
@@ -260,7 +261,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sha
     assigns = F.filter(matches(F.col("_t"), ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
     own = own.select(*keep, _named("assign", assigns).alias("_a"), _named("access", matches(F.col("_t"), ACCESS)).alias("_k"), _named("hex", matches(F.col("_t"), HEX)).alias("_h"), matches(F.col("_t"), ENCODED).alias("_e"))
     own = own.select(*keep, F.sort_array(F.concat("_a", "_k", "_h")).alias("base"), "_e")
-    own = own.withColumn("_e", apart(F.col("_e"), F.col("base"))).withColumn("_e", assess(F.col("_e")))
+    own = own.withColumn("_e", uncovered(F.col("_e"), F.col("base"))).withColumn("_e", assess(F.col("_e")))
     own = cut(own)
     limits = claimed_from(own.select(F.explode("_e").alias("e")).select("e.cls", "e.step"), share)
     own = own.crossJoin(F.broadcast(limits))  # one row
