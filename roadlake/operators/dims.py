@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -42,16 +42,58 @@ def scd2_merge(prev: DataFrame, src: DataFrame, key: str, tracked: list[str], dt
     return fresh.unionByName(prev.filter("is_current = 'N'").select(fresh.columns)).withColumn("dt", F.lit(dt))
 
 
-def last_changes(changes: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """The last change of each key; of one time the greatest offset."""
-    return changes.withColumn("_k", F.row_number().over(W.partitionBy(key).orderBy(F.desc(ts), F.desc("xoffset")))).filter("_k = 1").drop("_k")
+def day_of(seconds: Column) -> Column:
+    """The UTC day of a time in seconds."""
+    return F.date_add(F.lit(BEGIN).cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
 
 
-def scd2_from_cdc(prev: DataFrame, changes: DataFrame, key: str, tracked: list[str], dt: str) -> DataFrame:
-    """A day's snapshot from its change records (columns of the dimension plus type, ts, xoffset)."""
-    last = last_changes(changes, key)
+def daily_changes(changes: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+    """The last change of each key and day (column `day`), by time and offset.
+
+    Merging is this function again over a union, so any split of the changes into batches, in any order, comes to the same.
+    """
+    rows = changes if "day" in changes.columns else changes.withColumn("day", day_of(F.col(ts)))
+    return rows.groupBy(key, "day").agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(ts), F.col("xoffset"), F.xxhash64(*rows.columns))).alias("r")).select("r.*")
+
+
+def opened(prev: DataFrame, key: str) -> DataFrame:
+    """The versions of a dimension table as the changes that lead to them, older than any other of their day."""
+    own = [c for c in prev.columns if c not in ("start_time", "end_time", "is_current", "dt")]
+    begins = prev.select(*own, F.lit("insert").alias("type"), F.lit(-1).cast("long").alias("ts"), F.lit(-1).cast("long").alias("xoffset"), F.col("start_time").alias("day"))
+    ends = prev.filter("is_current = 'N'").select(
+        *own, F.lit("delete").alias("type"), F.lit(-2).cast("long").alias("ts"), F.lit(-1).cast("long").alias("xoffset"), F.date_add(F.col("end_time").cast("date"), 1).cast("string").alias("day"))
+    return begins.unionByName(ends)
+
+
+def scd2_history(days: DataFrame, key: str, tracked: list[str]) -> DataFrame:
+    """Versions as intervals from the last changes of each day.
+
+    A day opens a version if it follows no version, a delete or other tracked values, and the next such day or delete
+    ends it; a time without the key is a gap. Rows of a key are ordered by day, of which it has one row each.
+    """
+    own = [c for c in days.columns if c not in ("type", "ts", "xoffset", "day")]
+    order = W.partitionBy(key).orderBy("day")
+    gone = F.col("type") == "delete"
+    before = F.lag(F.struct(gone.alias("gone"), F.struct(*tracked).alias("own"))).over(order)
+    steps = days.withColumn("_before", before)
+    new = F.col("_before").isNull() | (F.col("_before.gone") != gone) | (~gone & ~F.col("_before.own").eqNullSafe(F.struct(*tracked)))
+    steps = steps.filter(new).withColumn("_next", F.lead("day").over(order)).filter(~gone)
+    end = F.coalesce(F.date_sub(F.col("_next").cast("date"), 1).cast("string"), F.lit(OPEN))
+    return steps.select(*own, F.col("day").alias("start_time"), end.alias("end_time"), F.when(F.col("_next").isNull(), "Y").otherwise("N").alias("is_current"))
+
+
+def scd2_from_cdc(prev: DataFrame, changes: DataFrame, key: str, tracked: list[str], dt: str | None = None) -> DataFrame:
+    """The dimension after change records (its columns plus type, ts, xoffset) of any number of days.
+
+    dt: the snapshot's day; by default that of the last change. Changes before the newest version are put in their place.
+    """
     columns = [c for c in prev.columns if c not in ("start_time", "end_time", "is_current", "dt")]
-    return scd2_merge(prev, last.filter("type <> 'delete'").select(columns), key, tracked, dt, deletes=last.filter("type = 'delete'"))
+    more = changes.select(*columns, "type", F.col("ts").cast("long").alias("ts"), F.col("xoffset").cast("long").alias("xoffset"))
+    days = daily_changes(opened(prev, key).unionByName(daily_changes(more, key)), key)
+    out = scd2_history(days, key, tracked)
+    if dt is not None:
+        return out.withColumn("dt", F.lit(dt))
+    return out.crossJoin(F.broadcast(more.agg(day_of(F.max("ts")).alias("dt"))))  # one row
 
 
 def scd2_check(df: DataFrame, key: str, src: DataFrame | None = None, tracked: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dims
+from ..sources import io
+from ..sources.shared import shared_dir
 from ..streaming import jobs
 from .oracle import big, cnt, mean, r
 from .registry import add
@@ -114,6 +119,100 @@ def _from_cdc(t):
     n = F.substring("road_id", 2, 20).cast("int")
     kind = F.when(n % 3 == 0, "insert").when(n % 3 == 1, "update").otherwise("delete")
     last = road.filter(n % 2 == 0).select("road_id", (F.col("speed_limit") + 5).alias("speed_limit"), kind.alias("type"),
-        F.lit(2).cast("long").alias("ts"), F.lit(1).cast("long").alias("xoffset"))
-    stale = last.withColumns({"ts": F.lit(1).cast("long"), "type": F.lit("delete"), "speed_limit": F.lit(-1)})
+        F.lit(1717804802).cast("long").alias("ts"), F.lit(1).cast("long").alias("xoffset"))
+    stale = last.withColumns({"ts": F.lit(1717804801).cast("long"), "type": F.lit("delete"), "speed_limit": F.lit(-1)})
     return dims.scd2_from_cdc(dims.scd2_init(road, "2024-06-07"), last.unionByName(stale), "road_id", ["speed_limit"], "2024-06-08").drop("dt")
+
+
+def _batches(df: DataFrame, sink, parts: int = 3) -> None:
+    """Hands the rows of df to a foreachBatch sink in batches by a hash of the row, the last one twice, as after a restart."""
+    for i in [*range(parts), parts - 1]:
+        sink(df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(parts)) == i), i)
+
+
+def _folder(df: DataFrame) -> str:
+    return f"{shared_dir(df.sparkSession)}/serving-{uuid.uuid4().hex}"
+
+
+_LEVELS = """
+select road_id, cast(cast(sample_time as date) as varchar) as day, sample_time, max(jam_level) % 3 as level, max(jam_level) % 4 = 3 as gone
+from traffic_status group by road_id, sample_time
+"""
+_LAST = "select * from levels qualify row_number() over (partition by road_id, day order by sample_time desc) = 1"
+_STEPS = """
+select *, lag(gone) over w as was_gone, lag(level) over w as was from days window w as (partition by road_id order by day)
+qualify was_gone is null or was_gone <> gone or (not gone and was <> level)
+"""
+
+
+@add("d3_scd2_history", """
+select road_id, level, day as start_time, coalesce(cast(cast(next_day as date) - 1 as varchar), '9999-12-31') as end_time,
+  case when next_day is null then 'Y' else 'N' end as is_current
+from (select *, lead(day) over (partition by road_id order by day) as next_day from steps) where not gone
+""", levels=_LEVELS, days=_LAST, steps=_STEPS)
+def _(t):
+    rows = t["traffic_status"].groupBy("road_id", "sample_time").agg(F.max("jam_level").alias("jam"))
+    changes = rows.select("road_id", (F.col("jam") % 3).alias("level"), F.when(F.col("jam") % 4 == 3, "delete").otherwise("update").alias("type"),
+        F.unix_timestamp("sample_time").alias("ts"), F.lit(0).cast("long").alias("xoffset"))
+    path = _folder(changes)
+    _batches(changes, jobs.cdc_snapshots(path, "road_id", ["level"], buckets=4))
+    return rows.sparkSession.read.parquet(f"{path}/version=2").drop("dt")
+
+
+_NEWEST = """
+select device_id, max(heartbeat_time) as heartbeat_time, max_by(signal_strength, heartbeat_time) as signal_strength
+from (select device_id, heartbeat_time, max(signal_strength) as signal_strength from device_status group by 1, 2) group by 1
+"""
+
+
+def _device_table(t) -> str:
+    rows = t["device_status"].groupBy("device_id", "heartbeat_time").agg(F.max("signal_strength").alias("signal_strength"))
+    path = _folder(rows)
+    _batches(rows, jobs.upsert_latest(path, "device_id", "heartbeat_time", buckets=4, most_folders=2), 4)
+    return path
+
+
+@add("s12_latest_table", "select * from newest", newest=_NEWEST)
+def _(t):
+    return jobs.read_table(t["device_status"].sparkSession, _device_table(t), "device_id", "heartbeat_time")
+
+
+@add("s12_latest_within_ttl", """
+select * from newest where epoch(timestamp '2024-06-30 00:00:00') - epoch(heartbeat_time) < 86400 * (1 + (select epoch(timestamp '2024-06-30 00:00:00') - epoch(min(heartbeat_time)) from newest) // 172800)
+""", newest=_NEWEST)
+def _(t):
+    path = _device_table(t)
+    spark = t["device_status"].sparkSession
+    oldest = jobs.read_table(spark, path, "device_id", "heartbeat_time").agg(F.unix_timestamp(F.lit("2024-06-30 00:00:00").cast("timestamp")) - F.unix_timestamp(F.min("heartbeat_time"))).first()[0]
+    return jobs.read_latest(spark, path, 86400 * (1 + oldest // 172800), "2024-06-30 00:00:00", "heartbeat_time", "device_id")
+
+
+@add("s13_recent_kept", """
+select alarm_id, alarm_level, alarm_time
+from dwd_alarm_log order by alarm_time desc, alarm_id, alarm_level limit 100
+""")
+def _(t):
+    rows = t["dwd_alarm_log"].select("alarm_id", "alarm_level", "alarm_time")
+    path = _folder(rows)
+    _batches(rows, jobs.keep_recent(path, 100, "alarm_time"))
+    return jobs.read_recent(rows.sparkSession, path, "alarm_time")
+
+
+@add("r16_late_to_hours", f"""
+select road_id, hour, dt, count(*) as traffic_count, {big('sum(speed)')} as total_speed, {r(mean('speed'))} as avg_speed,
+  {', '.join(f'{cnt(f"vehicle_type = {k!r}")} as {k.lower()}_car_cnt' for k in ('SMALL', 'MEDIUM', 'LARGE', 'OTHER'))}
+from dwd_vehicle_pass group by road_id, hour, dt
+""")
+def _(t):
+    """Rows before 20 o'clock are the tables; the others come late, over a late sink, and are repaired twice."""
+    rows = t["dwd_vehicle_pass"]
+    spark, path = rows.sparkSession, _folder(rows)
+    on_time = rows.filter("hour < 20")
+    io.write_dt(on_time, f"{path}/detail", "parquet")
+    io.write_dt(jobs.dws_road_hour_flow(on_time), f"{path}/hours", "parquet")
+    tee = jobs.tee_late(f"{path}/in_time", f"{path}/late", "pass_time", 30)
+    tee(rows.select(*[F.lit("2100-01-01 00:00:00").cast("timestamp").alias(c) if c == "pass_time" else c for c in rows.columns]).limit(1), 0)
+    tee(rows.filter("hour >= 20"), 1)
+    for _ in range(2):
+        jobs.repair_late(spark, f"{path}/late", f"{path}/detail", f"{path}/hours", "parquet")
+    return spark.read.parquet(f"{path}/hours").select("road_id", "hour", F.col("dt").cast("string").alias("dt"), "traffic_count", "total_speed", "avg_speed", *[f"{k}_car_cnt" for k in ("small", "medium", "large", "other")])

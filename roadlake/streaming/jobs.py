@@ -6,14 +6,15 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import mean, rounded
 from ..operators.clean import dedup
-from ..operators.dims import scd2_from_cdc
+from ..operators.dims import daily_changes, scd2_history
 from ..plans.warehouse import dws_road_hour_flow
-from ..sources.shared import delete
+from ..sources.io import write_dt
+from ..sources.shared import cut
+from .serving import BUCKETS, _children, drop_versions, finished, keep_recent, latest_version, newest, read_latest, read_recent, read_table, recent, upsert_latest  # noqa: F401
 
 
 def road_counts(df: DataFrame, minutes: int = 5, delay: str = "30 seconds", ts: str = "pass_time") -> DataFrame:
@@ -46,7 +47,7 @@ def split_late(batch: DataFrame, watermark, ts: str) -> tuple[DataFrame, DataFra
 
 
 def tee_late(path_on_time: str, path_late: str, ts: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that writes rows older than the watermark apart.
+    """A foreachBatch sink that writes rows older than the watermark apart, from one reading of the batch.
 
     Each batch writes to its own folder by overwrite, so a repeated batch does not double rows. The greatest time seen up
     to a batch lies beside the rows, so a restarted job goes on with the watermark that it had.
@@ -57,14 +58,18 @@ def tee_late(path_on_time: str, path_late: str, ts: str, delay_seconds: int) ->
         spark = batch.sparkSession
         last = latest_version(spark, marks, batch_id)
         seen = None if last is None else spark.read.parquet(f"{marks}/version={last}").first()[0]
-        if seen is None:
-            good, late = batch, batch.limit(0)
-        else:
-            good, late = split_late(batch, seen - dt.timedelta(seconds=delay_seconds), ts)
-        good.write.mode("overwrite").parquet(f"{path_on_time}/batch={batch_id}")
-        late.write.mode("overwrite").parquet(f"{path_late}/batch={batch_id}")
-        newest = batch.agg(F.greatest(F.max(ts), F.lit(seen).cast("timestamp")).alias("seen"))
-        newest.write.mode("overwrite").parquet(f"{marks}/version={batch_id}")
+        batch = batch.persist()
+        try:
+            if seen is None:
+                good, late = batch, batch.limit(0)
+            else:
+                good, late = split_late(batch, seen - dt.timedelta(seconds=delay_seconds), ts)
+            good.write.mode("overwrite").parquet(f"{path_on_time}/batch={batch_id}")
+            late.write.mode("overwrite").parquet(f"{path_late}/batch={batch_id}")
+            mark = batch.agg(F.greatest(F.max(ts), F.lit(seen).cast("timestamp")).alias("seen"))
+            mark.write.mode("overwrite").parquet(f"{marks}/version={batch_id}")
+        finally:
+            batch.unpersist()
         drop_versions(spark, marks, batch_id)
 
     return sink
@@ -77,6 +82,34 @@ def repair_hours(detail: DataFrame, late: DataFrame) -> DataFrame:
     return dws_road_hour_flow(dedup(rows, ["vehicle_id", "pass_time"]))
 
 
+def repair_late(spark: SparkSession, path_late: str, path_detail: str, path_hours: str, format: str = "orc") -> list[int]:
+    """Takes the late batches that no earlier run has taken into the detail table and makes the hours of their days anew.
+
+    Only the days that they touch are read and overwritten. The ledger of taken batches (`<path_late>_taken`) is written
+    last: a run that fails before that is repeated with the same result, since of rows of one pass the first counts.
+    Returns the batches taken. Rows without a day stay in the late folder's batch and are in no table.
+    """
+    ledger = f"{path_late}_taken"
+    last = latest_version(spark, ledger)
+    taken = set() if last is None else {r["batch"] for r in spark.read.parquet(f"{ledger}/version={last}").collect()}
+    found = [n for n in _children(spark, path_late, "batch=") if finished(spark, f"{path_late}/{n}")]
+    todo = sorted(b for b in (int(n.split("=")[1]) for n in found) if b not in taken)
+    if not todo:
+        return []
+    late = spark.read.parquet(*[f"{path_late}/batch={b}" for b in todo])
+    detail = spark.read.format(format).load(path_detail)
+    late = late.filter("dt is not null").select(*[F.col(c).cast(detail.schema[c].dataType).alias(c) for c in detail.columns])
+    days = [r["dt"] for r in late.select("dt").distinct().collect()]  # the days that late rows touch
+    if days:
+        rows = dedup(detail.filter(F.col("dt").isin(days)).unionByName(late), ["vehicle_id", "pass_time"])
+        rows = cut(rows)  # the days are read before they are overwritten
+        write_dt(rows, path_detail, format)
+        write_dt(dws_road_hour_flow(rows), path_hours, format)
+    spark.createDataFrame([(b,) for b in sorted(taken | set(todo))], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{ledger}/version={max(todo)}")
+    drop_versions(spark, ledger, max(todo))
+    return todo
+
+
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):
     """Runs a foreachBatch sink with a checkpoint; exactly-once for sinks that are idempotent by batch id."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation",
@@ -89,81 +122,31 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def upsert_latest(path: str, key: str, ts: str) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the newest row of each key in a table of snapshots, one for each batch."""
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        old = latest_version(spark, path, batch_id)
-        if old is not None:
-            rows = batch.unionByName(spark.read.parquet(f"{path}/version={old}"))
-        newest(rows, key, ts).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        drop_versions(spark, path, batch_id)
-
-    return sink
-
-
-def drop_versions(spark: SparkSession, path: str, newest_id: int, keep: int = 2) -> None:
-    """Removes snapshots but the last `keep` up to newest_id: a reader of the one before may still be at work."""
-    done = sorted(v for v in _versions(spark, path) if v <= newest_id)
-    for v in done[:-keep]:
-        delete(spark, f"{path}/version={v}")
-
-
-def cdc_snapshots(path: str, key: str, tracked: list[str], columns: str) -> Callable[[DataFrame, int], None]:
+def cdc_snapshots(path: str, key: str, tracked: list[str], columns: str | None = None, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A sink for decoded change records that keeps a dimension's history, one snapshot for each batch.
 
-    columns: schema of the dimension's own columns. The day of a batch is that of its last change; a repeated batch
-    starts from the snapshot before it again.
+    The last change of each key and day is kept in a latest-value table beside the snapshots (`<path>_changes`), and the
+    history is made from it; so changes may come in batches of any days and in any order. columns: those of the
+    dimension, as a schema (default: all of the records but type, ts, xid, xoffset). A repeated batch starts from what was before it.
     """
+    names = None if columns is None else [part.split()[0] for part in columns.split(",")]
+    changes = f"{path}_changes"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        day = batch.agg(F.to_date(F.timestamp_seconds(F.max("ts"))).cast("string")).first()[0]
-        if day is None:
+        own = names or [c for c in batch.columns if c not in ("type", "ts", "xid", "xoffset")]
+        days = daily_changes(batch.select(*own, "type", "ts", "xoffset"), key)
+        upsert_latest(changes, [key, "day"], ["ts", "xoffset"], buckets)(days, batch_id)
+        kept = read_table(spark, changes, [key, "day"], ["ts", "xoffset"], batch_id)
+        if kept is None:
             return
-        old = latest_version(spark, path, batch_id)
-        if old is None:
-            prev = spark.createDataFrame([], f"{columns}, start_time string, end_time string, is_current string, dt string")
-        else:
-            prev = spark.read.parquet(f"{path}/version={old}")
-        scd2_from_cdc(prev, batch, key, tracked, day).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        out = scd2_history(kept, key, tracked).crossJoin(F.broadcast(kept.agg(F.max("day").alias("dt"))))  # one row
+        out.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
         drop_versions(spark, path, batch_id)
 
     return sink
 
 
-def newest(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(ts), F.xxhash64(*rows.columns))).alias("r")).select("r.*")
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Finished snapshots, listed by the file system that holds the path."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    found = [s.getPath() for s in fs.listStatus(hadoop)]
-    return [int(p.getName().split("=")[1]) for p in found if p.getName().startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-
-
-def latest_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """Greatest finished snapshot, before `below` if given."""
-    return max([v for v in _versions(spark, path) if below is None or v < below], default=None)
-
-
-def read_latest(spark: SparkSession, path: str, ttl_s: int, as_of: str, ts: str = "update_time") -> DataFrame:
-    """Rows updated within ttl_s seconds before as_of."""
-    rows = spark.read.parquet(f"{path}/version={latest_version(spark, path)}")
-    return rows.filter(F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(ts) < ttl_s)
-
-
-def recent(df: DataFrame, n: int = 100, ts: str = "ts") -> DataFrame:
-    """The newest n rows; of one time in the order of the other columns."""
-    return df.orderBy(F.desc(ts), *[c for c in df.columns if c != ts]).limit(n)
-
-
 def ranked(df: DataFrame, score: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(score), *[c for c in df.columns if c != score][:1]).limit(n)
 
@@ -203,8 +186,3 @@ def one(df: DataFrame, key: str, value: str) -> DataFrame:
 def by_count(df: DataFrame, n: int | None = None) -> DataFrame:
     rows = df.orderBy(F.desc("n"), "road_id")
     return rows if n is None else rows.limit(n)
-
-
-def last_per_key(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    own = W.partitionBy(*keys).orderBy(F.desc(ts))
-    return df.withColumn("_k", F.row_number().over(own)).filter("_k = 1").drop("_k")

@@ -2,11 +2,12 @@
 
 import datetime as dt
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from roadlake.operators import alerts, series
+from roadlake.operators import alerts, dims, series
 from roadlake.sources import io
 from roadlake.streaming import jobs, rules, stateful
 
@@ -173,6 +174,96 @@ def test_payload(spark):
     assert got["city_overview"]["roads"] == 3 and [r["road_id"] for r in got["top_jam_roads"]] == ["R1", "R2"] and got["quality"]["completeness_rate"] == 99.0
 
 
+def history(spark, path, version):
+    return sorted((r.road_id, r.speed_limit, r.start_time, r.end_time, r.is_current) for r in spark.read.parquet(f"{path}/version={version}").collect())
+
+
+def test_any_split_of_changes_gives_one_history(spark, tmp_path):
+    """Several days in one batch, older changes after newer ones, deletes as gaps, one day changed twice, repeated batches."""
+    schema = "type string, ts long, xoffset long, road_id string, speed_limit int"
+    day = lambda d, s=0: 1780876800 + 86400 * d + s
+    rows = [
+        ("insert", day(0), 1, "A", 50), ("update", day(1), 2, "A", 60), ("update", day(1, 5), 3, "A", 70), ("update", day(3), 4, "A", 70), ("delete", day(5), 5, "A", 70),
+        ("insert", day(8), 6, "A", 70), ("insert", day(2), 7, "B", 30), ("update", day(2), 8, "B", 40), ("delete", day(3), 9, "B", 40), ("insert", day(3, 1), 10, "B", 40), ("delete", day(0), 11, "C", 1),
+    ]
+    at = lambda d: str((dt.datetime(2026, 6, 8) + dt.timedelta(days=d)).date())
+    want = sorted([
+        ("A", 50, at(0), at(0), "N"), ("A", 70, at(1), at(4), "N"), ("A", 70, at(8), "9999-12-31", "Y"), ("B", 40, at(2), "9999-12-31", "Y"),
+    ])
+    splits = [[rows], [rows[:1], rows[1:]], [[r] for r in reversed(rows)], [rows[5:], rows[:5]], [rows[::2], rows[1::2], rows[:3]]]
+    for k, batches in enumerate(splits):
+        sink = jobs.cdc_snapshots(str(tmp_path / f"dim{k}"), "road_id", ["speed_limit"], "road_id string, speed_limit int", buckets=2)
+        for i, batch in enumerate(batches):
+            for _ in range(1 + (i == len(batches) - 1)):
+                sink(spark.createDataFrame(batch, schema), i)
+        assert history(spark, tmp_path / f"dim{k}", len(batches) - 1) == want
+    prev = spark.createDataFrame([("A", 50, "1970-01-01", "9999-12-31", "Y", "x"), ("D", 5, "1970-01-01", "2026-06-01", "N", "x")], "road_id string, speed_limit int, start_time string, end_time string, is_current string, dt string")
+    once = dims.scd2_from_cdc(prev, spark.createDataFrame(rows, schema), "road_id", ["speed_limit"])
+    twice = dims.scd2_from_cdc(dims.scd2_from_cdc(prev, spark.createDataFrame(rows[:2], schema), "road_id", ["speed_limit"]), spark.createDataFrame(rows[2:], schema), "road_id", ["speed_limit"])
+    assert sorted(map(tuple, once.drop("dt").collect())) == sorted(map(tuple, twice.drop("dt").collect()))
+    assert ("D", 5, "1970-01-01", "2026-06-01", "N") in set(map(tuple, once.drop("dt").collect())) and ("A", 50, "1970-01-01", at(0), "N") in set(map(tuple, once.drop("dt").collect()))
+
+
+def tree(path):
+    return {str(f.relative_to(path)) for f in path.rglob("*.parquet")}
+
+
+def test_latest_table_writes_only_the_buckets_of_a_batch(spark, tmp_path):
+    schema = "road_id string, n int, update_time timestamp"
+    path = tmp_path / "view"
+    sink = lambda: jobs.upsert_latest(str(path), "road_id", "update_time", buckets=8, most_folders=3)
+    sink()(spark.createDataFrame([(f"R{i}", 0, BASE) for i in range(100)], schema), 0)
+    kept, want = tree(tmp_path / "view_data"), {f"R{i}": 0 for i in range(100)}
+    assert len({f.split("/")[1] for f in kept}) == 8
+    for k in range(1, 12):
+        batch = [("R1", k, BASE + dt.timedelta(minutes=k)), ("R2", -k, BASE - dt.timedelta(minutes=k))]
+        want["R1"] = k
+        before = tree(tmp_path / "view_data")
+        for _ in range(2):  # repeated, as after a restart
+            sink()(spark.createDataFrame(batch, schema), k)
+        new = tree(tmp_path / "view_data") - before
+        assert len({f.split("/")[1] for f in new}) <= 2
+        got = {r.road_id: r.n for r in jobs.read_table(spark, str(path), "road_id", "update_time").collect()}
+        assert got == want
+    folders = [r.folder for r in spark.read.parquet(str(path / "version=11")).collect()]
+    assert len(folders) <= 8 + 2 * 3 and len(list((tmp_path / "view_data").iterdir())) <= 10
+    sink()(spark.createDataFrame([], schema), 12)
+    assert jobs.read_table(spark, str(path), "road_id", "update_time").count() == 100
+
+
+def test_recent_list_is_that_of_the_whole_history(spark, tmp_path):
+    schema = "k string, ts timestamp, v int"
+    rows = [(f"k{i % 7}", BASE + dt.timedelta(minutes=i * 37 % 50), i % 3) for i in range(120)]
+    sink = jobs.keep_recent(str(tmp_path / "list"), 20)
+    for i in range(4):
+        for _ in range(1 + i % 2):
+            sink(spark.createDataFrame(rows[i::4], schema), i)
+        want = jobs.recent(spark.createDataFrame([r for k in range(i + 1) for r in rows[k::4]], schema), 20)
+        assert jobs.read_recent(spark, str(tmp_path / "list")).collect() == want.collect()
+
+
+def test_late_rows_are_repaired_once(spark, tmp_path):
+    """Only touched days are written, a second run and a run that lost its ledger double nothing."""
+    schema = "vehicle_id string, road_id string, vehicle_type string, speed int, pass_time timestamp, hour int, dt string"
+    row = lambda v, d, h, speed=10: (v, "R1", "SMALL", speed, dt.datetime(2026, 6, d, h), h, f"2026-06-{d:02d}")
+    detail, hours, late = str(tmp_path / "detail"), str(tmp_path / "hours"), str(tmp_path / "late")
+    first = spark.createDataFrame([row("a", 1, 1), row("b", 2, 1), row("c", 3, 1)], schema)
+    io.write_dt(first, detail)
+    io.write_dt(jobs.dws_road_hour_flow(first), hours)
+    untouched = sorted(str(p) for p in (tmp_path / "hours" / "dt=2026-06-03").iterdir())
+    spark.createDataFrame([row("d", 1, 1, 30), row("a", 1, 1)], schema).write.parquet(f"{late}/batch=4")
+    spark.createDataFrame([row("e", 2, 5)], schema).write.parquet(f"{late}/batch=7")
+    flow = lambda: sorted((r.dt.isoformat(), r.hour, r.traffic_count, r.total_speed) for r in spark.read.orc(hours).collect())
+    want = [("2026-06-01", 1, 2, 40), ("2026-06-02", 1, 1, 10), ("2026-06-02", 5, 1, 10), ("2026-06-03", 1, 1, 10)]
+    assert jobs.repair_late(spark, late, detail, hours) == [4, 7] and flow() == want
+    assert jobs.repair_late(spark, late, detail, hours) == [] and flow() == want
+    shutil.rmtree(f"{late}_taken")
+    assert jobs.repair_late(spark, late, detail, hours) == [4, 7] and flow() == want
+    spark.createDataFrame([row("f", 2, 5)], schema).write.parquet(f"{late}/batch=8")
+    assert jobs.repair_late(spark, late, detail, hours) == [8] and ("2026-06-02", 5, 2, 20) in flow()
+    assert sorted(str(p) for p in (tmp_path / "hours" / "dt=2026-06-03").iterdir()) == untouched
+
+
 @pytest.mark.parametrize("n", [1, 3])
 def test_serving_reads(spark, n):
     df = spark.createDataFrame([(f"R{i}", i, BASE + dt.timedelta(minutes=i), 10.0) for i in range(5)], "road_id string, n int, ts timestamp, avg_speed double")
