@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .series import blocks
+from ..sources.shared import cut
 
 #: Severity, channels, minutes until an unrecovered alert escalates (null: never).
 POLICY = [("CRITICAL", ["chat", "sms", "phone"], 15), ("MAJOR", ["chat", "mail"], 60), ("MINOR", ["mail"], None), ("WARNING", ["mail"], None)]
@@ -24,54 +25,103 @@ def alert_key(columns: list[str]) -> Column:
     return F.md5(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
 
 
-def sent_times(times: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
-    """The times of times(key, ts), distinct rows, at which a key's alert is sent.
+def _paths(times: np.ndarray, starts: int, limit: int) -> list[np.ndarray]:
+    """From each time that may be a block's first sent one: the times sent in the block.
 
-    A key without an alert for `minutes` starts anew, so its stretches between such pauses are folded apart. Pauses are
-    found within blocks of time and between a block and the next.
+    A silence that reaches into a block ends before starts + limit, so these are the times before that and the next one.
     """
-    limit = minutes * 60
-    rows = times.withColumn("_block", blocks(ts, max(86400, limit)))
-    ends = rows.groupBy(key, "_block").agg(F.max(ts).alias("_end"))
-    ends = ends.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.lag("_end").over(W.partitionBy(key).orderBy("_block")).alias("_end"))
-    rows = rows.join(ends, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
-    own = W.partitionBy(key, "_block").orderBy(ts)
-    before = F.coalesce(F.lag(ts).over(own), F.col("_end"))
-    pause = before.isNull() | (F.unix_micros(ts) - F.unix_micros(before) >= limit * 1_000_000)
-    rows = rows.select(key, ts, "_block", F.when(pause, F.col(ts)).alias("_from"))
-    # The stretch's first time: the last one in the block up to the row, else the last of the blocks before.
-    opened = rows.groupBy(key, "_block").agg(F.max("_from").alias("_last"))
-    upto = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    opened = opened.select(F.col(key).alias("_key"), F.col("_block").alias("_at"), F.max("_last").over(upto).alias("_open"))
-    rows = rows.join(opened, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
-    rows = rows.select(key, ts, F.coalesce(F.max("_from").over(own.rowsBetween(W.unboundedPreceding, 0)), "_open").alias("_from"))
-    dealt = rows.repartition(key, "_from").sortWithinPartitions(key, "_from", ts)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        begun, last = object(), None
+    n = len(times)
+    after = np.append(np.searchsorted(times, times + limit), n)
+    at, steps = np.arange(min(n, int(np.searchsorted(times, starts + limit)) + 1)), []
+    while (at < n).any():
+        steps.append(at)
+        at = after[at]
+    grid = np.stack(steps, axis=1)
+    inside = grid < n
+    return np.split(times[grid[inside]], np.cumsum(inside.sum(axis=1))[:-1])
+
+
+def block_paths(times: DataFrame, key: str, ts: str, limit: int, width: int) -> DataFrame:
+    """key, block, entry, sent of times(key, ts) in blocks of `width` microseconds: what is sent in the block if `entry` is its first sent time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, []
+
+        def out() -> pd.DataFrame:
+            paths = _paths(np.concatenate(held), last[1] * width, limit)
+            return pd.DataFrame({key: [last[0]] * len(paths), "block": last[1], "entry": [p[0] for p in paths], "sent": paths}, columns=[key, "block", "entry", "sent"])
+
         for pdf in batches:
-            out = []
-            for k, start, t in zip(pdf[key], pdf["_from"], pdf[ts]):
-                k = None if pd.isna(k) else k
-                if (k, start) != begun:
-                    begun, last = (k, start), None
-                if last is None or (t - last).total_seconds() >= limit:
-                    last = t
-                    out.append((k, t))
-            yield pd.DataFrame(out, columns=[key, ts])
+            block, own = pdf["block"].to_numpy(), pdf[key].where(pdf[key].notna(), None).tolist()
+            begins = [0, *(i for i in range(1, len(own)) if block[i] != block[i - 1] or own[i] != own[i - 1]), len(own)]
+            for i, j in zip(begins, begins[1:]):
+                if i < j:
+                    if (own[i], block[i]) != last and held:
+                        yield out()
+                        held = []
+                    last = (own[i], int(block[i]))
+                    held.append(pdf["at"].to_numpy()[i:j])
+        if held:
+            yield out()
+
+    kind = dict(times.dtypes)[key]
+    rows = times.select(key, F.unix_micros(ts).alias("at")).withColumn("block", F.floor(F.col("at") / width).cast("long"))
+    dealt = rows.select(key, "block", "at").repartition(key, "block").sortWithinPartitions(key, "block", "at")
+    return dealt.mapInPandas(run, f"`{key}` {kind}, block long, entry long, sent array<long>")
+
 
-    kinds = dict(times.dtypes)
-    return dealt.mapInPandas(fold, f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}")
+def sent_times(times: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
+    """key, at (microseconds) at which alerts are sent, of times(key, ts), distinct rows.
+
+    The successor of a sent time is the first one `minutes` or more after it. Within a block of time these are followed by
+    a task, from each of the few times that may come first; an entry then points to that of a later block which follows
+    its last sent time, and the entries that a key's first one leads to are marked by pointer doubling: after k rounds 2^k
+    of them. So a long history is worked on by blocks, in rounds of the logarithm of their number.
+    """
+    limit = minutes * 60_000_000
+    width = max(4 * limit, min(86_400_000_000, 2048 * limit))
+    paths = cut(block_paths(times, key, ts, limit, width))
+    firsts = paths.groupBy(key, "block").agg(F.min("entry").alias("first"))
+    # One row a block; a silence ends in the block after that of the last sent time, or before the first time of a later one.
+    order = W.partitionBy(key).orderBy("block")
+    firsts = firsts.select(F.col(key).alias("_key"), F.col("block").alias("_block"), F.lag("block").over(order).isNull().alias("_open"),
+        F.lead("block").over(order).alias("_next"), F.lead("first").over(order).alias("_first"), F.lead("first", 2).over(order).alias("_second"))
+    firsts = cut(firsts)
+    if not firsts.filter("_next is not null").limit(1).count():
+        chosen = firsts.join(paths, F.col(key).eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
+        return chosen.groupBy(key, "block").agg(F.min_by("sent", "entry").alias("sent")).select(key, F.explode("sent").alias("at"))
+    nodes = paths.join(firsts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
+    free = F.element_at("sent", -1) + limit
+    nodes = nodes.select(F.col(key).alias("key"), "block", "entry", free.alias("free"), "_open", "_next", "_first", "_second")
+    # The first time after the silence among the next block's entries, else the first of the block after that one: entries
+    # and ends of silences of a block in one order, from the last on.
+    entries = nodes.select(F.col("key").alias("_k"), F.col("block").alias("_b"), F.col("entry").alias("_t"), F.lit(True).alias("_own"), F.lit(None).cast("long").alias("_at"))
+    waits = nodes.filter("_next = block + 1 and free > _first").select(
+        F.col("key").alias("_k"), F.col("_next").alias("_b"), F.col("free").alias("_t"), F.lit(False).alias("_own"), F.col("entry").alias("_at"))
+    back = W.partitionBy("_k", "_b").orderBy(F.desc("_t"), F.desc("_own")).rowsBetween(W.unboundedPreceding, 0)
+    met = entries.unionByName(waits).withColumn("_e", F.min(F.when(F.col("_own"), F.col("_t"))).over(back)).filter("not _own").select("_k", "_at", "_e")
+    nodes = nodes.join(met, F.col("key").eqNullSafe(F.col("_k")) & (F.col("entry") == F.col("_at")), "left")
+    jump = F.when((F.col("_next") == F.col("block") + 1) & (F.col("free") > F.col("_first")), F.coalesce("_e", "_second")).otherwise(F.col("_first"))
+    first = F.min("entry").over(W.partitionBy("key", "block"))
+    nodes = cut(nodes.select("key", "entry", jump.alias("jump"), (F.col("_open") & (F.col("entry") == first)).alias("marked")))
+    while nodes.filter("marked and jump is not null").limit(1).count():
+        there = nodes.select(F.col("key").alias("_k"), F.col("entry").alias("_e"), F.col("jump").alias("_jump"))
+        hit = nodes.filter("marked and jump is not null").select(F.col("key").alias("_hk"), F.col("jump").alias("_hit"))  # a chain: each entry is met once
+        step = nodes.join(there, F.col("key").eqNullSafe(F.col("_k")) & (F.col("jump") == F.col("_e")), "left")
+        step = step.join(hit, F.col("key").eqNullSafe(F.col("_hk")) & (F.col("entry") == F.col("_hit")), "left")
+        nodes = cut(step.select("key", "entry", F.col("_jump").alias("jump"), (F.col("marked") | F.col("_hit").isNotNull()).alias("marked")))
+    chosen = nodes.filter("marked").select(F.col("key").alias("_key"), F.col("entry").alias("_entry"))
+    return paths.join(chosen, F.col(key).eqNullSafe(F.col("_key")) & (F.col("entry") == F.col("_entry"))).select(key, F.explode("sent").alias("at"))
 
 
 def suppress(df: DataFrame, key: str, ts: str, minutes: int = 30) -> DataFrame:
     """Adds sent: false within `minutes` of the key's last sent alert (suppressed ones do not extend the silence).
 
     Of several alerts of a key at one time one is sent, the first by a hash of the row. Alerts without a time are sent.
-    Only distinct times are folded; a null key is a key.
+    Only distinct times are followed; a null key is a key.
     """
     sent = sent_times(df.filter(F.col(ts).isNotNull()).select(key, ts).distinct(), key, ts, minutes)
-    sent = sent.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"))
+    sent = sent.select(F.col(key).alias("_key"), F.timestamp_micros("at").cast(dict(df.dtypes)[ts]).alias("_ts"))
     rows = df.withColumn("_tie", F.xxhash64(*df.columns))
     rows = rows.join(sent, F.col(key).eqNullSafe(F.col("_key")) & (F.col(ts) == F.col("_ts")), "left")
     first = F.row_number().over(W.partitionBy(key, ts).orderBy("_tie")) == 1

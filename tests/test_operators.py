@@ -213,6 +213,36 @@ def test_long_histories_are_cut_without_loss(spark):
     assert {r.ts for r in alerts.suppress(df, "k", "ts", 10).filter("sent").collect()} == sent
 
 
+def sent_by_fold(rows, minutes):
+    """(key, time) sent, by one fold over each key's times."""
+    last, out = {}, set()
+    for k, t in sorted(set(rows), key=lambda r: (str(r[0]), r[1])):
+        if k not in last or (t - last[k]).total_seconds() >= 60 * minutes:
+            last[k] = t
+            out.add((k, t))
+    return out
+
+
+@pytest.mark.parametrize("minutes", [1, 7, 30, 700])
+def test_suppression_by_pointers_equals_one_fold(spark, minutes):
+    """A key with an alert each minute for 70 days, sparse ones, pauses of days, times to the microsecond, a null key."""
+    rng = np.random.default_rng(minutes)
+    start = dt.datetime(2026, 1, 1)
+    rows = [("each", start + dt.timedelta(minutes=m)) for m in range(100_800)]
+    for k in ("a", "b", "c", None):
+        at = np.cumsum(rng.choice([0.4, 3, 29, 30, 31, 500, 5000], 900, p=[0.3, 0.3, 0.15, 0.1, 0.1, 0.04, 0.01]) + rng.integers(0, 3, 900) * 1e-8)
+        rows += [(k, start + dt.timedelta(minutes=float(m))) for m in at]
+    rows += [("twice", start), ("twice", start), ("edge", start), ("edge", start + dt.timedelta(minutes=minutes)), ("near", start), ("near", start + dt.timedelta(minutes=minutes, microseconds=-1))]
+    got = alerts.suppress(spark.createDataFrame(rows, "k string, ts timestamp"), "k", "ts", minutes).filter("sent").collect()
+    want = sent_by_fold(rows, minutes)
+    assert {(r.k, r.ts) for r in got} == want and len(got) == len(want)
+
+
+def test_paths_of_a_block():
+    times = np.array([0, 1, 4, 9, 10, 15, 30])
+    assert [p.tolist() for p in alerts._paths(times, 0, 5)] == [[0, 9, 15, 30], [1, 9, 15, 30], [4, 9, 15, 30], [9, 15, 30]]
+
+
 def test_suppression_of_ties_and_nulls(spark):
     t = dt.datetime(2026, 6, 8, 10)
     df = spark.createDataFrame([("a", t, 1), ("a", t, 2), (None, t, 3), ("a", None, 4), (None, None, 5)], "k string, ts timestamp, v int")
