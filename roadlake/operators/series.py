@@ -12,16 +12,54 @@ from pyspark.sql import functions as F
 from ..functions.columns import band, count_where, rounded
 
 
-def moving_avg(df: DataFrame, keys: list[str], ts: str, col: str, rows: int = 5, name: str = "moving_avg") -> DataFrame:
-    own = W.partitionBy(*keys).orderBy(ts).rowsBetween(1 - rows, 0)
-    return df.withColumn(name, rounded(F.sum(col).over(own).cast("double") / F.count(col).over(own)))
-
-
 def blocks(ts: str, seconds: int = 86400) -> Column:
     """Number of the time block of a row: long histories of one key are dealt by it."""
     return F.floor(F.unix_timestamp(ts) / seconds).cast("long")
 
 
+def block_of(df: DataFrame, order: str) -> Column:
+    """A number that does not fall along `order` and by which a key's rows can be dealt: days of times, thousands of numbers."""
+    kind = dict(df.dtypes)[order]
+    if kind.startswith(("timestamp", "date")):
+        return blocks(order)
+    if kind.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+        return F.floor(F.col(order) / 1000).cast("long")
+    raise ValueError(f"{order} is neither a time nor a number: name the blocks")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], block: Column, rank: str) -> DataFrame:
+    """Adds `rank`, from 0 within the keys by block and then `order`: counts of blocks are summed, rows are ordered within blocks only."""
+    rows = df.withColumn("_block", block)
+    counts = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    # One row a block.
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy(F.col("_block").asc_nulls_first())) - F.col("_n")
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_at"), before.alias("_before"))
+    same = F.col("_block").eqNullSafe(F.col("_at"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    own = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order))
+    rows = rows.withColumn("_own", own).join(counts, same)
+    return rows.withColumn(rank, F.col("_before") + F.col("_own") - 1).select(*df.columns, rank)
+
+
+def moving_avg(df: DataFrame, keys: list[str], ts: str, col: str, rows: int = 5, name: str = "moving_avg", block: Column | None = None, size: int = 4096) -> DataFrame:
+    """The mean of the row and the rows - 1 before it, in the order of `ts` (rows of one time by a hash of the row).
+
+    Rows are numbered within their keys and dealt in blocks of `size` numbers; the last rows - 1 of a block go to the
+    next one too, so a window never needs more than one block and a long history is several tasks' work.
+    """
+    size = max(size, rows)
+    tie = F.xxhash64(*df.columns)
+    numbered = ranked(df, keys, [F.col(ts).asc_nulls_first(), tie], block_of(df, ts) if block is None else block, "_rank")
+    part = F.floor(F.col("_rank") / size).cast("long")
+    # The block of the row, and the next one for the rows that windows there reach back to.
+    parts = F.array_distinct(F.array(part, F.floor((F.col("_rank") + rows - 1) / size).cast("long")))
+    dealt = numbered.withColumn("_home", part).withColumn("_part", F.explode(parts))
+    own = W.partitionBy(*keys, "_part").orderBy("_rank").rowsBetween(1 - rows, 0)
+    out = dealt.withColumn(name, rounded(F.sum(col).over(own).cast("double") / F.count(col).over(own)))
+    return out.filter("_part = _home").select(*df.columns, name)
+
+
 def gaps(df: DataFrame, key: str, ts: str, max_minutes: float = 30) -> DataFrame:
     """Pauses of over max_minutes between a key's neighbouring rows; HIGH over twice that.
 
@@ -101,12 +139,20 @@ def sustained(df: DataFrame, key: str, ts: str, cond: Column, minutes: tuple[flo
     return runs.withColumn("level", band(F.col("minutes"), [(minutes[1] + 1e-9, "CRITICAL")], "WARNING"))
 
 
-def vs_history(df: DataFrame, key: str, day: str, hour: str, flow: str, days: int = 7, factor: float = 2) -> DataFrame:
-    """Rows whose flow is over factor times the mean of the same hour on the days before."""
+def vs_history(df: DataFrame, key: str, day: str, hour: str, flow: str, days: int = 7, factor: float = 2, span: int = 28) -> DataFrame:
+    """Rows whose flow is over factor times the mean of the same hour on the days before.
+
+    Dealt by blocks of `span` days; the last `days` of a block go to the next one too, as its history.
+    """
+    span = max(span, days)
     at = F.datediff(F.col(day).cast("date"), F.lit("1970-01-01"))
-    own = W.partitionBy(key, hour).orderBy("_day").rangeBetween(-days, -1)
-    rows = df.withColumn("_day", at).withColumn("history_avg", F.sum(flow).over(own).cast("double") / F.count(flow).over(own))
-    return rows.filter(F.col(flow) > factor * F.col("history_avg")).drop("_day").withColumn("history_avg", rounded(F.col("history_avg"), 4))
+    part = lambda d: F.floor(d / span).cast("long")
+    rows = df.withColumn("_day", at).withColumn("_home", part(F.col("_day")))
+    rows = rows.withColumn("_part", F.explode(F.array_distinct(F.array("_home", part(F.col("_day") + days)))))
+    own = W.partitionBy(key, hour, "_part").orderBy("_day").rangeBetween(-days, -1)
+    rows = rows.withColumn("history_avg", F.sum(flow).over(own).cast("double") / F.count(flow).over(own))
+    rows = rows.filter((F.col("_part") == F.col("_home")) & (F.col(flow) > factor * F.col("history_avg")))
+    return rows.drop("_day", "_home", "_part").withColumn("history_avg", rounded(F.col("history_avg"), 4))
 
 
 def spike_step(state: tuple[float, int] | None, flow: float, alpha: float, factor: float, warmup: int) -> tuple[tuple[float, int], float | None]:

@@ -34,15 +34,16 @@ def _(t):
 
 
 @add("r17_dedup_minute", """
-select distinct device_id, road_id, vehicle_type, date_trunc('minute', cast(pass_time as timestamp)) as minute
+select device_id, road_id, vehicle_type, date_trunc('minute', cast(pass_time as timestamp)) as minute,
+  coalesce(try_cast(speed as int) between 0 and 200 and road_id is not null, false) as is_valid
 from vehicle_pass
+qualify row_number() over (partition by device_id, road_id, vehicle_type, date_trunc('minute', cast(pass_time as timestamp))
+  order by cast(pass_time as timestamp), vehicle_id nulls first, try_cast(speed as int) nulls first, direction nulls first, lane, dt) = 1
 """)
 def _(t):
-    return (
-        jobs.dedup_minute(t["vehicle_pass"].withColumns({"pass_time": F.col("pass_time").cast("timestamp"),
-            "speed": F.expr("try_cast(speed as int)")}))
-        .select("device_id", "road_id", "vehicle_type", "minute")
-    )
+    rows = t["vehicle_pass"].withColumns({"pass_time": F.col("pass_time").cast("timestamp"), "speed": F.expr("try_cast(speed as int)")})
+    rows = rows.select("vehicle_id", "road_id", "device_id", "pass_time", "speed", "direction", "vehicle_type", "lane", "dt")
+    return jobs.dedup_minute(rows).select("device_id", "road_id", "vehicle_type", "minute", "is_valid")
 
 
 @add("r16_repair_hours", f"""

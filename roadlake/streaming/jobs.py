@@ -17,9 +17,9 @@ from ..sources.shared import cut
 from .serving import BUCKETS, _children, drop_versions, finished, keep_recent, latest_version, newest, read_latest, read_recent, read_table, recent, upsert_latest  # noqa: F401
 
 
-def road_counts(df: DataFrame, minutes: int = 5, delay: str = "30 seconds", ts: str = "pass_time") -> DataFrame:
-    """Passes per road and tumbling window; idle partitions of a source do not hold the watermark back."""
-    rows = df.withWatermark(ts, delay) if df.isStreaming else df
+def road_counts(df: DataFrame, minutes: int = 5, delay: str | None = "30 seconds", ts: str = "pass_time") -> DataFrame:
+    """Passes per road and tumbling window; idle partitions of a source do not hold the watermark back. delay: None for a stream with a watermark."""
+    rows = df.withWatermark(ts, delay) if df.isStreaming and delay is not None else df
     out = rows.groupBy(F.window(ts, f"{minutes} minutes").alias("w"), "road_id").agg(F.count("*").alias("n"),
         F.sum("speed").cast("long").alias("total_speed"), rounded(mean(F.col("speed"))).alias("avg_speed"))
     return out.select(F.col("w.start").alias("window_start"), "road_id", "n", "total_speed", "avg_speed")
@@ -33,11 +33,30 @@ def road_congestion(df: DataFrame, minutes: int = 5, delay: str = "30 seconds",
 
 
 def dedup_minute(df: DataFrame, ts: str = "pass_time", delay: str = "30 seconds") -> DataFrame:
-    """One row for each device, road, type and minute, with a validity flag."""
+    """One row for each device, road, type and minute, with a validity flag: the first of the minute, of one time by the other columns; a stream keeps the first to come."""
     rows = df.withColumn("minute", F.date_trunc("minute", ts)).withColumn("is_valid",
         F.coalesce(F.col("speed").between(0, 200) & F.col("road_id").isNotNull(), F.lit(False)))
     keys = ["device_id", "road_id", "vehicle_type", "minute"]
-    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else rows.dropDuplicates(keys)
+    return rows.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys) if df.isStreaming else dedup(rows, keys, [ts, *[c for c in df.columns if c not in (*keys, ts)]])
+
+
+def united(streams: list[tuple[DataFrame, str, str]], policy: str = "min") -> DataFrame:
+    """One stream of several (stream, time column, delay), each with a watermark of its own; all have the columns of the first.
+
+    policy min: a window closes when the watermarks of all streams have passed it, so a stream that lags, or one that has
+    been idle, holds windows back and none of its rows is late. max: the leading stream alone closes windows; an idle one
+    does not hold them back, and rows of a slow one may be late. The session's setting is read when a query starts, and a
+    query keeps it over restarts.
+    """
+    if policy not in ("min", "max"):
+        raise ValueError(f"{policy} is neither min nor max")
+    streams[0][0].sparkSession.conf.set("spark.sql.streaming.multipleWatermarkPolicy", policy)
+    name = streams[0][1]
+    marked = [s.withColumnRenamed(ts, name).withWatermark(name, delay) if s.isStreaming else s.withColumnRenamed(ts, name) for s, ts, delay in streams]
+    out = marked[0]
+    for more in marked[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def split_late(batch: DataFrame, watermark, ts: str) -> tuple[DataFrame, DataFrame]:

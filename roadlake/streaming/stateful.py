@@ -21,6 +21,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.series import spike_step
 
 _EPOCH = dt.datetime(1970, 1, 1)
+#: Digits of a time in microseconds, and how JSON carries one without cutting it.
+_DIGITS = 19
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _ms(value) -> int:
@@ -165,37 +168,77 @@ def flow_spike_stream(df: DataFrame, key: str, ts: str, flow: str, alpha: float
 
 
 class SilenceProcessor(_Ordered):
-    """Passes an alert unless one of its key was passed less than `silence_ms` before."""
+    """Passes an alert unless one of its key was passed less than `silence_us` microseconds before.
+
+    A value is the row's time in microseconds, in _DIGITS digits, and its text.
+    """
 
     value_type = "string"
 
-    def __init__(self, silence_ms: int):
-        self.idle_ms = silence_ms
+    def __init__(self, silence_us: int):
+        self.silence_us, self.idle_ms = silence_us, silence_us // 1000 + 1
 
     def setup(self, handle) -> None:
-        self.sent = handle.getValueState("sent", "at bigint")
+        self.sent = handle.getValueState("sent", "us bigint")
 
     def forget(self) -> None:
         self.sent.clear()
 
     def fold(self, key, due) -> pd.DataFrame:
         last, out = self.sent.get()[0] if self.sent.exists() else None, []
-        for at, row in due:
-            if last is None or at - last >= self.idle_ms:
-                last = at
+        for at, value in due:
+            us, row = int(value[:_DIGITS]), value[_DIGITS:]
+            if last is None or us - last >= self.silence_us:
+                last = us
                 out.append((key, _time(at), row))
         self.sent.update((last,))
         return pd.DataFrame(out, columns=["key", "at", "row"])
 
 
 def suppress_stream(df: DataFrame, keys: list[str], ts: str, minutes: int = 30, delay: str | None = "30 seconds") -> DataFrame:
-    """The alerts that alerts.suppress would send, with the columns of df; keys: what makes two alerts the same.
+    """The alerts that alerts.suppress would send, with the columns of df, times to the microsecond; keys: what makes two alerts the same.
 
     delay: None where `ts` has a watermark already. Of several alerts of a key at one time the first by its text is sent.
     """
-    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    rows = df.select(key.alias("key"), F.col(ts).alias("at"), F.to_json(F.struct(*df.columns)).alias("v")).filter("at is not null")
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false", **_EXACT})
+    value = F.concat(F.lpad(F.unix_micros(F.col(ts).cast("timestamp")).cast("string"), _DIGITS, "0"), F.to_json(F.struct(*df.columns), _EXACT))
+    rows = df.select(key.alias("key"), F.col(ts).alias("at"), value.alias("v")).filter("at is not null")
     rows = rows if delay is None else rows.withWatermark("at", delay)
-    out = rows.groupBy("key").transformWithStateInPandas(SilenceProcessor(minutes * 60_000), "key string, at timestamp, row string", "append",
+    out = rows.groupBy("key").transformWithStateInPandas(SilenceProcessor(minutes * 60_000_000), "key string, at timestamp, row string", "append",
         "eventTime")
-    return out.select(F.from_json("row", df.schema).alias("r")).select("r.*")
+    return out.select(F.from_json("row", df.schema, _EXACT).alias("r")).select("r.*")
+
+
+class ArrivalSpikeProcessor(StatefulProcessor):
+    """Spikes against a moving average that is forgotten `ttl_ms` of processing time after it was last written."""
+
+    def __init__(self, alpha: float, factor: float, warmup: int, ttl_ms: int):
+        self.alpha, self.factor, self.warmup, self.ttl_ms = alpha, factor, warmup, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.average = handle.getValueState("average", "m double, n bigint", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.average.get()) if self.average.exists() else None
+        new = sorted((row for pdf in rows for row in zip(pdf["at"], pdf["v"])))
+        out = []
+        for at, flow in new:
+            state, hit = spike_step(state, flow, self.alpha, self.factor, self.warmup)
+            if hit is not None:
+                out.append((key[0], at, flow, hit, flow / hit if hit else None))
+        self.average.update((float(state[0]), int(state[1])))
+        yield pd.DataFrame(out, columns=["key", "ts", "flow", "history_avg", "ratio"])
+
+    def close(self) -> None:
+        pass
+
+
+def flow_spike_arrivals(df: DataFrame, key: str, ts: str, flow: str, alpha: float = 0.2, factor: float = 2, warmup: int = 5, ttl_ms: int = 24 * 3_600_000) -> DataFrame:
+    """flow_spike_stream in order of arrival: rows are taken as batches bring them (within one by `ts`), without waiting for a watermark.
+
+    The store removes a key's state once ttl_ms of processing time have gone by since its last row, whether or not events go on.
+    """
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("at"), F.col(flow).cast("double").alias("v"))
+    rows = rows.filter("key is not null and at is not null and v is not null")
+    return rows.groupBy("key").transformWithStateInPandas(
+        ArrivalSpikeProcessor(alpha, factor, warmup, ttl_ms), "key string, ts timestamp, flow double, history_avg double, ratio double", "append", "processingTime")

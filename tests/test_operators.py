@@ -4,10 +4,13 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadlake.functions import columns
 from roadlake.operators import alerts, clean, dims, joins, lineage, quality, series, skew
 from roadlake.operators.anomaly import IForest, average_depth, device_anomaly, flow_anomaly, score_at_rank
+from roadlake.streaming import jobs
 
 ROAD = "road_id string, speed_limit int, lanes int"
 
@@ -263,3 +266,44 @@ def test_digest(spark, n, more):
     df = _times(spark, [("a", s, str(s)) for s in range(5)])
     r = alerts.digest(df, ["k"], "ts", "v", n).first()
     assert r.more == more and r.items.split(",")[0] == "4"
+
+
+@pytest.mark.parametrize("rows, size", [(5, 6), (3, 4096), (9, 4)])
+def test_moving_average_over_block_ends(spark, rows, size):
+    """Equal to one window a key: over ends of days and of numbered blocks, sparse keys, equal times, nulls."""
+    rng = np.random.default_rng(rows)
+    start = dt.datetime(2026, 1, 1)
+    data = [("hot", start + dt.timedelta(minutes=int(m)), int(v)) for m, v in zip(rng.integers(0, 20_000, 400), rng.integers(0, 90, 400))]
+    data += [("sparse", start + dt.timedelta(days=40 * i), i) for i in range(12)] + [(None, start, 4), (None, start + dt.timedelta(days=2), None), ("hot", None, 7)]
+    df = spark.createDataFrame(data, "k string, ts timestamp, v int")
+    got = series.moving_avg(df, ["k"], "ts", "v", rows, size=size)
+    own = W.partitionBy("k").orderBy(F.col("ts").asc_nulls_first(), F.xxhash64(*df.columns)).rowsBetween(1 - rows, 0)
+    want = df.withColumn("moving_avg", columns.rounded(F.sum("v").over(own).cast("double") / F.count("v").over(own)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+    numbers = df.withColumn("n", F.unix_timestamp("ts"))
+    assert sorted(map(str, series.moving_avg(numbers, ["k"], "n", "v", rows, size=size).drop("n").collect())) == sorted(
+        map(str, numbers.withColumn("moving_avg", columns.rounded(F.sum("v").over(_by(numbers, rows)).cast("double") / F.count("v").over(_by(numbers, rows)))).drop("n").collect()))
+    with pytest.raises(ValueError):
+        series.moving_avg(df, ["k"], "k", "v")
+
+
+def _by(df, rows):
+    return W.partitionBy("k").orderBy(F.col("n").asc_nulls_first(), F.xxhash64(*df.columns)).rowsBetween(1 - rows, 0)
+
+
+def test_history_over_block_ends(spark):
+    rng = np.random.default_rng(3)
+    data = [("R", str(dt.date(2025, 1, 1) + dt.timedelta(days=int(d))), int(h), int(f)) for d in range(120) for h in (7, 8) for f in rng.choice([10, 11, 40], 1) if rng.random() < 0.7]
+    df = spark.createDataFrame(data, "road_id string, dt string, hour int, flow int")
+    day = F.datediff(F.col("dt").cast("date"), F.lit("1970-01-01"))
+    own = W.partitionBy("road_id", "hour").orderBy(day).rangeBetween(-7, -1)
+    plain = df.withColumn("h", F.avg("flow").over(own)).filter(F.col("flow") > 2 * F.col("h"))
+    got = series.vs_history(df, "road_id", "dt", "hour", "flow", span=10)
+    assert sorted((r.dt, r.hour) for r in got.collect()) == sorted((r.dt, r.hour) for r in plain.collect()) and got.count() > 10
+
+
+def test_minute_keeps_its_first_row(spark):
+    rows = [("D", "R", "S", 500, dt.datetime(2026, 6, 8, 10, 0, 9)), ("D", "R", "S", 50, dt.datetime(2026, 6, 8, 10, 0, 8)), ("D", None, "S", 50, dt.datetime(2026, 6, 8, 10, 0, 8))]
+    for some in (rows, rows[::-1]):
+        out = jobs.dedup_minute(spark.createDataFrame(some, "device_id string, road_id string, vehicle_type string, speed int, pass_time timestamp")).collect()
+        assert sorted((str(r.road_id), r.speed, r.is_valid) for r in out) == [("None", 50, False), ("R", 50, True)]

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,54 @@ def test_suppression_stream_equals_batch(spark, tmp_path):
     assert sorted(r.v for r in got.filter("k = 'a'").collect()) == sorted(r.v for r in want.collect()) and want.count() == 4
 
 
+def test_suppression_stream_keeps_microseconds(spark, tmp_path):
+    schema = "k string, ts timestamp, v string"
+    at = lambda m, us: BASE + dt.timedelta(minutes=m, microseconds=us)
+    rows = [("a", at(0, 123456), "0"), ("a", at(30, 123455), "1"), ("a", at(30, 123457), "2"), ("b", at(0, 999), "3"), ("b", at(30, 998), "4")]
+    s = stream_of(spark, tmp_path / "in", [rows, [("z", FAR, "x")], [("z", FAR + dt.timedelta(hours=1), "x")]], schema)
+    got = collected(spark, stateful.suppress_stream(s, ["k"], "ts", 30), "exact", tmp_path).filter("k <> 'z'")
+    want = alerts.suppress(spark.createDataFrame(rows, schema), "k", "ts", 30).filter("sent").drop("sent")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and [r.v for r in want.orderBy("v").collect()] == ["0", "2", "3"]
+
+
+PASSES = "road_id string, device_id string, vehicle_type string, speed int, pass_time timestamp"
+
+
+@pytest.mark.parametrize("policy, idle, closed", [("min", True, False), ("max", True, True), ("min", False, True), ("max", False, True)])
+def test_streams_in_union(spark, tmp_path, policy, idle, closed):
+    """An idle source holds windows back under min and does not under max; once it goes on, min closes them as well."""
+    rows = [("R1", "D", "S", 10, BASE), ("R2", "D", "S", 10, BASE), ("Z", "D", "S", 1, FAR)]
+    one = stream_of(spark, tmp_path / "one", [rows, [("Z", "D", "S", 1, FAR)]], PASSES)
+    two = stream_of(spark, tmp_path / "two", [[("R1", "D", "S", 30, BASE)], *([] if idle else [[("Y", "D", "S", 1, FAR)], [("Y", "D", "S", 1, FAR)]])], PASSES)
+    try:
+        both = jobs.united([(one, "pass_time", "30 seconds"), (two.withColumnRenamed("pass_time", "at"), "at", "2 minutes")], policy)
+        got = collected(spark, jobs.road_counts(both, delay=None), f"union_{policy}_{idle}", tmp_path)
+        assert {(r.road_id, r.n) for r in got.collect()} == ({("R1", 2), ("R2", 1)} if closed else set())
+    finally:
+        spark.conf.unset("spark.sql.streaming.multipleWatermarkPolicy")
+    plain = spark.createDataFrame(rows, PASSES)
+    assert jobs.united([(plain, "pass_time", ""), (plain.withColumnRenamed("pass_time", "at"), "at", "")]).count() == 6
+    with pytest.raises(ValueError):
+        jobs.united([(plain, "pass_time", "")], "mean")
+
+
+def test_state_expires_by_processing_time(spark, tmp_path):
+    """A key's average is gone a while after its last row, without events; a longer life keeps it, and each write renews it."""
+    schema = "k string, ts timestamp, f double"
+    calm = [("r", BASE + dt.timedelta(minutes=i), 10.0) for i in range(6)]
+    for ttl, name in ((1500, "short"), (600_000, "long")):
+        for part in (calm, [("other", BASE, 1.0)], [("r", BASE + dt.timedelta(minutes=9), 50.0)]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / name / "in"))
+            out = stateful.flow_spike_arrivals(stream, "k", "ts", "f", ttl_ms=ttl)
+            q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / name / "ck")).start(str(tmp_path / name / "out"))
+            q.processAllAvailable()
+            q.stop()
+            time.sleep(2)
+        hits = spark.read.parquet(str(tmp_path / name / "out")).collect()
+        assert [(r.key, r.flow, r.history_avg) for r in hits] == ([] if name == "short" else [("r", 50.0, 10.0)])
+
+
 def test_idle_state_is_removed(spark, tmp_path):
     """The state rows of a run fall back once keys have been idle for as long as their rules reach."""
     schema = "k string, ts timestamp, v string"
