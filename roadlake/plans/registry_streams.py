@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dims
+from ..operators import dims, quality
 from ..sources import io
 from ..sources.shared import shared_dir
-from ..streaming import jobs
+from ..streaming import backlog, jobs
 from .oracle import big, cnt, mean, r
 from .registry import add
 
@@ -217,3 +217,19 @@ def _(t):
     for _ in range(2):
         jobs.repair_late(spark, f"{path}/late", f"{path}/detail", f"{path}/hours", "parquet")
     return spark.read.parquet(f"{path}/hours").select("road_id", "hour", F.col("dt").cast("string").alias("dt"), "traffic_count", "total_speed", "avg_speed", *[f"{k}_car_cnt" for k in ("small", "medium", "large", "other")])
+
+
+@add("k4_stream_backlog", """
+select 'backlog' as check_type, 'alarms' as table_name, '2024-06-08' as dt, 'lag' as metric, lag as value, cast(lag as double) as rate,
+  cast(null as double) as row_rate, case when lag < 1000 then 'PASS' when lag < 10000 then 'WARN' else 'FAIL' end as status
+from (select count(*) as lag from alarm_log where cast(substr(alarm_id, 2) as bigint) % 3 = 0)
+""")
+def _(t):
+    """A stream that was stopped, and input that came after."""
+    rows = t["alarm_log"].select("alarm_id", "device_id")
+    spark, path = rows.sparkSession, _folder(rows)
+    late = F.substring("alarm_id", 2, 20).cast("long") % 3 == 0
+    rows.filter(~late).write.parquet(f"{path}/alarms")
+    jobs.run_available(spark.readStream.schema(rows.schema).parquet(f"{path}/alarms"), f"{path}/out", f"{path}/checkpoint")
+    rows.filter(late).write.mode("append").parquet(f"{path}/alarms")
+    return quality.backlog(backlog.file_backlog(spark, f"{path}/checkpoint", f"{path}/alarms", "2024-06-08"), "alarms")

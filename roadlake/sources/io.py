@@ -85,7 +85,7 @@ class BadRecords(ValueError):
 
 
 def within_budget(df: DataFrame, max_rows: int, max_share: float, corrupt: str = "_corrupt") -> DataFrame:
-    """The good rows; raises where bad rows are over max_rows and over max_share per cent of all."""
+    """The good rows; raises where bad rows are over max_rows or over max_share per cent of all."""
     bad, total = df.agg(F.count(F.col(corrupt)), F.count(F.lit(1))).first()
     if bad > max_rows or (total and 100.0 * bad / total > max_share):
         raise BadRecords(f"{bad} of {total} records are bad")

@@ -6,8 +6,11 @@ import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,7 +47,10 @@ def file_profile(spark: SparkSession, path: str, format: str = "parquet", by: st
 
 
 def _swap(spark: SparkSession, rows: DataFrame, path: str, format: str) -> None:
-    """Writes beside the folder, then puts the new one in its place; if that fails the old one comes back."""
+    """Writes beside the folder, then puts the new one in its place; if that fails the old one comes back.
+
+    Between the two renames a plain folder has no rows for a moment: tables with readers at any time are kept by versions.py.
+    """
     side = f"{path}.{uuid.uuid4().hex}"
     rows.write.format(format).save(side)
     fs, old = _fs(spark, path)
@@ -67,13 +73,19 @@ def compact(spark: SparkSession, path: str, target_mb: float = 256, format: str
 
 
 def compact_by(spark: SparkSession, path: str, unit: str, ts: str, format: str = "parquet") -> None:
-    """One file for each three hours ("3h") or day ("day") of `ts` from the first to the last; rows without a time go to the first."""
+    """One file for each three hours ("3h") or day ("day") of `ts` that occurs; rows without a time go to the first."""
     rows = spark.read.format(format).load(path)
     seconds = 86400 if unit == "day" else 3 * 3600
     bucket = F.floor(F.unix_timestamp(ts) / seconds)
-    low, high = rows.agg(F.min(bucket), F.max(bucket)).first()
-    number = F.coalesce(bucket - F.lit(low), F.lit(0)).cast("int")
-    _swap(spark, rows.repartitionById((high or 0) - (low or 0) + 1, number), path, format)
+    # Buckets that occur, numbered in order: one row each. A time far off makes one file more, not one for each bucket on the way.
+    occur = rows.select(bucket.alias("_bucket")).distinct()
+    numbers = occur.select("_bucket", (F.row_number().over(W.orderBy(F.col("_bucket").asc_nulls_first())) - 1).alias("_file"))
+    numbers = cut(numbers)
+    n = max(1, numbers.count() - numbers.filter("_bucket is null").count())
+    shift = F.lit(1 if numbers.filter("_bucket is null").count() else 0)
+    dealt = rows.join(F.broadcast(numbers), bucket.eqNullSafe(F.col("_bucket")))  # one row a bucket of time
+    number = F.greatest(F.col("_file") - shift, F.lit(0))
+    _swap(spark, dealt.repartitionById(n, number).drop("_bucket", "_file"), path, format)
 
 
 def compact_recent(spark: SparkSession, roots: list[str], days: int, target_mb: float = 256, format: str = "parquet", by: str = "dt") -> dict[str,

@@ -1,12 +1,15 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from roadlake.functions.columns import to_time
+from roadlake.operators import joins, quality
 from roadlake.plans.run import replay, run_day
-from roadlake.sources import io, maintain, schemas
+from roadlake.sources import io, maintain, schemas, versions
 from roadlake.sources.roles import role
+from roadlake.streaming import backlog, jobs
 
 
 def test_text_and_json_decoding(spark):
@@ -185,3 +188,74 @@ def test_run_day_equals_whole_build(spark, sf_dir, tmp_path):
         got = spark.read.parquet(f"{tmp_path}/w/{name}")
         want = whole[name].filter("dt = '2024-01-05'")
         assert got.count() == want.count() > 0
+
+
+def test_a_reader_sees_one_whole_version(spark, tmp_path):
+    """During a rewrite, after a writer that stopped before or within its commit, and after a conflict."""
+    path = str(tmp_path / "table")
+    assert versions.current(spark, path) is None
+    versions.publish(spark, spark.range(100), path)
+    reader = versions.read_current(spark, path)
+    spark.range(7).write.parquet(f"{path}/v=unfinished")  # stopped before the commit
+    assert versions.read_current(spark, path).count() == 100
+    first = versions._last(spark, path)
+    versions.compact_current(spark, path, 1)
+    assert reader.count() == 100 and versions.read_current(spark, path).count() == 100
+    assert len(list(Path(versions.current(spark, path)).glob("*.parquet"))) == 1
+    with pytest.raises(versions.Conflict):
+        versions.publish(spark, spark.range(5), path, after=first)
+    assert versions.read_current(spark, path).count() == 100
+    (Path(path) / "_log" / f"{versions._last(spark, path) + 1:012d}").write_text("v=unfin")  # stopped within the commit
+    assert versions.read_current(spark, path).count() == 100
+    for n in (3, 4, 5):
+        versions.publish(spark, spark.range(n).withColumn("dt", F.lit("a")), path, by=["dt"])
+        assert versions.read_current(spark, path).count() == n
+    assert len([p for p in Path(path).iterdir() if p.name.startswith("v=")]) == versions.KEEP + 1  # and the unfinished one
+    with pytest.raises(ValueError):
+        versions.read_current(spark, str(tmp_path / "none"))
+
+
+def test_one_far_time_makes_one_file(spark, tmp_path):
+    t = dt.datetime(2026, 6, 8)
+    rows = [(i, t + dt.timedelta(hours=i)) for i in range(48)] + [(100, dt.datetime(1970, 1, 1)), (101, None)]
+    spark.createDataFrame(rows, "i int, ts timestamp").write.parquet(str(tmp_path / "p"))
+    maintain.compact_by(spark, str(tmp_path / "p"), "day", "ts")
+    sizes = sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "p")).groupBy(F.input_file_name()).count().collect())
+    assert sizes == [2, 24, 24]
+
+
+def test_hot_keys_are_found(spark):
+    """Every key of over the share, among many of one row each, in many partitions; the join equals the plain one."""
+    n = 60_000
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 50 == 1, F.lit(-2)).otherwise(F.col("id"))
+    df = spark.range(0, n, 1, 16).select(key.alias("k"), (F.col("id") % 11).alias("v")).withColumn("k", F.when(F.col("v") == 10, None).otherwise(F.col("k")))
+    hot = joins.found_hot_keys(df, "k", 0.01)
+    assert {-1, -2} <= set(hot) and len(hot) <= 200
+    assert not joins.found_hot_keys(df.limit(0), "k")
+    right = spark.range(-2, 3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    for how in ("inner", "left"):
+        got, want = joins.balanced_join(df, right, "k", how=how), df.join(right, "k", how)
+        total = lambda x: x.agg(F.count("*"), F.sum("v"), F.sum("w"), F.sum(F.hash("k", "v", "w").cast("long"))).first()
+        assert total(got.select("k", "v", "w")) == total(want.select("k", "v", "w"))
+    with pytest.raises(ValueError):
+        joins.found_hot_keys(df, "k", 1e-5)
+
+
+def test_backlog_of_streams(spark, tmp_path):
+    """A file stream before its first batch, with unread input, and when it has read all; offsets by topic and partition."""
+    source, out, ck = (str(tmp_path / n) for n in ("in put", "out", "ck"))
+    lag = lambda: tuple(backlog.file_backlog(spark, ck, source, "d").first())[2:]
+    run = lambda: jobs.run_available(spark.readStream.schema("id long").parquet(source), out, ck)
+    spark.range(0, 30, 1, 3).write.parquet(source)
+    assert lag() == (30, 0)
+    run()
+    assert lag() == (30, 30)
+    spark.range(12).write.mode("append").parquet(source)
+    assert lag() == (42, 30)
+    run()
+    assert lag() == (42, 42)
+    progress = {"timestamp": "2026-06-08T10:00:00Z", "sources": [
+        {"endOffset": {"t": {"0": 5, "1": 7}}, "latestOffset": {"t": {"0": 9, "1": 7, "2": 4}}}, {"endOffset": '{"u": {"0": 1}}', "latestOffset": '{"u": {"0": 3}}'}, {"endOffset": {"logOffset": 3}, "latestOffset": None}]}
+    rows = backlog.progress_offsets(progress)
+    assert rows == [("2026-06-08", "t-0", 9, 5), ("2026-06-08", "t-1", 7, 7), ("2026-06-08", "t-2", 4, 0), ("2026-06-08", "u-0", 3, 1)]
+    assert quality.backlog(spark.createDataFrame(rows, backlog.OFFSETS)).first().value == 10
