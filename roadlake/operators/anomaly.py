@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -132,9 +132,51 @@ class IForest:
         return scored.withColumn("is_anomaly", F.coalesce(F.col("score") > F.lit(limit), F.lit(False)))
 
 
+    @classmethod
+    def of(cls, trees: list[np.ndarray], size: int, columns: list[str], contamination: float = 0.05) -> IForest:
+        """A forest of given trees (rows as `grow` makes them) that were grown on samples of `size` rows."""
+        out = cls(len(trees), size, contamination)
+        out.trees, out.size, out.columns = trees, size, columns
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """t, node, col, cut, low, high: the trees as rows, n times about 2 * sample of them; leaves have col -1 and their path length as cut."""
+        rows = [(t, i, int(c), float(cut), int(low), int(high)) for t, nodes in enumerate(self.trees) for i, (c, cut, low, high) in enumerate(nodes.tolist())]
+        return spark.createDataFrame(rows, "t int, node int, col int, cut double, low int, high int")
+
+    def score_by_joins(self, df: DataFrame, places: int = 6) -> DataFrame:
+        """What `score` gives, to `places` decimals, by joins with the table of trees: a step down in each, all rows and trees at once.
+
+        Path lengths are summed as decimals of `places`, so the result does not depend on their order and SQL can repeat it.
+        """
+        trees = F.broadcast(self.table(df.sparkSession))
+        depth = max(_depth(t) for t in self.trees)
+        rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+        features = rows.select("_row", F.array(*[F.col(c).cast("double") for c in self.columns]).alias("_x"))
+        at = features.filter(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)))
+        at = at.select("_row", "_x", F.explode(F.sequence(F.lit(0), F.lit(len(self.trees) - 1))).alias("t"), F.lit(0).alias("node"))
+        for _ in range(depth):
+            inner = F.col("col") >= 0
+            goes = F.when(F.get("_x", F.greatest("col", F.lit(0))) < F.col("cut"), F.col("low")).otherwise(F.col("high"))
+            at = at.join(trees, ["t", "node"]).select("_row", "_x", "t", F.when(inner, goes).otherwise(F.col("node")).alias("node"))
+        paths = at.join(trees, ["t", "node"]).groupBy("_row").agg(F.sum(F.round("cut", places).cast(f"decimal(18,{places})")).cast("double").alias("_sum"))
+        score = F.round(F.pow(F.lit(2.0), -(F.col("_sum") / F.lit(float(len(self.trees)))) / F.lit(float(average_depth(self.size)))), places)
+        scored = cut(rows.join(paths.select("_row", score.alias("score")), "_row", "left").drop("_row"))
+        limit = score_at_rank(scored, max(1, int(scored.filter("score is not null").count() * self.contamination)))
+        return scored.withColumn("is_anomaly", F.coalesce(F.col("score") > F.lit(limit), F.lit(False)))
+
+
+def _depth(nodes: np.ndarray, at: int = 0) -> int:
+    return 0 if nodes[at, 0] < 0 else 1 + max(_depth(nodes, int(nodes[at, 2])), _depth(nodes, int(nodes[at, 3])))
+
+
+def flow_features(df: DataFrame) -> DataFrame:
+    return df.withColumns({"morning": F.col("hour").between(7, 9).cast("int"), "evening": F.col("hour").between(17, 19).cast("int")})
+
+
 def flow_anomaly(df: DataFrame, trees: int = 100, contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """Features flow, hour, morning and evening flag; under 24 rows nothing is an anomaly."""
-    rows = df.withColumns({"morning": F.col("hour").between(7, 9).cast("int"), "evening": F.col("hour").between(17, 19).cast("int")})
+    rows = flow_features(df)
     if rows.limit(24).count() < 24:
         return rows.withColumns({"score": F.lit(None).cast("double"), "is_anomaly": F.lit(False)})
     return IForest(trees, contamination=contamination, seed=seed).fit(rows, ["flow", "hour", "morning", "evening"]).score(rows)
@@ -146,8 +188,12 @@ def device_anomaly(df: DataFrame, trees: int = 100, contamination: float = 0.05,
         out = df.withColumns({"score": F.lit(None).cast("double"), "is_anomaly": F.lit(False)})
     else:
         out = IForest(trees, contamination=contamination, seed=seed).fit(df, ["cpu", "mem", "temp"]).score(df)
+    return with_cause(out)
+
+
+def with_cause(scored: DataFrame) -> DataFrame:
     cause = F.when(F.col("temp") > 80, "TEMP_HIGH").when(F.col("cpu") > 90, "CPU_HIGH").when(F.col("mem") > 90, "MEMORY_HIGH").otherwise("COMBINED")
-    return out.withColumn("cause", F.when(F.col("is_anomaly"), cause))
+    return scored.withColumn("cause", F.when(F.col("is_anomaly"), cause))
 
 
 def summary(df: DataFrame) -> DataFrame:

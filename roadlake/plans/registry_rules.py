@@ -155,6 +155,17 @@ def _(t):
     return series.sustained(t["dwd_traffic_status"], "road_id", "sample_time", F.col("jam_level") == 5)
 
 
+@add("n7_dense_jam", """
+select road_id, start_ts, end_ts, n, minutes, case when minutes > 60 then 'CRITICAL' else 'WARNING' end as level
+from (select road_id, min(sample_time) as start_ts, max(sample_time) as end_ts, count(*) as n, (epoch(max(sample_time)) - epoch(min(sample_time))) / 60.0e0 as minutes
+  from (select *, sum(case when jam_level = 5 then 0 else 1 end) over (partition by road_id order by sample_time) as part from status_pulse)
+  where jam_level = 5 group by road_id, part)
+where minutes > 30
+""")
+def _(t):
+    return series.sustained(t["status_pulse"], "road_id", "sample_time", F.col("jam_level") == 5)
+
+
 _PAUSES = "select (epoch(heartbeat_time) - epoch(lag(heartbeat_time) over (partition by device_id order by heartbeat_time))) / 60 > 60 as bad from device_status"
 
 

@@ -71,6 +71,11 @@ select concat('D', user_id) as device_id, cast((event_id * 37) % 10500 / 100.0 a
   timestamp '2024-06-08 10:00:00' + interval '1' second * cast((event_id * 3671) % 4321 as int) as heartbeat_time,
   cast(-30 - event_id % 70 as int) as signal_strength, '2024-06-08' as dt
 from events
+""",
+    "status_pulse": """
+select concat('R', event_id % 5) as road_id, case when ((event_id * 3671) % 14407 + event_id % 5 * 700) % (3000 + event_id % 5 * 1000) < 400 then 2 else 5 end as jam_level,
+  timestamp '2024-06-08 10:00:00' + interval '1' second * cast((event_id * 3671) % 14407 as int) as sample_time
+from events
 """,
     "alarm_pulse": """
 select concat('L', event_id) as alarm_id, concat('D', user_id % 7) as device_id,

@@ -307,3 +307,14 @@ def test_minute_keeps_its_first_row(spark):
     for some in (rows, rows[::-1]):
         out = jobs.dedup_minute(spark.createDataFrame(some, "device_id string, road_id string, vehicle_type string, speed int, pass_time timestamp")).collect()
         assert sorted((str(r.road_id), r.speed, r.is_valid) for r in out) == [("None", 50, False), ("R", 50, True)]
+
+
+def test_forest_by_joins_equals_the_arrow_path(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, *map(float, rng.normal(50, 10, 3))) for i in range(300)] + [(300, 500.0, 0.0, 50.0), (301, None, 1.0, 1.0), (302, float("nan"), 1.0, 1.0)], "i int, cpu double, mem double, temp double")
+    forest = IForest(12, 64, 0.05, seed=3).fit(df.filter("i < 300"), ["cpu", "mem", "temp"])
+    want = {r.i: r for r in forest.score(df).collect()}
+    got = {r.i: r for r in forest.score_by_joins(df).collect()}
+    assert set(got) == set(want) == set(range(303))
+    assert all((got[i].score is None) == (want[i].score is None) and (want[i].score is None or abs(got[i].score - want[i].score) < 2e-6) for i in want)
+    assert got[300].is_anomaly and not got[301].is_anomaly and got[301].score is None and got[302].score is None
