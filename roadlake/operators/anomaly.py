@@ -85,24 +85,27 @@ class IForest:
         self.n, self.sample, self.contamination, self.seed = n, sample, contamination, seed
 
     def fit(self, df: DataFrame, columns: list[str], key: list[str] | None = None) -> IForest:
-        """Large inputs: a row is drawn by one hash, and for one tree. Up to 4 * n * sample rows: each may be in any tree.
+        """One law at every size: each tree draws each row with the same probability, some 4 * sample rows a tree, and keeps `sample` of them.
 
-        Equal rows are counted first; of m of them a share p of all gives m * p, rounded up or down by their hash.
+        Equal rows are counted first: of m of them a tree draws m times that probability, rounded up or down by a hash of
+        the row and the tree. A row's first tree is found by one hash (it is geometric), so rows that no tree draws cost no more.
         """
         id_ = F.xxhash64(F.lit(self.seed), *(key or columns))
         rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns], id_.alias("_id")).dropna()
-        rows = rows.groupBy(*columns, "_id").agg(F.count("*").alias("_m"))
+        rows = cut(rows.groupBy(*columns, "_id").agg(F.count("*").alias("_m")))
         total = rows.agg(F.sum("_m")).first()[0] or 0
-        self.columns = columns
+        self.columns, n = columns, self.n
         unit = lambda h: F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
-        copies = lambda m: F.explode(F.when(m > 0, F.sequence(F.lit(1).cast("long"), m))).alias("_i")
-        if total > 4 * self.n * self.sample:
-            drawn = rows.select(*columns, "_id", copies(F.floor(F.col("_m") * (4.0 * self.n * self.sample / total) + unit(F.col("_id")))))
-            drawn = drawn.select(*columns, F.pmod(F.xxhash64("_id", "_i"), F.lit(self.n)).cast("int").alias("t"), F.xxhash64("_i", "_id").alias("u"))
-        else:
-            every = rows.select(*columns, "_id", copies(F.col("_m"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(self.n - 1))))
-            every = every.withColumn("u", F.xxhash64("_id", "_i", "t"))
-            drawn = every.filter(unit(F.col("u")) < 4.0 * self.sample / max(1, total)).select(*columns, "t", "u")
+        shares = rows.withColumn("_q", F.col("_m") * min(1.0, 4.0 * self.sample / max(1, total))).withColumn("_whole", F.floor("_q"))
+        shares = shares.withColumn("_part", F.col("_q") - F.col("_whole"))
+        first = F.floor(F.log(1.0 - unit(F.col("_id"))) / F.log(1.0 - F.col("_part"))).cast("int")
+        later = F.filter(F.sequence(F.col("_first") + 1, F.lit(n)), lambda t: (t < n) & (unit(F.xxhash64("_id", t)) < F.col("_part")))
+        some = shares.filter("_part > 0").withColumn("_first", F.least(first, F.lit(n))).filter(F.col("_first") < n)
+        some = some.select(*columns, "_id", F.col("_whole").alias("_i"), F.explode(F.concat(F.array("_first"), later)).alias("t"))
+        every = shares.filter("_whole > 0").select(*columns, "_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole") - 1)).alias("_i"))
+        every = every.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        drawn = some.unionByName(every).select(*columns, "t", F.xxhash64("_id", "_i", "t").alias("u"))
+
         size, seed = self.sample, self.seed
 
         def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

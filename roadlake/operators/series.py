@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import band, count_where, rounded
+from ..sources.shared import cut
 
 
 def blocks(ts: str, seconds: int = 86400) -> Column:
@@ -168,58 +169,56 @@ def flow_spike(df: DataFrame, key: str, order: str, flow: str, alpha: float = 0.
     block: Column | None = None) -> DataFrame:
     """Rows over factor times the key's moving average of the rows before; the average then takes the row in.
 
-    A block (default: a day, where `order` is a time) is folded apart: what it does to the average is one linear step,
-    so the blocks of a key are chained by these steps, and each is then folded from the state that it starts with. No
-    task holds a key or works through its whole history; a task's memory is one Arrow batch and one state.
+    A block (default: a day of times, a thousand of numbers) is folded apart. What its rows do to the average is linear in
+    the average that it starts with, so one pass gives each row the factor and the sum by which that average makes the one
+    it is held against; the blocks of a key are then chained by these steps, one row each. No task holds a key or works
+    through its whole history; a task's memory is one Arrow batch and one block's state.
     """
-    times = dict(df.dtypes)[order].startswith(("timestamp", "date"))
-    block = block if block is not None else (blocks(order) if times else F.lit(0).cast("long"))
-    rows = df.select(key, order, F.col(flow).cast("double").alias("flow"),
-        block.alias("_block")).filter(F.col(key).isNotNull() & F.col("flow").isNotNull())
+    rows = df.select(key, order, F.col(flow).cast("double").alias("flow"), (block_of(df, order) if block is None else block).alias("_block"))
+    rows = rows.filter(F.col(key).isNotNull() & F.col("flow").isNotNull())
     kind, when = dict(df.dtypes)[key], dict(df.dtypes)[order]
     dealt = rows.repartition(key, "_block").sortWithinPartitions(key, "_block", order, "flow")
+    names = [key, "_block", order, "flow", "n", "keep", "add", "own", "last"]
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per block: rows, the factor on the average it starts with, what it adds, and the average from no start."""
-        last, held = None, (0, 1.0, 0.0, 0.0)
+        """Per row, from the block's rows before it: how many, the factor on the average the block starts with, what they add, and the average from no start.
+
+        A block's state after its last row is a row of its own, marked `last`.
+        """
+        held, state = None, (0, 1.0, 0.0, 0.0)
+        keep_one = 1 - alpha
         for pdf in batches:
             out = []
-            for k, b, f in zip(pdf[key], pdf["_block"], pdf["flow"]):
-                if (k, b) != last:
-                    if last is not None:
-                        out.append((*last, *held))
-                    last, held = (k, b), (0, 1.0, 0.0, 0.0)
-                n, keep, add, own = held
-                held = n + 1, keep * (1 - alpha), add * (1 - alpha) + alpha * f, own * (1 - alpha) + alpha * f if n else f
-            yield pd.DataFrame(out, columns=[key, "_block", "n", "keep", "add", "own"])
-        if last is not None:
-            yield pd.DataFrame([(*last, *held)], columns=[key, "_block", "n", "keep", "add", "own"])
+            for k, b, o, f in zip(pdf[key], pdf["_block"], pdf[order], pdf["flow"]):
+                if (k, b) != held:
+                    if held is not None:
+                        out.append((*held, None, None, *state, True))
+                    held, state = (k, b), (0, 1.0, 0.0, 0.0)
+                n, keep, add, own = state
+                out.append((k, b, o, f, n, keep, add, own, False))
+                state = n + 1, keep * keep_one, alpha * f + keep_one * add, alpha * f + keep_one * own if n else f
+            yield _typed(out)
+        if held is not None:
+            yield _typed([(*held, None, None, *state, True)])
+
+    def _typed(out: list[tuple]) -> pd.DataFrame:
+        pdf = pd.DataFrame(out, columns=names)
+        return pdf.astype({"flow": "float64", "keep": "float64", "add": "float64", "own": "float64"})
 
     def chained(pdf: pd.DataFrame) -> pd.DataFrame:
         """The state that each block of a key starts with."""
         mean, seen, out = 0.0, 0, []
-        for r in pdf.sort_values("_block").itertuples(index=False):
+        pdf = pdf.sort_values("_block")
+        for r in pdf.itertuples(index=False):
             out.append((mean, seen))
             mean = r.keep * mean + r.add if seen else r.own
             seen += r.n
-        pdf = pdf.sort_values("_block")[[key, "_block"]]
-        return pdf.assign(mean=[m for m, _ in out], seen=[n for _, n in out])
-
-    summed = dealt.mapInPandas(steps, f"`{key}` {kind}, _block long, n long, keep double, add double, own double")
-    begun = summed.groupBy(key).applyInPandas(lambda pdf: chained(pdf), f"`{key}` {kind}, _block long, mean double, seen long")
-    rows = rows.join(begun, [key, "_block"]).select(key, order, "flow", "_block", "mean", "seen")
-    dealt = rows.repartition(key, "_block").sortWithinPartitions(key, "_block", order, "flow")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, None
-        for pdf in batches:
-            out = []
-            for k, b, o, f, mean, seen in zip(pdf[key], pdf["_block"], pdf[order], pdf["flow"], pdf["mean"], pdf["seen"]):
-                if (k, b) != last:
-                    last, state = (k, b), (mean, seen) if seen else None
-                state, hit = spike_step(state, f, alpha, factor, warmup)
-                if hit is not None:
-                    out.append((k, o, f, hit, f / hit if hit else None))
-            yield pd.DataFrame(out, columns=[key, order, "flow", "history_avg", "ratio"])
-
-    return dealt.mapInPandas(fold, f"`{key}` {kind}, `{order}` {when}, flow double, history_avg double, ratio double")
+        return pdf[[key, "_block"]].assign(mean=[m for m, _ in out], seen=[n for _, n in out])
+
+    folded = cut(dealt.mapInPandas(steps, f"`{key}` {kind}, _block long, `{order}` {when}, flow double, n long, keep double, add double, own double, last boolean"))
+    begun = folded.filter("last").groupBy(key).applyInPandas(lambda pdf: chained(pdf), f"`{key}` {kind}, _block long, mean double, seen long")
+    average = F.when(F.col("seen") > 0, F.col("keep") * F.col("mean") + F.col("add")).otherwise(F.col("own"))
+    hits = folded.filter("not last").join(begun, [key, "_block"]).withColumn("history_avg", average)
+    hits = hits.filter((F.col("seen") + F.col("n") >= warmup) & (F.col("flow") > factor * F.col("history_avg")))
+    ratio = F.when(F.col("history_avg") != 0, F.col("flow") / F.col("history_avg"))
+    return hits.select(key, order, "flow", "history_avg", ratio.alias("ratio"))
