@@ -16,6 +16,10 @@ from ..sources.shared import cut
 POLICY = [("CRITICAL", ["chat", "sms", "phone"], 15), ("MAJOR", ["chat", "mail"], 60), ("MINOR", ["mail"], None), ("WARNING", ["mail"], None)]
 
 
+#: Distinct times of a key that one task follows.
+BLOCK_TIMES = 1 << 16
+
+
 def policy_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(POLICY, "severity string, channels array<string>, escalate_minutes int")
 
@@ -41,14 +45,14 @@ def _paths(times: np.ndarray, starts: int, limit: int) -> list[np.ndarray]:
     return np.split(times[grid[inside]], np.cumsum(inside.sum(axis=1))[:-1])
 
 
-def block_paths(times: DataFrame, key: str, ts: str, limit: int, width: int) -> DataFrame:
-    """key, block, entry, sent of times(key, ts) in blocks of `width` microseconds: what is sent in the block if `entry` is its first sent time."""
+def block_paths(times: DataFrame, key: str, ts: str, limit: int, width: int | None) -> DataFrame:
+    """key, block, entry, sent of times(key, ts) in blocks of `width` microseconds (None: a key is a block): what is sent in the block if `entry` is its first sent time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, []
 
         def out() -> pd.DataFrame:
-            paths = _paths(np.concatenate(held), last[1] * width, limit)
+            paths = _paths(np.concatenate(held), -(1 << 62) if width is None else last[1] * width, limit)
             return pd.DataFrame({key: [last[0]] * len(paths), "block": last[1], "entry": [p[0] for p in paths], "sent": paths}, columns=[key, "block", "entry", "sent"])
 
         for pdf in batches:
@@ -65,7 +69,7 @@ def block_paths(times: DataFrame, key: str, ts: str, limit: int, width: int) ->
             yield out()
 
     kind = dict(times.dtypes)[key]
-    rows = times.select(key, F.unix_micros(ts).alias("at")).withColumn("block", F.floor(F.col("at") / width).cast("long"))
+    rows = times.select(key, F.unix_micros(ts).alias("at")).withColumn("block", F.lit(0).cast("long") if width is None else F.floor(F.col("at") / width).cast("long"))
     dealt = rows.select(key, "block", "at").repartition(key, "block").sortWithinPartitions(key, "block", "at")
     return dealt.mapInPandas(run, f"`{key}` {kind}, block long, entry long, sent array<long>")
 
@@ -73,12 +77,23 @@ def block_paths(times: DataFrame, key: str, ts: str, limit: int, width: int) ->
 def sent_times(times: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
     """key, at (microseconds) at which alerts are sent, of times(key, ts), distinct rows.
 
-    The successor of a sent time is the first one `minutes` or more after it. Within a block of time these are followed by
-    a task, from each of the few times that may come first; an entry then points to that of a later block which follows
-    its last sent time, and the entries that a key's first one leads to are marked by pointer doubling: after k rounds 2^k
-    of them. So a long history is worked on by blocks, in rounds of the logarithm of their number.
+    The successor of a sent time is the first one `minutes` or more after it. A key of up to BLOCK_TIMES times is followed
+    by one task. A longer history is dealt by blocks of time: within a block successors are followed from each of the few
+    times that may come first; an entry then points to that of a later block which follows its last sent time, and the
+    entries that a key's first one leads to are marked by pointer doubling: after k rounds 2^k of them. So its work is that
+    of many tasks, in rounds of the logarithm of the number of blocks.
     """
     limit = minutes * 60_000_000
+    times = cut(times)
+    long = cut(times.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > BLOCK_TIMES).select(F.col(key).alias("_long")))
+    if not long.limit(1).count():
+        return block_paths(times, key, ts, limit, None).select(key, F.explode("sent").alias("at"))
+    is_long = F.col(key).eqNullSafe(F.col("_long"))
+    short = block_paths(times.join(long, is_long, "left_anti"), key, ts, limit, None).select(key, F.explode("sent").alias("at"))
+    return short.unionByName(_by_blocks(times.join(long, is_long, "left_semi"), key, ts, limit))
+
+
+def _by_blocks(times: DataFrame, key: str, ts: str, limit: int) -> DataFrame:
     width = max(4 * limit, min(86_400_000_000, 2048 * limit))
     paths = cut(block_paths(times, key, ts, limit, width))
     firsts = paths.groupBy(key, "block").agg(F.min("entry").alias("first"))
@@ -87,9 +102,6 @@ def sent_times(times: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
     firsts = firsts.select(F.col(key).alias("_key"), F.col("block").alias("_block"), F.lag("block").over(order).isNull().alias("_open"),
         F.lead("block").over(order).alias("_next"), F.lead("first").over(order).alias("_first"), F.lead("first", 2).over(order).alias("_second"))
     firsts = cut(firsts)
-    if not firsts.filter("_next is not null").limit(1).count():
-        chosen = firsts.join(paths, F.col(key).eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
-        return chosen.groupBy(key, "block").agg(F.min_by("sent", "entry").alias("sent")).select(key, F.explode("sent").alias("at"))
     nodes = paths.join(firsts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
     free = F.element_at("sent", -1) + limit
     nodes = nodes.select(F.col(key).alias("key"), "block", "entry", free.alias("free"), "_open", "_next", "_first", "_second")

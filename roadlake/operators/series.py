@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -176,49 +179,47 @@ def flow_spike(df: DataFrame, key: str, order: str, flow: str, alpha: float = 0.
     """
     rows = df.select(key, order, F.col(flow).cast("double").alias("flow"), (block_of(df, order) if block is None else block).alias("_block"))
     rows = rows.filter(F.col(key).isNotNull() & F.col("flow").isNotNull())
-    kind, when = dict(df.dtypes)[key], dict(df.dtypes)[order]
-    dealt = rows.repartition(key, "_block").sortWithinPartitions(key, "_block", order, "flow")
-    names = [key, "_block", order, "flow", "n", "keep", "add", "own", "last"]
-
-    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per row, from the block's rows before it: how many, the factor on the average the block starts with, what they add, and the average from no start.
-
-        A block's state after its last row is a row of its own, marked `last`.
-        """
-        held, state = None, (0, 1.0, 0.0, 0.0)
-        keep_one = 1 - alpha
+    kind, when, stay = dict(df.dtypes)[key], dict(df.dtypes)[order], 1 - alpha
+    dealt = rows.select(key, "_block", order, "flow").repartition(key, "_block").sortWithinPartitions(key, "_block", order, "flow")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with how many of its block came before it and what they add to an average of 0 at the block's start."""
+        last, n, add = None, 0, 0.0
+        for batch in batches:
+            own, at = batch.column(0), batch.column(1)
+            if not len(at):
+                continue
+            new = np.ones(len(at), bool)
+            new[1:] = pc.or_(pc.not_equal(own[1:], own[:-1]), pc.not_equal(at[1:], at[:-1])).to_numpy(zero_copy_only=False)
+            new[0] = (own[0].as_py(), at[0].as_py()) != last
+            counts, added = [], []
+            for begins, f in zip(new.tolist(), batch.column(3).to_pylist()):
+                if begins:
+                    n, add = 0, 0.0
+                counts.append(n)
+                added.append(add)
+                n, add = n + 1, alpha * f + stay * add
+            last = (own[-1].as_py(), at[-1].as_py())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(added, pa.float64())], names=[*batch.schema.names, "n", "add"])
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The average and the number of rows that each block of a key starts with, from blocks in order."""
+        last, mean, seen = None, 0.0, 0
         for pdf in batches:
             out = []
-            for k, b, o, f in zip(pdf[key], pdf["_block"], pdf[order], pdf["flow"]):
-                if (k, b) != held:
-                    if held is not None:
-                        out.append((*held, None, None, *state, True))
-                    held, state = (k, b), (0, 1.0, 0.0, 0.0)
-                n, keep, add, own = state
-                out.append((k, b, o, f, n, keep, add, own, False))
-                state = n + 1, keep * keep_one, alpha * f + keep_one * add, alpha * f + keep_one * own if n else f
-            yield _typed(out)
-        if held is not None:
-            yield _typed([(*held, None, None, *state, True)])
-
-    def _typed(out: list[tuple]) -> pd.DataFrame:
-        pdf = pd.DataFrame(out, columns=names)
-        return pdf.astype({"flow": "float64", "keep": "float64", "add": "float64", "own": "float64"})
-
-    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The state that each block of a key starts with."""
-        mean, seen, out = 0.0, 0, []
-        pdf = pdf.sort_values("_block")
-        for r in pdf.itertuples(index=False):
-            out.append((mean, seen))
-            mean = r.keep * mean + r.add if seen else r.own
-            seen += r.n
-        return pdf[[key, "_block"]].assign(mean=[m for m, _ in out], seen=[n for _, n in out])
-
-    folded = cut(dealt.mapInPandas(steps, f"`{key}` {kind}, _block long, `{order}` {when}, flow double, n long, keep double, add double, own double, last boolean"))
-    begun = folded.filter("last").groupBy(key).applyInPandas(lambda pdf: chained(pdf), f"`{key}` {kind}, _block long, mean double, seen long")
-    average = F.when(F.col("seen") > 0, F.col("keep") * F.col("mean") + F.col("add")).otherwise(F.col("own"))
-    hits = folded.filter("not last").join(begun, [key, "_block"]).withColumn("history_avg", average)
-    hits = hits.filter((F.col("seen") + F.col("n") >= warmup) & (F.col("flow") > factor * F.col("history_avg")))
+            for k, b, n, add, first in zip(pdf[key], pdf["_block"], pdf["n"], pdf["add"], pdf["first"]):
+                if k != last:
+                    # The first row is the first average: as if the key had started with it.
+                    last, mean, seen = k, first, 0
+                out.append((k, b, mean, seen))
+                mean, seen = stay**n * mean + add, seen + n
+            yield pd.DataFrame(out, columns=[key, "_block", "mean", "seen"])
+
+    folded = cut(dealt.mapInArrow(sums, f"`{key}` {kind}, _block long, `{order}` {when}, flow double, n long, add double"))
+    ends = folded.groupBy(key, "_block").agg(F.max(F.struct("n", "add", "flow")).alias("z"), F.min(F.struct("n", "flow")).alias("a"))
+    ends = ends.select(key, "_block", (F.col("z.n") + 1).alias("n"), (alpha * F.col("z.flow") + stay * F.col("z.add")).alias("add"), F.col("a.flow").alias("first"))
+    begun = ends.repartition(key).sortWithinPartitions(key, "_block").mapInPandas(chained, f"`{key}` {kind}, _block long, mean double, seen long")
+    hits = folded.join(begun, [key, "_block"]).withColumn("history_avg", F.pow(F.lit(stay), F.col("n")) * F.col("mean") + F.col("add"))
+    hits = hits.filter((F.col("seen") + F.col("n") >= max(1, warmup)) & (F.col("flow") > factor * F.col("history_avg")))
     ratio = F.when(F.col("history_avg") != 0, F.col("flow") / F.col("history_avg"))
     return hits.select(key, order, "flow", "history_avg", ratio.alias("ratio"))

@@ -227,8 +227,9 @@ def sent_by_fold(rows, minutes):
 
 
 @pytest.mark.parametrize("minutes", [1, 7, 30, 700])
-def test_suppression_by_pointers_equals_one_fold(spark, minutes):
+def test_suppression_by_pointers_equals_one_fold(spark, monkeypatch, minutes):
     """A key with an alert each minute for 70 days, sparse ones, pauses of days, times to the microsecond, a null key."""
+    monkeypatch.setattr(alerts, "BLOCK_TIMES", 500)
     rng = np.random.default_rng(minutes)
     start = dt.datetime(2026, 1, 1)
     rows = [("each", start + dt.timedelta(minutes=m)) for m in range(100_800)]
