@@ -49,11 +49,17 @@ def block_paths(times: DataFrame, key: str, ts: str, limit: int, width: int | No
     """key, block, entry, sent of times(key, ts) in blocks of `width` microseconds (None: a key is a block): what is sent in the block if `entry` is its first sent time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, []
+        last, held, done = None, [], []
+
+        def close() -> None:
+            start = -(1 << 62) if width is None else last[1] * width
+            done.extend((*last, p[0], p) for p in _paths(np.concatenate(held), start, limit))
+            held.clear()
 
         def out() -> pd.DataFrame:
-            paths = _paths(np.concatenate(held), -(1 << 62) if width is None else last[1] * width, limit)
-            return pd.DataFrame({key: [last[0]] * len(paths), "block": last[1], "entry": [p[0] for p in paths], "sent": paths}, columns=[key, "block", "entry", "sent"])
+            pdf = pd.DataFrame(done, columns=[key, "block", "entry", "sent"])
+            done.clear()
+            return pdf
 
         for pdf in batches:
             block, own = pdf["block"].to_numpy(), pdf[key].where(pdf[key].notna(), None).tolist()
@@ -61,11 +67,13 @@ def block_paths(times: DataFrame, key: str, ts: str, limit: int, width: int | No
             for i, j in zip(begins, begins[1:]):
                 if i < j:
                     if (own[i], block[i]) != last and held:
-                        yield out()
-                        held = []
+                        close()
                     last = (own[i], int(block[i]))
                     held.append(pdf["at"].to_numpy()[i:j])
+            if done:
+                yield out()
         if held:
+            close()
             yield out()
 
     kind = dict(times.dtypes)[key]
