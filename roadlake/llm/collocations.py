@@ -33,7 +33,9 @@ LEAST, SHARE, TOP = 10, 50, 2000
 HEAD_WORDS, HEAD_PAIRS = 1 << 18, 1 << 20
 TILE, DENSE = 1 << 10, 1 << 16
 #: Words that a task takes at once, and distinct ones that it counts before it hands them on.
-CHUNK, FLUSH = 1 << 20, 1 << 18
+CHUNK, FLUSH = 1 << 20, 1 << 17
+#: Rows of an Arrow batch that a task hands on.
+ROWS = 1 << 16
 _BREAK = b"\xff"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
 #: Codes of what has no address: not in a frequent phrase, or counted by text.
@@ -150,9 +152,10 @@ def phrase_counts(texts: DataFrame, addresses: Addresses) -> DataFrame:
     """lang, a, b, phrase, n: phrases of two words, or of three if pairs have addresses, by address (phrase null) or text (a, b null)."""
     shared = texts.sparkSession.sparkContext.broadcast(addresses)
 
-    def counted(lang: str, words: list[bytes]) -> pa.RecordBatch:
+    def counted(lang: str, parts: list[np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """The counts of a chunk, in small batches; words: those of the codes, empty where everything frequent has an address."""
         known, size = shared.value, 2
-        code = last = known.codes(lang, words)
+        code = last = np.concatenate(parts).astype(np.int64)
         first = code[:-1]
         if known.pairs is not None:
             size, pair = 3, known.pair_codes(lang, words, code)
@@ -160,29 +163,43 @@ def phrase_counts(texts: DataFrame, addresses: Addresses) -> DataFrame:
         last = last[1:]
         at = (first >= 0) & (last >= 0)
         a, b, n = tile_counts(first[at], last[at])
-        texts = Counter(b" ".join(words[i : i + size]) for i in np.flatnonzero((first != _NONE) & (last != _NONE) & ~at).tolist())
-        blank = pa.nulls(len(texts), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * (len(a) + len(texts)), pa.string()), pa.concat_arrays([pa.array(a, pa.int64()), blank]), pa.concat_arrays([pa.array(b, pa.int64()), blank]),
-                pa.concat_arrays([pa.nulls(len(a), pa.string()), pa.array([t.decode("utf-8") for t in texts], pa.string())]),
-                pa.concat_arrays([pa.array(n, pa.int64()), pa.array(list(texts.values()), pa.int64())]),
-            ], names=["lang", "a", "b", "phrase", "n"])
+        for k in range(0, len(a), ROWS):
+            rows = len(a[k : k + ROWS])
+            yield batch_of([lang] * rows, a[k : k + ROWS], b[k : k + ROWS], pa.nulls(rows, pa.string()), n[k : k + ROWS])
+        texts = Counter(b" ".join(words[i : i + size]) for i in np.flatnonzero((first != _NONE) & (last != _NONE) & ~at).tolist()) if words else {}
+        if texts:
+            blank = pa.nulls(len(texts), pa.int64())
+            yield batch_of([lang] * len(texts), blank, blank, [t.decode("utf-8") for t in texts], list(texts.values()))
+
+    def batch_of(lang, a, b, phrase, n) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+        columns = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip((lang, a, b, phrase, n), kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "a", "b", "phrase", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[bytes]] = {}
+        """Texts are held as codes, four bytes a word; their words are kept only where some phrases are counted by text."""
+        known = shared.value
+        by_text = known.tail_words is not None or known.tail_pairs is not None
+        held: dict[str, tuple[list[np.ndarray], list[bytes]]] = {}
+        size: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = held.setdefault(lang, [])
-                words += tokens(text.as_py())
+                words = tokens(text.as_py())
                 words.append(_BREAK)
-                if len(words) > CHUNK:
-                    yield counted(lang, held.pop(lang))
-            if sum(map(len, held.values())) > CHUNK:
+                parts, kept = held.setdefault(lang, ([], []))
+                parts.append(known.codes(lang, words).astype(np.int32))
+                size[lang] += len(words)
+                if by_text:
+                    kept += words
+                if size[lang] > CHUNK:
+                    yield from counted(lang, *held.pop(lang))
+                    size[lang] = 0
+            if size.total() > 2 * CHUNK:
                 for lang in list(held):
-                    yield counted(lang, held.pop(lang))
-        for lang, words in held.items():
-            yield counted(lang, words)
+                    yield from counted(lang, *held.pop(lang))
+                size.clear()
+        for lang, (parts, kept) in held.items():
+            yield from counted(lang, parts, kept)
 
     rows = texts.mapInArrow(run, "lang string, a long, b long, phrase string, n long")
     return rows.groupBy("lang", "a", "b", "phrase").agg(F.sum("n").alias("n"))
