@@ -179,13 +179,13 @@ def _(t):
 
 
 @add("s12_latest_within_ttl", """
-select * from newest where epoch(timestamp '2024-06-30 00:00:00') - epoch(heartbeat_time) < 86400 * (1 + (select epoch(timestamp '2024-06-30 00:00:00') - epoch(min(heartbeat_time)) from newest) // 172800)
+select * from newest where (select epoch(max(heartbeat_time)) from newest) - epoch(heartbeat_time) < 21600
 """, newest=_NEWEST)
 def _(t):
-    path = _device_table(t)
-    spark = t["device_status"].sparkSession
-    oldest = jobs.read_table(spark, path, "device_id", "heartbeat_time").agg(F.unix_timestamp(F.lit("2024-06-30 00:00:00").cast("timestamp")) - F.unix_timestamp(F.min("heartbeat_time"))).first()[0]
-    return jobs.read_latest(spark, path, 86400 * (1 + oldest // 172800), "2024-06-30 00:00:00", "heartbeat_time", "device_id")
+    """Devices with a heartbeat in the last six hours of the data."""
+    path, spark = _device_table(t), t["device_status"].sparkSession
+    as_of = t["device_status"].agg(F.max("heartbeat_time").cast("string")).first()[0]
+    return jobs.read_latest(spark, path, 21600, as_of, "heartbeat_time", "device_id")
 
 
 @add("s13_recent_kept", """
