@@ -83,17 +83,18 @@ def scd2_history(days: DataFrame, key: str, tracked: list[str]) -> DataFrame:
 
 
 def scd2_from_cdc(prev: DataFrame, changes: DataFrame, key: str, tracked: list[str], dt: str | None = None) -> DataFrame:
-    """The dimension after change records (its columns plus type, ts, xoffset) of any number of days.
+    """The dimension after change records (its columns plus type, ts, xoffset).
 
-    dt: the snapshot's day; by default that of the last change. Changes before the newest version are put in their place.
+    With dt all records are changes of that day, and it is the snapshot's. Without it they are of the days of their own
+    times, any number of them: changes before the newest version are put in their place, and the snapshot is of the last one's day.
     """
     columns = [c for c in prev.columns if c not in ("start_time", "end_time", "is_current", "dt")]
     more = changes.select(*columns, "type", F.col("ts").cast("long").alias("ts"), F.col("xoffset").cast("long").alias("xoffset"))
-    days = daily_changes(opened(prev, key).unionByName(daily_changes(more, key)), key)
-    out = scd2_history(days, key, tracked)
+    more = more.withColumn("day", day_of(F.col("ts")) if dt is None else F.lit(dt))
+    out = scd2_history(daily_changes(opened(prev, key).unionByName(daily_changes(more, key)), key), key, tracked)
     if dt is not None:
         return out.withColumn("dt", F.lit(dt))
-    return out.crossJoin(F.broadcast(more.agg(day_of(F.max("ts")).alias("dt"))))  # one row
+    return out.crossJoin(F.broadcast(more.agg(F.max("day").alias("dt"))))  # one row
 
 
 def scd2_check(df: DataFrame, key: str, src: DataFrame | None = None, tracked: list[str] | None = None) -> DataFrame:
