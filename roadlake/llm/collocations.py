@@ -31,11 +31,11 @@ from .common import PAGE, bits_for, cut, table, text_of
 
 LEAST, SHARE, TOP = 10, 50, 2000
 HEAD_WORDS, HEAD_PAIRS = 1 << 18, 1 << 20
-TILE, DENSE = 1 << 10, 1 << 16
+TILE, DENSE = 1 << 10, 1 << 15
 #: Words that a task takes at once, and distinct ones that it counts before it hands them on.
-CHUNK, FLUSH = 1 << 20, 1 << 17
+CHUNK, FLUSH = 1 << 19, 1 << 16
 #: Rows of an Arrow batch that a task hands on.
-ROWS = 1 << 16
+ROWS = 1 << 15
 _BREAK = b"\xff"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _BREAK * 10)
 #: Codes of what has no address: not in a frequent phrase, or counted by text.
