@@ -132,18 +132,23 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
-        def out() -> pa.RecordBatch:
-            rows = [(lang, w.decode("utf-8"), n) for lang, c in held.items() for w, n in c.items() if w != _BREAK]
-            held.clear()
-            lang, word, n = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            """Everything held, in small batches."""
+            while held:
+                lang, counts = held.popitem()
+                counts.pop(_BREAK, None)
+                words = list(counts)
+                for k in range(0, len(words), ROWS):
+                    some = words[k : k + ROWS]
+                    columns = [pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array(map(counts.get, some), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held.setdefault(lang, Counter()).update(tokens(text.as_py()))
-            if sum(map(len, held.values())) > FLUSH:
-                yield out()
-        yield out()
+                if sum(map(len, held.values())) > FLUSH:
+                    yield from out()
+        yield from out()
 
     return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
