@@ -47,14 +47,14 @@ def buckets_of(text: Column) -> Column:
 def word_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and log P(bucket | language), add-one smoothed, as (BUCKETS, languages)."""
     counts = docs.filter("lang is not null").select("lang", F.explode(buckets_of(text_of())).alias("bucket")).groupBy("lang", "bucket").agg(F.count("*").alias("n"))
-    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(MOST + 1).toPandas()  # at most BUCKETS a language
-    if len(rows) > MOST:
+    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(MOST + 1).toArrow()  # at most BUCKETS a language
+    if rows.num_rows > MOST:
         raise ValueError("more languages than the bound")
-    langs = sorted(rows["lang"])
+    names = rows["lang"].to_pylist()
+    langs = sorted(names)
     model = np.ones((BUCKETS, max(1, len(langs))))
-    for lang, c in zip(rows["lang"], rows["c"]):
-        for r in c:
-            model[r["bucket"], langs.index(lang)] += r["n"]
+    for lang, c in zip(names, rows["c"]):
+        model[c.values.field("bucket").to_numpy(), langs.index(lang)] += c.values.field("n").to_numpy()
     return langs, np.log(model / model.sum(axis=0)).astype(np.float32)
 
 
