@@ -12,8 +12,10 @@ however large a cell is. Native: only DataFrame functions.
 No task gathers a cell: a cell's rows are dealt by a hash of doc_id into as
 many buckets as its share of all rows asks for, buckets are counted, and the
 running sum goes over the bucket table only, whose size depends on the grid and
-the parallelism, not on the data. The cuts are read once, so a lost task finds
-the same cells again.
+the parallelism, not on the data. A row that is repeated more often than a
+bucket should hold gets buckets of its own, and its copies are dealt by a number
+that is written with them. The cuts are read once, so a lost task finds the same
+cells again.
 
 Defined results: a null text counts 8 bytes and the crc of the empty text; null
 language, source or doc_id are values of their own, below all others; repeated
@@ -31,6 +33,8 @@ from .common import cut, table, text_of, width
 
 BITS = 4
 DIMS = 3
+#: What tells rows apart (_id: doc_id as text, null as no text).
+SAME = ("_id", "text_crc32", "size")
 
 
 def hilbert_index(point: Column, dims: int, bits: int) -> Column:
@@ -90,6 +94,18 @@ def steps_of(df: DataFrame, columns: list[str], bits: int) -> list[Column]:
     return out
 
 
+def repeated_rows(rows: DataFrame, buckets: int) -> DataFrame:
+    """hilbert, _part, SAME, _hot, _subs: rows with over two buckets' worth of copies (fewer than buckets / 2), numbered from 1 in a part, and the buckets of each.
+
+    Only parts of over four buckets' worth are counted row by row.
+    """
+    share = F.col("_n") * F.lit(buckets) / F.col("_total")
+    crowded = rows.groupBy("hilbert", "_part").agg(F.count("*").alias("_n"), F.first("_total").alias("_total")).filter(share > 4).select("hilbert", "_part")
+    copies = rows.join(F.broadcast(crowded), ["hilbert", "_part"], "left_semi").groupBy("hilbert", "_part", *SAME).agg(F.count("*").alias("_n"), F.first("_total").alias("_total"))
+    order = W.partitionBy("hilbert", "_part").orderBy(*SAME)
+    return copies.filter(share > 2).select("hilbert", "_part", *SAME, F.row_number().over(order).alias("_hot"), F.ceil(share).cast("int").alias("_subs"))
+
+
 def assign(docs: DataFrame, shards: int = 24, bits: int = BITS, buckets: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, hilbert, shard, slot, lang, source of every row; buckets: about how many are ranked apart."""
     spark = docs.sparkSession
@@ -99,7 +115,7 @@ def assign(docs: DataFrame, shards: int = 24, bits: int = BITS, buckets: int | N
     skip = {c: common_bytes(ends[f"min_{c}"], ends[f"max_{c}"]) for c in ("lang", "source")}
     slim = cut(docs.select(
         "doc_id", size.alias("size"), F.crc32(text_of()).alias("text_crc32"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
-        *[leading(F.col(c).cast("string"), skip[c]).alias(f"_{c}") for c in ("lang", "source")], size.alias("_size")))
+        *[leading(F.col(c).cast("string"), skip[c]).alias(f"_{c}") for c in ("lang", "source")], size.alias("_size"), F.monotonically_increasing_id().alias("_copy")))
     dims = ["_lang", "_source", "_size"]
     slim = slim.withColumns(dict(zip(dims, steps_of(slim, dims, bits))))
     cells = slim.groupBy(*dims).agg(F.count("*").alias("_n")).withColumn("hilbert", hilbert_index(F.array(*dims), DIMS, bits))
@@ -107,12 +123,15 @@ def assign(docs: DataFrame, shards: int = 24, bits: int = BITS, buckets: int | N
     # At most 2**(3 * bits) cells and as many rows here.
     parts = F.ceil(F.col("_n") * F.lit(buckets) / F.col("_total")).cast("int")
     cells = F.broadcast(cells.crossJoin(F.broadcast(total)).withColumn("_parts", parts).drop("_n"))
-    rows = slim.join(cells, dims).withColumn("_part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("_parts")).cast("int"))
-    starts = rows.groupBy("hilbert", "_part").agg(F.count("*").alias("_n"))
-    starts = starts.withColumn("_start", F.sum("_n").over(W.orderBy("hilbert", "_part").rowsBetween(W.unboundedPreceding, -1)))
-    starts = F.broadcast(starts.select("hilbert", "_part", F.coalesce("_start", F.lit(0)).alias("_start")))
-    own = W.partitionBy("hilbert", "_part").orderBy("doc_id", "text_crc32", "size")
-    rows = rows.join(starts, ["hilbert", "_part"]).withColumn("_rank", F.col("_start") + F.row_number().over(own) - 1)
+    rows = slim.join(cells, dims).withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("_parts")).cast("int"))
+    rows = rows.join(F.broadcast(cut(repeated_rows(rows, buckets))), ["hilbert", "_part", *SAME], "left")
+    rows = rows.withColumn("_hot", F.coalesce("_hot", F.lit(0))).withColumn("_sub", F.coalesce(F.pmod(F.xxhash64("_copy"), F.col("_subs")), F.lit(0)).cast("int"))
+    place = ["hilbert", "_part", "_hot", "_sub"]
+    starts = rows.groupBy(*place).agg(F.count("*").alias("_n"))
+    starts = starts.withColumn("_start", F.sum("_n").over(W.orderBy(*place).rowsBetween(W.unboundedPreceding, -1)))
+    starts = F.broadcast(starts.select(*place, F.coalesce("_start", F.lit(0)).alias("_start")))
+    own = W.partitionBy(*place).orderBy("doc_id", "text_crc32", "size")
+    rows = rows.join(starts, place).withColumn("_rank", F.col("_start") + F.row_number().over(own) - 1)
     rows = rows.withColumn("shard", F.expr(f"cast((_rank * {shards}) div _total as int)"))
     slot = F.expr(f"_rank - (shard * _total + {shards - 1}) div {shards}")
     return rows.select("doc_id", "size", "text_crc32", "hilbert", "shard", slot.alias("slot"), "lang", "source")

@@ -46,6 +46,16 @@ def test_shards(spark, sf_dir, tmp_path):
     assert hilbert_shards.assign(docs(spark, [])).count() == 0
 
 
+def test_shards_of_repeated_rows(spark, tmp_path):
+    """One row a thousand times, one without id or text three hundred times: whole shards, and buckets of their own."""
+    many = docs(spark, [(1, "same text", "en", "s0", 9)] * 1000 + [(None, None, None, None, None)] * 300 + [(k, f"text {k}", "en", "s1", 9) for k in range(2, 400)])
+    check_shards(hilbert_shards.op1_hilbert_shards(spark, saved(spark, tmp_path, documents=many.repartition(7))).collect(), many.collect())
+    rows = [(5, 0, "1", 7, 9)] * 600 + [(5, 0, "", 0, 8)] * 150 + [(5, 0, str(k), k, 9) for k in range(100)] + [(6, k % 2, str(k), k, 9) for k in range(150)]
+    own = spark.createDataFrame(rows, "hilbert long, _part int, _id string, text_crc32 long, size long").selectExpr("*", "1000L as _total")
+    found = sorted((r.hilbert, r._id, r._hot, r._subs) for r in hilbert_shards.repeated_rows(own, 20).collect())
+    assert found == [(5, "", 1, 3), (5, "1", 2, 12)]
+
+
 def test_shards_prune(spark):
     """Of 24 shards the zones leave few for one language, one source or one range of sizes; hash shards leave nearly all."""
     from pyspark.sql import functions as F
