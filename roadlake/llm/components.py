@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the components of links(a, b).
+
+    A node keeps the link to the least of its lesser neighbours; its other lesser neighbours are linked with that one in
+    its place, where the links of many nodes fall together. A round makes no more links than it takes; rounds go on while
+    they halve the links, so a dense group of nodes, each linked to many, is left with a few links a node.
+    """
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
+    links = cut(links.distinct())
+    n = links.count()
+    while True:
+        least = cut(links.groupBy("b").agg(F.min("a").alias("least")))
+        moved = links.join(least, "b").select(F.col("least").alias("a"), F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        links = cut(moved.distinct())
+        before, n = n, links.count()
+        if 2 * n >= before:
+            return links
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for the nodes of links(a, b).
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PAGE, bits_for, cut, text_of
-from .components import components
+from .components import components, thinned
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -116,7 +116,7 @@ def families(hashed: DataFrame, links: DataFrame | None = None) -> DataFrame:
     # Written out, so that the join has an exchange of its own and adaptive execution can split a band of many nodes.
     hubs = cut(rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub < _last").drop("_last"))
     banded = rows.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    return components((banded if links is None else banded.unionByName(links)).distinct())
+    return components(thinned(banded if links is None else banded.unionByName(links)))
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:

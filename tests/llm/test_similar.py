@@ -1,10 +1,12 @@
 """Near copies of the pipeline's stage against brute-force Jaccard."""
 
+import random
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from roadlake.llm import similar
+from roadlake.llm import components, similar
 
 from .helpers import docs, with_clashes
 
@@ -147,3 +149,36 @@ def test_print_links_have_the_components_of_all_pairs(spark, monkeypatch, rows_a
     want = [(a, b) for a in of for b in of if a < b and bin((of[a] ^ of[b]) & ((1 << 64) - 1)).count("1") <= 3]
     assert groups(of, links) == groups(of, want) and len(groups(of, want)) > 100
     assert len(links) < 36 * len(rows) and len(want) > 5 * len(rows)
+
+
+def test_a_dense_family_is_handed_on_with_few_links(spark, monkeypatch):
+    """Near copies share many bands, each with a hub of its own; components get about one link a node."""
+    rng = random.Random(1)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    sets = [similar.shingles(" ".join(f"x{i}" if k == i % 120 else w for k, w in enumerate(base))) for i in range(300)]
+    hashed = spark.createDataFrame([(similar.node_of(s), [int(b) for b in similar.bands_of(s)]) for s in sets], "node long, bands array<long>")
+    given = []
+    monkeypatch.setattr(similar, "components", lambda links: given.append(links) or components.components(links))
+    got = similar.families(hashed).collect()
+    assert given[0].count() < 600
+    by_key = {}
+    for r in hashed.collect():
+        for b in r.bands:
+            by_key.setdefault(b, []).append(r.node)
+    label = {r.node: r.node for r in hashed.collect()}
+    for nodes in by_key.values():
+        met = {label[n] for n in nodes}
+        label = {n: min(met) if k in met else k for n, k in label.items()}
+    alone = {k for k in label.values() if list(label.values()).count(k) == 1}
+    assert {(r.node, r.label) for r in got} == {(n, k) for n, k in label.items() if k not in alone}
+
+
+def test_thinned_links_keep_components(spark):
+    rng = random.Random(2)
+    apart = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)]
+    dense = [(rng.randrange(100, 150), rng.randrange(100, 150)) for _ in range(800)]
+    for rows in ([], [(7, 7)], apart, [*apart, *dense, *[(i, 1000) for i in range(100, 400)]]):
+        links = spark.createDataFrame(rows, "a long, b long")
+        fewer = components.thinned(links)
+        assert fewer.count() <= links.filter("a <> b").distinct().count()
+        assert sorted(components.components(fewer).collect()) == sorted(components.components(links).collect())
