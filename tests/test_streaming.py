@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadlake.operators import alerts, dims, series
+from roadlake.plans import registry_rules
 from roadlake.sources import io
 from roadlake.streaming import jobs, rules, stateful
 
@@ -37,6 +38,24 @@ def test_window_counts(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_streamed_input_is_computed_once(spark):
+    """A query over a stream writes its input once; its closing rows take their time from what was written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = [("R1", 10 * i, BASE + dt.timedelta(seconds=90 * i)) for i in range(8)] + [(None, 5, BASE), ("R2", None, FAR)]
+    df = spark.createDataFrame(rows, "road_id string, speed int, pass_time timestamp").coalesce(1)
+    got = registry_rules._streamed(df.mapInPandas(noted, df.schema), "pass_time", "road_id", jobs.road_counts)
+    key = lambda r: (r[0], r[1] or "")
+    want = [r for r in jobs.road_counts(df).collect() if r.road_id]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want), key=key)
+    assert seen.value == len(rows)
+
+
 def test_sequence_rules_in_event_order(spark, tmp_path):
     schema = "k string, ts timestamp, v string"
     at = lambda s: BASE + dt.timedelta(seconds=s)
